@@ -16,6 +16,12 @@ def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.mixing import mix
 
@@ -24,7 +30,7 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sampled_splitter_shards, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op5_sampled_splitter_shards, op8_simhash_pivots, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
