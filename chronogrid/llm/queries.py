@@ -16,12 +16,51 @@ def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: host, path, verdict
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.url_filter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+OP6_SQL = """
+WITH rules(host, path, verdict) AS (VALUES {rules}),
+parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+fits AS (
+  SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
+""".format(rules=", ".join(str(r) for r in URL_RULES))
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_signature_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.media import encode_text_media
+
+    return encode_text_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.mixing import mix
 
@@ -30,8 +69,8 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sampled_splitter_shards, op8_simhash_pivots, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_bloom_cascade_urls": OP6_SQL}
