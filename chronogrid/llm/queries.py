@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from chronogrid.llm.common import table
 
 
+def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.lang_id import identify
+
+    out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.sharding import shard_by_bytes
 
@@ -69,7 +76,7 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op3_kneser_ney_language, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
