@@ -16,6 +16,13 @@ def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.quality import classify
+
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.sharding import shard_by_bytes
 
@@ -76,7 +83,7 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_kneser_ney_language, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
