@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from chronogrid.llm.common import table
 
 
+def op1_consensus_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op2_seeded_alignment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.lang_id import identify
 
@@ -83,7 +95,7 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op1_consensus_host_paths, op2_seeded_alignment_leaks, op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
