@@ -75,6 +75,12 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
 """.format(rules=", ".join(str(r) for r in URL_RULES))
 
 
+def op7_hash_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.simhash import simhash_components
 
@@ -95,7 +101,7 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_consensus_host_paths, op2_seeded_alignment_leaks, op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op1_consensus_host_paths, op2_seeded_alignment_leaks, op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op7_hash_suffix_sort, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
