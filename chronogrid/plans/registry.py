@@ -1,4 +1,4 @@
-"""All registered queries and their oracle SQL, gathered from the operator modules."""
+"""All registered queries and their oracle SQL, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
@@ -6,22 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "scale_to_zones"
-
+from chronogrid.plans import grid, history, records
 
-def _modules() -> list:
-    return []
+FLAGSHIP = "scale_to_zones"
+MODULES = (grid, history, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found: dict = {}
-    for module in _modules():
-        found |= module.QUERIES
-    return found
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found: dict = {}
-    for module in _modules():
-        found |= module.ORACLES
-    return found
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
