@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "cells": "SELECT 'pop' AS layer, year(l_shipdate) AS yr, CAST(l_suppkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, CAST((l_suppkey % 40) * 50 + (l_partkey % 50) AS BIGINT) AS idx, CAST(SUM(l_quantity) AS DOUBLE) AS value FROM {lineitem} GROUP BY year(l_shipdate), l_suppkey % 40, l_partkey % 50",
+    "cells": "SELECT 'pop' AS layer, CAST(year(l_shipdate) AS INT) AS yr, CAST(l_suppkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, CAST((l_suppkey % 40) * 50 + (l_partkey % 50) AS BIGINT) AS idx, CAST(SUM(l_quantity) AS DOUBLE) AS value FROM {lineitem} GROUP BY year(l_shipdate), l_suppkey % 40, l_partkey % 50",
     "zones": "SELECT DISTINCT 'region' AS mask, CAST((l_suppkey % 40) * 50 + (l_partkey % 50) AS BIGINT) AS idx, CAST(floor((l_suppkey % 40) / 10.0) AS INT) AS zone FROM {lineitem} WHERE l_suppkey % 40 < 30",
-    "control": "SELECT CAST(o_custkey % 3 AS INT) AS zone, year(o_orderdate) AS yr, CAST(floor(SUM(o_totalprice) / 1000.0 + 0.5) AS DOUBLE) AS target FROM {orders} GROUP BY o_custkey % 3, year(o_orderdate)",
+    "control": "SELECT CAST(o_custkey % 3 AS INT) AS zone, CAST(year(o_orderdate) AS INT) AS yr, CAST(floor(SUM(o_totalprice) / 1000.0 + 0.5) AS DOUBLE) AS target FROM {orders} GROUP BY o_custkey % 3, year(o_orderdate)",
     "series_gt": "SELECT c_nationkey AS series_id, CAST((year(o_orderdate) - 1992) * 10 AS INT) AS x, CAST(COUNT(*) AS DOUBLE) AS y FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE year(o_orderdate) % 2 = 0 GROUP BY c_nationkey, year(o_orderdate)",
     "series_rr": "SELECT s_nationkey AS series_id, CAST((year(l_shipdate) - 1993) * 10 + 5 AS INT) AS x, CAST(COUNT(*) AS DOUBLE) AS y FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY s_nationkey, year(l_shipdate)",
     "cities_gt": "SELECT c_custkey AS city_id, c_nationkey AS series_id, CAST((c_custkey * 7919) % 16000 AS DOUBLE) / 100.0 - 80.0 AS lat, CAST((c_custkey * 104729) % 36000 AS DOUBLE) / 100.0 - 180.0 AS lng FROM {customer}",

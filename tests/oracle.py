@@ -18,7 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or x != x:
+        if pd.isna(x):
             return None
         return float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
 
