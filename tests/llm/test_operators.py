@@ -212,3 +212,63 @@ def test_odd_and_empty_tables(spark, rows):
         simhash_components(clash),
     ):
         assert out.count() == len(rows)
+
+
+def brute_entropies(train, texts):
+    """Interpolated Kneser-Ney by plain dictionaries: {language: [cross-entropy]}."""
+    import math
+    from collections import Counter
+
+    from chronogrid.llm.lang_id import FLOOR, _codes
+
+    out = {}
+    for lang in sorted({x for x, _ in train}):
+        grams = Counter()
+        for x, t in train:
+            if x == lang:
+                c = [int(i) for i in _codes(t)]
+                grams.update(tuple(c[i : i + 4]) for i in range(len(c) - 3))
+        by = {4: grams}
+        for order in (3, 2, 1):
+            by[order] = Counter(g[1:] for g in by[order + 1])
+        cut, total, kinds = {}, defaultdict(int), defaultdict(int)
+        for order, seen in by.items():
+            once, twice = sum(n == 1 for n in seen.values()), sum(n == 2 for n in seen.values())
+            cut[order] = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.75
+            for g, n in seen.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += 1
+
+        def prob(g):
+            if not g:
+                return math.exp(FLOOR)
+            if not total[g[:-1]]:
+                return prob(g[1:])
+            d = cut[len(g)]
+            return (max(by[len(g)][g] - d, 0) + d * kinds[g[:-1]] * prob(g[1:])) / total[g[:-1]]
+
+        out[lang] = []
+        for t in texts:
+            c = [int(i) for i in _codes(t)]
+            each = [math.log(prob(tuple(c[i : i + 4]))) for i in range(len(c) - 3)]
+            out[lang].append(-sum(each) / len(each))
+    return out
+
+
+def test_language_models_match_brute_force_in_any_slices(spark, docs):
+    from chronogrid.llm.lang_id import fit, predict
+
+    train = [(x, t) for x, t in zip(docs.lang, docs.text, strict=True) if isinstance(x, str) and t][:60]
+    texts = [t for t in docs.text[60:90] if t and any(c.isalpha() for c in t)] + ["Привет как дела " * 9, "𐐀𐐁 漢字 the"]
+    want = brute_entropies(train, texts)
+    rows = spark.createDataFrame(train, "lang string, text string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for slice_bytes in (1 << 26, 1 << 17):
+        model = fit(rows, slice_bytes=slice_bytes)
+        assert (model.slices > 1) == (slice_bytes < 1 << 20)
+        got = {r["doc_id"]: r for r in predict(asked, model).collect()}
+        for i in range(len(texts)):
+            best = min(want, key=lambda k: want[k][i])
+            assert got[i]["cross_entropy"] == pytest.approx(want[best][i], abs=1e-4)
+            assert got[i]["lang_pred"] == best
+        assert got[len(texts) - 2]["rejected"] and not got[0]["rejected"]
