@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogrid.plans import grid, history, records
+from chronogrid.plans import frames, grid, history, records
 
 FLAGSHIP = "scale_to_zones"
-MODULES = (grid, history, records)
+MODULES = (grid, history, records, frames)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
