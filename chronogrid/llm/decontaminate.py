@@ -55,23 +55,28 @@ class Items:
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, numbers of grams) of all item n-grams in a text."""
-        h, known = gram_hashes(codes, self.n)
-        at = np.minimum(np.searchsorted(self.grams, h), max(len(self.grams) - 1, 0))
-        where = np.flatnonzero(known & (self.grams[at] == h)) if len(self.grams) else np.zeros(0, np.int64)
-        return where, at[where]
+        h, where = gram_hashes(codes, self.n)
+        if not len(self.grams):
+            return where[:0], where[:0]
+        at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+        found = self.grams[at] == h
+        return where[found], at[found]
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the n-grams all of whose words are in some item."""
     if len(codes) < n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
-    known = np.ones(len(h), dtype=bool)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    inside = codes > 0
+    known = inside[: len(codes) - n + 1].copy()
+    for i in range(1, n):
+        known &= inside[i : len(codes) - n + 1 + i]
+    where = np.flatnonzero(known)
+    h = np.zeros(len(where), dtype=np.uint64)
     for i in range(n):
-        part = codes[i : len(codes) - n + 1 + i]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[where + i].astype(np.uint64)
         h ^= h >> np.uint64(29)
-        known &= part > 0
-    return h, known
+    return h, where
 
 
 def load_items(rows: list[tuple[int, str]], n: int = N) -> Items:
