@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Every document is scanned twice. The first pass counts in how many documents each n-gram of the test items occurs. Of every
-``window`` n-grams in a row of an item the rarest becomes a seed, so a run of n + window - 1 unchanged words always holds one
-whatever its frequency. In the second pass a document's words meet the seeds (a map-side join), the passages around the
-seeds are aligned with their items word by word, and what aligns well enough is a leak. Test items are held in blocks of a
-bounded size; more items mean more passes over the documents.
+"""Benchmark decontamination: gapped n-gram seeds find passages, Smith-Waterman alignment scores them.
+
+Every three words in a row of a test item are a seed. A document's words meet the seeds (a map-side join) where the three
+stand in a row or with one other word between two of them. A passage of similarity 0.6 or more always holds one: without,
+its runs of unchanged words cost as much as they win, which gives 0.5 and 1 / length at most. Up to ``SHORT`` words that is
+not enough, and two words in a row are a seed. Passages around seeds that hold enough of the item's words are aligned
+with it word by word, and what aligns well enough is a leak. Test items are held in blocks of a bounded size; more items
+mean more passes over the documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,8 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of the shortest item that can leak.
 N = 4
-WINDOW = 4
+#: Items up to so many words have pairs of words as seeds, longer ones threes.
+SHORT = 10
+#: Places of a seed's words in a document, by the number of words.
+PATTERNS = {2: ((0, 1), (0, 2)), 3: ((0, 1, 2), (0, 1, 3), (0, 2, 3))}
 #: Share of an item's own alignment score from which a passage is a leak.
 THRESHOLD = 0.6
 #: Words of the test items that one block holds in memory.
@@ -45,8 +51,8 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    n: int
-    seed: np.ndarray | None = None
+    #: the numbers of words of the seeds
+    kinds: tuple[int, ...]
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -55,38 +61,44 @@ class Items:
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, numbers of grams) of all item n-grams in a text."""
-        h, where = gram_hashes(codes, self.n)
-        if not len(self.grams):
-            return where[:0], where[:0]
-        at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
-        found = self.grams[at] == h
-        return where[found], at[found]
-
-
-def gram_hashes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the n-grams all of whose words are in some item."""
-    if len(codes) < n:
+        places, numbers = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for pattern in (p for k in self.kinds for p in PATTERNS[k]):
+            h, where = gram_hashes(codes, pattern)
+            if len(h):
+                at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+                found = self.grams[at] == h
+                places.append(where[found])
+                numbers.append(at[found])
+        return np.concatenate(places), np.concatenate(numbers)
+
+
+def gram_hashes(codes: np.ndarray, pattern: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the words at the places of ``pattern`` from each word on, where all are in some item."""
+    n = len(codes) - pattern[-1]
+    if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     inside = codes > 0
-    known = inside[: len(codes) - n + 1].copy()
-    for i in range(1, n):
-        known &= inside[i : len(codes) - n + 1 + i]
+    known = inside[:n].copy()
+    for i in pattern[1:]:
+        known &= inside[i : n + i]
     where = np.flatnonzero(known)
-    h = np.zeros(len(where), dtype=np.uint64)
-    for i in range(n):
+    h = np.full(len(where), len(pattern), dtype=np.uint64)
+    for i in pattern:
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[where + i].astype(np.uint64)
         h ^= h >> np.uint64(29)
     return h, where
 
 
-def load_items(rows: list[tuple[int, str]], n: int = N) -> Items:
+def load_items(rows: list[tuple[int, str]]) -> Items:
     vocabulary: dict[str, int] = {}
     ids, words, hashes, item, place = [], [], [], [], []
+    kinds: set[int] = set()
     for item_id, text in rows:
         codes = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
-        h, _ = gram_hashes(codes, n)
-        if not len(h):
+        if len(codes) < N:
             continue
+        kinds.add(2 if len(codes) <= SHORT else 3)
+        h, _ = gram_hashes(codes, PATTERNS[2 if len(codes) <= SHORT else 3][0])
         hashes.append(h)
         item.append(np.full(len(h), len(ids)))
         place.append(np.arange(len(h)))
@@ -95,7 +107,7 @@ def load_items(rows: list[tuple[int, str]], n: int = N) -> Items:
     h, it, pl = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item, place))
     order = np.lexsort((pl, it, h))
     grams, first = np.unique(h[order], return_index=True)
-    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order], pl[order], n)
+    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order], pl[order], tuple(sorted(kinds)))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -127,8 +139,6 @@ def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD) -> li
     """The best leak of each item in a text."""
     codes = items.codes(text)
     where, gram = items.hits(codes)
-    seeded = items.seed[gram] if items.seed is not None else np.ones(len(gram), dtype=bool)
-    where, gram = where[seeded], gram[seeded]
     if not len(where):
         return []
     reps = items.first[gram + 1] - items.first[gram]
@@ -140,12 +150,18 @@ def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD) -> li
     i = 0
     while i < len(item):
         k, words = item[i], items.words[item[i]]
-        slack = max(4, len(words) // 4)
+        # so many words may be skipped in all between two seeds of one passage
+        slack = max(4, math.ceil(2 * (1 - threshold) * len(words)))
         j = i + 1
         while j < len(item) and item[j] == k and begin[j] - begin[j - 1] <= slack:
             j += 1
         lo, hi = max(0, begin[i] - slack), min(len(codes), begin[j - 1] + len(words) + slack)
-        score, a, b = align(words, codes[lo:hi])
+        passage = codes[lo:hi]
+        # each word of an item wins MATCH at most, so a leak holds that share of its words
+        if np.isin(words, passage).sum() < threshold * len(words):
+            i = j
+            continue
+        score, a, b = align(words, passage)
         similarity = score / (MATCH * len(words))
         if similarity >= threshold and (k not in out or score > out[k][1]):
             out[k] = (int(items.ids[k]), score, float(similarity), int(lo + a), int(lo + b), int(j - i))
@@ -163,33 +179,6 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
         yield [(r["id"], r["text"]) for r in part.orderBy("id").collect()]
 
 
-def choose_seeds(docs: DataFrame, items: Items, text_col: str, window: int = WINDOW) -> None:
-    """Count the documents of each item n-gram, and mark the rarest of every window of each item as a seed."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = held.value
-        df = np.zeros(len(own.grams), dtype=np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                df[np.unique(own.hits(own.codes(text))[1])] += 1
-        seen = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": seen, "n": df[seen]})
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(items.grams), dtype=np.int64)
-    for r in rows.toLocalIterator():
-        df[r["gram"]] = r["n"]
-    seed = np.zeros(len(items.grams), dtype=bool)
-    for words in items.words:
-        h, _ = gram_hashes(words, items.n)
-        number = np.searchsorted(items.grams, h)
-        for i in range(max(1, len(h) - window + 1)):
-            part = number[i : i + window]
-            seed[part[df[part].argmin()]] = True
-    items.seed = seed
-
-
 def _looking_for(held, threshold: float):
     @F.pandas_udf(LEAK)
     def look(texts: pd.Series) -> pd.Series:
@@ -205,7 +194,6 @@ def leak_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         items = load_items(rows)
         if not items.ids:
             continue
-        choose_seeds(docs, items, text_col)
         found.append(_looking_for(docs.sparkSession.sparkContext.broadcast(items), threshold)(F.col(text_col)))
     return F.flatten(F.array(*found)) if found else F.array().cast(LEAK)
 

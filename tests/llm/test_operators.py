@@ -272,3 +272,17 @@ def test_language_models_match_brute_force_in_any_slices(spark, docs):
             assert got[i]["cross_entropy"] == pytest.approx(want[best][i], abs=1e-4)
             assert got[i]["lang_pred"] == best
         assert got[len(texts) - 2]["rejected"] and not got[0]["rejected"]
+
+
+@pytest.mark.parametrize("every", [4, 5, 6, 7])
+def test_leaks_with_a_word_replaced_every_few(spark, every):
+    from chronogrid.llm.decontaminate import find_leaks
+
+    rng = random.Random(every)
+    item = [f"w{k}" for k in rng.sample(range(900), 40)]
+    replaced = [w if k % every < every - 1 else "other" for k, w in enumerate(item)]
+    inserted = [x for k, w in enumerate(item) for x in ([w, "other"] if k % 2 else [w])]
+    noise = [f"n{rng.randrange(900)}" for _ in range(100)]
+    rows = [(20, " ".join(noise + replaced + noise)), (21, " ".join(noise + inserted)), (22, " ".join(noise))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in find_leaks(documents(spark, rows), bench).collect()) == [20, 21]
