@@ -50,7 +50,15 @@ def _quantiles(drawn: list[tuple[int, int, int]], parts: int) -> list[tuple[int,
     return cuts
 
 
-def plan_ranges(keys: DataFrame, n_shards: int, ranges_per_shard: int, range_bytes: int, max_ranges: int, rounds: int = 4):
+def _next_key(h: int, d: int) -> tuple[int, int]:
+    """The key after (h, d); the last key has itself."""
+    last = (1 << 63) - 1
+    if d < last:
+        return h, d + 1
+    return (h + 1, -(1 << 63)) if h < last else (h, d)
+
+
+def plan_ranges(keys: DataFrame, n_shards: int, ranges_per_shard: int, range_bytes: int, max_ranges: int):
     """Splitters and, for every range, its bytes and rows. keys: (h, d, size)."""
     total = keys.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     size, rows = total["b"] or 0, total["n"]
@@ -67,27 +75,28 @@ def plan_ranges(keys: DataFrame, n_shards: int, ranges_per_shard: int, range_byt
         return [tuple(r) for r in part.select("h", "d", n.alias("n")).filter("n > 0").collect()]
 
     splitters = _quantiles(sample(keys, 2 * size / (8 * ranges)), ranges)
-    counts: dict = {}
-    for _ in range(rounds):
+    while True:  # what is returned was counted with the splitters returned
         placed = keys.withColumn("r", _range_of(F.col("h"), F.col("d"), splitters))
+        key = F.struct("h", "d")
         counts = {
-            x["r"]: (x["b"], x["n"], x["one"])
+            x["r"]: (x["b"], x["n"], x["one"], (x["top"]["h"], x["top"]["d"]))
             for x in placed.groupBy("r")
-            .agg(F.sum("size").alias("b"), F.count("*").alias("n"), (F.min(F.struct("h", "d")) == F.max(F.struct("h", "d"))).alias("one"))
+            .agg(F.sum("size").alias("b"), F.count("*").alias("n"), (F.min(key) == F.max(key)).alias("one"), F.max(F.struct("size", "h", "d")).alias("top"))
             .collect()
         }
-        over = [r for r, (b, n, one) in counts.items() if not one and (b > 3 * size / ranges or n > 3 * rows / ranges)]
+        over = [r for r, (b, n, one, _) in counts.items() if not one and (b > 3 * size / ranges or n > 3 * rows / ranges)]
         if not over or len(splitters) >= 2 * max_ranges:
             break
         # each overfull range is sampled again, more densely, and cut to the planned size
         again = placed.filter(F.array_contains(long_array(sorted(over)), F.col("r").cast("long")))
         share = sum(counts[r][0] + counts[r][1] * mean for r in over)
         drawn = sample(again, share / (16.0 * max(1.0, share * ranges / (2 * size))))
-        more = {k for k in _quantiles(drawn, max(2, int(2 * share * ranges / (2 * size))))}
-        if not more - set(splitters):
-            break
+        more = set(_quantiles(drawn, max(2, int(2 * share * ranges / (2 * size)))))
+        # and cut on both sides of its largest key: one of the two lies inside, so every round divides every such range
+        for r in over:
+            more |= {counts[r][3], _next_key(*counts[r][3])}
         splitters = sorted(set(splitters) | more)
-    return splitters, {r: (b, n) for r, (b, n, _) in counts.items()}, size, rows
+    return splitters, {r: (b, n) for r, (b, n, _, _) in counts.items()}, size, rows
 
 
 def shard_by_bytes(

@@ -286,3 +286,34 @@ def test_leaks_with_a_word_replaced_every_few(spark, every):
     rows = [(20, " ".join(noise + replaced + noise)), (21, " ".join(noise + inserted)), (22, " ".join(noise))]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert sorted(r.doc_id for r in find_leaks(documents(spark, rows), bench).collect()) == [20, 21]
+
+
+def test_slots_with_very_long_texts(spark):
+    from chronogrid.llm.sharding import shard_by_bytes
+
+    rng = random.Random(6)
+    rows = [(i, f"t{i} " + "x" * rng.randrange(300)) for i in range(3000)] + [(9000 + i, f"long{i} " * 40_000) for i in range(7)]
+    docs = documents(spark, rows)
+    for df, n in ((docs, len(rows)), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), None)):
+        got = shard_by_bytes(df).toPandas()
+        assert len(got) == (n or df.count())
+        part = got["size"].sum() / 24
+        assert all(abs(s - part) <= got["size"].max() for s in got.groupby("shard")["size"].sum())
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_ranges_are_counted_with_their_splitters(spark):
+    from chronogrid.llm.sharding import _range_of, plan_ranges
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    # sizes fall off steeply, so a range's largest key stays overfull time after time
+    sizes = [max(8, int(1e9 / 1.6**i)) for i in range(40)] + [100] * 3000
+    rows = [(i if i < 40 else rng.randrange(1 << 40), i, s) for i, s in enumerate(sizes)]
+    keys = spark.createDataFrame(rows, "h long, d long, size long")
+    splitters, counts, size, n = plan_ranges(keys, 24, 16, 128 << 20, 16384)
+    placed = keys.groupBy(_range_of(F.col("h"), F.col("d"), splitters).alias("r")).agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.count_distinct("h", "d").alias("k"))
+    ranges = max(24 * 16, -(-size // (128 << 20)))
+    for r in placed.collect():
+        assert counts[r["r"]] == (r["b"], r["n"])
+        assert r["k"] == 1 or r["b"] <= 3 * size / ranges and r["n"] <= 3 * n / ranges
