@@ -25,8 +25,8 @@ ORDER = 4
 #: Bytes of the model that tasks hold at once; a larger model is applied in slices, one pass over the texts for each.
 SLICE_BYTES = 64 << 20
 MAX_LANGS = 512
-#: Distinct texts of the training folds on which rejection is calibrated.
-CALIBRATION_ROWS = 4_000
+#: Distinct training texts from which a language has its own limit for rejection.
+CALIBRATION_TEXTS = 50
 #: Characters handled at once in a task; longer texts are read in pieces.
 PIECE = 1 << 19
 UNKNOWN = "und"
@@ -272,7 +272,7 @@ def build_model(counts: DataFrame, langs: list[str], slice_bytes: int = SLICE_BY
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", slice_bytes: int = SLICE_BYTES) -> Model:
-    """Models of all rows of train with a language and a text. Rejection is calibrated on about CALIBRATION_ROWS texts."""
+    """Models of all rows of train with a language and a text. Rejection is calibrated on all their texts."""
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     counts = materialise(rows.mapInPandas(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
@@ -314,13 +314,12 @@ def _entropies(sums: str) -> Column:
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """For each language the cross-entropy that 99.5 % of its training texts stay under, plus a margin."""
-    n = rows.count()
-    luck = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.filter(luck < CALIBRATION_ROWS / max(n, 1)).dropDuplicates(["text"])
-    low = _with_sums(some, model, "text", "s").filter("s.n >= 64").select("lang", F.array_min(_entropies("s")).alias("e"))
+    """For each language the cross-entropy that 99.5 % of its distinct training texts of 64 characters or more stay under,
+    plus a margin; with fewer than CALIBRATION_TEXTS of them the greatest of the others."""
+    seen = _with_sums(rows, model, "text", "s").filter("s.n >= 64")
+    low = seen.select("lang", F.xxhash64("text").alias("h"), F.array_min(_entropies("s")).alias("e")).dropDuplicates(["lang", "h"])
     got = low.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("e", 0.995, 10_000).alias("e")).collect()
-    by = {r["lang"]: r["e"] for r in got if r["n"] >= 50}
+    by = {r["lang"]: r["e"] for r in got if r["n"] >= CALIBRATION_TEXTS}
     rest = max((r["e"] for r in got), default=float("inf"))
     model.limits = [by.get(k, rest) + MARGIN for k in model.langs]
 

@@ -317,3 +317,17 @@ def test_ranges_are_counted_with_their_splitters(spark):
     for r in placed.collect():
         assert counts[r["r"]] == (r["b"], r["n"])
         assert r["k"] == 1 or r["b"] <= 3 * size / ranges and r["n"] <= 3 * n / ranges
+
+
+def test_limits_come_from_all_training_texts(spark):
+    from chronogrid.llm.lang_id import MARGIN, fit, predict
+
+    rng = random.Random(12)
+    words = {lang: ["".join(chr(low + rng.randrange(n)) for _ in range(4)) for _ in range(w)] for lang, low, n, w in (("xx", 97, 26, 50), ("zz", 0x4E00, 3000, 3000))}
+    rows = [(lang, " ".join(rng.choice(words[lang]) for _ in range(30))) for lang, n in (("xx", 12_000), ("zz", 60)) for _ in range(n)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = fit(train)
+    seen = predict(train, model).filter("lang = 'zz'").toPandas()
+    assert len(seen) == 60 and (seen.lang_pred == "zz").all()
+    # 99.5 % of 60 texts are all of them
+    assert model.limits[model.langs.index("zz")] == pytest.approx(seen.cross_entropy.max() + MARGIN, abs=1e-6)
