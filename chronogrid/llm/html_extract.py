@@ -2,7 +2,8 @@
 
 Every page scores its containers by the running text they hold. A container's path is the tags and classes from the root,
 with digits taken out, so that pages of one template share paths. Spark sums the score shares by host and path; each page
-is then read again at the best path of its host that it has. A page without any falls back on its own best container.
+is then read again at the best path of its host that holds nearly all of the page's own best text and is not mostly other
+text. A page without any falls back on its own best container, or the one up from it that holds all running text beside it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ PATHS_PER_HOST = 6
 #: Bytes of the vote table up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
+#: Share of a page's own best text that a host's path must hold, and share of the path's text that must be it.
+COVERED, OWN_SHARE = 0.9, 0.5
+#: Characters outside links from which a block is running text.
+RUNNING = 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -216,9 +221,31 @@ class Page(HTMLParser):
             at = at.parent
         return (at or node).path
 
-    def text_at(self, path: str) -> list[str]:
+    def climbed(self, node: Node) -> Node:
+        """The container up from node, as far as running text beside it goes; an article element is not left."""
+        found = up = node
+        held = self._running(node)
+        while up.parent and up.tag not in ("article", "main", "body"):
+            up = self._container(up.parent)
+            here = self._running(up)
+            if here > held:
+                found, held = up, here
+        return found
+
+    def _running(self, node: Node) -> int:
+        """The blocks of running text in a node."""
+        n = 0
+        for at, text, linked in self.blocks:
+            if len(text) - 2 * linked >= RUNNING:
+                while at is not None and at is not node:
+                    at = at.parent
+                n += at is not None
+        return n
+
+    def blocks_at(self, path: str) -> list[int]:
+        """The numbers of the blocks within a path."""
         out, inside = [], {}
-        for node, text, _ in self.blocks:
+        for i, (node, _, _) in enumerate(self.blocks):
             key = id(node)
             if key not in inside:
                 at: Node | None = node
@@ -226,7 +253,7 @@ class Page(HTMLParser):
                     at = at.parent
                 inside[key] = at is not None
             if inside[key]:
-                out.append(text)
+                out.append(i)
         return out
 
 
@@ -245,20 +272,23 @@ def path_votes(html: str | None) -> list[tuple[str, float]]:
 
 
 def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None]:
-    """(text, path read): at the first of paths that holds a tenth of what the page's own best path holds, else there."""
+    """(text, path read): at the first of paths that holds nearly all of what the page's own best path holds, else there."""
     if not html:
         return "", None
     page = Page(html)
     best = page.scored()
     if not best:
         return "", None
-    own = page.path_of(best[0])
-    own_text = " ".join(page.text_at(own))
+    own = page.path_of(page.climbed(best[0]))
+    wanted = page.blocks_at(own)
+    size = [len(text) for _, text, _ in page.blocks]
+    total = sum(size[i] for i in wanted)
     for path in paths or ():
-        text = own_text if path == own else " ".join(page.text_at(path))
-        if text and 10 * len(text) >= len(own_text):
-            return text, path
-    return own_text, own
+        found = wanted if path == own else page.blocks_at(path)
+        common = sum(size[i] for i in set(found) & set(wanted))
+        if found and common >= COVERED * total and common >= OWN_SHARE * sum(size[i] for i in found):
+            return " ".join(page.blocks[i][1] for i in found), path
+    return " ".join(page.blocks[i][1] for i in wanted), own
 
 
 def host_of(url) -> F.Column:
