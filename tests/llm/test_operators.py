@@ -70,6 +70,56 @@ def test_repeats_in_long_runs_and_odd_texts(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_repeats(rows)
 
 
+def colliding_texts():
+    """Two texts whose polynomial hashes modulo 2^64 agree: Thue-Morse order of two blocks, and the blocks swapped. Both
+    blocks begin with the same bytes of a very small hash, so that each text is one run."""
+    import numpy as np
+
+    from chronogrid.llm.suffix_dedup import GRAM, Text, _mixed
+
+    noise = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    at = int(_mixed(Text(noise).all_hashes(GRAM)).argmin())
+    filler = noise[at : at + 36].tobytes().decode()
+    blocks = [filler + "".join(random.Random(5).choices("ABCDEFGH", k=30)), filler + "".join(random.Random(6).choices("ABCDEFGH", k=30))]
+    order = [i.bit_count() & 1 for i in range(2048)]
+    return "".join(blocks[b] for b in order), "".join(blocks[1 - b] for b in order)
+
+
+@pytest.mark.parametrize("hot_bytes", [0, 2000, 1 << 16])
+def test_repeats_are_verified_at_every_heat(spark, hot_bytes):
+    from chronogrid.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(hot_bytes)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = [*colliding_texts(), "x" * 30_000, "x" * 150, "abc" * 9000, "ab" * 2000 + line, None, ""]
+    texts += ["".join(rng.choice("klmno ") for _ in range(rng.randint(0, 200))) + line + str(k) for k in range(120)]
+    rows = list(enumerate(texts))
+    got = remove_repeats(documents(spark, rows).select("doc_id", "text").repartition(7), hot_bytes=hot_bytes)
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == brute_repeats(rows)
+
+
+def test_repeats_in_texts_over_a_piece(spark):
+    from chronogrid.llm.suffix_dedup import PIECE, remove_repeats
+
+    rng = random.Random(8)
+    long_ = "".join(rng.choice("abcdefghijklmnop \u00e9") for _ in range(PIECE + 5000))
+    rows = [(3, long_), (5, long_[PIECE - 3000 : PIECE + 200]), (7, "z" * (PIECE + 3)), (9, "q" + long_[4000:20_000])]
+    got = remove_repeats(documents(spark, rows).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == brute_repeats(rows)
+
+
+def test_repeats_with_text_ids_clashes_and_no_rows(spark):
+    from chronogrid.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(4)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [("b", part, "u"), ("a", part, "s"), (None, "t" + part, "x"), ("a", part, "s")]
+    got = remove_repeats(spark.createDataFrame(rows, "_cut string, text string, uid string"), id_col="_cut")
+    assert sorted((str(r["_cut"]), r["n_removed"]) for r in got.collect()) == [("None", 0), ("a", 300), ("a", 300), ("b", 300)]
+    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def brute_components(rows):
     import xxhash
 
