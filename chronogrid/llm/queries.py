@@ -56,7 +56,7 @@ def op6_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronogrid.llm.url_filter import judge_urls
 
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP6_SQL = """

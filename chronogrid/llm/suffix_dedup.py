@@ -495,7 +495,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     spans = met.filter("settled").select("uid", "start", F.col("c").cast("long").alias("n"))
     open_ = met.filter("not settled").select("v", "uid", "start", "c")
     bytes_ = F.sum(F.col("c").cast("long") + length - 1)
-    hot = open_.groupBy("v").agg(bytes_.alias("n")).filter(F.col("n") > hot_bytes).select("v", F.lit(True).alias("hot"))
+    # written first, so that its size is known when the join is planned: few rows are broadcast and no hot key is dealt out
+    hot = materialise(open_.groupBy("v").agg(bytes_.alias("n")).filter(F.col("n") > hot_bytes).select("v", F.lit(True).alias("hot")))
     tagged = open_.join(hot, "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     by_doc = tagged.groupBy("uid").agg(F.collect_list(F.struct("v", "start", "c", "hot")).alias("open"))
     cut = texts.select("uid", "text").join(by_doc, "uid").select("uid", "text", "open").mapInPandas(_cut_runs(length, gram), CUT)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronogrid.llm.common import free_name
 from chronogrid.shared import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -184,26 +185,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         np.minimum.at(out, row[hit], 2 * place[hit] + ~block[hit])
         return pd.Series(np.where(out == np.iinfo(np.int32).max, -1, out).astype(np.int32))
 
-    keys = judged.withColumn("_k", keyed)
-    found = keys.withColumn("_at", first_listed(F.transform("_k", lambda k: F.xxhash64(k)), F.transform("_k", lambda k: F.xxhash64(k, F.lit(1)))))
-    at = F.col("_at")
+    own, place = free_name(judged, "_k"), free_name(judged, "_at")
+    keys = judged.withColumn(own, keyed)
+    found = keys.withColumn(place, first_listed(F.transform(own, lambda k: F.xxhash64(k)), F.transform(own, lambda k: F.xxhash64(k, F.lit(1)))))
+    at = F.col(place)
     return found.select(
         *keep,
         "host",
         "path",
-        F.when(at >= 0, F.get("_k", F.shiftright(at, 1))).alias("rule"),
+        F.when(at >= 0, F.get(own, F.shiftright(at, 1))).alias("rule"),
         F.when(at < 0, default).when(at % 2 == 1, "allow").otherwise("block").alias("verdict"),
     )
 
 
 def _judge_by_join(judged: DataFrame, keyed: Column, rules: DataFrame, keep: list[str], default: str) -> DataFrame:
     """The way for lists beyond the broadcast bound: distinct (host, path) pairs meet the rules, then the pages."""
+    best_col = free_name(judged, "best")
     best = (
         judged.select("host", "path").distinct().select("host", "path", F.explode(keyed).alias("key"))
         .join(rules, "key")
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.char_length("key").alias("n"), (F.col("verdict") == "block").alias("b"), "key", "verdict")).alias("best"))
+        .agg(F.max(F.struct(F.char_length("key").alias("n"), (F.col("verdict") == "block").alias("b"), "key", "verdict")).alias(best_col))
     )
     return judged.join(best, ["host", "path"], "left").select(
-        *keep, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+        *keep, "host", "path", F.col(f"{best_col}.key").alias("rule"), F.coalesce(f"{best_col}.verdict", F.lit(default)).alias("verdict")
     )

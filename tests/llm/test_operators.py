@@ -34,7 +34,7 @@ def run(spark, name):
 def test_urls_match_oracle(spark):
     got = run(spark, "op6_bloom_cascade_urls")
     want = connect(SF).execute(llm.oracle_sql()["op6_bloom_cascade_urls"]).fetchdf()
-    assert difference(got[want.columns], want) is None
+    assert list(got.columns) == list(want.columns) and difference(got, want) is None
 
 
 def brute_repeats(rows, width=100):
