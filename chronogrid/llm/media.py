@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronogrid.llm.common import free_name
+
 UNIT, RATE = 64, 8000
 
 # ---- fixed values: magic bytes of public formats
@@ -139,20 +141,35 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b.find(b"startxref", at, end) < 0:
+    """Up to the last end mark, revisions included, whose startxref points into the document: to a table or to an object."""
+    found, end = 0, at
+    limit = b.find(b"%PDF-", at + 5)
+    limit = len(b) if limit < 0 else limit
+    while (end := b.find(b"%%EOF", end + 1, limit)) >= 0:
+        ref = b.rfind(b"startxref", at, end)
+        place = b[ref + 9 : end].strip() if ref >= 0 else b""
+        if place.isdigit() and _xref(b, at + int(place)):
+            found = end
+    if not found:
         return 0
-    end += 5
+    end = found + 5
     return end - at + (2 if b[end : end + 2] == b"\r\n" else 1 if b[end : end + 1] in (b"\n", b"\r") else 0)
 
 
+def _xref(b: bytes, at: int) -> bool:
+    """Whether a cross-reference table or a numbered object (a cross-reference stream) begins here."""
+    return at < len(b) and (b.startswith(b"xref", at) or b[at : at + 1].isdigit() and b" obj" in b[at : at + 32])
+
+
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    total = end + 22 + note - at
-    return total if at + start + size == end and at + total <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02" else 0
+    """Up to the first end record that fits its own central directory; stored members may hold other end records."""
+    end = at
+    while (end := b.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(b):
+        size, start, note = struct.unpack_from("<IIH", b, end + 12)
+        total = end + 22 + note - at
+        if at + start + size == end and at + total <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02":
+            return total
+    return 0
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -163,19 +180,60 @@ def _flac(b: bytes, at: int) -> int:
             return 0
         first, i = False, i + 4 + size
         if kind & 0x80:
-            return len(b) - at if i + 2 <= len(b) and b[i] == 0xFF and b[i + 1] >> 2 == 0x3E else 0
+            return max(0, _flac_frames(b, i) - at)
     return 0
 
 
+def _table(bits: int, poly: int) -> np.ndarray:
+    top, mask = 1 << bits - 1, (1 << bits) - 1
+    out = []
+    for c in range(256):
+        x = c << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x & top else 0)) & mask
+        out.append(x)
+    return np.array(out, dtype=np.int64)
+
+
+#: fixed values: the polynomials of FLAC's frame check and of Ogg's page check
+FLAC_CRC, OGG_CRC = _table(16, 0x8005).tolist(), _table(32, 0x04C11DB7).tolist()
+
+
+def _flac_frames(b: bytes, i: int) -> int:
+    """The end of the last frame from i on: a frame runs to the first place at which its 16-bit check is 0 and the next frame
+    begins, or the value or the audio ends; 0 where no frame's check fits."""
+    n, at, end, crc = len(b), i, i, 0
+    if b[i : i + 1] != b"\xff" or b[i + 1 : i + 2] < b"\xf8":
+        return 0
+    while at < n:
+        crc = (crc << 8 & 0xFFFF) ^ FLAC_CRC[crc >> 8 ^ b[at]]
+        at += 1
+        if crc == 0 and at - end > 6:
+            end = at
+            if b[at : at + 1] != b"\xff" or at + 1 >= n or b[at + 1] >> 2 != 0x3E:
+                return end
+    return end if end > i else 0
+
+
 def _ogg(b: bytes, at: int) -> int:
-    i, last = at, False
-    while not last and b[i : i + 5] == b"OggS\x00" and i + 27 <= len(b):
+    """Whole pages with the right check, up to the end page of every stream that began."""
+    i, live, begun = at, set(), False
+    while (live or not begun) and b[i : i + 5] == b"OggS\x00" and i + 27 <= len(b):
         n = b[i + 26]
         size = 27 + n + sum(b[i + 27 : i + 27 + n])
         if i + size > len(b):
             return 0
-        last, i = bool(b[i + 5] & 4), i + size
-    return i - at if last else 0
+        crc = 0
+        for x in b[i : i + 22] + bytes(4) + b[i + 26 : i + size]:
+            crc = (crc << 8 & 0xFFFFFFFF) ^ OGG_CRC[crc >> 24 ^ x]
+        if crc != int.from_bytes(b[i + 22 : i + 26], "little"):
+            return 0
+        stream, begun = b[i + 14 : i + 18], True
+        live.add(stream)
+        if b[i + 5] & 4:
+            live.discard(stream)
+        i += size
+    return i - at if begun and not live else 0
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
@@ -214,7 +272,7 @@ def sniff_media(df: DataFrame, content_col: str = "content", declared_col: str |
 
     true_type is the type of a valid medium at offset 0, else the declared type, else null. media lists the valid media
     that lie elsewhere (embedded). Null and empty values have none. Rows stay as they are; columns with the names given here
-    are replaced.
+    are replaced; an empty table gives an empty result.
     """
 
     @F.pandas_udf("struct<" + SNIFFED.replace(" string", ":string", 1).replace("media array", "media:array") + ">")
@@ -228,12 +286,14 @@ def sniff_media(df: DataFrame, content_col: str = "content", declared_col: str |
 
     keep = [c for c in df.columns if c.lower() not in ("true_type", "media", "type_corrected")]
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
-    out = df.select(*keep, look(F.col(content_col)).alias("_seen"), declared.alias("_declared"))
+    seen, said = free_name(df, "_seen"), free_name(df, "_declared")
+    out = df.select(*keep, look(F.col(content_col)).alias(seen), declared.alias(said))
+    kind = F.col(f"{seen}.true_type")
     return out.select(
         *keep,
-        F.coalesce("_seen.true_type", "_declared").alias("true_type"),
-        F.col("_seen.media").alias("media"),
-        (F.col("_seen.true_type").isNotNull() & ~F.col("_seen.true_type").eqNullSafe(F.col("_declared"))).alias("type_corrected"),
+        F.coalesce(kind, said).alias("true_type"),
+        F.col(f"{seen}.media").alias("media"),
+        (kind.isNotNull() & ~kind.eqNullSafe(F.col(said))).alias("type_corrected"),
     )
 
 
@@ -276,7 +336,8 @@ def encode_text_media(docs: DataFrame, text_col: str = "text", with_media: bool
 
     The payload is the text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64; null is empty (64 zero bytes).
     All figures come from the stored bytes as read back by sniffing. Texts that look like media are carried unchanged; equal
-    texts give equal values; repeated rows stay; columns with the names given here are replaced.
+    texts give equal values; repeated rows stay; columns with the names given here are replaced; an empty table gives an empty
+    result.
     """
     made = [x.split()[0] for x in MEDIA.split(", ")]
     keep = [c for c in docs.columns if c.lower() not in (*made, "media") and c != text_col]
@@ -297,4 +358,5 @@ def encode_text_media(docs: DataFrame, text_col: str = "text", with_media: bool
             ))
         return pd.DataFrame(rows, columns=[*made, *(["media"] if with_media else [])])
 
-    return docs.select(*keep, store(F.col(text_col)).alias("_m")).select(*keep, "_m.*")
+    stored = free_name(docs, "_m")
+    return docs.select(*keep, store(F.col(text_col)).alias(stored)).select(*keep, f"{stored}.*")
