@@ -174,17 +174,18 @@ def mix(
     narrow = materialise(keyed.select(F.col(source_col).alias("source"), F.col(key).alias("key"), F.col(size).alias("size")))
     sources, blocks, bits = _plan(narrow, "source", "key", "size", weights, share, limit, leaves, seed, fills)
     names = {c: free_name(docs, f"mix_{c}") for c in ("name", "src", "passes", "edge_pos", "last_key", "extra", "gap", "starts", "block", "pos", "n")}
+    block_src = free_name(docs, "mix_block_src")
     counts = blocks.groupBy("src").agg(F.count("*").alias("n"))
     sources = sources.join(F.broadcast(counts), "src", "left").select(
         "source_size", "target", *[F.col(c).alias(names[c]) for c in ("name", "src", "passes", "edge_pos", "last_key", "extra", "starts", "n")]
     )
-    blocks = blocks.select(*[F.col(c).alias(names[c]) for c in ("block", "pos")], F.col("src").alias("mix_block_src"))
+    blocks = blocks.select(*[F.col(c).alias(names[c]) for c in ("block", "pos")], F.col("src").alias(block_src))
     block = F.shiftrightunsigned(F.col(key), 64 - bits) if bits else F.lit(0).cast("long")
     c = {k: F.col(v) for k, v in names.items()}
     out = (
         keyed.join(F.broadcast(sources), F.col(source_col).eqNullSafe(c["name"]))
         .withColumn(names["gap"], block)
-        .join(F.broadcast(blocks), (c["src"] == F.col("mix_block_src")) & (F.col(names["gap"]) == c["block"]))
+        .join(F.broadcast(blocks), (c["src"] == F.col(block_src)) & (F.col(names["gap"]) == c["block"]))
     )
     more = (c["pos"] < c["edge_pos"]) | ((c["pos"] == c["edge_pos"]) & (F.col(key) <= c["last_key"])) | F.array_contains(c["extra"], F.col(key))
     copies = c["passes"] + F.when(more, 1).otherwise(0)
