@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import held_out
+from chronogrid.llm.common import free_name, held_out
+from chronogrid.shared import materialise
 
-#: Rows of each of the two training samples.
+#: Rows of each of the two samples for the gradient steps.
 SAMPLE_ROWS = 12_000
 SYMBOLS = "!?.,;:'\"()[]{}<>|/\\#$%&*+-=_@^~`"
 WORD = re.compile(r"\S+")
@@ -42,12 +43,14 @@ def _table() -> np.ndarray:
 
 
 N_CLASS = 6 + len(SYMBOLS)
+#: Features of a text.
+WIDTH = N_CLASS + 22
 
 
 def features(text: str | None) -> np.ndarray:
     """Statistics of the whole text; all zero but the first for an empty one."""
     text = text or ""
-    out = np.zeros(N_CLASS + 22)
+    out = np.zeros(WIDTH)
     n = len(text)
     out[0] = math.log1p(n)
     if not n:
@@ -124,31 +127,36 @@ def _descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 3e-2) -> Model:
-    """positive, unlabelled: feature rows. Without any positive, or any unlabelled row, every score is 0.5."""
-    width = N_CLASS + 22
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(width), np.ones(width), np.zeros(2 * width), 0.0, 0.5)
-    both = np.vstack([positive, unlabelled])
-    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-3, np.zeros(2 * width), 0.0, 0.5)
+def _apart(p: np.ndarray, u: np.ndarray, keep: np.ndarray, l2: float) -> np.ndarray:
+    """Weights that tell positives from unlabelled rows."""
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        return -p.T @ (1 - _sigmoid(p @ w)) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w * keep
+
+    return _descend(gradient, p.shape[1], 200, 0.05)
+
+
+def _estimated_prior(scored: DataFrame) -> float:
+    """scored: (margin, positive) of all training rows. The least share of unlabelled over that of positives among the best
+    scored; few rows make it noisy."""
+    marks = scored.filter("positive").agg(F.percentile_approx("margin", [float(1 - q) for q in np.linspace(0.02, 0.6, 30)], 10_000)).first()[0]
+    above = [F.sum((F.col("margin") >= float(m)).cast("long")) for m in marks]
+    rows = {r["positive"]: r for r in scored.groupBy("positive").agg(F.count("*").alias("n"), F.array(*above).alias("above")).collect()}
+    n = rows[True]["n"] + rows.get(False, {"n": 0})["n"]
+    unlabelled = np.array(rows[True]["above"]) + (np.array(rows[False]["above"]) if False in rows else 0)
+    ratios = (unlabelled / n + math.sqrt(1 / n)) / (np.array(rows[True]["above"]) / rows[True]["n"])
+    return float(np.clip(ratios.min(), 0.05, 0.98))
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, model: Model, prior, l2: float = 3e-2) -> Model:
+    """positive, unlabelled: feature rows, for the gradient steps. model: with the moments of all rows. prior: a function of
+    the weights that tell the two apart."""
     p, u = (np.hstack([model.expand(x), np.ones((len(x), 1))]) for x in (positive, unlabelled))
     keep = np.ones(p.shape[1])
     keep[-1] = 0
-
-    if prior is None:
-        def apart(w: np.ndarray) -> np.ndarray:
-            return -p.T @ (1 - _sigmoid(p @ w)) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w * keep
-
-        w = _descend(apart, p.shape[1], 200, 0.05)
-        sp, su = np.sort(p @ w), np.sort(u @ w)
-        # the share of unlabelled over that of positives among the best scored; few positives make it noisy
-        ratios = []
-        for q in np.linspace(0.02, 0.6, 30):
-            cut = np.quantile(sp, q)
-            a, b = np.mean(su >= cut), np.mean(sp >= cut)
-            ratios.append((a + math.sqrt(1 / len(su))) / b)
-        prior = float(np.clip(min(ratios), 0.05, 0.98))
-    model.prior = prior
+    w = _apart(p, u, keep, l2)
+    model.weights, model.bias = w[:-1], float(w[-1])
+    prior = model.prior = prior(model)
 
     def risk(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
@@ -164,46 +172,73 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
     return model
 
 
-def _feature_rows(docs: DataFrame, text_col: str) -> np.ndarray:
-    @F.pandas_udf("array<double>")
-    def look(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+def _matrix(rows: DataFrame) -> np.ndarray:
+    got = rows.select("x").toPandas()["x"]
+    return np.vstack(list(got)) if len(got) else np.zeros((0, WIDTH))
 
-    got = docs.select(look(F.col(text_col)).alias("x")).toPandas()["x"]
-    return np.vstack(list(got)) if len(got) else np.zeros((0, N_CLASS + 22))
 
+def _margins(model: Model):
+    @F.pandas_udf("double")
+    def look(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.expand(np.vstack(list(rows))) @ model.weights + model.bias if len(rows) else [], dtype=float)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """docs, labels (id, quality): training folds. Two samples of about ``rows`` rows, chosen by a hash of the id."""
-    spark = docs.sparkSession
-    luck = F.xxhash64(F.col(id_col), F.lit(5))
-    ids = labels.filter(F.col("quality") == 1).select(id_col).dropna().distinct().orderBy(luck, id_col).limit(rows).collect()
-    chosen = spark.createDataFrame([(r[0],) for r in ids], f"{id_col} {docs.schema[id_col].dataType.simpleString()}")
-    positive = _feature_rows(docs.join(F.broadcast(chosen), id_col, "left_semi"), text_col)
-    n = docs.count()
-    share = F.pmod(luck, F.lit(1 << 24)) / float(1 << 24)
-    unlabelled = _feature_rows(docs.filter(share < rows / max(n, 1)), text_col)
-    return fit_pu(positive, unlabelled)
+    return look
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted. Null texts count as empty; repeated rows stay; clashing columns are replaced."""
-    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def feature_column(text_col: str) -> Column:
+    """The features of each text, of all of it."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def look(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        return pd.Series(held.value.score(np.vstack([features(t) for t in texts])))
+        return pd.Series([features(t) for t in texts], dtype=object)
+
+    return look(F.col(text_col))
 
-    return docs.select("*", look(F.col(text_col)).alias("_seen")).select(
-        *keep, F.col("_seen").alias("score"), F.when(F.col("_seen") >= 0.5, 1).otherwise(0).alias("predicted")
-    )
 
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """rows (luck long, positive boolean, x array): all training rows.
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit outside the held-out fold, score every row; adds held_out. Null labels and ids teach nothing."""
-    fold = held_out(id_col)
-    model = fit(docs.filter(~fold), labels.filter(~held_out(id_col)), id_col, text_col)
-    return score(docs.drop("held_out").withColumn("held_out", fold), model, text_col)
+    Feature moments and the class prior come from all of them; the gradient steps use two samples of about ``sample_rows``,
+    chosen by luck. Without any positive, or any row, every score is 0.5.
+    """
+    model = Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(2 * WIDTH), 0.0, 0.5)
+    moments = rows.select("positive", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("*").alias("n"), F.count_if("positive").alias("p")).collect()
+    if not moments or not moments[0]["p"]:
+        return model
+    for r in moments:
+        model.mean[r["i"]], model.scale[r["i"]] = r["m"], r["s"] + 1e-3
+    share = F.pmod("luck", F.lit(1 << 24)) / float(1 << 24)
+    n, positives = moments[0]["n"], moments[0]["p"]
+    p = _matrix(rows.filter("positive").filter(share < sample_rows / positives).orderBy("luck", "x"))
+    u = _matrix(rows.filter(share < sample_rows / n).orderBy("luck", "x"))
+    if not len(p) or not len(u):
+        return model
+    return fit_pu(p, u, model, lambda m: _estimated_prior(rows.select("positive", _margins(m)("x").alias("margin"))))
+
+
+def _scored(rows: DataFrame, x: str, model: Model, keep: list[str]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def look(x: pd.Series) -> pd.Series:
+        return pd.Series(held.value.score(np.vstack(list(x))) if len(x) else [], dtype=float)
+
+    seen = free_name(rows, "_seen")
+    return rows.withColumn(seen, look(F.col(x))).select(*keep, F.col(seen).alias("score"), F.when(F.col(seen) >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs without the text, with held_out, score and predicted: fitted outside the held-out fold, every row scored.
+
+    Texts are read once, into a written table of features. labels: (id, quality); null labels and ids teach nothing, and of
+    an id's differing labels 1 counts. Null texts count as empty; equal texts get equal scores; repeated rows stay; an empty
+    table gives an empty result; columns with the names given here are replaced.
+    """
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in ("held_out", "score", "predicted")]
+    x, good, luck = free_name(docs, "_x"), free_name(docs, "_good"), free_name(docs, "_luck")
+    seen = docs.select(*keep, held_out(id_col).alias("held_out"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)).alias(luck), feature_column(text_col).alias(x))
+    seen = materialise(seen)
+    marked = labels.filter((F.col("quality") == 1) & ~held_out(id_col)).select(F.col(id_col).alias(good)).dropna().distinct()
+    train = seen.filter("not held_out").join(marked, F.col(id_col) == F.col(good), "left")
+    train = materialise(train.select(F.col(luck).alias("luck"), F.col(good).isNotNull().alias("positive"), F.col(x).alias("x")))
+    return _scored(seen, x, fit(train, sample_rows), [*keep, "held_out"])
