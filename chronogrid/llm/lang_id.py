@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,9 @@ ORDER = 4
 #: Bytes of the model that tasks hold at once; a larger model is applied in slices, one pass over the texts for each.
 SLICE_BYTES = 64 << 20
 MAX_LANGS = 512
-#: Distinct training texts from which a language has its own limit for rejection.
+#: One text in so many is kept from the counts, to calibrate rejection.
+LEFT_OUT = 10
+#: Distinct texts left out from which a language has its own limit for rejection.
 CALIBRATION_TEXTS = 50
 #: Characters handled at once in a task; longer texts are read in pieces.
 PIECE = 1 << 19
@@ -45,25 +48,35 @@ def _letters() -> np.ndarray:
     return held
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters with one space for each run of anything else, three before and one after; empty if no letter.
-
-    Letters above U+FFFF stand as U+FFFD, so four codes fill a 64-bit hash exactly.
-    """
+def _held(text: str) -> np.ndarray:
+    """A lower-cased letter or a space for each character."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     high = points > 0xFFFF
     held = _letters()[np.minimum(points, 0xFFFF)]
     if high.any():
         held[high] = [0xFFFD if chr(int(p)).isalpha() else 32 for p in points[high]]
+    return held
+
+
+def _codes(text: str) -> np.ndarray:
+    """Lower-cased letters with one space for each run of anything else, three before and one after; empty if no letter.
+
+    Letters above U+FFFF stand as U+FFFD, so four codes fill a 64-bit hash exactly.
+    """
+    held = _held(text)
     letter = held != 32
     if not letter.any():
         return np.zeros(0, dtype=np.uint64)
+    held = _spaced(held, letter, False)
+    return np.concatenate([np.full(3, 32, np.uint64), held, np.full(1 if held[-1] != 32 else 0, 32, np.uint64)])
+
+
+def _spaced(held: np.ndarray, letter: np.ndarray, after_letter: bool) -> np.ndarray:
+    """Letters, and one space where anything else follows a letter."""
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    if not letter[0]:
-        keep[0] = False
-    held = held[keep]
-    return np.concatenate([np.full(3, 32, np.uint64), held, np.full(1 if held[-1] != 32 else 0, 32, np.uint64)])
+    keep[0] |= after_letter
+    return held[keep]
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -74,10 +87,35 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return ((codes[:-3] << s | codes[1:-2]) << s | codes[2:-1]) << s | codes[3:]
 
 
-def _pieces(texts, size: int = PIECE) -> Iterator[tuple[int, str]]:
+def _pieces(text: str, size: int) -> Iterator[str]:
+    """Parts of at most ``size`` characters, cut after the last space of each if there is one in its last half: lower-casing
+    looks at a word's neighbours."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        if end < len(text):
+            space = text.rfind(" ", at + size // 2, end)
+            end = space + 1 if space >= 0 else end
+        yield text[at:end]
+        at = end
+
+
+def _text_grams(texts, size: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, grams) piece by piece; three codes are carried over, so pieces give the grams of the whole."""
     for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), size):
-            yield i, text[at : at + size]
+        if text and len(text) <= size:
+            yield i, _grams(_codes(text))
+            continue
+        last = np.full(3, 32, np.uint64)
+        for piece in _pieces(text or "", size):
+            held = _held(piece)
+            held = _spaced(held, held != 32, bool(last[-1] != 32))
+            if len(held):
+                codes = np.concatenate([last, held])
+                last = codes[-3:]
+                yield i, _grams(codes)
+        if last[-1] != 32:
+            yield i, _grams(np.r_[last, np.uint64(32)])
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,10 +124,10 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, part in pdf.groupby("lang", sort=False):
             held, n = [], 0
             texts = list(part["text"])
-            for k, (_, piece) in enumerate(_pieces(texts)):
-                held.append(_grams(_codes(piece)))
-                n += len(held[-1])
-                if n > 4 * PIECE or k == len(texts) - 1:
+            for _, grams in _text_grams(texts):
+                held.append(grams)
+                n += len(grams)
+                if n > 4 * PIECE:
                     yield _counted(lang, held)
                     held, n = [], 0
             if held:
@@ -154,8 +192,7 @@ class Slice:
                     np.add.at(total, own[first], np.add.reduceat(scores, first, axis=0, dtype=np.float64))
             held, size = [], 0
 
-        for i, piece in _pieces(texts):
-            g = _grams(_codes(piece))
+        for i, g in _text_grams(texts):
             if self.of > 1:
                 g = g[_slice_of(g, self.of) == self.number]
             if len(g):
@@ -272,8 +309,11 @@ def build_model(counts: DataFrame, langs: list[str], slice_bytes: int = SLICE_BY
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", slice_bytes: int = SLICE_BYTES) -> Model:
-    """Models of all rows of train with a language and a text. Rejection is calibrated on all their texts."""
+    """Models of the rows of train with a language and a text; rejection is calibrated on the tenth of the texts, by their
+    hash, that the models do not count. An empty table gives a model without languages; repeated rows count as often."""
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    aside = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(LEFT_OUT)) == 0
+    rows, left_out = rows.filter(~aside), rows.filter(aside)
     counts = materialise(rows.mapInPandas(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
@@ -281,7 +321,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", slice_
     if not langs:
         return Model([])
     model = build_model(counts, langs, slice_bytes)
-    _calibrate(model, rows)
+    _calibrate(model, left_out)
     return model
 
 
@@ -296,17 +336,26 @@ def _summing(held):
 
 def _with_sums(docs: DataFrame, model: Model, text_col: str, sums: str) -> DataFrame:
     """docs with the column ``sums``: struct of log probabilities by language and the characters scored."""
+    context = docs.sparkSession.sparkContext
+    if model.slices == 1:
+        return docs.withColumn(sums, _summing(context.broadcast(model.load(0)))(F.col(text_col)))
+    # the texts are written once; a slice adds a narrow table of a row's number and its sums
+    row = free_name(docs, sums + "_row")
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    parts = []
     for number in range(model.slices):
-        seen = _summing(docs.sparkSession.sparkContext.broadcast(model.load(number)))(F.col(text_col))
-        if number == 0:
-            docs = docs.withColumn(sums, seen)
-        else:
-            docs = docs.withColumn(sums + "_", seen)
-            p, n = F.zip_with(f"{sums}.p", f"{sums}_.p", lambda a, b: a + b), F.col(f"{sums}.n") + F.col(f"{sums}_.n")
-            docs = docs.withColumn(sums, F.struct(p.alias("p"), n.alias("n"))).drop(sums + "_")
-        if model.slices > 1:
-            docs = materialise(docs)
-    return docs
+        held = context.broadcast(model.load(number))
+        seen = _summing(held)(F.col(text_col))
+        parts.append(materialise(docs.select(row, F.lit(number).alias("number"), seen.alias("s")).filter("s.n > 0")))
+        held.destroy()
+    each = F.array_sort(F.collect_list(F.struct("number", "s")))
+    none = F.array_repeat(F.lit(0.0), len(model.langs))
+    added = reduce(DataFrame.unionAll, parts).groupBy(row).agg(each.alias("each"))
+    p = F.aggregate("each", none, lambda a, x: F.zip_with(a, x["s"]["p"], lambda b, c: b + c))
+    n = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x["s"]["n"])
+    added = added.select(row, F.struct(p.alias("p"), n.alias("n")).alias(sums))
+    empty = F.struct(none.alias("p"), F.lit(0).cast("long").alias("n"))
+    return docs.join(added, row, "left").withColumn(sums, F.coalesce(sums, empty)).drop(row)
 
 
 def _entropies(sums: str) -> Column:
@@ -314,7 +363,7 @@ def _entropies(sums: str) -> Column:
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """For each language the cross-entropy that 99.5 % of its distinct training texts of 64 characters or more stay under,
+    """For each language the cross-entropy that 99.5 % of its distinct texts of 64 characters or more left out stay under,
     plus a margin; with fewer than CALIBRATION_TEXTS of them the greatest of the others."""
     seen = _with_sums(rows, model, "text", "s").filter("s.n >= 64")
     low = seen.select("lang", F.xxhash64("text").alias("h"), F.array_min(_entropies("s")).alias("e")).dropDuplicates(["lang", "h"])
@@ -328,7 +377,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected, from the text alone.
 
     A null text or one without a letter is ``und`` with score 0, null cross-entropy, rejected. Without a model (no training
-    row) every text is. Repeated rows stay; columns with the names given here are replaced.
+    row) every text is. Equal cross-entropies give the language that is first by name; long texts are read in pieces without a
+    change of result; an empty table gives an empty one. Repeated rows stay; columns with the names given here are replaced.
     """
     made = ("lang_pred", "score", "cross_entropy", "rejected")
     keep = [c for c in docs.columns if c.lower() not in made]
