@@ -1,32 +1,38 @@
 """Main text of HTML pages by consensus host paths.
 
 Every page scores its containers by the running text they hold. A container's path is the tags and classes from the root,
-with digits taken out, so that pages of one template share paths. Spark sums the score shares by host and path; each page
-is then read again at the best path of its host that holds nearly all of the page's own best text and is not mostly other
-text. A page without any falls back on its own best container, or the one up from it that holds all running text beside it.
+with digits taken out, so that pages of one template share paths. Spark sums the score shares by host and path, and counts
+the pages whose own best container lies at it. Paths that a twentieth of a host's pages (two at least) elect win. Each page is
+then read again: at its own best path if that won, so that a host may have several templates; else at the winning path of
+most votes that holds a good part as much text as the page's own best, however the page's own choice came about (a long
+comment box, a list of offers); else, where its host has elected nothing that the page has, at its own best path.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import free_name
 from chronogrid.shared import materialise
 
-#: Paths that a host's vote keeps, best first.
-PATHS_PER_HOST = 6
+#: Share of a host's pages, and pages, whose own best a path must be to win; at most 1 / ELECTED paths can.
+ELECTED, ELECTED_PAGES = 0.05, 2
 #: Bytes of the vote table up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
-#: Share of a page's own best text that a host's path must hold, and share of the path's text that must be it.
-COVERED, OWN_SHARE = 0.9, 0.5
+#: Text of a winning path, as a share of the text of the page's own best path, from which consensus goes before it.
+ENOUGH = 0.3
+#: Characters from which a path, or a tag with its classes, is held as a hash.
+LONG_PATH, LONG_LABEL = 1024, 256
 #: Characters outside links from which a block is running text.
 RUNNING = 80
 
@@ -55,6 +61,8 @@ MARKS = frozenset(
     "tracking widget".split()
 )
 HEAD_MARKS = frozenset(["header", "pageheader", "siteheader"])
+#: Last words of a class that name the article itself, whatever stands before them.
+ARTICLE_HEADS = frozenset("article body content entry main post story text".split())
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
@@ -70,6 +78,25 @@ class Node:
     path: str = ""
     score: float = 0.0
     order: int = 0
+    #: the nearest of its like from here up: block, container, article or main element
+    block: Node | None = None
+    container: Node | None = None
+    article: Node | None = None
+
+
+def shortened(text: str, limit: int) -> str:
+    """The text, or its 128-bit digest where it is longer: paths of deeply nested pages stay short."""
+    return text if len(text) <= limit else "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def marked(value: str) -> set[str]:
+    """The words of a class, id or role, token by token; a token whose last word names the article has none."""
+    found: set[str] = set()
+    for token in value.split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        if words and not (len(words) > 1 and words[-1] in ARTICLE_HEADS):
+            found |= {*words, token.lower()}
+    return found
 
 
 @dataclass
@@ -84,6 +111,8 @@ class Page(HTMLParser):
     def __post_init__(self) -> None:
         HTMLParser.__init__(self, convert_charrefs=True)
         self.at = Node("html", None, "html", path="html")
+        self.at.block = self.at.container = self.at
+        self.open: Counter[str] = Counter()
         self.nodes.append(self.at)
         self.text: list[str] = []
         self.linked = 0
@@ -95,11 +124,6 @@ class Page(HTMLParser):
     def __hash__(self) -> int:
         return id(self)
 
-    def _block_of(self, node: Node) -> Node:
-        while node.tag not in BLOCK and node.parent:
-            node = node.parent
-        return node
-
     def _end_block(self) -> None:
         joined = " ".join("".join(self.text).split())
         if joined and self.holder is not None:
@@ -112,16 +136,20 @@ class Page(HTMLParser):
         block = False
         while at is not node:
             block |= at.tag in BLOCK
+            self.open[at.tag] -= 1
             at = at.parent
+        self.open[node.tag] -= node.parent is not None
         if block or node.tag in BLOCK:
             self._end_block()
         self.at = node.parent or node
 
     def _close_open(self, tags, holders) -> None:
+        left = sum(self.open[t] for t in tags)
         at, last = self.at, None
-        while at.parent and at.tag not in holders:
+        while left > 0 and at.parent and at.tag not in holders:
             if at.tag in tags:
                 last = at
+                left -= 1
             at = at.parent
         if last is not None:
             self._pop_to(last)
@@ -148,14 +176,17 @@ class Page(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         up = self.at
         within = up.within or tag in ("article", "main")
-        marks = {w.lower() for v in (held.get("class", ""), held.get("id", ""), held.get("role", "")) for w in WORDS.findall(v)}
-        marks |= {w.lower() for v in (held.get("class", ""), held.get("id", "")) for w in v.split()}
+        marks = {w for k in ("class", "id", "role") for w in marked(held.get(k, ""))}
         skip = up.skipped or tag in SKIPPED or hidden or "display:none" in held.get("style", "").replace(" ", "").lower()
         if tag not in ("body", "article", "main"):
             skip = skip or bool(marks & MARKS) or not within and (tag == "header" or bool(marks & HEAD_MARKS))
         classes = sorted({DIGITS.sub("", c) for c in held.get("class", "").lower().split()} - {""})
-        label = ".".join([tag, *classes])
-        node = Node(tag, up, label, skip, within, up.link or tag == "a", f"{up.path}/{label}", order=len(self.nodes))
+        label = shortened(".".join([tag, *classes]), LONG_LABEL)
+        node = Node(tag, up, label, skip, within, up.link or tag == "a", f"{shortened(up.path, LONG_PATH)}/{label}", order=len(self.nodes))
+        node.block = node if tag in BLOCK else up.block
+        node.container = node if tag in CONTAINER else up.container
+        node.article = node if tag in ("article", "main") else up.article
+        self.open[tag] += 1
         self.nodes.append(node)
         self.at = node
 
@@ -176,6 +207,8 @@ class Page(HTMLParser):
             self._pop_to(node)
 
     def _open(self, tag: str) -> Node | None:
+        if self.open[tag] <= 0:
+            return None
         at = self.at
         while at.parent:
             if at.tag == tag:
@@ -189,106 +222,94 @@ class Page(HTMLParser):
         if self.at.skipped:
             return
         if self.holder is None and data.strip():
-            self.holder = self._block_of(self.at)
+            self.holder = self.at.block
         self.text.append(data)
         if self.at.link:
             self.linked += len(data.strip())
 
     # ---- containers
 
-    def _container(self, node: Node) -> Node:
-        while node.tag not in CONTAINER and node.parent:
-            node = node.parent
-        return node
-
     def scored(self) -> list[Node]:
         """Containers with a score, best first: a block counts for its container, half for the next one up, and so on. An
         article element stands for what is in it."""
         for node, text, linked in self.blocks:
             points = max(0.0, len(text) - 2.0 * linked) or 0.01
-            at: Node | None = self._container(node)
+            at: Node | None = node.container
             while at is not None and points >= 0.005:
                 at.score += points
                 points /= 2
-                at = self._container(at.parent) if at.parent else None
+                at = at.parent.container if at.parent else None
         best = [n for n in self.nodes if n.score > 0]
         best.sort(key=lambda n: (-n.score, n.order))
         return best
 
     def path_of(self, node: Node) -> str:
-        at: Node | None = node
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        return (at or node).path
+        return (node.article or node).path
 
     def climbed(self, node: Node) -> Node:
         """The container up from node, as far as running text beside it goes; an article element is not left."""
+        running = [0] * len(self.nodes)  # blocks of running text within each node; parents stand before their children
+        for at, text, linked in self.blocks:
+            running[at.order] += len(text) - 2 * linked >= RUNNING
+        for at in reversed(self.nodes):
+            if at.parent:
+                running[at.parent.order] += running[at.order]
         found = up = node
-        held = self._running(node)
         while up.parent and up.tag not in ("article", "main", "body"):
-            up = self._container(up.parent)
-            here = self._running(up)
-            if here > held:
-                found, held = up, here
+            up = up.parent.container
+            if running[up.order] > running[found.order]:
+                found = up
         return found
 
-    def _running(self, node: Node) -> int:
-        """The blocks of running text in a node."""
-        n = 0
-        for at, text, linked in self.blocks:
-            if len(text) - 2 * linked >= RUNNING:
-                while at is not None and at is not node:
-                    at = at.parent
-                n += at is not None
-        return n
-
     def blocks_at(self, path: str) -> list[int]:
         """The numbers of the blocks within a path."""
-        out, inside = [], {}
-        for i, (node, _, _) in enumerate(self.blocks):
-            key = id(node)
-            if key not in inside:
-                at: Node | None = node
-                while at is not None and at.path != path:
-                    at = at.parent
-                inside[key] = at is not None
-            if inside[key]:
-                out.append(i)
-        return out
-
-
-def path_votes(html: str | None) -> list[tuple[str, float]]:
-    """(path, share of the page's score) of every container path of one page."""
+        inside = []
+        for node in self.nodes:
+            inside.append(node.path == path or node.parent is not None and inside[node.parent.order])
+        return [i for i, (node, _, _) in enumerate(self.blocks) if inside[node.order]]
+
+    def own_path(self) -> str | None:
+        """The path of the page's own best container."""
+        best = self.scored()
+        return self.path_of(self.climbed(best[0])) if best else None
+
+
+def path_votes(html: str | None) -> list[tuple[str, float, int]]:
+    """(path, share of the page's score, 1 if it is the page's own best) of every container path of one page."""
     if not html:
         return []
     page = Page(html)
     best = page.scored()
+    if not best:
+        return []
     total = sum(n.score for n in best)
     shares: dict[str, float] = {}
     for n in best:
         path = page.path_of(n)
         shares[path] = shares.get(path, 0.0) + n.score / total
-    return list(shares.items())
+    own = page.path_of(page.climbed(best[0]))
+    shares.setdefault(own, 0.0)
+    return [(path, share, int(path == own)) for path, share in shares.items()]
 
 
 def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None]:
-    """(text, path read): at the first of paths that holds nearly all of what the page's own best path holds, else there."""
+    """(text, path read). paths: the host's winning paths, best first."""
     if not html:
         return "", None
     page = Page(html)
-    best = page.scored()
-    if not best:
+    own = page.own_path()
+    if own is None:
         return "", None
-    own = page.path_of(page.climbed(best[0]))
-    wanted = page.blocks_at(own)
-    size = [len(text) for _, text, _ in page.blocks]
-    total = sum(size[i] for i in wanted)
-    for path in paths or ():
-        found = wanted if path == own else page.blocks_at(path)
-        common = sum(size[i] for i in set(found) & set(wanted))
-        if found and common >= COVERED * total and common >= OWN_SHARE * sum(size[i] for i in found):
-            return " ".join(page.blocks[i][1] for i in found), path
-    return " ".join(page.blocks[i][1] for i in wanted), own
+    chosen = page.blocks_at(own)
+    if paths and own not in paths:
+        size = [len(text) for _, text, _ in page.blocks]
+        least = ENOUGH * sum(size[i] for i in chosen)
+        for path in paths:
+            found = page.blocks_at(path)
+            if found and sum(size[i] for i in found) >= least:
+                own, chosen = path, found
+                break
+    return " ".join(page.blocks[i][1] for i in chosen), own
 
 
 def host_of(url) -> F.Column:
@@ -296,19 +317,21 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_replace(host, r":\d+$", ""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: int = PATHS_PER_HOST) -> DataFrame:
-    """(host, paths): the container paths of each host by votes, best first. Votes are added up before they are shuffled, so
-    a host with a third of all pages costs no more than its paths."""
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", elected: float = ELECTED) -> DataFrame:
+    """(host, paths): the winning container paths of each host by votes, best first. Votes are added up before they are
+    shuffled, so a host with a third of all pages costs no more than its paths."""
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(h, p, round(s * 1e6)) for h, html in zip(pdf["host"], pdf["html"], strict=True) for p, s in path_votes(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "vote"]).astype({"vote": "int64"})
+            rows = [(h, p, round(s * 1e6), own) for h, html in zip(pdf["host"], pdf["html"], strict=True) for p, s, own in path_votes(html)]
+            yield pd.DataFrame(rows, columns=["host", "path", "vote", "own"]).astype({"vote": "int64", "own": "int64"})
 
-    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(votes, "host string, path string, vote long")
-    total = cast.groupBy("host", "path").agg(F.sum("vote").alias("vote"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("vote"), "path"))).filter(F.col("rank") <= keep)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(votes, "host string, path string, vote long, own long")
+    total = materialise(cast.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.sum("own").alias("own")))
+    size = total.groupBy("host").agg(F.sum("own").alias("pages"))
+    enough = F.greatest(F.lit(float(ELECTED_PAGES)), F.col("pages") * elected)
+    won = total.filter(F.col("own") >= ELECTED_PAGES).join(size, "host").filter(F.col("own") >= enough)
+    return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("vote")).alias("v"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -335,5 +358,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def read(htmls: pd.Series, ranked: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract(h, None if p is None else list(p)) for h, p in zip(htmls, ranked, strict=True)], columns=["text", "path"])
 
-    out = joined.select("*", read(F.col(html_col), F.col(paths)).alias("_seen"))
-    return out.select(*keep, F.col("_seen.text").alias("text"), F.char_length("_seen.text").cast("long").alias("n_chars"), F.col("_seen.path").alias("path"))
+    seen = free_name(pages, "extract_seen")
+    out = joined.select(*keep, read(F.col(html_col), F.col(paths)).alias(seen))
+    text = F.col(f"{seen}.text")
+    return out.select(*keep, text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.col(f"{seen}.path").alias("path"))

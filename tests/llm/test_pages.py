@@ -31,3 +31,43 @@ def test_mixed_templates_and_split_articles(spark):
             assert want[r["page_id"]] in r["text"]
         else:
             assert r["text"] == want[r["page_id"]]
+
+
+def test_consensus_of_the_host_decides(spark):
+    """Pages without an article element, some with a longer box of another kind: the host's template wins there."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(80):
+        text, other = prose(rng, 100), prose(rng, 220)
+        more = f'<div class="offers"><p>{other}</p></div>' if i % 40 == 0 else '<div class="offers">See more</div>'
+        rows.append((i, "http://plain.example/a", f'<body><div class="wrap"><div class="story-text"><p>{text}</p></div></div>{more}</body>'))
+        want[i] = text
+    # the same box is the article of a host on which all pages have it
+    for i in range(100, 120):
+        text = prose(rng, 150)
+        rows.append((i, "http://offers.example/a", f'<body><div class="offers"><p>{text}</p></div></body>'))
+        want[i] = text
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_compound_classes_and_all_articles(spark):
+    rng = random.Random(3)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [
+        (1, "http://x.example/", f'<div class="form-guide-article">{a}</div><div class="site-nav">{b}</div><div class="post-comments"><p>{c}</p></div>'),
+        (2, "http://y.example/", f"<main><article>{a}</article><article>{b}</article><aside>{c}</aside></main>"),
+        (3, "http://z.example/", f"<p>{a}</p>" + "<div>" * 20_000 + "end" + "</div>" * 20_000),
+    ]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == a and got[2] == f"{a} {b}" and got[3].startswith(a)
+
+
+def test_odd_pages_and_clashing_names(spark):
+    html = "<title>t</title><p>a &amp; b\n c</p><script>x</script>"
+    rows = [(1, None, html), (2, "", None), (3, "http://h/", ""), (4, "http://h/", "<"), (5, "no url", html), (5, "no url", html), (None, "http://H:80/x", "plain text")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS _seen", "2 AS extract_host", "3 AS text", "4 AS path", "5 AS extract_seen", "6 AS host")
+    got = extract_pages(df).toPandas()
+    assert sorted(got.text) == ["", "", "", "a & b c", "a & b c", "a & b c", "plain text"] or sorted(got.text) == ["", "", "<", "a & b c", "a & b c", "a & b c", "plain text"]
+    assert (got.n_chars == got.text.map(len)).all() and {"_seen", "extract_host", "extract_seen", "host"} <= set(got.columns)
+    assert extract_pages(df.limit(0)).count() == 0
