@@ -20,18 +20,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the shortest item that can leak.
+#: Items of fewer words leak only as a whole: all their words, in a row.
 N = 4
 #: Items up to so many words have pairs of words as seeds, longer ones threes.
 SHORT = 10
 #: Places of a seed's words in a document, by the number of words.
-PATTERNS = {2: ((0, 1), (0, 2)), 3: ((0, 1, 2), (0, 1, 3), (0, 2, 3))}
+PATTERNS = {1: ((0,),), 2: ((0, 1), (0, 2)), 3: ((0, 1, 2), (0, 1, 3), (0, 2, 3))}
 #: Share of an item's own alignment score from which a passage is a leak.
 THRESHOLD = 0.6
 #: Words of the test items that one block holds in memory.
 BLOCK_WORDS = 2_000_000
 MATCH, MISS, GAP = 2, -1, -1
-TOKEN = re.compile(r"\w+")
+#: fixed values: scripts written without spaces (kana, Han, Thai, Lao, Khmer, Myanmar); each character is a word
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 LEAK = "array<struct<item_id:long,score:long,similarity:double,start_word:long,end_word:long,seeds:long>>"
 
 
@@ -95,10 +97,11 @@ def load_items(rows: list[tuple[int, str]]) -> Items:
     kinds: set[int] = set()
     for item_id, text in rows:
         codes = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
-        if len(codes) < N:
+        if not len(codes):
             continue
-        kinds.add(2 if len(codes) <= SHORT else 3)
-        h, _ = gram_hashes(codes, PATTERNS[2 if len(codes) <= SHORT else 3][0])
+        kind = 1 if len(codes) < N else 2 if len(codes) <= SHORT else 3
+        kinds.add(kind)
+        h, _ = gram_hashes(codes, PATTERNS[kind][0])
         hashes.append(h)
         item.append(np.full(len(h), len(ids)))
         place.append(np.arange(len(h)))
@@ -150,6 +153,11 @@ def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD) -> li
     i = 0
     while i < len(item):
         k, words = item[i], items.words[item[i]]
+        if len(words) < N:  # matched whole
+            if 0 <= begin[i] <= len(codes) - len(words) and k not in out and np.array_equal(codes[begin[i] : begin[i] + len(words)], words):
+                out[k] = (int(items.ids[k]), MATCH * len(words), 1.0, int(begin[i]), int(begin[i]) + len(words), len(words))
+            i += 1
+            continue
         # so many words may be skipped in all between two seeds of one passage
         slack = max(4, math.ceil(2 * (1 - threshold) * len(words)))
         j = i + 1
@@ -200,8 +208,9 @@ def leak_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, item_id, score, similarity, start_word, end_word, seeds): a row for each document and item it leaks, with the
-    best passage. Null texts, null items and items of fewer than N words have no leak; a repeated row gives repeated leaks;
-    an empty table or benchmark gives an empty result."""
+    best passage (of equal ones the first). Null texts and items without a word have no leak; items of fewer than N words leak
+    only whole. A repeated row gives repeated leaks; long texts are searched whole; an empty table or benchmark gives an empty
+    result; an id column that is named like a column of the result is an error."""
     out = docs.select(id_col, leak_column(docs, benchmark, text_col, **options).alias("_leaks"))
     return out.select(id_col, F.explode("_leaks").alias("_leak")).select(id_col, "_leak.*")
 

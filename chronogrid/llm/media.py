@@ -229,6 +229,8 @@ def _ogg(b: bytes, at: int) -> int:
         if crc != int.from_bytes(b[i + 22 : i + 26], "little"):
             return 0
         stream, begun = b[i + 14 : i + 18], True
+        if stream not in live and not b[i + 5] & 2:
+            return 0
         live.add(stream)
         if b[i + 5] & 4:
             live.discard(stream)

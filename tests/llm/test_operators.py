@@ -396,3 +396,117 @@ def test_language_of_texts_over_a_piece(spark):
         parts = [g for _, g in _text_grams([t])]
         assert np.array_equal(np.concatenate(parts) if parts else np.zeros(0, np.uint64), _grams(_codes(t)))
     assert [i for i, _ in _text_grams([None, "", "a"])] == [2]
+
+
+def _with_crc(b, table, bits):
+    crc = 0
+    for x in b:
+        crc = (crc << 8 & (1 << bits) - 1) ^ table[crc >> bits - 8 ^ x]
+    return crc
+
+
+def planted_media():
+    """One valid medium for each validator, and the bytes after which a validator that is too short would stop."""
+    import io
+    import struct
+    import zipfile
+
+    from chronogrid.llm.media import FLAC_CRC, OGG_CRC, to_wav
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00" + b"\x3b"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + bytes(9) + b"\xff\xda" + struct.pack(">H", 8) + bytes(6) + b"ab\xff\x00cd\xff\xd0ef" + b"\xff\xd9"
+    webp = b"RIFF" + struct.pack("<I", 4 + 8 + 10) + b"WEBPVP8 " + struct.pack("<I", 10) + bytes(10)
+    bmp = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + struct.pack("<iiHHIIiiII", 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    body = b"%PDF-1.4\n1 0 obj <<>> endobj\n"
+    pdf = body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+    pdf += b"2 0 obj <<>> endobj\nxref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % (len(pdf) + 20)
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a.txt", "hello")
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("inner.zip", inner.getvalue())
+        z.comment = b"note"
+    frames = b""
+    for k in range(3):
+        frame = b"\xff\xf8\xc9\x18" + bytes([k]) + b"frame data %d" % k
+        frames += frame + struct.pack(">H", _with_crc(frame, FLAC_CRC, 16))
+    flac = b"fLaC" + b"\x80\0\0\x22" + bytes(34) + frames
+
+    def page(flags, serial, number, data):
+        head = b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<II", serial, number)
+        tail = b"\x01" + bytes([len(data)]) + data
+        return head + struct.pack("<I", _with_crc(head + bytes(4) + tail, OGG_CRC, 32)) + tail
+
+    ogg = page(2, 1, 0, b"one") + page(2, 2, 0, b"two") + page(4, 1, 1, b"end one") + page(4, 2, 1, b"end two")
+    return {
+        "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "image/webp": webp, "image/bmp": bmp, "application/pdf": pdf,
+        "application/zip": outer.getvalue(), "audio/flac": flac, "audio/ogg": ogg, "audio/wav": to_wav(b"samples!"),
+    }
+
+
+def test_sniffing_corrects_and_carves(spark):
+    from chronogrid.llm.media import sniff_media
+
+    media = planted_media()
+    rows = [(i, b, k if i % 2 else "text/plain") for i, (k, b) in enumerate(media.items())]
+    joined, places = b"junk PK\x03\x04 BM ", []
+    for kind, b in media.items():
+        places.append((len(joined), len(b), kind))
+        joined += b + b" between "
+    rows += [(100, joined, "text/plain"), (101, None, None), (102, b"", "text/plain"), (103, media["image/png"][:-1], "image/png"), (104, media["audio/ogg"].replace(b"one", b"onf", 1), "x")]
+    df = spark.createDataFrame(rows, "id long, content binary, kind string").selectExpr("*", "1 AS _seen", "2 AS _declared", "3 AS media")
+    got = {r["id"]: r for r in sniff_media(df, declared_col="kind").collect()}
+    for i, kind in enumerate(media):
+        assert (got[i]["true_type"], got[i]["media"], got[i]["type_corrected"]) == (kind, [], i % 2 == 0)
+    assert [(m["at"], m["length"], m["type"]) for m in got[100]["media"]] == places
+    assert all(m["sha256"] == hashlib.sha256(joined[m["at"] : m["at"] + m["length"]]).hexdigest() for m in got[100]["media"])
+    assert got[100]["true_type"] == "text/plain" and got[101]["true_type"] is None and got[102]["media"] == []
+    assert got[103]["true_type"] == "image/png" and not got[103]["type_corrected"] and got[104]["media"] == []
+    assert sniff_media(df.limit(0)).count() == 0
+
+
+def test_short_items_and_unspaced_scripts_leak(spark):
+    from chronogrid.llm.decontaminate import find_leaks
+
+    han = "昨日の夜私たちは古い町を長い間散歩して広場の小さな喫茶店でお茶を飲みました"
+    bench = spark.createDataFrame([(1, "two words"), (2, han), (3, "?!"), (4, None)], "item_id long, text string")
+    rows = [(10, "here are two words, whole"), (11, "words two"), (12, "前の文。" + han + "。次の文"), (13, "前の文。次の文"), (14, None)]
+    got = find_leaks(documents(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10, 1), (12, 2)]
+
+
+def test_leaks_agree_with_alignment_of_everything(spark, docs):
+    from chronogrid.llm.decontaminate import MATCH, THRESHOLD, align, find_leaks, load_items
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+    items = load_items(list(zip(bench.item_id, bench.text, strict=True)))
+    part = docs[:120]
+    want = set()
+    for i, t in zip(part.doc_id, part.text, strict=True):
+        codes = items.codes(t)
+        want |= {(i, item) for item, words in zip(items.ids, items.words, strict=True) if align(words, codes)[0] >= THRESHOLD * MATCH * len(words)}
+    got = find_leaks(spark.createDataFrame(part[["doc_id", "text"]]), spark.createDataFrame(bench)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_clashing_names_in_every_operator(spark):
+    from chronogrid.llm.lang_id import identify
+    from chronogrid.llm.media import encode_text_media
+    from chronogrid.llm.mixing import mix, mixed_documents
+    from chronogrid.llm.near_copies import keep_one_of_copies
+    from chronogrid.llm.quality import classify
+    from chronogrid.llm.sharding import shard_by_bytes
+    from chronogrid.llm.simhash import simhash_components
+    from chronogrid.llm.url_filter import judge_urls
+
+    names = "_seen _m _k _at _x _good _luck _declared _sums _sumse mix_block_src mix_key mix_size name src key block pos size bits h d node uid id id2 h2 n rank slot best a b u v hot open".split()
+    df = documents(spark).selectExpr("*", *[f"1 AS {n}" for n in names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    outs = [identify(df), encode_text_media(df), mix(df), classify(df, labels), shard_by_bytes(df), simhash_components(df), judge_urls(df.withColumnRenamed("source", "url"), spark.createDataFrame([("h", "/", "block")], "host string, path string, verdict string"))]
+    assert [out.count() for out in outs] == [len(ODD)] * len(outs)
+    assert mixed_documents(df).columns == df.columns and keep_one_of_copies(df).columns == df.columns
+    assert keep_one_of_copies(df.limit(0)).count() == mixed_documents(df.limit(0)).count() == 0
