@@ -3,7 +3,7 @@
 Every page scores its containers by the running text they hold. A container's path is the tags and classes from the root,
 with digits taken out, so that pages of one template share paths. Spark sums the score shares by host and path, and counts
 the pages whose own best container lies at it. Paths that a twentieth of a host's pages (two at least) elect win. Each page is
-then read again: at its own best path if that won, so that a host may have several templates; else at the winning path of
+then read at its own best path if that won, so that a host may have several templates; else at the winning path of
 most votes that holds a good part as much text as the page's own best, however the page's own choice came about (a long
 comment box, a list of offers); else, where its host has elected nothing that the page has, at its own best path.
 """
@@ -13,12 +13,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import free_name
@@ -89,14 +89,15 @@ def shortened(text: str, limit: int) -> str:
     return text if len(text) <= limit else "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def marked(value: str) -> set[str]:
+@lru_cache(1 << 14)
+def marked(value: str) -> frozenset[str]:
     """The words of a class, id or role, token by token; a token whose last word names the article has none."""
     found: set[str] = set()
     for token in value.split():
         words = [w.lower() for w in WORDS.findall(token)]
         if words and not (len(words) > 1 and words[-1] in ARTICLE_HEADS):
             found |= {*words, token.lower()}
-    return found
+    return frozenset(found)
 
 
 @dataclass
@@ -154,6 +155,10 @@ class Page(HTMLParser):
         if last is not None:
             self._pop_to(last)
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not needed."""
+        return j
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br":
             self.text.append("\n")
@@ -176,7 +181,7 @@ class Page(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         up = self.at
         within = up.within or tag in ("article", "main")
-        marks = {w for k in ("class", "id", "role") for w in marked(held.get(k, ""))}
+        marks = frozenset().union(*(marked(held[k]) for k in ("class", "id", "role") if k in held))
         skip = up.skipped or tag in SKIPPED or hidden or "display:none" in held.get("style", "").replace(" ", "").lower()
         if tag not in ("body", "article", "main"):
             skip = skip or bool(marks & MARKS) or not within and (tag == "header" or bool(marks & HEAD_MARKS))
@@ -261,73 +266,73 @@ class Page(HTMLParser):
                 found = up
         return found
 
-    def blocks_at(self, path: str) -> list[int]:
-        """The numbers of the blocks within a path."""
-        inside = []
+    def texts_at(self, least: float) -> dict[str, list[tuple[int, int]]]:
+        """Ranges of the blocks within each container path that holds at least so many characters; the blocks of a container
+        stand in a row, and containers of one path are not nested."""
+        n = len(self.nodes)
+        size, first, end = [0] * n, [len(self.blocks)] * n, [0] * n
+        for i, (node, text, _) in enumerate(self.blocks):
+            k = node.order
+            size[k] += len(text)
+            first[k], end[k] = min(first[k], i), i + 1
+        for node in reversed(self.nodes):
+            k = node.order
+            if node.parent and end[k]:
+                up = node.parent.order
+                size[up] += size[k]
+                first[up], end[up] = min(first[up], first[k]), max(end[up], end[k])
+        total: Counter[str] = Counter()
+        places: dict[str, list[tuple[int, int]]] = {}
         for node in self.nodes:
-            inside.append(node.path == path or node.parent is not None and inside[node.parent.order])
-        return [i for i, (node, _, _) in enumerate(self.blocks) if inside[node.order]]
-
-    def own_path(self) -> str | None:
-        """The path of the page's own best container."""
-        best = self.scored()
-        return self.path_of(self.climbed(best[0])) if best else None
+            if end[node.order] and node.container is node:
+                total[node.path] += size[node.order]
+                places.setdefault(node.path, []).append((first[node.order], end[node.order]))
+        return {path: x for path, x in places.items() if total[path] >= least}
 
 
-def path_votes(html: str | None) -> list[tuple[str, float, int]]:
-    """(path, share of the page's score, 1 if it is the page's own best) of every container path of one page."""
-    if not html:
-        return []
-    page = Page(html)
-    best = page.scored()
+def parse(html: str | None) -> tuple[str | None, list[str], list[tuple[str, int]], list[tuple[str, list[tuple[int, int]]]]]:
+    """(own best path, blocks, votes: (path, millionths of the page's score), (path, block ranges) of the paths that hold
+    enough beside the own best one)."""
+    page = Page(html) if html else None
+    best = page.scored() if page else []
     if not best:
-        return []
+        return None, [], [], []
+    own = page.path_of(page.climbed(best[0]))
     total = sum(n.score for n in best)
-    shares: dict[str, float] = {}
+    votes: dict[str, float] = {own: 0.0}
     for n in best:
         path = page.path_of(n)
-        shares[path] = shares.get(path, 0.0) + n.score / total
-    own = page.path_of(page.climbed(best[0]))
-    shares.setdefault(own, 0.0)
-    return [(path, share, int(path == own)) for path, share in shares.items()]
-
-
-def extract(html: str | None, paths: list[str] | None = None) -> tuple[str, str | None]:
-    """(text, path read). paths: the host's winning paths, best first."""
-    if not html:
-        return "", None
-    page = Page(html)
-    own = page.own_path()
-    if own is None:
-        return "", None
-    chosen = page.blocks_at(own)
-    if paths and own not in paths:
-        size = [len(text) for _, text, _ in page.blocks]
-        least = ENOUGH * sum(size[i] for i in chosen)
-        for path in paths:
-            found = page.blocks_at(path)
-            if found and sum(size[i] for i in found) >= least:
-                own, chosen = path, found
-                break
-    return " ".join(page.blocks[i][1] for i in chosen), own
-
-
-def host_of(url) -> F.Column:
+        votes[path] = votes.get(path, 0.0) + n.score / total
+    places = page.texts_at(0)
+    held = sum(len(page.blocks[i][1]) for a, b in places[own] for i in range(a, b))
+    enough = page.texts_at(ENOUGH * held)
+    return own, [text for _, text, _ in page.blocks], [(p, round(v * 1e6)) for p, v in votes.items()], list(enough.items())
+
+
+def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     return F.lower(F.regexp_replace(host, r":\d+$", ""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", elected: float = ELECTED) -> DataFrame:
-    """(host, paths): the winning container paths of each host by votes, best first. Votes are added up before they are
-    shuffled, so a host with a third of all pages costs no more than its paths."""
+PARSED = "own string, blocks array<string>, votes array<struct<path:string,vote:long>>, places array<struct<path:string,ranges:array<struct<a:int,b:int>>>>"
 
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(h, p, round(s * 1e6), own) for h, html in zip(pdf["host"], pdf["html"], strict=True) for p, s, own in path_votes(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "vote", "own"]).astype({"vote": "int64", "own": "int64"})
 
-    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(votes, "host string, path string, vote long, own long")
-    total = materialise(cast.groupBy("host", "path").agg(F.sum("vote").alias("vote"), F.sum("own").alias("own")))
+def parsed_pages(html: Column) -> Column:
+    """Each page's blocks, votes and places of its container paths."""
+
+    @F.pandas_udf("struct<" + ",".join(":".join(x.split(" ", 1)) for x in PARSED.split(", ")) + ">")
+    def look(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(h) for h in htmls], columns=[x.split()[0] for x in PARSED.split(", ")])
+
+    return look(html)
+
+
+def host_paths(parsed: DataFrame, host: str, page: str, elected: float = ELECTED) -> DataFrame:
+    """(host, paths): the winning container paths of each host by votes, best first. Votes are added up before they are
+    shuffled, so a host with a third of all pages costs no more than its paths."""
+    cast = parsed.select(F.col(host).alias("host"), F.col(f"{page}.own").alias("own"), F.explode(f"{page}.votes").alias("v"))
+    total = cast.groupBy("host", F.col("v.path").alias("path")).agg(F.sum("v.vote").alias("vote"), F.count_if(F.col("v.path") == F.col("own")).alias("own"))
+    total = materialise(total)
     size = total.groupBy("host").agg(F.sum("own").alias("pages"))
     enough = F.greatest(F.lit(float(ELECTED_PAGES)), F.col("pages") * elected)
     won = total.filter(F.col("own") >= ELECTED_PAGES).join(size, "host").filter(F.col("own") >= enough)
@@ -337,28 +342,29 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", e
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages without the html, with text, n_chars and path.
 
-    Character references are decoded; white space in a block is one space; blocks are joined in page order by one space. Null
-    or empty html has an empty text and a null path; a null url has the empty host and votes with its like; repeated rows
-    stay; an empty table gives an empty result; columns with the names given here are replaced.
+    Each page is parsed once, into a written table of its blocks. Character references are decoded; white space in a block is
+    one space; blocks are joined in page order by one space. Null or empty html has an empty text and a null path; a null url
+    has the empty host and votes with its like; equal votes go by path; repeated rows stay; long pages are read whole; an
+    empty table gives an empty result; columns with the names given here are replaced.
     """
     made = ("text", "n_chars", "path")
     keep = [c for c in pages.columns if c.lower() not in made and c != html_col]
-    host, salt, paths = (free_name(pages, f"extract_{x}") for x in ("host", "salt", "paths"))
-    votes = materialise(host_paths(pages, url_col, html_col))
+    host, salt, paths, page, path = (free_name(pages, f"extract_{x}") for x in ("host", "salt", "paths", "page", "path"))
+    parsed = materialise(pages.select(*keep, host_of(F.col(url_col)).alias(host), F.xxhash64(F.col(id_col), F.col(url_col)).alias(salt), parsed_pages(F.col(html_col)).alias(page)))
+    votes = materialise(host_paths(parsed, host, page))
     size = votes.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "paths")) + 40)).first()[0] or 0
     votes = votes.select(F.col("host").alias(host), F.col("paths").alias(paths))
-    held = pages.withColumn(host, host_of(F.col(url_col)))
     if size <= BROADCAST_BYTES:
-        joined = held.join(F.broadcast(votes), host, "left")
+        joined = parsed.join(F.broadcast(votes), host, "left")
     else:  # a hot host's pages go to many tasks
-        votes = votes.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = held.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(SALTS)).cast("int")).join(votes, [host, salt], "left")
-
-    @F.pandas_udf("struct<text:string,path:string>")
-    def read(htmls: pd.Series, ranked: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(h, None if p is None else list(p)) for h, p in zip(htmls, ranked, strict=True)], columns=["text", "path"])
-
-    seen = free_name(pages, "extract_seen")
-    out = joined.select(*keep, read(F.col(html_col), F.col(paths)).alias(seen))
-    text = F.col(f"{seen}.text")
-    return out.select(*keep, text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.col(f"{seen}.path").alias("path"))
+        votes = votes.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = parsed.withColumn(salt, F.pmod(F.col(salt), F.lit(SALTS))).join(votes, [host, salt], "left")
+    own, places = F.col(f"{page}.own"), F.col(f"{page}.places")
+    here = F.transform(places, lambda x: x["path"])
+    elected = F.get(F.array_intersect(F.col(paths), here), F.lit(0))
+    chosen = F.when(F.array_contains(F.col(paths), own), own).otherwise(F.coalesce(elected, own))
+    ranges = F.get(F.filter(places, lambda x: x["path"] == F.col(path)), F.lit(0))["ranges"]
+    blocks = F.flatten(F.transform(ranges, lambda r: F.slice(F.col(f"{page}.blocks"), r["a"] + 1, r["b"] - r["a"])))
+    out = joined.withColumn(path, chosen)
+    text = F.coalesce(F.array_join(blocks, " "), F.lit(""))
+    return out.select(*keep, text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.col(path).alias("path"))
