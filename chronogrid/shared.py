@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = getattr(shared_dir, "_own", None)
     if held is None:
         held = shared_dir._own = tempfile.mkdtemp(prefix="spark-chronogrid-")
