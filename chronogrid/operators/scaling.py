@@ -78,6 +78,11 @@ def standardise_max(cells: DataFrame) -> DataFrame:
     return cells.join(top, ["layer", "yr"]).select("layer", "yr", "idx", safe_ratio(F.col("value"), F.col("top"), 0.0).alias("value"))
 
 
+def invert_fraction(cells: DataFrame) -> DataFrame:
+    """What is left of each value to 1."""
+    return cells.withColumn("value", 1 - F.col("value"))
+
+
 def conservation_check(before: DataFrame, after: DataFrame) -> DataFrame:
     """Sum of every layer and year before and after a step."""
     b, a = layer_sum(before).withColumnRenamed("total", "total_before"), layer_sum(after).withColumnRenamed("total", "total_after")

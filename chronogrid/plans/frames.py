@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chronogrid.operators import frames
-from chronogrid.sources.views import base, view, with_views
+from chronogrid.sources.views import base, derive, view, with_views
 
 NEAR = "2024-01-15 12:00:00"
 YEARS = [-20, -10, 0, 10, 20]
@@ -23,13 +25,9 @@ ODD, LOW = "SELECT * FROM cells WHERE yr % 2 = 1", "SELECT * FROM cells WHERE id
 
 def _on(sql, *names):
     """The Spark form of a statement over the named views."""
-
-    def get(s, d):
-        for n in names:
-            view(s, d, n).createOrReplaceTempView(n)
-        return s.sql(sql)
-
-    return get
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", "{" + n + "}", sql)
+    return lambda s, d: derive(s, d, sql)
 
 
 signed, late, odd, low = _on(SIGNED, "series_rr"), _on(LATE, "series_gt"), _on(ODD, "cells"), _on(LOW, "cells")

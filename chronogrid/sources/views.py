@@ -18,6 +18,14 @@ VIEWS = {
     "entity_log": "SELECT user_id AS id, ts AS date, event_type AS k, CAST(value AS VARCHAR(32)) AS v, event_id AS seq FROM {events}",
     "edges": "SELECT c_nationkey AS src, s_nationkey AS dst, CAST(MIN(l_quantity) + c_nationkey % 7 AS DOUBLE) AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey GROUP BY c_nationkey, s_nationkey",
     "coo_matrix": "SELECT CAST(l_suppkey % 20 AS INT) AS i, CAST(l_partkey % 20 AS INT) AS j, CAST(SUM(l_linenumber) AS DOUBLE) AS v FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey % 20",
+    # names carry the years of a mask; masks overlap in cells and years
+    "mask_cells": "SELECT DISTINCT 'mask_' || CAST(1992 + idx % 4 AS VARCHAR(8)) || '_' || CAST(1994 + idx % 4 AS VARCHAR(8)) AS mask, idx FROM {cells} WHERE idx % 11 < 3",
+    "kept_cells": "SELECT DISTINCT 'keep_1993_1996' AS mask, idx FROM {cells} WHERE idx % 22 = 0",
+    "zone_dims": "SELECT zone, CAST(MIN(yr) + zone AS INT) AS first_year, CAST(MAX(yr) - 1 AS INT) AS last_year, CAST(1 AS DOUBLE) + CAST(zone AS DOUBLE) / 4 AS scalar FROM {control} GROUP BY zone",
+    "area_cells": "SELECT idx, CAST(10 + idx % 7 AS DOUBLE) AS area FROM {cells} GROUP BY idx",
+    "area_masks": "SELECT DISTINCT CASE WHEN idx % 3 = 0 THEN 'north' ELSE 'south' END AS mask, CASE WHEN idx % 2 = 0 THEN 'file_a' ELSE 'file_b' END AS file, idx FROM {cells} WHERE idx % 5 < 2",
+    "vertices": "SELECT feature_id, seq, CAST(x0 + dx * w AS DOUBLE) + 0.25 AS x, CAST(y0 + dy * h AS DOUBLE) + 0.25 AS y FROM {features} CROSS JOIN (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS t(seq, dx, dy)) AS corners",
+    "class_cells": "SELECT DISTINCT r, c, CAST(CASE WHEN idx % 9 = 0 THEN -1 WHEN idx % 31 = 0 THEN -2 ELSE floor(r / 8.0) * 10 + floor(c / 9.0) END AS INT) AS zone FROM {cells}",
 }
 
 
@@ -25,13 +33,45 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def names_in(sql: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+
+def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over {views} and {base tables}."""
+    return spark.sql(sql, **{n: view(spark, sf_dir, n) if n in VIEWS else base(spark, sf_dir, n) for n in names_in(sql)})
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name]
-    return spark.sql(sql, **{t: base(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
+    return derive(spark, sf_dir, VIEWS[name])
+
+
+def plain(sql: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
 def with_views(sql: str, *names: str) -> str:
-    """sql after a WITH list of the named views, over the plain base tables."""
-    parts = ", ".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names)
+    """sql after a WITH list of the named views, and those that they need, over the plain base tables."""
+    ordered: list[str] = []
+
+    def add(name: str) -> None:
+        for other in names_in(VIEWS[name]):
+            if other in VIEWS:
+                add(other)
+        if name not in ordered:
+            ordered.append(name)
+
+    for n in names:
+        add(n)
+    parts = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in ordered)
     body = sql.strip()
+    if not parts:
+        return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     return f"WITH {parts}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {parts} {body}"
+
+
+def oracle(sql: str) -> str:
+    """The oracle's form of a statement over {views} and {base tables}."""
+    return with_views(plain(sql), *[n for n in names_in(sql) if n in VIEWS])
