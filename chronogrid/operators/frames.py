@@ -31,6 +31,12 @@ def unique_values_only(rows: DataFrame, value: str, within: list[str]) -> DataFr
     return rows.join(once, [*within, value], "left_semi")
 
 
+def range_extrema(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
+    """The ends, sum of middles and mean of middles of each key's intervals, whichever end stands first."""
+    middle = (F.col(low) + F.col(high)) / 2
+    return df.groupBy(key).agg(F.min(F.least(low, high)).alias("low"), F.max(F.greatest(low, high)).alias("high"), F.sum(middle).alias("total"), F.avg(middle).alias("mean"))
+
+
 def series_extrema(series: DataFrame, key: str = "series_id", value: str = "y") -> DataFrame:
     return series.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
 

@@ -61,22 +61,33 @@ def carry_last_nonnegative(series: DataFrame) -> DataFrame:
     return series.withColumn("y", F.last(F.when(F.col("y") >= 0, F.col("y")), ignorenulls=True).over(by_x().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def trim_value(series: DataFrame, value: float) -> DataFrame:
-    """Without the runs of a value at the start and the end."""
+def trim_value(series: DataFrame, value: float, start: bool = True, end: bool = True) -> DataFrame:
+    """Without the runs of a value at the start, the end or both; a series of that value alone goes if either is cut."""
     other = series.filter(F.col("y") != value).groupBy("series_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return series.join(other, "series_id").filter("x between lo and hi").select("series_id", "x", "y")
+    held = series.join(other, "series_id") if start or end else series
+    kept = (F.col("x") >= F.col("lo") if start else F.lit(True)) & (F.col("x") <= F.col("hi") if end else F.lit(True))
+    return held.filter(kept).select("series_id", "x", "y")
 
 
 def cut_after(series: DataFrame, year: int) -> DataFrame:
     return series.filter(F.col("x") <= year)
 
 
-def series_zip(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Two series over the union of their keys, missing values 0; op is add, sub, mul or div (a quotient by 0 is 0)."""
-    p, q = F.coalesce("ya", F.lit(0.0)), F.coalesce("yb", F.lit(0.0))
-    value = {"add": p + q, "sub": p - q, "mul": p * q, "div": F.when(q == 0, 0.0).otherwise(p / q)}[op]
-    left, right = a.withColumnRenamed("y", "ya"), b.withColumnRenamed("y", "yb")
-    return left.join(right, ["series_id", "x"], "full").select("series_id", "x", value.alias("y"))
+def series_zip(a: DataFrame, b: DataFrame, op: str | None = None, expression: str | None = None) -> DataFrame:
+    """Two series over the union of their keys, missing values 0; op is add, sub, mul or div (a quotient by 0 is 0), or a
+    Spark SQL expression over ``i`` (a's value) and ``x`` (b's value)."""
+    left, right = a.select("series_id", F.col("x").alias("at"), F.col("y").alias("i")), b.select("series_id", F.col("x").alias("at"), F.col("y").alias("x"))
+    both = left.join(right, ["series_id", "at"], "full").select("series_id", "at", F.coalesce("i", F.lit(0.0)).alias("i"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    p, q = F.col("i"), F.col("x")
+    known = {"add": p + q, "sub": p - q, "mul": p * q, "div": F.when(q == 0, 0.0).otherwise(p / q)}
+    value = F.expr(expression) if expression else known[op]
+    return both.select("series_id", F.col("at").alias("x"), value.alias("y"))
+
+
+def zip_arrays(a: Column, b: Column, op: str) -> Column:
+    """Two arrays place by place, missing places 0."""
+    known = {"add": lambda p, q: p + q, "sub": lambda p, q: p - q, "mul": lambda p, q: p * q, "div": lambda p, q: F.when(q == 0, 0.0).otherwise(p / q)}
+    return F.zip_with(a, b, lambda p, q: known[op](F.coalesce(p, F.lit(0.0)), F.coalesce(q, F.lit(0.0))))
 
 
 def weighted_geomean(df: DataFrame, group: list[str], value: str = "y") -> DataFrame:
@@ -89,13 +100,6 @@ def weighted_geomean(df: DataFrame, group: list[str], value: str = "y") -> DataF
     return df.groupBy(*group).agg((part(v > 0) - part(v < 0)).alias("gmean"))
 
 
-def zero_before_first(series: DataFrame, years: DataFrame) -> DataFrame:
-    """Series whose first value is under 1e-4 get a 0 at every earlier target year (x)."""
-    first = series.groupBy("series_id").agg(F.min(F.struct("x", "y")).alias("first")).filter("first.y < 1e-4")
-    early = first.join(years.select(F.col("x").alias("wanted")), F.col("wanted") < F.col("first.x"))
-    return series.select("series_id", "x", "y").unionAll(early.select("series_id", F.col("wanted").alias("x"), F.lit(0.0).alias("y")))
-
-
 def interpolate_layers(cells: DataFrame, targets: list[int]) -> DataFrame:
     """Layers of the target years from the two sampled years around each, cell by cell, absent cells 0, rounded up,
     negatives 0; years outside the samples use the first or last two. The list of sampled years is one row per layer year."""

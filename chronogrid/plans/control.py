@@ -8,7 +8,7 @@ from chronogrid.operators import layers, masks, scaling, series
 from chronogrid.sources.views import base, derive, oracle, view
 
 HEIGHT, WIDTH = 40, 50
-BAND_YEARS = [1992, 1993, 1995]
+BAND_YEARS = [1995, 1996, 1998]
 
 
 def _v(name):
@@ -30,15 +30,15 @@ def _round(df, *names, digits=6):
 
 YEARS = "(SELECT DISTINCT yr FROM {cells})"
 #: Rows of a wide grid: a band a year for each cell.
-BANDS = "SELECT idx, array(sum(CASE WHEN yr = 1992 THEN value END), sum(CASE WHEN yr = 1993 THEN value END), sum(CASE WHEN yr = 1995 THEN value END), sum(CASE WHEN yr = 1996 THEN value END)) AS bands FROM {cells} GROUP BY idx"
+BANDS = "SELECT idx, array(sum(CASE WHEN yr = 1995 THEN value END), sum(CASE WHEN yr = 1996 THEN value END), sum(CASE WHEN yr = 1998 THEN value END), sum(CASE WHEN yr = 1999 THEN value END)) AS bands FROM {cells} GROUP BY idx"
 GRID = "SELECT yr AS layer, r, c, CASE WHEN idx % 13 = 0 THEN -9999.0 ELSE value / 7 END AS v FROM {cells}"
 FLAGGED = "SELECT layer, yr, idx FROM {cells} WHERE idx % 5 = 1"
 NEXT = "SELECT layer, yr + 1 AS yr, idx, value FROM {cells}"
 PAIR = "SELECT yr, idx, value FROM {cells} WHERE idx % 4 <> 0", "SELECT yr, idx, value * 3 AS value FROM {cells} WHERE idx % 3 <> 0"
-TARGETS = "SELECT 'north' AS mask, yr, sum(target) AS target FROM {control} GROUP BY yr UNION ALL SELECT 'south' AS mask, yr, sum(target) / 2 AS target FROM {control} WHERE yr > 1993 GROUP BY yr"
-DENSITIES = "SELECT mask, CAST(count(*) % 7 + 1 AS DOUBLE) AS density, 1993 AS first_year, 1996 AS last_year FROM {area_masks} GROUP BY mask"
+TARGETS = "SELECT 'north' AS mask, yr, sum(target) AS target FROM {control} GROUP BY yr UNION ALL SELECT 'south' AS mask, yr, sum(target) / 2 AS target FROM {control} WHERE yr > 1997 GROUP BY yr"
+DENSITIES = "SELECT mask, CAST(count(*) % 7 + 1 AS DOUBLE) AS density, 1996 AS first_year, 1999 AS last_year FROM {area_masks} GROUP BY mask"
 POINTS = "SELECT city_id, lng, lat, CAST(1985 + city_id % 20 AS INT) AS yr FROM {cities_gt}"
-SETS = "SELECT idx FROM {cells} WHERE yr <= 1995 AND value > 100", "SELECT idx FROM {cells} WHERE yr >= 1994 AND value > 100"
+SETS = "SELECT idx FROM {cells} WHERE yr <= 1998 AND value > 100", "SELECT idx FROM {cells} WHERE yr >= 1997 AND value > 100"
 LEFT = "SELECT DISTINCT idx, 'A' || CAST(idx % 3 AS VARCHAR(4)) AS source, CAST(idx % 5 AS VARCHAR(4)) AS p FROM {cells} WHERE idx % 4 <> 0"
 RIGHT = "SELECT DISTINCT idx, 'B' || CAST(idx % 2 AS VARCHAR(4)) AS source, CAST(idx % 7 AS VARCHAR(4)) AS q FROM {cells} WHERE idx % 3 <> 0"
 DIVISORS = "SELECT DISTINCT mask AS divisor, idx FROM {mask_cells}"
@@ -59,7 +59,7 @@ def _overlaid(df):
 
 
 def _third(s, d):
-    return cells(s, d).filter("yr = 1994").select("idx", F.lit("C").alias("source"), F.create_map(F.lit("side"), F.lit("c")).alias("props"))
+    return cells(s, d).filter("yr = 1997").select("idx", F.lit("C").alias("source"), F.create_map(F.lit("side"), F.lit("c")).alias("props"))
 
 
 def _point_cells(s, d):
@@ -85,7 +85,7 @@ def _geomean(sql, keys):
 QUERIES = {
     "active_masks": lambda s, d: masks.active_masks(mask_cells(s, d), cells(s, d)),
     "fill_from_fallback": lambda s, d: masks.fill_from_fallback(cells(s, d), _on(NEXT)(s, d), _on(FLAGGED)(s, d)),
-    "layer_pair_mean": lambda s, d: masks.layer_pair_mean(_on(PAIR[0])(s, d), _on(PAIR[1])(s, d), (1992, 1995), (1994, 1997)),
+    "layer_pair_mean": lambda s, d: masks.layer_pair_mean(_on(PAIR[0])(s, d), _on(PAIR[1])(s, d), (1995, 1998), (1997, 2000)),
     "scale_to_zones_domain": lambda s, d: masks.scale_to_zones_domain(cells(s, d), zones(s, d), control(s, d), dims(s, d)),
     "scale_excluding_masks": lambda s, d: masks.scale_excluding_masks(cells(s, d), zones(s, d), control(s, d), dims(s, d), mask_cells(s, d), kept(s, d)),
     "scale_sequential_masks": lambda s, d: masks.scale_sequential_masks(cells(s, d), area_masks(s, d), _on(TARGETS)(s, d), ["north", "south"]),
@@ -142,7 +142,7 @@ ORACLES = {
     for k, sql in {
         "active_masks": "WITH " + ACTIVE.format("{mask_cells}") + " SELECT yr, mask FROM active",
         "fill_from_fallback": f"SELECT a.layer, a.yr, a.idx, CASE WHEN f.idx IS NOT NULL THEN COALESCE(o.value, 0.0) ELSE a.value END AS value FROM {{cells}} a LEFT JOIN ({FLAGGED}) f USING (layer, yr, idx) LEFT JOIN ({NEXT}) o USING (layer, yr, idx)",
-        "layer_pair_mean": f"SELECT * FROM (SELECT yr, idx, CASE WHEN yr BETWEEN 1994 AND 1995 THEN (COALESCE(a.value, 0) + COALESCE(b.value, 0)) / 2 WHEN yr BETWEEN 1992 AND 1995 THEN a.value WHEN yr BETWEEN 1994 AND 1997 THEN b.value END AS value FROM ({PAIR[0]}) a FULL JOIN ({PAIR[1]}) b USING (yr, idx)) WHERE value IS NOT NULL",
+        "layer_pair_mean": f"SELECT * FROM (SELECT yr, idx, CASE WHEN yr BETWEEN 1997 AND 1998 THEN (COALESCE(a.value, 0) + COALESCE(b.value, 0)) / 2 WHEN yr BETWEEN 1995 AND 1998 THEN a.value WHEN yr BETWEEN 1997 AND 2000 THEN b.value END AS value FROM ({PAIR[0]}) a FULL JOIN ({PAIR[1]}) b USING (yr, idx)) WHERE value IS NOT NULL",
         "scale_to_zones_domain": "WITH " + DOMAIN.format(free="TRUE", join="").replace("{{", "{").replace("}}", "}"),
         "scale_excluding_masks": "WITH " + ACTIVE.format("{mask_cells}").replace("active AS", "a1 AS") + ", " + ACTIVE.format("{kept_cells}").replace("active AS", "a2 AS") + f", ex AS ({UNDER.format('a1', '{mask_cells}')} EXCEPT {UNDER.format('a2', '{kept_cells}')}), " + DOMAIN.format(free="ex.idx IS NULL", join="LEFT JOIN ex ON ex.yr = cells.yr AND ex.idx = cells.idx").replace("{{", "{").replace("}}", "}"),
         "scale_sequential_masks": f"WITH targets AS ({TARGETS}), start AS (SELECT layer, yr, idx, value FROM {{cells}}), " + SCALED.format(mask="north", prev="start") + ", " + SCALED.format(mask="south", prev="north") + " SELECT layer, yr, idx, value FROM south",
@@ -153,17 +153,17 @@ ORACLES = {
         "invert_fraction": "SELECT layer, yr, idx, round(1 - CASE WHEN top = 0 THEN 0 ELSE value / top END, 6) AS value FROM (SELECT *, max(value) OVER (PARTITION BY layer, yr) AS top FROM {cells})",
         "ascii_grid_to_cells": f"SELECT layer, r, c, CAST(ceil(v) AS DOUBLE) AS value FROM ({GRID}) WHERE v <> -9999",
         "ascii_grid_percentage": f"SELECT layer, r, c, CAST(CASE WHEN top > 0 THEN least(floor(v / top * 255 + 0.5), 255) ELSE 0 END AS DOUBLE) AS value FROM (SELECT *, max(v) OVER (PARTITION BY layer) AS top FROM ({GRID}) WHERE v <> -9999)",
-        "explode_bands": "SELECT idx, yr, CAST(ceil(sum(value) * 0.01::DOUBLE) AS DOUBLE) AS value FROM {cells} WHERE yr IN (1992, 1993, 1995) GROUP BY idx, yr",
-        "explode_time_slices": "SELECT idx, CAST(CASE yr WHEN 1992 THEN 1990 WHEN 1993 THEN 1991 WHEN 1995 THEN 1992 ELSE 1993 END AS INT) AS yr, value FROM {cells} WHERE yr IN (1992, 1993, 1995, 1996) AND value % 3 <> 0",
+        "explode_bands": "SELECT idx, yr, CAST(ceil(sum(value) * 0.01::DOUBLE) AS DOUBLE) AS value FROM {cells} WHERE yr IN (1995, 1996, 1998) GROUP BY idx, yr",
+        "explode_time_slices": "SELECT idx, CAST(CASE yr WHEN 1995 THEN 1990 WHEN 1996 THEN 1991 WHEN 1998 THEN 1992 ELSE 1993 END AS INT) AS yr, value FROM {cells} WHERE yr IN (1995, 1996, 1998, 1999) AND value % 3 <> 0",
         "write_cells": f"SELECT layer, yr, idx, value, {', '.join(f'CAST({v} AS INT) AS {k}' for k, v in UNIT.items())}, whole AS read_back FROM (SELECT *, least(floor(value * 70000 + 0.5), 4294967295.0::DOUBLE) AS whole FROM {{cells}})",
-        "nearest_year_layer": "SELECT city_id, CASE WHEN yr <= 1992 THEN 1992 WHEN yr <= 1994 THEN 1993 ELSE 1995 END AS layer_year FROM (" + POINTS + ")",
+        "nearest_year_layer": "SELECT city_id, CASE WHEN yr <= 1995 THEN 1995 WHEN yr <= 1997 THEN 1996 ELSE 1998 END AS layer_year FROM (" + POINTS + ")",
         "sample_points": f"WITH p AS (SELECT city_id, yr, {CELL.format(h=HEIGHT, w=WIDTH)} FROM ({POINTS})), ys AS (SELECT DISTINCT yr AS ly FROM {{cells}}), n AS (SELECT city_id, r, c, CAST(arg_min(ly, abs(ly - yr) * 10000 + ly) AS INT) AS layer_year FROM p CROSS JOIN ys GROUP BY city_id, r, c) SELECT city_id, layer_year, CAST(n.r * {WIDTH} + n.c AS BIGINT) AS idx, COALESCE(v.value, 0.0) AS sampled FROM n LEFT JOIN {{cells}} v ON v.yr = layer_year AND v.idx = n.r * {WIDTH} + n.c",
         "cell_to_lnglat": f"SELECT city_id, r, c, round(c / 4320.0::DOUBLE * 360 - 180, 6) AS cell_lng, round(90 - r / 2160.0::DOUBLE * 180, 6) AS cell_lat FROM (SELECT city_id, {CELL.format(h=2160, w=4320)} FROM ({POINTS}))",
         "cell_union": f"{SETS[0]} UNION {SETS[1]}",
         "cell_difference": f"{SETS[1]} EXCEPT {SETS[0]}",
         "cell_intersection": f"{SETS[0]} INTERSECT {SETS[1]}",
         "cell_overlay": OVER + "SELECT idx, source, p, q, side FROM o QUALIFY count(*) OVER (PARTITION BY source) >= 150",
-        "province_overlay": OVER + "SELECT COALESCE(o.idx, x.idx) AS idx, concat_ws(',', o.source, x.source) AS source, CASE WHEN x.idx IS NOT NULL THEN 'c' ELSE side END AS side FROM o FULL JOIN (SELECT idx, 'C' AS source FROM {cells} WHERE yr = 1994) x USING (idx)",
+        "province_overlay": OVER + "SELECT COALESCE(o.idx, x.idx) AS idx, concat_ws(',', o.source, x.source) AS source, CASE WHEN x.idx IS NOT NULL THEN 'c' ELSE side END AS side FROM o FULL JOIN (SELECT idx, 'C' AS source FROM {cells} WHERE yr = 1997) x USING (idx)",
         "split_by_divisors": f"SELECT z.zone AS feature_id, COALESCE(p.piece, '') AS piece, z.idx FROM (SELECT DISTINCT zone, idx FROM {{zones}}) z LEFT JOIN (SELECT idx, string_agg(DISTINCT divisor, '+' ORDER BY divisor) AS piece FROM ({DIVISORS}) GROUP BY idx) p USING (idx)",
         "nearest_seed_fill": f"SELECT a.r, a.c, COALESCE(n.zone, a.zone) AS zone FROM {{class_cells}} a LEFT JOIN ({NEAR}) n USING (r, c)",
         "region_edge_list": f"SELECT zone, x1, y1, x2, y2 FROM ({EDGES})",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogrid.plans import control, frames, grid, history, records, tables
+from chronogrid.plans import control, curves, frames, grid, history, records, tables
 
 FLAGSHIP = "scale_to_zones"
-MODULES = (grid, history, records, frames, control, tables)
+MODULES = (grid, history, records, frames, control, tables, curves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

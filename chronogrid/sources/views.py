@@ -19,8 +19,8 @@ VIEWS = {
     "edges": "SELECT c_nationkey AS src, s_nationkey AS dst, CAST(MIN(l_quantity) + c_nationkey % 7 AS DOUBLE) AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey GROUP BY c_nationkey, s_nationkey",
     "coo_matrix": "SELECT CAST(l_suppkey % 20 AS INT) AS i, CAST(l_partkey % 20 AS INT) AS j, CAST(SUM(l_linenumber) AS DOUBLE) AS v FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey % 20",
     # names carry the years of a mask; masks overlap in cells and years
-    "mask_cells": "SELECT DISTINCT 'mask_' || CAST(1992 + idx % 4 AS VARCHAR(8)) || '_' || CAST(1994 + idx % 4 AS VARCHAR(8)) AS mask, idx FROM {cells} WHERE idx % 11 < 3",
-    "kept_cells": "SELECT DISTINCT 'keep_1993_1996' AS mask, idx FROM {cells} WHERE idx % 22 = 0",
+    "mask_cells": "SELECT DISTINCT 'mask_' || CAST(1995 + idx % 4 AS VARCHAR(8)) || '_' || CAST(1997 + idx % 4 AS VARCHAR(8)) AS mask, idx FROM {cells} WHERE idx % 11 < 3",
+    "kept_cells": "SELECT DISTINCT 'keep_1996_1999' AS mask, idx FROM {cells} WHERE idx % 22 = 0",
     "zone_dims": "SELECT zone, CAST(MIN(yr) + zone AS INT) AS first_year, CAST(MAX(yr) - 1 AS INT) AS last_year, CAST(1 AS DOUBLE) + CAST(zone AS DOUBLE) / 4 AS scalar FROM {control} GROUP BY zone",
     "area_cells": "SELECT idx, CAST(10 + idx % 7 AS DOUBLE) AS area FROM {cells} GROUP BY idx",
     "area_masks": "SELECT DISTINCT CASE WHEN idx % 3 = 0 THEN 'north' ELSE 'south' END AS mask, CASE WHEN idx % 2 = 0 THEN 'file_a' ELSE 'file_b' END AS file, idx FROM {cells} WHERE idx % 5 < 2",
