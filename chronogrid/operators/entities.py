@@ -21,12 +21,6 @@ def asof_keyframe(log: DataFrame, asof: str) -> DataFrame:
     return kept.groupBy("id").agg(F.max(F.struct("date", "seq", "k", "v")).alias("f")).select("id", "f.date", "f.seq", "f.k", "f.v")
 
 
-def resolve_all(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Snapshot of the given keys at every keyframe, one column each."""
-    upto = Window.partitionBy("id").orderBy("date", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("id", "date", "seq", *[F.last(F.when(F.col("k") == k, F.col("v")), ignorenulls=True).over(upto).alias(k) for k in keys])
-
-
 def negative_diff(log: DataFrame) -> DataFrame:
     """For every change of a key the value that it replaced (null: the key was new)."""
     w = Window.partitionBy("id", "k").orderBy("date", "seq")
@@ -34,18 +28,6 @@ def negative_diff(log: DataFrame) -> DataFrame:
     return log.withColumn("was", was).filter(~F.col("was").eqNullSafe(F.col("v"))).select("id", "date", "seq", "k", "was")
 
 
-def first_last_with_property(log: DataFrame, key: str) -> DataFrame:
-    """First and last keyframe at which an entity's state has the key."""
-    first = log.filter(F.col("k") == key).groupBy("id").agg(F.min("date").alias("first_date"))
-    last = log.groupBy("id").agg(F.max("date").alias("last_date"))
-    return first.join(last, "id")
-
-
-def geometry_events(log: DataFrame) -> DataFrame:
-    """First sighting of every (id, k)."""
-    return log.groupBy("id", "k").agg(F.min(F.struct("date", "seq")).alias("f")).select("id", "k", "f.date", "f.seq")
-
-
 def active_intervals(features: DataFrame, years: list[int]) -> DataFrame:
     """Features whose validity, both ends included, covers each year."""
     spark = features.sparkSession
@@ -80,6 +62,8 @@ def radius_join(a: DataFrame, b: DataFrame, km: float = 5.0) -> DataFrame:
 
 def duplicate_coords(places: DataFrame, digits: int) -> DataFrame:
     """Places that share their rounded coordinates lose them."""
-    w = Window.partitionBy(F.round("lat", digits), F.round("lng", digits))
-    many = F.count("*").over(w) > 1
-    return places.withColumn("_many", many).select("city_id", *[F.when(~F.col("_many"), F.col(n)).alias(n) for n in ("lat", "lng")])
+    spot = [F.round(n, digits).alias(f"{n}_spot") for n in ("lat", "lng")]
+    held = places.select("city_id", "lat", "lng", *spot)
+    many = held.groupBy("lat_spot", "lng_spot").agg(F.count("*").alias("n")).filter("n > 1")
+    alone = F.col("n").isNull()
+    return held.join(many, ["lat_spot", "lng_spot"], "left").select("city_id", *[F.when(alone, F.col(n)).alias(n) for n in ("lat", "lng")])

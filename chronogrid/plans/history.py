@@ -63,8 +63,6 @@ QUERIES = {
     "resolve_forward": lambda s, d: entities.resolve_forward(log(s, d), ASOF),
     "asof_keyframe": lambda s, d: entities.asof_keyframe(log(s, d), ASOF),
     "negative_diff": lambda s, d: entities.negative_diff(log(s, d)),
-    "first_last_with_property": lambda s, d: entities.first_last_with_property(log(s, d), "purchase"),
-    "geometry_events": lambda s, d: entities.geometry_events(log(s, d)),
     "active_intervals": lambda s, d: entities.active_intervals(features(s, d), YEARS),
     "radius_join": lambda s, d: _round(entities.radius_join(cities_gt(s, d), cities_rr(s, d), 5.0), "km", digits=4),
     "duplicate_coords": lambda s, d: entities.duplicate_coords(cities_gt(s, d), 0),
@@ -82,8 +80,6 @@ ORACLES = {
     "resolve_forward": with_views(f"SELECT id, k, v, date FROM entity_log WHERE date <= TIMESTAMP '{ASOF}' QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY date DESC, seq DESC) = 1", "entity_log"),
     "asof_keyframe": with_views(f"SELECT id, date, seq, k, v FROM entity_log WHERE date <= TIMESTAMP '{ASOF}' QUALIFY row_number() OVER (PARTITION BY id ORDER BY date DESC, seq DESC) = 1", "entity_log"),
     "negative_diff": with_views("SELECT id, date, seq, k, was FROM (SELECT id, date, seq, k, v, lag(v) OVER (PARTITION BY id, k ORDER BY date, seq) AS was FROM entity_log) WHERE was IS DISTINCT FROM v", "entity_log"),
-    "first_last_with_property": with_views("SELECT id, min(CASE WHEN k = 'purchase' THEN date END) AS first_date, max(date) AS last_date FROM entity_log GROUP BY id HAVING bool_or(k = 'purchase')", "entity_log"),
-    "geometry_events": with_views("SELECT id, k, date, seq FROM entity_log QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY date, seq) = 1", "entity_log"),
     "active_intervals": with_views(f"SELECT yr, feature_id FROM features JOIN (VALUES {', '.join(f'({y})' for y in YEARS)}) AS t(yr) ON yr BETWEEN from_year AND to_year", "features"),
     "radius_join": with_views(f"SELECT a.city_id AS a_id, b.city_id AS b_id, round({KM}, 4) AS km FROM cities_gt a JOIN cities_rr b ON {KM} < 5.0", "cities_gt", "cities_rr"),
     "duplicate_coords": with_views("WITH n AS (SELECT *, count(*) OVER (PARTITION BY round(lat, 0), round(lng, 0)) AS n FROM cities_gt) SELECT city_id, CASE WHEN n = 1 THEN lat END AS lat, CASE WHEN n = 1 THEN lng END AS lng FROM n", "cities_gt"),

@@ -1,16 +1,71 @@
-"""Entity logs as streams: first sightings, and files that arrive over time."""
+"""Entity logs as streams: log lines, first sightings, merged states, day folders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+RECORD = "type string, date long, data map<string,string>"
+
 
-def read_entity_log(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 16) -> DataFrame:
+def read_parquet_log(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 16) -> DataFrame:
     """A folder of Parquet log files as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def parse_log_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(id, type, date, data) of ``<id> {json}`` lines; the date is in milliseconds there. Lines without an id, a brace or a
+    readable record are left out. Works on tables and streams."""
+    text = F.trim(line)
+    at = F.instr(text, "{")
+    record = F.from_json(text.substr(at, F.length(text)), RECORD)
+    held = lines.filter(at > 2).select(F.trim(text.substr(F.lit(1), at - 1)).alias("id"), record.alias("o"))
+    return held.filter("o.date is not null and id <> ''").select("id", "o.type", F.timestamp_millis("o.date").cast("timestamp_ntz").alias("date"), "o.data")
+
+
+def read_entity_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """A folder of log files, one record a line, as a table or as a stream of the files that arrive."""
+    return parse_log_lines((spark.readStream if stream else spark.read).text(path))
+
+
+def log_line(id_: Column, kind: Column, date: Column, data: Column) -> Column:
+    return F.concat(id_.cast("string"), F.lit(" "), F.to_json(F.struct(kind.alias("type"), F.unix_millis(date.cast("timestamp")).alias("date"), data.alias("data"))))
+
+
+def append_entity_log(records: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream of (id, type, date, data) appended as lines under a folder for each calendar day; the checkpoint makes up for
+    lost attempts."""
+    lines = records.select(log_line(*map(F.col, ("id", "type", "date", "data"))).alias("value"), F.date_format("date", "yyyy.MM.dd").alias("day"))
+    return lines.writeStream.format("text").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def first_sightings(stream: DataFrame, keys: list[str], time_col: str = "date", late: str = "7 days") -> DataFrame:
     """Each key's first row to arrive; keys unseen for longer than the watermark are forgotten."""
     return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
+
+
+def entity_state_stream(stream: DataFrame) -> DataFrame:
+    """(id, date, state as JSON) of every entity that a batch touches: each key's value of the latest date. Rows (id, date, k, v)
+    count by their date, not by when they come, so late ones do not undo newer ones; null takes a key away."""
+
+    def merge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        for pdf in batches:
+            for date, k, v in zip(pdf["date"].astype("int64"), pdf["k"], pdf["v"], strict=True):
+                if k not in held or held[k][0] <= date:
+                    held[k] = [int(date), None if pd.isna(v) else v]
+        state.update((json.dumps(held),))
+        last = max(d for d, _ in held.values())
+        now = {k: v for k, (_, v) in sorted(held.items()) if v is not None}
+        yield pd.DataFrame({"id": [key[0]], "date": [pd.Timestamp(last)], "state": [json.dumps(now)]})
+
+    rows = stream.select("id", F.unix_micros(F.col("date").cast("timestamp")).alias("us"), "k", "v").withColumn("date", (F.col("us") * 1000)).select("id", "date", "k", "v")
+    out = f"id {stream.schema['id'].dataType.simpleString()}, date timestamp_ntz, state string"
+    return rows.groupBy("id").applyInPandasWithState(merge, out, "held string", "update", GroupStateTimeout.NoTimeout)
