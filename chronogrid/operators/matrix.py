@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,54 @@ def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("v"))
 
 
-def shortest_path(edges: DataFrame, source: int, max_rounds: int = 1000) -> DataFrame:
-    """(node, cost) of all nodes reachable from source over undirected edges. Each round relaxes the edges of the nodes
-    that the last one made cheaper, and is written to the shared folder."""
-    both = materialise(edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")))
-    spark = edges.sparkSession
-    known = spark.createDataFrame([(source, 0.0)], f"node {edges.schema['src'].dataType.simpleString()}, cost double")
-    fresh = known
+def matrix_augment(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """b to the right of a, which is ``width`` columns wide."""
+    return a.select("i", "j", "v").unionAll(b.select("i", (F.col("j") + width).alias("j"), "v"))
+
+
+def shortest_costs(edges: DataFrame, source: int, max_rounds: int = 1000) -> DataFrame:
+    """(node, cost, before) of all nodes reachable from source over undirected edges; before is the smallest neighbour on a
+    cheapest way, null for the source.
+
+    Each round relaxes the edges of the nodes that the last one made cheaper and writes those that get cheaper again; costs
+    found so far are compacted when eight rounds have been added.
+    """
+    both = materialise(edges.select("src", "dst", "cost").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")))
+    kind = edges.schema["src"].dataType.simpleString()
+    fresh = edges.sparkSession.createDataFrame([(source, 0.0, None)], f"node {kind}, cost double, before {kind}")
+    parts = [fresh]
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node").agg(F.min(F.struct("cost", "before")).alias("m")).select("node", "m.cost", "m.before")
+
+    def known() -> DataFrame:
+        return best(reduce(DataFrame.unionAll, parts))
+
     for _ in range(max_rounds):
-        step = fresh.select(F.col("node").alias("src"), F.col("cost").alias("sofar")).join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("sofar") + F.col("cost")).alias("new"))
-        merged = materialise(known.join(step, "node", "full"))
-        fresh = merged.filter("new is not null and (cost is null or new < cost)").select("node", F.col("new").alias("cost"))
-        if fresh.isEmpty():
-            return known
-        known = merged.select("node", F.least("cost", "new").alias("cost"))
+        step = fresh.select(F.col("node").alias("src"), F.col("cost").alias("sofar")).join(both, "src")
+        step = best(step.select(F.col("dst").alias("node"), (F.col("sofar") + F.col("cost")).alias("cost"), F.col("src").alias("before")))
+        old = known().select("node", F.struct("cost", "before").alias("old"))
+        better = F.col("old").isNull() | (F.col("cost") < F.col("old.cost")) | ((F.col("cost") == F.col("old.cost")) & (F.col("before") < F.col("old.before")))
+        improved = materialise(step.join(old, "node", "left").filter(better).select("node", "cost", "before", F.coalesce(F.col("cost") < F.col("old.cost"), F.lit(True)).alias("cheaper")))
+        if improved.isEmpty():
+            return known()
+        parts.append(improved.select("node", "cost", "before"))
+        if len(parts) > 8:
+            parts[:] = [materialise(known())]
+        fresh = improved.filter("cheaper").select("node", "cost", "before")
     raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
+
+
+def shortest_path(edges: DataFrame, source: int, target: int, max_rounds: int = 1000) -> DataFrame:
+    """(step, node, cost): the nodes of a cheapest way from source to target; of equal ones that through smaller nodes, seen from
+    the target. No row if there is none."""
+    costs = materialise(shortest_costs(edges, source, max_rounds))
+    at = costs.filter(F.col("node") == target)
+    found, step = None, 0
+    while not at.isEmpty():
+        row = at.select(F.lit(step).alias("back"), "node", "cost", "before")
+        found = row if found is None else found.unionAll(row)
+        at = materialise(costs.join(at.select(F.col("before").alias("node")), "node"))
+        step += 1
+    empty = costs.limit(0).select(F.lit(0).alias("step"), "node", "cost")
+    return empty if found is None else found.select((F.lit(step - 1) - F.col("back")).cast("int").alias("step"), "node", "cost")

@@ -13,29 +13,20 @@ def _m(s, d):
 
 
 RELEVANCE = "COALESCE(CASE WHEN contains(lower({0}), 'an') THEN 2.0 / length({0}) ELSE 0 END, 0)"
-PATHS = """WITH RECURSIVE both_ways AS (SELECT src, dst, cost FROM e UNION ALL SELECT dst, src, cost FROM e),
-walk AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT node, min(cost) AS cost, hops FROM
- (SELECT b.dst AS node, w.cost + b.cost AS cost, w.hops + 1 AS hops FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.hops < 24) GROUP BY node, hops)
-SELECT node, min(cost) AS cost FROM walk GROUP BY node"""
-
 QUERIES = {
     "chunk_chars": lambda s, d: text.chunk_chars(base(s, d, "documents")),
     "search_relevance": lambda s, d: text.search_relevance(base(s, d, "part"), ["p_name", "p_type"], "an", "p_partkey").withColumn("score", F.round("score", 6)),
-    "smart_lookup": lambda s, d: text.smart_lookup(base(s, d, "part"), ["p_name", "p_type"], "an", "p_partkey"),
     "matrix_add": lambda s, d: matrix.matrix_add(_m(s, d), matrix.matrix_transpose(_m(s, d))),
     "matrix_subtract": lambda s, d: matrix.matrix_add(_m(s, d), matrix.matrix_transpose(_m(s, d)), -1),
     "matrix_transpose": lambda s, d: matrix.matrix_transpose(_m(s, d)),
     "matrix_multiply": lambda s, d: matrix.matrix_multiply(_m(s, d), _m(s, d)),
-    "shortest_path": lambda s, d: matrix.shortest_path(view(s, d, "edges"), 0),
 }
 
 ORACLES = {
     "chunk_chars": "SELECT doc_id, CAST(k AS INT) AS chunk, CASE WHEN k = 0 THEN substr(text, 1, 201) ELSE substr(text, CAST(k * 200 + 2 AS BIGINT), 200) END AS body FROM (SELECT doc_id, text, unnest(range(CAST(floor((length(text) - 2) / 200.0) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 1)",
     "search_relevance": f"SELECT p_partkey, p_name, p_type, round({RELEVANCE.format('p_name')} + {RELEVANCE.format('p_type')}, 6) AS score FROM part WHERE {RELEVANCE.format('p_name')} + {RELEVANCE.format('p_type')} > 0",
-    "smart_lookup": "SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'an' THEN 0 WHEN lower(p_type) = 'an' THEN 1 WHEN contains(lower(p_name), 'an') THEN 2 ELSE 3 END AS INT) AS rank FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an') ORDER BY rank, p_partkey LIMIT 1",
     "matrix_add": with_views("SELECT i, j, SUM(v) AS v FROM (SELECT i, j, v FROM coo_matrix UNION ALL SELECT j, i, v FROM coo_matrix) GROUP BY i, j", "coo_matrix"),
     "matrix_subtract": with_views("SELECT i, j, SUM(v) AS v FROM (SELECT i, j, v FROM coo_matrix UNION ALL SELECT j, i, -v FROM coo_matrix) GROUP BY i, j", "coo_matrix"),
     "matrix_transpose": with_views("SELECT j AS i, i AS j, v FROM coo_matrix", "coo_matrix"),
     "matrix_multiply": with_views("SELECT a.i, b.j, SUM(a.v * b.v) AS v FROM coo_matrix a JOIN coo_matrix b ON a.j = b.i GROUP BY a.i, b.j", "coo_matrix"),
-    "shortest_path": "WITH RECURSIVE e AS (" + with_views("SELECT * FROM edges", "edges") + "), " + PATHS.removeprefix("WITH RECURSIVE "),
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogrid.plans import control, curves, frames, grid, history, records, state, tables
+from chronogrid.plans import control, curves, frames, grid, history, records, state, tables, web
 
 FLAGSHIP = "scale_to_zones"
-MODULES = (grid, history, records, frames, control, tables, curves, state)
+MODULES = (grid, history, records, frames, control, tables, curves, state, web)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
