@@ -69,15 +69,18 @@ z{tag} AS (SELECT series_id, x, rv * ({BETWEEN}) AS y FROM (SELECT *, count(rati
 
 
 KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
-#: One neighbour a city at most: the relative cities lie further apart than twice the radius.
-FUSED = f"""WITH pr AS (SELECT a.city_id AS series_id, b.city_id AS b_id FROM ({GT_CITIES}) a JOIN ({RR_CITIES}) b ON abs(a.lat - b.lat) < 0.1 AND {KM} < 5),
-own AS (SELECT pr.series_id, s.x, s.y FROM pr JOIN ({RR_SERIES}) s ON s.series_id = pr.b_id),
-met AS (SELECT * FROM ({GT_SERIES}) WHERE series_id IN (SELECT series_id FROM pr)),
+def fused_sql(gt_series: str, rr_series: str) -> str:
+    """The oracle of the fusion. One neighbour a city at most: the relative cities lie further apart than twice the radius."""
+    return f"""WITH pr AS (SELECT a.city_id AS series_id, b.city_id AS b_id FROM ({GT_CITIES}) a JOIN ({RR_CITIES}) b ON abs(a.lat - b.lat) < 0.1 AND {KM} < 5),
+gts AS ({gt_series}), own AS (SELECT pr.series_id, s.x, s.y FROM pr JOIN ({rr_series}) s ON s.series_id = pr.b_id),
+met AS (SELECT * FROM gts WHERE series_id IN (SELECT series_id FROM own)),
 seg AS (SELECT series_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS n, count(*) OVER (PARTITION BY series_id) AS m FROM own WINDOW w AS (PARTITION BY series_id ORDER BY x)),
 pts AS (SELECT series_id, x, y, {VALUE} AS other FROM (SELECT a.series_id, a.x, a.y, s.x0, s.y0, s.x1, s.y1 FROM met a JOIN seg s ON s.series_id = a.series_id AND (m = 1 OR (x1 IS NOT NULL AND (n = 1 OR a.x >= x0) AND (n = m - 1 OR a.x < x1))))),
 mean AS (SELECT series_id, x, CASE WHEN y > other AND other <> 0 THEN (y + other) / 2 ELSE y END AS y FROM pts),
 {anchored('mean', 'own')}
-SELECT series_id, x, CAST(floor(y + 0.5) AS DOUBLE) AS y FROM z UNION ALL SELECT series_id, x, CAST(y AS DOUBLE) FROM ({GT_SERIES}) WHERE series_id NOT IN (SELECT series_id FROM own)"""
+SELECT series_id, x, CAST(floor(y + 0.5) AS DOUBLE) AS y FROM z UNION ALL SELECT series_id, x, CAST(y AS DOUBLE) FROM gts WHERE series_id NOT IN (SELECT series_id FROM own)"""
+
+
 LAYERS = """WITH k AS (SELECT * FROM {cells} WHERE yr IN (1995, 1998, 2001)), pr AS (SELECT * FROM (VALUES (1996, 1995, 1998), (2002, 1998, 2001)) AS t(t, x0, x1)),
 e AS (SELECT layer, t, x0, x1, idx, COALESCE(max(CASE WHEN yr = x0 THEN value END), 0) AS y0, COALESCE(max(CASE WHEN yr = x1 THEN value END), 0) AS y1 FROM k JOIN pr ON yr IN (x0, x1) GROUP BY layer, t, x0, x1, idx)
 SELECT layer, t AS yr, idx, CAST(greatest(ceil(CASE WHEN y0 > 0 AND y1 > 0 AND t > x1 THEN y1 * exp(ln(y1 / y0) / (x1 - x0) * (t - x1)) ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END), 0) AS DOUBLE) AS value FROM e"""
@@ -99,6 +102,6 @@ ORACLES = {
         "range_extrema": "SELECT w, min(from_year) AS low, max(to_year) AS high, round(sum((from_year + to_year) / 2.0), 6)::DOUBLE AS total, round(avg((from_year + to_year) / 2.0), 6) AS mean FROM {features} GROUP BY w",
         "linear_extrapolate": BRACKET.replace(BRACKET[BRACKET.index("asked AS (") : BRACKET.index("seg AS")], f"asked AS ({OUTER}),\n").replace("FROM series_gt WINDOW", "FROM {series_gt} WINDOW") + f" SELECT series_id, x, round({VALUE}, 6) AS y FROM br",
         "interpolate_layers": LAYERS,
-        "fuse_city_series": FUSED,
+        "fuse_city_series": fused_sql(GT_SERIES, RR_SERIES),
     }.items()
 }
