@@ -43,8 +43,8 @@ def long_to_frame(long: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def frame_profile(df: DataFrame, cells: str = "cells") -> DataFrame:
-    """One row: rows, the most cells of a row, and whether the first row holds no number, so that it is a header."""
-    first = F.min_by(F.forall(cells, lambda x: x.try_cast("double").isNull()), "row_idx")
+    """One row: rows, the most cells of a row, and whether the first row holds no number (or nothing), so that it is a header."""
+    first = F.min_by(F.coalesce(F.forall(cells, lambda x: x.try_cast("double").isNull()), F.lit(True)), "row_idx")
     return df.agg(F.count("*").alias("n_rows"), F.max(F.size(cells)).alias("n_columns"), first.alias("has_header"))
 
 

@@ -98,7 +98,7 @@ ORACLES = {
         "series_map": "SELECT series_id, x, round(sqrt(abs(y)) * 2 + pow(y, 2) / 100, 4) AS y FROM {series_rr}",
         "series_zip_expression": "SELECT series_id, x, COALESCE(a.y, 0) * 2 - COALESCE(b.y, 0) AS y FROM {series_gt} a FULL JOIN (SELECT series_id, x - 5 AS x, y FROM {series_rr}) b USING (series_id, x)",
         "series_zip_mul": "SELECT series_id, x, COALESCE(a.y, 0) * COALESCE(b.y, 0) AS y FROM {series_gt} a FULL JOIN (SELECT series_id, x - 5 AS x, y FROM {series_rr}) b USING (series_id, x)",
-        "zip_arrays": "WITH a AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y) AS n FROM {series_gt}), b AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y) AS n FROM {series_rr}) SELECT series_id, string_agg(CAST(CAST(COALESCE(a.y, 0) - COALESCE(b.y, 0) AS BIGINT) AS VARCHAR), '|' ORDER BY n) AS difference FROM a FULL JOIN b USING (series_id, n) GROUP BY series_id",
+        "zip_arrays": "WITH a AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y) AS n FROM {series_gt}), b AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY y) AS n FROM {series_rr}) SELECT series_id, string_agg(CAST(CAST(COALESCE(a.y, 0) - COALESCE(b.y, 0) AS BIGINT) AS VARCHAR), '|' ORDER BY n) AS difference FROM a FULL JOIN b USING (series_id, n) WHERE series_id IN (SELECT series_id FROM a) AND series_id IN (SELECT series_id FROM b) GROUP BY series_id",
         "range_extrema": "SELECT w, min(from_year) AS low, max(to_year) AS high, round(sum((from_year + to_year) / 2.0), 6)::DOUBLE AS total, round(avg((from_year + to_year) / 2.0), 6) AS mean FROM {features} GROUP BY w",
         "linear_extrapolate": BRACKET.replace(BRACKET[BRACKET.index("asked AS (") : BRACKET.index("seg AS")], f"asked AS ({OUTER}),\n").replace("FROM series_gt WINDOW", "FROM {series_gt} WINDOW") + f" SELECT series_id, x, round({VALUE}, 6) AS y FROM br",
         "interpolate_layers": LAYERS,

@@ -95,7 +95,7 @@ QUERIES = {
     "condition_number": lambda s, d: _round(statistics.condition_number(base(s, d, "lineitem"), FEATURES[:2]), "condition_number", digits=4),
 }
 
-G = "SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS c, sum(l_quantity * l_extendedprice) AS p, sum(l_discount * l_extendedprice) AS q FROM {lineitem}"
+G = "SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS c, sum(l_quantity * l_extendedprice) AS p, sum(l_discount * l_extendedprice) AS q FROM {lineitem} WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL"
 RANKED = f"SELECT page_id, k, name, a, b, linked, row_number() OVER (PARTITION BY page_id ORDER BY k) + 1 AS r FROM ({TOWNS})"
 COSTS = """both_ways AS (SELECT src, dst, cost FROM {edges} UNION ALL SELECT dst, src, cost FROM {edges}),
 walk AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT node, min(cost) AS cost, hops FROM (SELECT b.dst AS node, w.cost + b.cost AS cost, w.hops + 1 AS hops FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.hops < 24) GROUP BY node, hops),
