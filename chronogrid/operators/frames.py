@@ -97,10 +97,11 @@ def greyscale(cells: DataFrame) -> DataFrame:
     return cells.join(top, ["layer", "yr"]).select("layer", "yr", "idx", grey.cast("int").alias("grey"))
 
 
-def standardise_total(series: DataFrame, total: float) -> DataFrame:
-    """Each point's share of its series' sum, times total; 0 where the sum is 0."""
+def standardise_total(series: DataFrame, total: float, round_up: bool = False) -> DataFrame:
+    """Each point's share of its series' sum, times total, rounded up on demand; 0 where the sum is 0."""
     whole = F.sum("y").over(Window.partitionBy("series_id"))
-    return series.select("series_id", "x", F.when(whole != 0, F.col("y") / whole * total).otherwise(0.0).alias("y"))
+    share = F.when(whole != 0, F.col("y") / whole * total).otherwise(0.0)
+    return series.select("series_id", "x", (F.ceil(share).cast("double") if round_up else share).alias("y"))
 
 
 def nearest_keyframe(log: DataFrame, date: str) -> DataFrame:

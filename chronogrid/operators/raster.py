@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 CELL = ["layer", "yr", "r", "c"]
 
 
-def neighbour_mean(cells: DataFrame, height: int, width: int) -> DataFrame:
+def extent(cells: DataFrame) -> tuple[int, int]:
+    """Rows and columns up to the last present cell; (0, 0) without any."""
+    last = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    return (last["r"] + 1, last["c"] + 1) if last["r"] is not None else (0, 0)
+
+
+def neighbour_mean(cells: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
     """Mean of the up to eight neighbours inside the grid, for every present cell. Each cell sends its value to its
-    neighbours, and one grouping by cell adds them: no self join."""
+    neighbours, and one grouping by cell adds them: no self join. The grid reaches to the last cell unless told."""
+    if height is None or width is None:
+        height, width = extent(cells)
     around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
     sent = cells.select(*CELL, "value", F.explode(offsets).alias("o")).select(
@@ -27,15 +35,21 @@ def neighbour_mean(cells: DataFrame, height: int, width: int) -> DataFrame:
     )
 
 
-def detect_outliers(cells: DataFrame, height: int, width: int, k: float = 8.0) -> DataFrame:
+def detect_outliers(cells: DataFrame, height: int | None = None, width: int | None = None, k: float = 8.0) -> DataFrame:
     """Cells off the border above k times a positive mean of their neighbours."""
+    if height is None or width is None:
+        height, width = extent(cells)
     inner = F.col("r").between(1, height - 2) & F.col("c").between(1, width - 2)
     return neighbour_mean(cells, height, width).filter(inner & (F.col("neighbour_mean") > 0) & (F.col("value") > k * F.col("neighbour_mean")))
 
 
-def replace_outliers(cells: DataFrame, fallback: DataFrame, height: int, width: int, k: float = 8.0) -> DataFrame:
-    """Outliers take the fallback's value of the same cell (0 where absent); the rest stay."""
-    bad = detect_outliers(cells, height, width, k).select(*CELL, F.lit(True).alias("bad"))
+def replace_outliers(cells: DataFrame, fallback: DataFrame, height: int | None = None, width: int | None = None, k: float = 8.0, masked: DataFrame | None = None) -> DataFrame:
+    """Outliers, and the masked cells (yr, r, c) if any are given, take the fallback's value of the same cell (0 where absent);
+    the rest stay."""
+    bad = detect_outliers(cells, height, width, k).select(*CELL)
+    if masked is not None:
+        bad = bad.unionAll(cells.join(masked.select("yr", "r", "c"), ["yr", "r", "c"], "left_semi").select(*CELL)).distinct()
+    bad = bad.withColumn("bad", F.lit(True))
     other = fallback.select(*CELL, F.col("value").alias("fallback"))
     return (
         cells.select(*CELL, "value")

@@ -64,6 +64,9 @@ QUERIES = {
     "greyscale_sum": lambda s, d: _round(frames.greyscale_sum(frames.greyscale(cells(s, d))), "total"),
     "write_percentage_layer": lambda s, d: frames.greyscale(cells(s, d)),
     "standardise_total": lambda s, d: _round(frames.standardise_total(rr(s, d), 1000.0), "y"),
+    "standardise_total_rounded": lambda s, d: frames.standardise_total(rr(s, d), 1000.0, True),
+    "nearest_signed_negative": lambda s, d: frames.nearest_signed(signed(s, d).withColumn("y", F.col("y") - 100), 20, False),
+    "interval_divide": lambda s, d: _round(view(s, d, "features").select("feature_id", frames.interval(F.col("from_year").cast("double"), F.col("to_year").cast("double"), F.col("w") + 0.0, "divide").alias("q")).select("feature_id", "q.low", "q.high"), "low", "high"),
     "nearest_keyframe": lambda s, d: frames.nearest_keyframe(log(s, d), NEAR),
     "merge_logs": lambda s, d: frames.merge_logs(log(s, d), log(s, d).filter("seq % 3 = 0").withColumn("v", F.concat(F.lit("n"), F.col("v")))),
     "fx_range": _intervals,
@@ -87,6 +90,9 @@ ORACLES = {
     "greyscale_sum": with_views(f"SELECT layer, yr, round(sum(grey / 255.0::DOUBLE), 6) AS total FROM ({GREY}) GROUP BY layer, yr", "cells"),
     "write_percentage_layer": with_views(GREY, "cells"),
     "standardise_total": with_views("SELECT series_id, x, round(CASE WHEN t <> 0 THEN y / t * 1000 ELSE 0 END, 6) AS y FROM (SELECT *, sum(y) OVER (PARTITION BY series_id) AS t FROM series_rr)", "series_rr"),
+    "standardise_total_rounded": with_views("SELECT series_id, x, CAST(ceil(CASE WHEN t <> 0 THEN y / t * 1000 ELSE 0 END) AS DOUBLE) AS y FROM (SELECT *, sum(y) OVER (PARTITION BY series_id) AS t FROM series_rr)", "series_rr"),
+    "nearest_signed_negative": with_views(f"SELECT series_id, x, y - 100 AS y FROM ({SIGNED}) WHERE y < 100 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY abs(x - 20), x DESC) = 1", "series_rr"),
+    "interval_divide": with_views("SELECT feature_id, round(from_year / w::DOUBLE, 6) AS low, round(to_year / w::DOUBLE, 6) AS high FROM features", "features"),
     "nearest_keyframe": with_views(f"SELECT id, date, seq, k, v FROM entity_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(epoch_us(date) - epoch_us(TIMESTAMP '{NEAR}')), date, seq) = 1", "entity_log"),
     "merge_logs": with_views("SELECT id, date, k, CASE WHEN bool_or(seq % 3 = 0) THEN 'n' || arg_max(v, seq) FILTER (seq % 3 = 0) ELSE arg_max(v, seq) END AS v FROM entity_log GROUP BY id, date, k", "entity_log"),
     "fx_range": with_views(f"SELECT feature_id, {_ends('add', '+')}, {_ends('subtract', '-')}, {_ends('multiply', '*')}, (from_year + to_year) / 2.0 AS midpoint FROM features", "features"),

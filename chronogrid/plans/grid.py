@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from chronogrid.operators import raster, scaling
 from chronogrid.sources.views import view, with_views
 
-HEIGHT, WIDTH = 40, 50
+#: The grid reaches to the last cell.
+LAST_ROW, LAST_COLUMN = "(SELECT max(r) FROM cells)", "(SELECT max(c) FROM cells)"
 SUMS = """zs AS (SELECT layer, yr, zone, SUM(value) AS total, COUNT(*) AS n_cells FROM cells JOIN zones USING (idx) GROUP BY layer, yr, zone),
 sc AS (SELECT zs.layer, zs.yr, zs.zone, CASE WHEN target IS NULL THEN NULL WHEN total = 0 THEN 1.0 ELSE target / total END AS scalar
        FROM zs LEFT JOIN control USING (zone, yr))"""
 SCALED = f"WITH {SUMS} SELECT cells.layer, cells.yr, cells.idx, zones.zone, {{value}} AS value FROM cells LEFT JOIN zones ON cells.idx = zones.idx LEFT JOIN sc ON sc.layer = cells.layer AND sc.yr = cells.yr AND sc.zone = zones.zone"
 TOTALS = "WITH totals AS (SELECT yr, SUM(target) AS target FROM control GROUP BY yr), ls AS (SELECT layer, yr, SUM(value) AS total, MAX(value) AS top FROM cells GROUP BY layer, yr) "
 AROUND = f"""WITH d AS (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) AS t(i, j)),
-nm AS (SELECT a.layer, a.yr, a.r, a.c, a.value, SUM(COALESCE(b.value, 0)) / COUNT(*) AS neighbour_mean FROM cells a JOIN d ON a.r + d.i BETWEEN 0 AND {HEIGHT - 1} AND a.c + d.j BETWEEN 0 AND {WIDTH - 1}
+nm AS (SELECT a.layer, a.yr, a.r, a.c, a.value, SUM(COALESCE(b.value, 0)) / COUNT(*) AS neighbour_mean FROM cells a JOIN d ON a.r + d.i BETWEEN 0 AND {LAST_ROW} AND a.c + d.j BETWEEN 0 AND {LAST_COLUMN}
  LEFT JOIN cells b ON b.layer = a.layer AND b.yr = a.yr AND b.r = a.r + d.i AND b.c = a.c + d.j GROUP BY a.layer, a.yr, a.r, a.c, a.value)"""
-IS_OUTLIER = f"r BETWEEN 1 AND {HEIGHT - 2} AND c BETWEEN 1 AND {WIDTH - 2} AND neighbour_mean > 0 AND value > 2 * neighbour_mean"
+IS_OUTLIER = f"r BETWEEN 1 AND {LAST_ROW} - 1 AND c BETWEEN 1 AND {LAST_COLUMN} - 1 AND neighbour_mean > 0 AND value > 2 * neighbour_mean"
 ZONED = "SELECT DISTINCT r, c, zone FROM cells JOIN zones USING (idx)"
 
 
@@ -59,9 +60,10 @@ QUERIES = {
     "zonal_stats": lambda s, d: scaling.zonal_stats(_cells(s, d), _zones(s, d)),
     "zone_assign": lambda s, d: scaling.zone_assign(_cells(s, d), _zones(s, d)).select("layer", "yr", "idx", "zone", "value"),
     "conservation_check": lambda s, d: scaling.conservation_check(_cells(s, d), scaling.scale_to_zones(*_three(s, d))),
-    "neighbour_mean": lambda s, d: _rounded(raster.neighbour_mean(_cells(s, d), HEIGHT, WIDTH), "neighbour_mean"),
-    "detect_outliers": lambda s, d: _rounded(raster.detect_outliers(_cells(s, d), HEIGHT, WIDTH, 2.0), "neighbour_mean"),
-    "replace_outliers": lambda s, d: raster.replace_outliers(_cells(s, d), _fallback(s, d), HEIGHT, WIDTH, 2.0),
+    "neighbour_mean": lambda s, d: _rounded(raster.neighbour_mean(_cells(s, d)), "neighbour_mean"),
+    "detect_outliers": lambda s, d: _rounded(raster.detect_outliers(_cells(s, d), k=2.0), "neighbour_mean"),
+    "replace_outliers": lambda s, d: raster.replace_outliers(_cells(s, d), _fallback(s, d), k=2.0),
+    "replace_outliers_masked": lambda s, d: raster.replace_outliers(_cells(s, d), _fallback(s, d), k=2.0, masked=_cells(s, d).filter("yr % 2 = 0 and idx % 17 = 0")),
     "pixel_centroid": lambda s, d: _rounded(raster.pixel_centroid(_cells(s, d), _zones(s, d)), "x", "y"),
     "region_edges": lambda s, d: raster.region_edges(_cells(s, d).join(_zones(s, d), "idx").select("r", "c", "zone").distinct()),
 }
@@ -84,6 +86,7 @@ ORACLES = {
     "neighbour_mean": with_views(AROUND + " SELECT layer, yr, r, c, value, round(neighbour_mean, 6) AS neighbour_mean FROM nm", "cells"),
     "detect_outliers": with_views(AROUND + f" SELECT layer, yr, r, c, value, round(neighbour_mean, 6) AS neighbour_mean FROM nm WHERE {IS_OUTLIER}", "cells"),
     "replace_outliers": with_views(AROUND + f", bad AS (SELECT layer, yr, r, c FROM nm WHERE {IS_OUTLIER}) SELECT nm.layer, nm.yr, nm.r, nm.c, CASE WHEN bad.r IS NOT NULL THEN COALESCE(f.value, 0.0) ELSE nm.value END AS value FROM nm LEFT JOIN bad USING (layer, yr, r, c) LEFT JOIN cells f ON f.layer = nm.layer AND f.yr + 1 = nm.yr AND f.r = nm.r AND f.c = nm.c", "cells"),
+    "replace_outliers_masked": with_views(AROUND + f", bad AS (SELECT layer, yr, r, c FROM nm WHERE {IS_OUTLIER}) SELECT nm.layer, nm.yr, nm.r, nm.c, CASE WHEN bad.r IS NOT NULL OR (nm.yr % 2 = 0 AND (nm.r * 50 + nm.c) % 17 = 0) THEN COALESCE(f.value, 0.0) ELSE nm.value END AS value FROM nm LEFT JOIN bad USING (layer, yr, r, c) LEFT JOIN cells f ON f.layer = nm.layer AND f.yr + 1 = nm.yr AND f.r = nm.r AND f.c = nm.c", "cells"),
     "pixel_centroid": with_views(f"SELECT zone, round(avg(c), 6) AS x, round(avg(r), 6) AS y FROM ({ZONED}) GROUP BY zone", "cells", "zones"),
     "region_edges": with_views(f"WITH z AS ({ZONED}), d AS (SELECT * FROM (VALUES (-1,0),(1,0),(0,-1),(0,1)) AS t(i, j)) SELECT z.zone, COUNT(*) AS n_edges FROM z CROSS JOIN d LEFT JOIN z o ON o.r = z.r + d.i AND o.c = z.c + d.j WHERE o.zone IS NULL OR o.zone <> z.zone GROUP BY z.zone", "cells", "zones"),
 }

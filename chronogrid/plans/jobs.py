@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronogrid.operators import curves, entities, frames, keyframes, layers, masks, pages, raster, scaling, series
 from chronogrid.plans import curves as curve_plans
 from chronogrid.plans import grid, web
-from chronogrid.plans.control import HEIGHT, WIDTH
+from chronogrid.plans.control import WIDTH
 from chronogrid.plans.state import ASOF, SIGHTINGS
 from chronogrid.shared import materialise
 from chronogrid.sources.views import base, derive, oracle, view
@@ -50,7 +50,7 @@ def pipe_anthropogenic(s, d):
 
 def pipe_outliers(s, d):
     """Outliers out, masks one after another, zones outside the masks in their domains, the world."""
-    kept = raster.replace_outliers(cells(s, d), grid._fallback(s, d), HEIGHT, WIDTH, 2.0)
+    kept = raster.replace_outliers(cells(s, d), grid._fallback(s, d), k=2.0)
     kept = materialise(kept.select("layer", "yr", (F.col("r") * WIDTH + F.col("c")).cast("long").alias("idx"), "value"))
     targets = _on("SELECT 'north' AS mask, yr, sum(target) AS target FROM {control} GROUP BY yr")(s, d)
     masked = masks.scale_sequential_masks(kept, view(s, d, "area_masks"), targets, ["north", "south"])
