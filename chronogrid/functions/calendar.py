@@ -19,16 +19,22 @@ def is_leap(year: Column) -> Column:
     return rule | year.isin(EARLY_LEAPS)
 
 
+def let(value: Column, form) -> Column:
+    """form(value), the value being worked out once however often it stands there."""
+    return F.get(F.transform(F.array(value), form), F.lit(0))
+
+
 def days_before_year(year: Column) -> Column:
     """Days from the start of year 0 to that of the year; negative before it."""
-    last = year - 1
-    after = lambda n: F.floor(last / n) + 1  # noqa: E731  multiples of n from 0 to last
-    size = -year
-    before = lambda n: F.floor(size / n)  # noqa: E731  multiples of n from year to -1
-    extra = F.size(F.filter(F.array(*map(F.lit, [y for y in EARLY_LEAPS if y % 4])), lambda y: y >= year))
-    forward = year * 365 + after(4) - after(100) + after(400)
-    back = year * 365 - (before(4) - before(100) + before(400) + extra)
-    return F.when(year > 0, forward).when(year < 0, back).otherwise(0).cast("long")
+
+    def days(year: Column) -> Column:
+        last, size = year - 1, -year
+        after = sum((sign * (F.floor(last / n) + 1) for n, sign in ((4, 1), (100, -1), (400, 1))), F.lit(0))  # multiples from 0 to last
+        before = sum((sign * F.floor(size / n) for n, sign in ((4, 1), (100, -1), (400, 1))), F.lit(0))  # multiples from year to -1
+        extra = sum(((F.lit(y) >= year).cast("int") for y in EARLY_LEAPS if y % 4), F.lit(0))
+        return year * 365 + F.when(year > 0, after).when(year < 0, -(before + extra)).otherwise(0)
+
+    return let(year, days).cast("long")
 
 
 def days_before_month(year: Column, month: Column) -> Column:
@@ -36,6 +42,12 @@ def days_before_month(year: Column, month: Column) -> Column:
     return F.get(starts, (month - 1).cast("int")) + F.when((month > 2) & is_leap(year), 1).otherwise(0)
 
 
+def month_of(year: Column, day: Column) -> Column:
+    """The month of a year's day, counted from 0."""
+    leap = is_leap(year).cast("int")
+    return sum(((day >= sum(MONTH_DAYS[:i]) + (leap if i > 1 else 0)).cast("int") for i in range(1, 12)), F.lit(1))
+
+
 def to_minutes(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
     """Minutes of a date; minutes of 60 and more go over into hours, hours of 24 into days, months beyond 1 to 12 into years."""
     hour = hour + F.when(minute >= 60, F.floor(minute / 60)).otherwise(0)
@@ -51,14 +63,16 @@ def from_minutes(minutes: Column) -> Column:
     """Struct of year, month, day, hour and minute."""
     days = F.floor(minutes / DAY).cast("long")
     guess = F.floor(days / 365.2425).cast("long")
-    near = F.array(*[guess + i for i in (-2, -1, 0, 1, 2)])
-    year = F.array_max(F.filter(near, lambda y: days_before_year(y) <= days))
-    rest = days - days_before_year(year)
-    month = F.array_max(F.filter(F.array(*map(F.lit, range(1, 13))), lambda m: days_before_month(year, m) <= rest))
+    year = let(guess, lambda y: y + (days_before_year(y + 1) <= days).cast("int") - (days_before_year(y) > days).cast("int"))
+    placed = let(year, lambda y: F.struct(y.alias("y"), (days - days_before_year(y)).alias("day")))
+    dated = let(placed, lambda p: F.struct(p["y"].alias("y"), p["day"].alias("day"), month_of(p["y"], p["day"]).alias("m")))
     left = minutes - days * DAY
-    return F.struct(
-        year.cast("int").alias("year"), month.cast("int").alias("month"), (rest - days_before_month(year, month) + 1).cast("int").alias("day"),
-        F.floor(left / 60).cast("int").alias("hour"), (left % 60).cast("int").alias("minute"),
+    return let(
+        dated,
+        lambda p: F.struct(
+            p["y"].cast("int").alias("year"), p["m"].cast("int").alias("month"), (p["day"] - days_before_month(p["y"], p["m"]) + 1).cast("int").alias("day"),
+            F.floor(left / 60).cast("int").alias("hour"), (left % 60).cast("int").alias("minute"),
+        ),
     )
 
 
@@ -75,7 +89,7 @@ def fractional_year(years: Column) -> Column:
     year = F.floor(years).cast("int")
     days = (years - year) * 365
     whole = F.floor(days).cast("int")
-    month = F.array_max(F.filter(F.array(*map(F.lit, range(1, 13))), lambda m: days_before_month(year, m) <= whole))
+    month = month_of(year, whole)
     return F.struct(year.alias("year"), month.cast("int").alias("month"), (whole - days_before_month(year, month)).cast("int").alias("day"), F.floor((days - whole) * 24).cast("int").alias("hour"))
 
 
