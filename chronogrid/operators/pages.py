@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,7 +145,7 @@ def page_links(pages: DataFrame, allow: list[str] | None = None, deny: list[str]
             found = set()
             for link in Reader(html or "").links:
                 try:
-                    found.add(urljoin(url or "", link).split("#")[0])
+                    found.add(urlsplit(urljoin(url or "", link)).geturl().split("#")[0])
                 except ValueError:
                     continue
             return sorted(x for x in found if x.startswith(("http://", "https://")))
