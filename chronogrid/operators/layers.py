@@ -167,7 +167,7 @@ def region_rings(edges: DataFrame) -> DataFrame:
     """(zone, ring, points): the edges of each class chained to closed rings. A class's edges, its outline, are one group."""
     import pandas as pd
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple, list] = {}
         for x1, y1, x2, y2 in sorted(zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"], strict=True)):
             out.setdefault((x1, y1), []).append((x2, y2))
