@@ -100,9 +100,59 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "mix_shards")
 
 
+def op11_prefix_trie_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 by its bits: all other functions are the engine's own.
+OP11_SQL = """
+WITH placed AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) AS t),
+seqs AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS seq FROM placed GROUP BY conv_id),
+plan AS (
+  SELECT conv_id, seq, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+  FROM seqs),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.seq[1:p.h], []), p.seq[p.h + 1:]) AS seq
+  FROM plan p LEFT JOIN seqs b ON b.conv_id = p.base),
+paths AS (SELECT conv_id, len(seq) AS size, unnest(range(0, len(seq) + 1)) AS depth, seq FROM rebuilt),
+keyed AS (SELECT conv_id, size, depth, seq[1:depth] AS key, seq[1:depth - 1] AS parent_key, length(seq[depth].text) AS n FROM paths),
+nodes AS (
+  SELECT key, depth, any_value(parent_key) AS parent_key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(n), 0) AS own,
+         sha256(coalesce(string_agg(CASE WHEN size = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM keyed GROUP BY key, depth),
+kids AS (SELECT parent_key AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+told AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.key = n.key AND k.depth = n.depth),
+sums AS (
+  SELECT k.key, k.depth, sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(t.own) AS saved_tokens
+  FROM told t JOIN keyed k ON k.conv_id = t.conv_id AND k.depth <= t.depth GROUP BY 1, 2)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM told t JOIN sums s ON s.key = t.key AND s.depth = t.depth
+LEFT JOIN told p ON t.depth > 0 AND p.depth = t.depth - 1 AND p.key = t.parent_key
+"""
+
+
+def op12_deduplicated_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.token_alignment import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronogrid.llm.odd_sketch import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_consensus_host_paths, op2_seeded_alignment_leaks, op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op7_hash_suffix_sort, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix)}
+    return {f.__name__: f for f in (op1_consensus_host_paths, op2_seeded_alignment_leaks, op3_kneser_ney_language, op4_positive_unlabelled_quality, op5_sampled_splitter_shards, op6_bloom_cascade_urls, op7_hash_suffix_sort, op8_simhash_pivots, op9_signature_media, op10_hypergeometric_mix, op11_prefix_trie_contraction, op12_deduplicated_alignment, op13_odd_sketch_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_bloom_cascade_urls": OP6_SQL}
+    return {"op6_bloom_cascade_urls": OP6_SQL, "op11_prefix_trie_contraction": OP11_SQL}
