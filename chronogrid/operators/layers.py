@@ -1,14 +1,12 @@
-"""Grids in and out of cells, and sets of cells: bands, time slices, overlays, points on the grid, nearest cells."""
+"""Grids in and out of cells, and sets of cells: bands, time slices, overlays, points on the grid."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogrid.shared import materialise
-
 NODATA = -9999.0
 
 
@@ -116,123 +114,6 @@ def split_by_divisors(cells: DataFrame, divisors: DataFrame) -> DataFrame:
     return cells.select("feature_id", "idx").distinct().join(held, "idx", "left").select("feature_id", F.coalesce("piece", F.lit("")).alias("piece"), "idx")
 
 
-def nearest_points(asked: DataFrame, seeds: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """asked (keys, r, c) with sr, sc and d2 of the nearest seed (keys, r, c): the lowest row, then column, of equally near ones.
-
-    Points meet in squares: each round looks at the squares around a point, accepts what lies within a square's side, and
-    doubles the side for the rest. span: the grid's longer side, which ends the rounds. Without a seed there is no row.
-    """
-    left, found, side = asked.select(*keys, "r", "c").distinct(), None, 2
-    while True:
-        marks = seeds.select(*keys, F.floor(F.col("r") / side).alias("br"), F.floor(F.col("c") / side).alias("bc"), F.struct("r", "c").alias("s")).distinct()
-        wide = left.withColumn("br", F.explode(F.array(*[F.floor(F.col("r") / side) + i for i in (-1, 0, 1)]))).withColumn("bc", F.explode(F.array(*[F.floor(F.col("c") / side) + i for i in (-1, 0, 1)])))
-        d2 = F.pow(F.col("r") - F.col("s.r"), 2) + F.pow(F.col("c") - F.col("s.c"), 2)
-        near = wide.join(marks, [*keys, "br", "bc"]).groupBy(*keys, "r", "c").agg(F.min(F.struct(d2.cast("long").alias("d2"), F.col("s.r").alias("sr"), F.col("s.c").alias("sc"))).alias("m"))
-        last = side > span
-        near = materialise(near.select(*keys, "r", "c", "m.*").filter(F.lit(last) | (F.col("d2") <= side * side)))
-        found = near if found is None else found.unionAll(near)
-        if last:
-            return found
-        left = materialise(left.join(near.select(*keys, "r", "c"), [*keys, "r", "c"], "left_anti"))
-        if left.isEmpty():
-            return found
-        side *= 2
-
-
-def nearest_seed_fill(cells: DataFrame, bins: list[int], ignored: list[int], span: int) -> DataFrame:
-    """cells (r, c, zone): cells of the ``bins`` classes take the class of the nearest cell of a class that is neither a bin
-    nor ignored; all others stay. Without such a cell they stay too."""
-    open_ = F.col("zone").isin(bins)
-    seeds = cells.filter(~open_ & ~F.col("zone").isin(ignored))
-    near = nearest_points(cells.filter(open_), seeds, [], span)
-    classes = seeds.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("zone").alias("near_zone"))
-    near = near.join(classes, ["sr", "sc"]).select("r", "c", "near_zone")
-    return cells.join(near, ["r", "c"], "left").select("r", "c", F.coalesce("near_zone", "zone").alias("zone"))
-
-
-SIDES = ((-1, 0, (0, 0, 1, 0)), (1, 0, (1, 1, 0, 1)), (0, -1, (0, 1, 0, 0)), (0, 1, (1, 0, 1, 1)))
-
-
-def directed_edges(cells: DataFrame) -> DataFrame:
-    """(zone, x1, y1, x2, y2): the unit sides of each class's cells against another class or nothing, with the class on the
-    right of the way. Cells meet their four neighbours by one equi join."""
-    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.lit(v).alias(n) for n, v in zip(("a", "b", "p", "q"), e, strict=True)]) for i, j, e in SIDES])
-    asks = cells.select("zone", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(sides).alias("o"))
-    asks = asks.withColumn("r", F.col("r0") + F.col("o.i")).withColumn("c", F.col("c0") + F.col("o.j"))
-    edges = asks.join(cells.select("r", "c", F.col("zone").alias("other")), ["r", "c"], "left").filter("other is null or other <> zone")
-    return edges.select("zone", (F.col("c0") + F.col("o.a")).alias("x1"), (F.col("r0") + F.col("o.b")).alias("y1"), (F.col("c0") + F.col("o.p")).alias("x2"), (F.col("r0") + F.col("o.q")).alias("y2"))
-
-
-def region_rings(edges: DataFrame) -> DataFrame:
-    """(zone, ring, points): the edges of each class chained to closed rings. A class's edges, its outline, are one group."""
-    import pandas as pd
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple, list] = {}
-        for x1, y1, x2, y2 in sorted(zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"], strict=True)):
-            out.setdefault((x1, y1), []).append((x2, y2))
-        rings = []
-        for start in sorted(out):
-            while out[start]:
-                ring, at = [start], out[start].pop(0)
-                while at != start:
-                    ring.append(at)
-                    at = out[at].pop(0)
-                rings.append([*ring, start])
-        return pd.DataFrame({"zone": key[0], "ring": range(len(rings)), "points": [[{"x": int(x), "y": int(y)} for x, y in r] for r in rings]})
-
-    return edges.groupBy("zone").applyInPandas(walk, f"zone {edges.schema['zone'].dataType.simpleString()}, ring int, points array<struct<x:int,y:int>>")
-
-
-def interior_pole(cells: DataFrame, span: int) -> DataFrame:
-    """(zone, r, c, d2): of each class the cell farthest from its own border cells (those with a side against another class
-    or nothing); the first by row, then column, of equally far ones."""
-    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j, _ in SIDES])
-    asks = cells.select("zone", "r", "c", F.explode(sides).alias("o")).select("zone", F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    border = asks.join(cells.select("r", "c", F.col("zone").alias("other")), ["r", "c"], "left").filter("other is null or other <> zone").select("zone", F.col("r0").alias("r"), F.col("c0").alias("c")).distinct()
-    far = nearest_points(cells.select("zone", "r", "c"), border, ["zone"], span)
-    best = far.groupBy("zone").agg(F.max(F.struct("d2", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("m"))
-    return best.select("zone", (-F.col("m.r")).alias("r"), (-F.col("m.c")).alias("c"), F.col("m.d2").alias("d2"))
-
-
-def ring_edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x1, y1, x2, y2): every ring's vertices (seq, x, y) in order, with the way back to the first."""
-    ring = Window.partitionBy(*keys)
-    at, first = F.struct("x", "y"), F.first(F.struct("x", "y")).over(ring.orderBy("seq"))
-    onward = F.coalesce(F.lead(at).over(ring.orderBy("seq")), first)
-    return vertices.select(*keys, F.col("x").alias("x1"), F.col("y").alias("y1"), onward["x"].alias("x2"), onward["y"].alias("y2"))
-
-
-def polygon_centroid(vertices: DataFrame) -> DataFrame:
-    """(feature_id, x, y): the centroid of each feature's outer ring by its area; its first vertex where the area is 0."""
-    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
-    sums = ring_edges(vertices, ["feature_id"]).groupBy("feature_id").agg(
-        F.sum(cross).alias("a"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("sx"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("sy")
-    )
-    first = vertices.groupBy("feature_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p"))
-    flat = F.col("a") == 0
-    return sums.join(first, "feature_id").select("feature_id", *[F.when(flat, F.col(f"p.{n}")).otherwise(F.col(f"s{n}") / (3 * F.col("a"))).alias(n) for n in "xy"])
-
-
-def rasterise_polygons(vertices: DataFrame, width: int, height: int) -> DataFrame:
-    """(r, c, feature_id): the cells whose centre lies in a feature's ring, by even-odd crossings of each row's centre line;
-    of several features the greatest id wins. A feature that holds no centre gets the cell of its centroid. y runs north, rows
-    south. Crossings are ranked within (feature, row), so no group is larger than one row of one ring."""
-    edges = ring_edges(vertices, ["feature_id"]).filter("y1 <> y2")
-    low, high = F.ceil(F.least("y1", "y2") - 0.5), F.ceil(F.greatest("y1", "y2") - 0.5) - 1
-    low, high = F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(height - 1)).cast("int")
-    rows = edges.withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").withColumn("y", F.explode(F.sequence("lo", "hi")))
-    x = F.col("x1") + (F.col("y") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    line = Window.partitionBy("feature_id", "y").orderBy("x")
-    spans = rows.select("feature_id", "y", x.alias("x")).select("feature_id", "y", "x", F.row_number().over(line).alias("n"), F.lead("x").over(line).alias("until")).filter("n % 2 = 1")
-    first, last = F.greatest(F.ceil(F.col("x") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("until") - 0.5) - 1, F.lit(width - 1)).cast("int")
-    filled = spans.withColumn("a", first).withColumn("b", last).filter("a <= b").select("feature_id", "y", F.explode(F.sequence("a", "b")).alias("c"))
-    centres = polygon_centroid(vertices).join(filled.select("feature_id").distinct(), "feature_id", "left_anti")
-    inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
-    points = centres.filter(inside).select("feature_id", F.floor("y").cast("int").alias("y"), F.floor("x").cast("int").alias("c"))
-    return filled.unionAll(points).groupBy((F.lit(height - 1) - F.col("y")).alias("r"), "c").agg(F.max("feature_id").alias("feature_id"))
-
-
 def geometry_dedupe(points: DataFrame, digits: int, keys: list[str]) -> DataFrame:
     """Of rows whose coordinates agree after cutting them to ``digits`` decimals the one with the lowest keys."""
     cut = [(F.signum(n) * F.floor(F.abs(n) * 10**digits) / 10**digits).alias(f"{n}_cut") for n in ("lng", "lat")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogrid.operators import layers, masks, scaling, series
+from chronogrid.operators import layers, masks, polygons, regions, scaling, series
 from chronogrid.sources.views import base, derive, oracle, view
 
 HEIGHT, WIDTH = 40, 50
@@ -15,8 +15,8 @@ def _v(name):
     return lambda s, d: view(s, d, name)
 
 
-cells, zones, control, dims, mask_cells, kept, areas, area_masks, classes, vertices = map(
-    _v, ("cells", "zones", "control", "zone_dims", "mask_cells", "kept_cells", "area_cells", "area_masks", "class_cells", "vertices")
+cells, zones, control, dims, mask_cells, kept, areas, area_masks, classes, islands, field, vertices, shapes = map(
+    _v, ("cells", "zones", "control", "zone_dims", "mask_cells", "kept_cells", "area_cells", "area_masks", "class_cells", "island_cells", "field_cells", "vertices", "shape_vertices")
 )
 
 
@@ -108,12 +108,18 @@ QUERIES = {
     "cell_overlay": lambda s, d: _overlaid(layers.cell_overlay(_left(s, d), _right(s, d), 150)),
     "province_overlay": lambda s, d: layers.province_overlay([_left(s, d), _right(s, d), _third(s, d)]).select("idx", "source", F.element_at("props", "side").alias("side")),
     "split_by_divisors": lambda s, d: layers.split_by_divisors(zones(s, d).withColumnRenamed("zone", "feature_id"), _on(DIVISORS)(s, d)),
-    "nearest_seed_fill": lambda s, d: layers.nearest_seed_fill(classes(s, d), [-1], [-2], max(HEIGHT, WIDTH)),
-    "region_edge_list": lambda s, d: layers.directed_edges(classes(s, d)),
-    "region_rings": lambda s, d: layers.region_rings(layers.directed_edges(classes(s, d))),
-    "interior_pole": lambda s, d: layers.interior_pole(classes(s, d), max(HEIGHT, WIDTH)),
-    "polygon_centroid": lambda s, d: _round(layers.polygon_centroid(vertices(s, d)), "x", "y"),
-    "rasterise_polygons": lambda s, d: layers.rasterise_polygons(vertices(s, d), WIDTH, HEIGHT),
+    "nearest_seed_fill": lambda s, d: regions.nearest_seed_fill(classes(s, d), [-1], [-2]),
+    "nearest_seed_fill_field": lambda s, d: regions.nearest_seed_fill(field(s, d), [-1], []),
+    "region_edge_list": lambda s, d: regions.directed_edges(classes(s, d)),
+    "cell_parts": lambda s, d: regions.cell_parts(islands(s, d)),
+    "region_rings": lambda s, d: regions.region_rings(islands(s, d)),
+    "interior_pole": lambda s, d: regions.interior_pole(classes(s, d), largest=False),
+    "interior_pole_largest": lambda s, d: regions.interior_pole(islands(s, d)),
+    "interior_pole_field": lambda s, d: regions.interior_pole(field(s, d), largest=False),
+    "polygon_centroid": lambda s, d: _round(polygons.polygon_centroid(vertices(s, d)), "x", "y"),
+    "centroid_of_parts": lambda s, d: _round(polygons.polygon_centroid(shapes(s, d)), "x", "y"),
+    "rasterise_polygons": lambda s, d: polygons.rasterise_polygons(vertices(s, d), WIDTH, HEIGHT),
+    "rasterise_rings": lambda s, d: polygons.rasterise_polygons(shapes(s, d), WIDTH, HEIGHT),
     "geometry_dedupe": lambda s, d: layers.geometry_dedupe(_on(ROUGH)(s, d), 1, ["city_id"]),
 }
 
@@ -133,8 +139,28 @@ SCALED = """{mask} AS (SELECT {prev}.layer, {prev}.yr, {prev}.idx, CASE WHEN i.i
  LEFT JOIN (SELECT a.layer, a.yr, target / total AS scalar FROM (SELECT layer, yr, max(total) AS total FROM (SELECT layer, yr, file, sum(value) AS total FROM {prev} JOIN {{area_masks}} m USING (idx) WHERE m.mask = '{mask}' GROUP BY layer, yr, file) GROUP BY layer, yr) a JOIN targets USING (yr) WHERE targets.mask = '{mask}' AND target <> 0 AND total > 0) s ON s.layer = {prev}.layer AND s.yr = {prev}.yr)"""
 OVER = "WITH a AS (" + LEFT + "), b AS (" + RIGHT + "), o AS (SELECT COALESCE(a.idx, b.idx) AS idx, concat_ws(',', a.source, b.source) AS source, p, q, CASE WHEN b.idx IS NOT NULL THEN 'q' ELSE 'p' END AS side FROM a FULL JOIN b USING (idx)) "
 NEAR = "SELECT b.r, b.c, arg_min(s.zone, ((b.r - s.r) * (b.r - s.r) + (b.c - s.c) * (b.c - s.c)) * 1000000::BIGINT + s.r * 1000 + s.c) AS zone FROM {class_cells} b, {class_cells} s WHERE b.zone = -1 AND s.zone NOT IN (-1, -2) GROUP BY b.r, b.c"
-SIDES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {', '.join(map(str, e))})" for i, j, e in layers.SIDES) + ") AS t(i, j, a, b, p, q))"
+SIDES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {', '.join(map(str, e))})" for i, j, e in regions.SIDES) + ") AS t(i, j, a, b, p, q))"
 EDGES = f"SELECT z.zone, z.c + d.a AS x1, z.r + d.b AS y1, z.c + d.p AS x2, z.r + d.q AS y2, z.r, z.c FROM {{class_cells}} z CROSS JOIN {SIDES} d LEFT JOIN {{class_cells}} o ON o.r = z.r + d.i AND o.c = z.c + d.j WHERE o.zone IS NULL OR o.zone <> z.zone"
+FIELD_NEAR = NEAR.replace("class_cells", "field_cells").replace("(-1, -2)", "(-1)").replace("1000000::BIGINT", "1000000000::BIGINT").replace("* 1000 +", "* 10000 +")
+FIELD_EDGES = EDGES.replace("class_cells", "field_cells")
+POLE = "WITH b AS (SELECT DISTINCT zone, r, c FROM ({edges})), f AS (SELECT a.zone, a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM {cells} a JOIN b USING (zone) GROUP BY a.zone, a.r, a.c) SELECT zone, r, c, CAST(d2 AS BIGINT) AS d2 FROM f QUALIFY row_number() OVER (PARTITION BY zone ORDER BY d2 DESC, r, c) = 1"
+#: Every cell with each cell that it hangs together with, and so with the first of them.
+PARTS = """reach(zone, r, c, ar, ac) AS (SELECT zone, r, c, r, c FROM {island_cells} UNION SELECT x.zone, o.r, o.c, x.ar, x.ac FROM reach x JOIN {island_cells} o ON o.zone = x.zone AND abs(o.r - x.r) + abs(o.c - x.c) = 1),
+parts AS (SELECT zone, r, c, min(ar * 4294967296 + ac) AS part FROM reach GROUP BY zone, r, c)"""
+RINGS = f"""sides AS (SELECT p.zone, p.part, p.c + d.a AS x, p.r + d.b AS y, d.p - d.a AS dx, d.q - d.b AS dy FROM parts p CROSS JOIN {SIDES} d LEFT JOIN parts o ON o.r = p.r + d.i AND o.c = p.c + d.j WHERE o.zone IS NULL OR o.zone <> p.zone),
+turned AS (SELECT *, CASE WHEN dx = 1 THEN 0 WHEN dy = 1 THEN 1 WHEN dx = -1 THEN 2 ELSE 3 END AS heading FROM sides),
+named AS (SELECT *, (y * 1000 + x) * 4 + heading AS id FROM turned),
+after AS (SELECT a.zone, a.part, a.id, arg_min(b.id, (b.heading - a.heading + 7) % 4) AS next FROM named a JOIN named b ON b.zone = a.zone AND b.part = a.part AND b.x = a.x + a.dx AND b.y = a.y + a.dy GROUP BY ALL),
+walk(start, id, steps) AS (SELECT id, id, 0 FROM named UNION ALL SELECT w.start, s.next, steps + 1 FROM walk w JOIN after s ON s.id = w.id WHERE s.next > w.start),
+lengths AS (SELECT w.start, max(steps) + 1 AS n FROM walk w GROUP BY w.start),
+whole AS (SELECT l.* FROM lengths l JOIN walk w ON w.start = l.start AND w.steps = l.n - 1 JOIN after s ON s.id = w.id AND s.next = l.start),
+points AS (SELECT n.zone, n.part, w.start, w.steps AS seq, n.x, n.y, n.x * (n.y + n.dy) - (n.x + n.dx) * n.y AS crossed, l.n FROM whole l JOIN walk w ON w.start = l.start JOIN named n ON n.id = w.id),
+shapes AS (SELECT zone, part, start, sum(crossed) AS area FROM points GROUP BY zone, part, start),
+numbers AS (SELECT zone, start, dense_rank() OVER (PARTITION BY zone ORDER BY part) - 1 AS part, row_number() OVER (PARTITION BY zone, part ORDER BY CASE WHEN area < 0 THEN 1 ELSE 0 END, start) - 1 AS ring FROM shapes),
+closed AS (SELECT zone, start, seq, x, y FROM points UNION ALL SELECT zone, start, n AS seq, x, y FROM points WHERE seq = 0)
+SELECT zone, CAST(part AS INT) AS part, CAST(ring AS INT) AS ring, CAST(seq AS INT) AS seq, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM closed JOIN numbers USING (zone, start)"""
+LARGEST = "largest AS (SELECT zone, part FROM (SELECT zone, part, count(*) AS n FROM parts GROUP BY zone, part) QUALIFY row_number() OVER (PARTITION BY zone ORDER BY n DESC, part) = 1), own AS (SELECT zone, r, c FROM parts JOIN largest USING (zone, part)), b AS (SELECT DISTINCT zone, r, c FROM (" + EDGES.replace("class_cells", "island_cells") + "))"
+BOXES = "SELECT feature_id, part, ring, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {shape_vertices} GROUP BY feature_id, part, ring"
 RECT = "SELECT feature_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {vertices} GROUP BY feature_id"
 
 ORACLES = {
@@ -170,6 +196,13 @@ ORACLES = {
         "interior_pole": f"WITH b AS (SELECT DISTINCT zone, r, c FROM ({EDGES})), f AS (SELECT a.zone, a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM {{class_cells}} a JOIN b USING (zone) GROUP BY a.zone, a.r, a.c) SELECT zone, r, c, CAST(d2 AS BIGINT) AS d2 FROM f QUALIFY row_number() OVER (PARTITION BY zone ORDER BY d2 DESC, r, c) = 1",
         "polygon_centroid": f"SELECT feature_id, round((x0 + x1) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y FROM ({RECT})",
         "rasterise_polygons": f"SELECT CAST({HEIGHT - 1} - y AS INT) AS r, CAST(x AS INT) AS c, max(feature_id) AS feature_id FROM ({RECT}) f JOIN (SELECT unnest(range({WIDTH})) AS x) ON x + 0.5 >= x0 AND x + 0.5 < x1 JOIN (SELECT unnest(range({HEIGHT})) AS y) ON y + 0.5 >= y0 AND y + 0.5 < y1 GROUP BY 1, 2",
+        "nearest_seed_fill_field": f"SELECT a.r, a.c, COALESCE(n.zone, a.zone) AS zone FROM {{field_cells}} a LEFT JOIN ({FIELD_NEAR}) n USING (r, c)",
+        "interior_pole_field": POLE.replace("{edges}", FIELD_EDGES).replace("{cells}", "{field_cells}"),
+        "cell_parts": "WITH RECURSIVE " + PARTS + " SELECT r, c, zone, part FROM parts",
+        "region_rings": "WITH RECURSIVE " + PARTS + ", " + RINGS,
+        "interior_pole_largest": "WITH RECURSIVE " + PARTS + ", " + LARGEST + ", f AS (SELECT a.zone, a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM own a JOIN b USING (zone) GROUP BY a.zone, a.r, a.c) SELECT zone, r, c, CAST(d2 AS BIGINT) AS d2 FROM f QUALIFY row_number() OVER (PARTITION BY zone ORDER BY d2 DESC, r, c) = 1",
+        "centroid_of_parts": f"SELECT feature_id, round(avg((x0 + x1) / 2), 6) AS x, round(avg((y0 + y1) / 2), 6) AS y FROM ({BOXES}) WHERE ring = 0 GROUP BY feature_id",
+        "rasterise_rings": f"WITH boxes AS ({BOXES}), hit AS (SELECT feature_id, part, x, y FROM boxes JOIN (SELECT unnest(range({WIDTH})) AS x) ON x + 0.5 >= x0 AND x + 0.5 < x1 JOIN (SELECT unnest(range({HEIGHT})) AS y) ON y + 0.5 >= y0 AND y + 0.5 < y1), speck AS (SELECT feature_id, floor((x0 + x1) / 2) AS x, floor((y0 + y1) / 2) AS y FROM boxes ANTI JOIN hit USING (feature_id, part) WHERE ring = 0 AND (x0 + x1) / 2 >= 0 AND (x0 + x1) / 2 < {WIDTH} AND (y0 + y1) / 2 >= 0 AND (y0 + y1) / 2 < {HEIGHT}) SELECT CAST({HEIGHT - 1} - y AS INT) AS r, CAST(x AS INT) AS c, max(feature_id) AS feature_id FROM (SELECT feature_id, x, y FROM hit UNION ALL SELECT feature_id, x, y FROM speck) GROUP BY 1, 2",
         "geometry_dedupe": f"SELECT city_id, lng, lat FROM ({ROUGH}) QUALIFY row_number() OVER (PARTITION BY trunc(lng * 10), trunc(lat * 10) ORDER BY city_id) = 1",
     }.items()
 }

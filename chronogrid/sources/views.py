@@ -25,6 +25,14 @@ VIEWS = {
     "area_cells": "SELECT idx, CAST(10 + idx % 7 AS DOUBLE) AS area FROM {cells} GROUP BY idx",
     "area_masks": "SELECT DISTINCT CASE WHEN idx % 3 = 0 THEN 'north' ELSE 'south' END AS mask, CASE WHEN idx % 2 = 0 THEN 'file_a' ELSE 'file_b' END AS file, idx FROM {cells} WHERE idx % 5 < 2",
     "vertices": "SELECT feature_id, seq, CAST(x0 + dx * w AS DOUBLE) + 0.25 AS x, CAST(y0 + dy * h AS DOUBLE) + 0.25 AS y FROM {features} CROSS JOIN (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS t(seq, dx, dy)) AS corners",
+    # features of several parts and rings, each ring closed by its first vertex: a body, often with a hole, and by their number
+    # an island and a speck that holds no cell's centre
+    "shape_vertices": "SELECT feature_id, part, ring, seq, CAST(ax + dx * wx AS DOUBLE) AS x, CAST(ay + dy * wy AS DOUBLE) AS y FROM (SELECT feature_id, 0 AS part, 0 AS ring, x0 + 0.25 AS ax, y0 + 0.25 AS ay, CAST(w AS DOUBLE) AS wx, CAST(h AS DOUBLE) AS wy FROM {features} UNION ALL SELECT feature_id, 0 AS part, 1 AS ring, x0 + 1.25 AS ax, y0 + 1.25 AS ay, w - 2.0 AS wx, h - 2.0 AS wy FROM {features} WHERE w > 2 AND h > 2 UNION ALL SELECT feature_id, 1 AS part, 0 AS ring, x0 + 7.25 AS ax, y0 + 6.25 AS ay, 2.0 AS wx, 1.0 AS wy FROM {features} WHERE feature_id % 3 = 0 UNION ALL SELECT feature_id, 2 AS part, 0 AS ring, x0 + 3.625 AS ax, y0 - 1.375 AS ay, 0.25 AS wx, 0.125 AS wy FROM {features} WHERE feature_id % 5 = 0) AS boxes CROSS JOIN (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS t(seq, dx, dy)) AS corners",
+    # a grid of about as many cells as lineitem has rows, with classes of ragged borders, open cells and gaps
+    "field_side": "SELECT CAST(floor(sqrt(COUNT(*))) AS BIGINT) AS side FROM {lineitem}",
+    "field_cells": "SELECT r, c, CAST(CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN -1 ELSE floor((r + (c * c) % 7) * 8.0 / side) * 10 + floor((c + (r * r) % 5) * 9.0 / side) END AS INT) AS zone FROM (SELECT DISTINCT CAST(l_orderkey % side AS INT) AS r FROM {lineitem} CROSS JOIN {field_side}) AS a CROSS JOIN (SELECT DISTINCT CAST((l_orderkey + l_linenumber) % side AS INT) AS c FROM {lineitem} CROSS JOIN {field_side}) AS b CROSS JOIN {field_side} WHERE (r * 7 + c * 13) % 37 <> 0",
+    # classes of several parts, and of blocks that touch at corners
+    "island_cells": "SELECT r, c, CAST(CASE WHEN zone < 0 THEN zone ELSE zone % 3 END AS INT) AS zone FROM {class_cells}",
     "class_cells": "SELECT DISTINCT r, c, CAST(CASE WHEN idx % 9 = 0 THEN -1 WHEN idx % 31 = 0 THEN -2 ELSE floor(r / 8.0) * 10 + floor(c / 9.0) END AS INT) AS zone FROM {cells}",
 }
 

@@ -150,15 +150,6 @@ def test_spline_stays_between_samples(spark):
     assert 1 < got["a", 3] < 100 and 2 < got["a", 15] < 100 and got["b", 5] == 7 and got["c", 3] == 0
 
 
-def test_rings_close_and_hold_every_edge(spark):
-    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 1, 1), (2, 2, 1), (5, 5, 2)], "r int, c int, zone int")
-    edges = layers.directed_edges(cells)
-    rings = layers.region_rings(edges).collect()
-    walked = {(r["zone"], a["x"], a["y"], b["x"], b["y"]) for r in rings for a, b in zip(r["points"], r["points"][1:], strict=False)}
-    assert walked == {tuple(r) for r in edges.collect()} and all(r["points"][0] == r["points"][-1] for r in rings)
-    assert layers.region_rings(edges.limit(0)).count() == 0
-
-
 def test_markdown_chunks_keep_lists_and_budget():
     body = "an intro line\n- one\n- two\n- three\n" + "x" * 50 + "\nend"
     chunks = text.markdown_chunks(body, 30)
