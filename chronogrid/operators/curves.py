@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronogrid.functions.expressions import checked
 from chronogrid.operators.entities import radius_join
-from chronogrid.operators.series import linear_interpolate
 from chronogrid.shared import materialise
 
 #: What stands for values of zero or less where logarithms are taken.
@@ -121,20 +121,66 @@ def remove_zeroes(series: DataFrame) -> DataFrame:
     return series.filter((F.col("y") != 0) & F.col("y").isNotNull())
 
 
-def clean(df: DataFrame, column: str, remove_falsey: bool = False) -> DataFrame:
-    """A map of texts without its null values, or also without those that are empty, 0 or false."""
-    falsey = lambda v: v.isin("", "0", "0.0", "false", "NaN")
-    return df.withColumn(column, F.map_filter(column, lambda _, v: v.isNotNull() & (~falsey(v) if remove_falsey else F.lit(True))))
-
-
 def series_map(series: DataFrame, expression: str) -> DataFrame:
-    """Each value by a Spark SQL expression over ``n``, the value; no other name exists there."""
-    held = series.select(F.struct(*[c for c in series.columns if c != "y"]).alias("key_of_row"), F.col("y").alias("n"))
+    """Each value by an equation over ``n``, the value: arithmetic and the functions that expressions.checked lists. Anything
+    else in it is a ValueError, other columns' names too."""
+    value = checked(expression, {"n"})
     names = [c for c in series.columns if c != "y"]
-    value = held.select("key_of_row", F.expr(expression).alias("y"))
-    if "key_of_row" in expression:
-        raise ValueError("only n is known in an expression")
-    return value.select(*[F.col(f"key_of_row.{c}").alias(c) for c in names], "y")
+    held = series.select(F.struct(*names).alias("key_of_row"), F.col("y").alias("n"))
+    return held.select(*[F.col("key_of_row")[c].alias(c) for c in names], value.alias("y"))
+
+
+def _on_segment(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """two_point() of series.py, of one series' neighbouring samples."""
+    if len(x) == 1:
+        return np.full(len(at), y[0])
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    x0, y0, x1, y1 = x[i], y[i], x[i + 1], y[i + 1]
+    out = y0 + (at - x0) * (y1 - y0) / (x1 - x0)
+    grows = (y0 > 0) & (y1 > 0)
+    for side, base, value in ((grows & (at < x0), x0, y0), (grows & (at > x1), x1, y1)):
+        growth = np.log(y1[side] / y0[side]) / (x1[side] - x0[side])
+        out[side] = value[side] * np.exp(growth * (at[side] - base[side]))
+    return out
+
+
+def _between(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Linear between samples, flat outside them."""
+    a, b = np.searchsorted(x, at, "right") - 1, np.searchsorted(x, at, "left")
+    a, b = np.where(a < 0, b, a), np.where(b == len(x), a, b)
+    a = np.minimum(a, len(x) - 1)
+    weight = np.where(a == b, 0.0, (at - x[a]) / np.where(a == b, 1, x[b] - x[a]))
+    return y[a] + weight * (y[b] - y[a])
+
+
+def _carried(gx: np.ndarray, gy: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """interpolate_gt() of one series."""
+    x = np.union1d(gx, rx)
+    rv = _between(rx, ry, x)
+    anchor = np.full(len(x), np.nan)
+    outside = np.ones(len(rx), dtype=bool) if not len(gx) else (rx < gx[0]) | (rx > gx[-1])
+    anchor[np.searchsorted(x, rx[outside])] = ry[outside]
+    anchor[np.searchsorted(x, gx)] = gy
+    held = ~np.isnan(anchor)
+    ratio = np.where(rv == 0, np.where(anchor == 0, 0.0, 1.0), anchor / np.where(rv == 0, 1.0, rv))
+    if held.sum() < 2:
+        return x[:0], rv[:0]
+    at = x[held]
+    inside = (x >= at[0]) & (x <= at[-1])
+    return x[inside], rv[inside] * _between(at, ratio[held], x[inside])
+
+
+def _fold(key: tuple, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """One city's series, with its neighbours' worked in by their ids' order."""
+    own = own.sort_values("x")
+    x, y = own["x"].to_numpy(np.int64), own["y"].to_numpy(float)
+    for _, other in others.sort_values(["b_id", "x"]).groupby("b_id", sort=True):
+        rx, ry = other["x"].to_numpy(np.int64), other["y"].to_numpy(float)
+        there = _on_segment(rx, ry, x) if len(x) else y
+        there = np.where(np.isnan(there), 0.0, there)
+        x, y = _carried(x, np.where((y > there) & (there != 0), (y + there) / 2, y), rx, ry)
+        y = np.floor(y + 0.5)
+    return pd.DataFrame({"series_id": key[0], "x": x.astype(np.int32), "y": y})
 
 
 def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame, rr: DataFrame, km: float = 5.0) -> DataFrame:
@@ -142,20 +188,15 @@ def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame,
 
     Cities: (city_id, lat, lng); series by city. A truth value above the relative one (interpolated, not 0) becomes their
     mean; then the truth series is carried by the relative one and rounded half up. Several neighbours are worked in one after
-    another, by id: as many rounds as a city has neighbours.
+    another, by id, each into what the one before gave: a fold in one pass, in a group of a city's own points and those of its
+    neighbours within km. Points without a value are left out.
     """
-    pairs = radius_join(gt_cities, rr_cities, km).select("a_id", "b_id", F.row_number().over(Window.partitionBy("a_id").orderBy("b_id")).alias("turn"))
-    pairs = materialise(pairs)
-    rounds = pairs.agg(F.max("turn")).first()[0] or 0
-    fused = gt.select("series_id", F.col("x").cast("int").alias("x"), F.col("y").cast("double").alias("y"))
-    for turn in range(1, rounds + 1):
-        now = pairs.filter(F.col("turn") == turn).select(F.col("a_id").alias("series_id"), "b_id")
-        own = now.join(rr.withColumnRenamed("series_id", "b_id"), "b_id").select("series_id", F.col("x").cast("int").alias("x"), "y")
-        met = fused.join(own.select("series_id").distinct(), "series_id", "left_semi")
-        at = linear_interpolate(own, met).select("series_id", "x", F.col("y").alias("other"))
-        other = F.coalesce(F.nanvl("other", F.lit(0.0)), F.lit(0.0))
-        mean = F.when((F.col("y") > other) & (other != 0), (F.col("y") + other) / 2).otherwise(F.col("y"))
-        met = met.join(at, ["series_id", "x"], "left").select("series_id", "x", mean.alias("y"))
-        new = interpolate_gt(met, own).select("series_id", "x", F.floor(F.col("y") + 0.5).cast("double").alias("y"))
-        fused = materialise(fused.join(own.select("series_id").distinct(), "series_id", "left_anti").unionAll(new))
-    return fused
+    kind = gt.schema["series_id"].dataType.simpleString()
+    pairs = radius_join(gt_cities, rr_cities, km).select(F.col("a_id").alias("series_id"), "b_id")
+    points = lambda s: s.select("series_id", F.col("x").cast("int").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    others = materialise(pairs.join(points(rr).withColumnRenamed("series_id", "b_id"), "b_id").select("series_id", "b_id", "x", "y"))
+    met = others.select("series_id").distinct()
+    own = points(gt)
+    near = own.join(met, "series_id", "left_semi")
+    fused = near.groupBy("series_id").cogroup(others.groupBy("series_id")).applyInPandas(_fold, f"series_id {kind}, x int, y double")
+    return own.join(met, "series_id", "left_anti").unionAll(fused)

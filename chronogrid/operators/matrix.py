@@ -64,14 +64,20 @@ def shortest_costs(edges: DataFrame, source: int, max_rounds: int = 1000) -> Dat
 
 def shortest_path(edges: DataFrame, source: int, target: int, max_rounds: int = 1000) -> DataFrame:
     """(step, node, cost): the nodes of a cheapest way from source to target; of equal ones that through smaller nodes, seen from
-    the target. No row if there is none."""
+    the target. No row if there is none. The way back takes as many joins as its length has binary digits."""
     costs = materialise(shortest_costs(edges, source, max_rounds))
-    at = costs.filter(F.col("node") == target)
-    found, step = None, 0
-    while not at.isEmpty():
-        row = at.select(F.lit(step).alias("back"), "node", "cost", "before")
-        found = row if found is None else found.unionAll(row)
-        at = materialise(costs.join(at.select(F.col("before").alias("node")), "node"))
-        step += 1
-    empty = costs.limit(0).select(F.lit(0).alias("step"), "node", "cost")
-    return empty if found is None else found.select((F.lit(step - 1) - F.col("back")).cast("int").alias("step"), "node", "cost")
+    # each round the table of ways back is joined with itself and reaches twice as far, and so do the nodes found
+    jumps = costs.select("node", F.col("before").alias("to")).filter("to is not null")
+    found = materialise(costs.filter(F.col("node") == target).select("node", F.lit(0).cast("long").alias("back")))
+    far = 1
+    while True:
+        new = materialise(found.join(jumps, "node").select(F.col("to").alias("node"), (F.col("back") + far).alias("back")))
+        if new.isEmpty():
+            break
+        found = found.unionAll(new)
+        ahead = jumps.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        jumps = materialise(jumps.join(ahead, "to").select("node", F.col("further").alias("to")))
+        far *= 2
+    whole = found.agg(F.max("back").alias("length"))
+    way = found.join(costs.select("node", "cost"), "node").crossJoin(whole)  # one row
+    return way.select((F.col("length") - F.col("back")).cast("int").alias("step"), "node", "cost")

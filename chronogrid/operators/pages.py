@@ -6,6 +6,7 @@ Pages are parsed inside tasks, one page at a time; all that follows is joins and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -30,12 +31,13 @@ class Reader(HTMLParser):
         self.include, self.exclude = include, exclude
         self.text: list[str] = []
         self.links: list[str] = []
-        self.cells: list[list] = []  # [table, row, column, text parts, has link]
+        self.cells: list[list] = []  # [table, row, column, text parts, has link, html parts]
+        self.tables: list[list] = []  # open tables, innermost last: [number, row, column, open cell]
+        self.met = 0
         self.blocks: list[list[str]] = []
         self.stack: list[tuple[str, bool, bool]] = []  # (tag, starts a block, is left out)
-        self.table = self.row = self.column = -1
-        self.cell: list | None = None
         self.hidden = self.depth = 0
+        self.breaks = False
         self.feed(html)
         self.close()
 
@@ -50,18 +52,24 @@ class Reader(HTMLParser):
         held = {k: v or "" for k, v in attrs}
         if tag == "a" and held.get("href"):
             self.links.append(held["href"].strip())
-            if self.cell:
-                self.cell[4] = True
+            for cell in self.open_cells():
+                cell[4] = True
+        inner = self.tables[-1] if self.tables else None
+        if tag in ("tr", "td", "th") and inner:
+            inner[3] = None
+        for cell in self.open_cells():
+            cell[5].append(self.get_starttag_text() or "")
         if tag == "table":
-            self.table, self.row = self.table + 1, -1
-        elif tag == "tr":
-            self.row, self.column, self.cell = self.row + 1, -1, None
-        elif tag in ("td", "th"):
-            self.column += 1
-            self.cell = [self.table, self.row, self.column, [], False]
-            self.cells.append(self.cell)
+            self.tables.append([self.met, -1, -1, None])
+            self.met += 1
+        elif tag == "tr" and inner:
+            inner[1], inner[2] = inner[1] + 1, -1
+        elif tag in ("td", "th") and inner:
+            inner[2] += 1
+            inner[3] = [inner[0], inner[1], inner[2], [], False, []]
+            self.cells.append(inner[3])
         if tag in ("br", "p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self.handle_data("\n")
+            self.line_break()
         if tag in EMPTY:
             return
         block = not self.depth and any(self.matches(s, tag, held) for s in self.include)
@@ -72,9 +80,17 @@ class Reader(HTMLParser):
         self.depth += block or self.depth > 0
         self.stack.append((tag, block, out))
 
+    def open_cells(self) -> list[list]:
+        """The cells that hold what comes next: one for each table around it, as far as those lie in cells."""
+        return [table[3] for table in self.tables if table[3]]
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
-            self.cell = None
+        if tag == "table" and self.tables:
+            self.tables.pop()
+        elif tag in ("td", "th", "tr") and self.tables:
+            self.tables[-1][3] = None
+        for cell in self.open_cells():
+            cell[5].append(f"</{tag}>")
         if all(t != tag for t, _, _ in self.stack):
             return
         while self.stack:
@@ -84,16 +100,26 @@ class Reader(HTMLParser):
             if t == tag:
                 break
         if tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self.handle_data("\n")
+            self.line_break()
 
     def handle_data(self, data: str) -> None:
+        cells = self.open_cells()
+        if not self.breaks:
+            for cell in cells:
+                cell[5].append(data if self.cdata_elem else escape(data, quote=False))
         if self.hidden:
             return
         self.text.append(data)
         if self.depth:
             self.blocks[-1].append(data)
-        if self.cell:
-            self.cell[3].append(data)
+        for cell in cells:
+            cell[3].append(data)
+
+    def line_break(self) -> None:
+        """A new line of the text, which is not one of the page's own."""
+        self.breaks = True
+        self.handle_data("\n")
+        self.breaks = False
 
 
 def lines(text: str) -> str:
@@ -124,15 +150,19 @@ def extract_by_selectors(pages: DataFrame, include: list[str], exclude: list[str
 
 
 def html_table_cells(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, table, r, c, text, linked): every cell of every table; linked tells whether a link stands in it."""
+    """(id, table, r, c, text, linked, html): every cell of every table; linked tells whether a link stands in it, html is what it holds.
+
+    Tables are numbered as they begin. A table within a cell has rows and columns of its own, and the outer one's go on after
+    it; the outer cell's text, links and html hold the inner table's. Rows and cells outside a table are left out.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, t, r, c, lines("".join(x)), link) for i, h in zip(pdf[id_col], pdf[html], strict=True) if h for t, r, c, x, link in Reader(h).cells]
-            yield pd.DataFrame(rows, columns=[id_col, "table", "r", "c", "text", "linked"])
+            rows = [(i, t, r, c, lines("".join(x)), link, "".join(held)) for i, h in zip(pdf[id_col], pdf[html], strict=True) if h for t, r, c, x, link, held in Reader(h).cells]
+            yield pd.DataFrame(rows, columns=[id_col, "table", "r", "c", "text", "linked", "html"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html).mapInPandas(read, f"{id_col} {kind}, table int, r int, c int, text string, linked boolean")
+    return pages.select(id_col, html).mapInPandas(read, f"{id_col} {kind}, table int, r int, c int, text string, linked boolean, html string")
 
 
 def page_links(pages: DataFrame, allow: list[str] | None = None, deny: list[str] | None = None, id_col: str = "page_id") -> DataFrame:

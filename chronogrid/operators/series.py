@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chronogrid.functions.expressions import checked
+
 def by_x() -> WindowSpec:
     return Window.partitionBy("series_id").orderBy("x")
 
@@ -74,13 +76,13 @@ def cut_after(series: DataFrame, year: int) -> DataFrame:
 
 
 def series_zip(a: DataFrame, b: DataFrame, op: str | None = None, expression: str | None = None) -> DataFrame:
-    """Two series over the union of their keys, missing values 0; op is add, sub, mul or div (a quotient by 0 is 0), or a
-    Spark SQL expression over ``i`` (a's value) and ``x`` (b's value)."""
+    """Two series over the union of their keys, missing values 0; op is add, sub, mul or div (a quotient by 0 is 0), or
+    an equation over ``i`` (a's value) and ``x`` (b's value) of arithmetic and the functions that expressions.checked lists."""
     left, right = a.select("series_id", F.col("x").alias("at"), F.col("y").alias("i")), b.select("series_id", F.col("x").alias("at"), F.col("y").alias("x"))
     both = left.join(right, ["series_id", "at"], "full").select("series_id", "at", F.coalesce("i", F.lit(0.0)).alias("i"), F.coalesce("x", F.lit(0.0)).alias("x"))
     p, q = F.col("i"), F.col("x")
     known = {"add": p + q, "sub": p - q, "mul": p * q, "div": F.when(q == 0, 0.0).otherwise(p / q)}
-    value = F.expr(expression) if expression else known[op]
+    value = checked(expression, {"i", "x"}) if expression else known[op]
     return both.select("series_id", F.col("at").alias("x"), value.alias("y"))
 
 

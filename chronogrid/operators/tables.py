@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronogrid.functions.expressions import checked
+
 NAME = re.compile(r"\b([ab])\$([A-Za-z_]\w*)")
 
 
 def operate_frames(a: DataFrame, b: DataFrame, equations: dict[str, str]) -> DataFrame:
-    """Rows of both frames side by side by row_idx, with a column for each equation: Spark SQL over ``a$name`` and ``b$name``,
-    where missing values are 0. Other names are errors."""
+    """Rows of both frames side by side by row_idx, with a column for each equation over ``a$name`` and ``b$name``, where missing
+    values are 0: arithmetic and the functions that expressions.checked lists. Anything else in it is a ValueError."""
     columns = {"a": set(a.columns), "b": set(b.columns)}
     for text in equations.values():
         for side, name in NAME.findall(text):
@@ -23,7 +25,7 @@ def operate_frames(a: DataFrame, b: DataFrame, equations: dict[str, str]) -> Dat
     left = a.select("row_idx", *[F.col(c).cast("double").alias(f"a__{c}") for c in a.columns if c != "row_idx"])
     right = b.select("row_idx", *[F.col(c).cast("double").alias(f"b__{c}") for c in b.columns if c != "row_idx"])
     both = left.join(right, "row_idx", "full").fillna(0.0)
-    return both.select("row_idx", *[F.expr(NAME.sub(r"\1__\2", text)).alias(name) for name, text in equations.items()])
+    return both.select("row_idx", *[checked(NAME.sub(r"\1__\2", text), set(both.columns) - {"row_idx"}).alias(name) for name, text in equations.items()])
 
 
 def merge_frames(a: DataFrame, b: DataFrame, equations: dict[str, str]) -> DataFrame:
@@ -112,12 +114,6 @@ def filter_elements(df: DataFrame, column: str, in_set: DataFrame | None = None,
     return out
 
 
-def filter_substring(df: DataFrame, column: str, part: str) -> DataFrame:
-    """df with only those elements of an array of arrays of strings, flattened, that contain the part; empty rows go."""
-    kept = F.filter(F.flatten(column), lambda x: F.contains(x, F.lit(part)))
-    return df.withColumn(column, kept).filter(F.size(column) > 0)
-
-
 def rows_at_indexes(df: DataFrame, indexes: DataFrame) -> DataFrame:
     """The rows of listed indexes (row_idx), each once."""
     return df.join(indexes.select("row_idx"), "row_idx", "left_semi")
@@ -154,19 +150,6 @@ def nested_series(df: DataFrame, text: str = "json", scalar: float = 1.0) -> Dat
     return long.select("zone", F.col("yr").try_cast("int").alias("yr"), (F.col("v").try_cast("double") * scalar).alias("target")).filter("yr is not null and target is not null")
 
 
-def flatten_sum(df: DataFrame, text: str = "json") -> DataFrame:
-    """(leaf, total): the numbers of one- and two-level maps by their innermost name, equal names added over all rows."""
-    outer = df.select(F.explode(F.from_json(text, "map<string,string>")).alias("name", "v"))
-    inner = outer.select("name", F.col("v").try_cast("double").alias("v"), F.from_json("v", "map<string,double>").alias("m"))
-    leaves = inner.filter("v is not null").select("name", "v").unionAll(inner.filter("v is null and m is not null").select(F.explode("m").alias("name", "v")))
-    return leaves.groupBy(F.col("name").alias("leaf")).agg(F.sum("v").alias("total"))
-
-
-def cardinality(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(keys, n): the elements of an array of arrays, at any depth of two; null is 0."""
-    return df.select(*keys, F.coalesce(F.aggregate(column, F.lit(0), lambda n, x: n + F.coalesce(F.size(x), F.lit(0))), F.lit(0)).alias("n"))
-
-
 def merge_distinct(a: DataFrame, b: DataFrame, keys: list[str], values: str) -> DataFrame:
     """(keys, values): the distinct elements of both sides' arrays, a's first."""
     left = a.groupBy(*keys).agg(F.array_sort(F.collect_set(values)).alias("va"))

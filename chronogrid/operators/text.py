@@ -92,13 +92,6 @@ def markdown_chunks(text: str, budget: int) -> list[str]:
     return [x for x in [*out, held] if x.strip()]
 
 
-def json_paths(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, path, depth): the keys of a JSON object two levels deep, a dot between them; texts that are no object have none."""
-    outer = df.select(id_col, F.explode(F.from_json(text_col, "map<string,string>")).alias("k", "v"))
-    inner = outer.select(id_col, "k", F.explode(F.map_keys(F.from_json("v", "map<string,string>"))).alias("k2"))
-    return outer.select(id_col, F.col("k").alias("path"), F.lit(1).alias("depth")).unionAll(inner.select(id_col, F.concat_ws(".", "k", "k2").alias("path"), F.lit(2).alias("depth")))
-
-
 def has_keys(text: Column, keys: list[str], how: str = "all") -> Column:
     """Whether a JSON object has all, or any, of the keys."""
     found = F.coalesce(F.map_keys(F.from_json(text, "map<string,string>")), F.array().cast("array<string>"))

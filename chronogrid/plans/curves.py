@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogrid.operators import curves, frames, series
+from chronogrid.operators import curves, frames, nested, series
 from chronogrid.plans.history import BRACKET, VALUE
 from chronogrid.sources.views import derive, oracle, view
 
@@ -40,7 +40,7 @@ QUERIES = {
     "trim_start": lambda s, d: series.trim_value(_on(FLAT)(s, d), 0.0, end=False),
     "clamp_domain": lambda s, d: curves.clamp_domain(rr(s, d), frames.series_domain(gt(s, d))),
     "remove_zeroes": lambda s, d: curves.remove_zeroes(_on(FLAT)(s, d)),
-    "clean": lambda s, d: curves.clean(_on(MAPS)(s, d), "m", True).select("id", F.array_join(F.array_sort(F.map_keys("m")), "|").alias("kept")),
+    "clean": lambda s, d: nested.clean(_on(MAPS)(s, d), "m", True).select("id", F.array_join(F.array_sort(F.map_keys("m")), "|").alias("kept")),
     "series_map": lambda s, d: curves.series_map(rr(s, d), "round(sqrt(abs(n)) * 2 + pow(n, 2) / 100, 4)"),
     "series_zip_expression": lambda s, d: series.series_zip(gt(s, d), rr(s, d).withColumn("x", F.col("x") - 5), expression="i * 2 - x"),
     "series_zip_mul": lambda s, d: series.series_zip(gt(s, d), rr(s, d).withColumn("x", F.col("x") - 5), "mul"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogrid.operators import tables
+from chronogrid.operators import nested, tables
 from chronogrid.sources.views import derive, oracle
 
 A = "SELECT CAST(c_custkey AS INT) AS row_idx, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation FROM {customer}"
@@ -54,14 +54,14 @@ QUERIES = {
     "filter_elements": lambda s, d: tables.filter_elements(_on(A)(s, d), "nation", geq=3.0, not_range=(10.0, 12.0), index_not_in=[3, 4, 5]),
     "filter_cardinality": lambda s, d: tables.filter_elements(_on(RAGGED)(s, d), "cells", cardinality_geq=2).select("row_idx"),
     "filter_in_set": lambda s, d: tables.filter_elements(_on(A)(s, d), "row_idx", in_set=_on("SELECT DISTINCT o_custkey FROM {orders} WHERE o_totalprice > 200000")(s, d)),
-    "filter_substring": lambda s, d: tables.filter_substring(_on(NESTED)(s, d), "parts", "an").withColumn("parts", F.array_join("parts", "|")),
+    "filter_substring": lambda s, d: nested.filter_substring(_on(NESTED)(s, d), "parts", "an").withColumn("parts", F.array_join("parts", "|")),
     "rows_at_indexes": lambda s, d: tables.rows_at_indexes(_on(A)(s, d), _on("SELECT CAST(s_suppkey AS INT) AS row_idx FROM {supplier} UNION ALL SELECT CAST(s_suppkey AS INT) AS row_idx FROM {supplier}")(s, d)),
     "read_csv_grouped": lambda s, d: tables.grouped_lists(_on(LISTS)(s, d), "nation", "row_no").withColumn("values", F.array_join("values", "|")),
     "csv_horizontal": lambda s, d: tables.csv_horizontal(_on(LISTS)(s, d), "nation", "row_no").select("name", F.explode("values").alias("v")).select("name", "v.key", "v.value"),
     "read_year_columns": lambda s, d: tables.year_columns(_on(WIDE)(s, d), ["city"]),
     "read_nested_series_json": lambda s, d: tables.nested_series(_json(SERIES_JSON)(s, d), scalar=1e6),
-    "flatten_sum": lambda s, d: tables.flatten_sum(_json(SUM_JSON)(s, d)),
-    "cardinality": lambda s, d: tables.cardinality(_on(NESTED)(s, d), "parts", ["row_idx"]),
+    "flatten_sum": lambda s, d: nested.flatten_sum(_json(SUM_JSON)(s, d)),
+    "cardinality": lambda s, d: nested.cardinality(_on(NESTED)(s, d), "parts", ["row_idx"]),
     "distinct_elements": lambda s, d: tables.distinct_elements(_on("SELECT o_custkey AS k, o_orderpriority AS v FROM {orders}")(s, d), ["k"], "v"),
     "merge_distinct": lambda s, d: tables.merge_distinct(_on("SELECT c_nationkey AS k, c_mktsegment AS v FROM {customer}")(s, d), _on("SELECT s_nationkey AS k, s_name AS v FROM {supplier}")(s, d), ["k"], "v").withColumn("v", F.array_join("v", "|")),
     "merge_records": lambda s, d: tables.merge_records(*(_on(x)(s, d) for x in HALF), ["series_id", "x"], "y", must_differ=True),

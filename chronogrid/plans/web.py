@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogrid.operators import matrix, pages, statistics, text
+from chronogrid.operators import matrix, nested, pages, statistics, text
 from chronogrid.sources.views import base, derive, oracle, view
 
 
@@ -60,6 +60,22 @@ def _json(s, d):
     return _on(RECORDS)(s, d).select("id", F.translate("json", "<>", "{}").alias("json"))
 
 
+#: Objects of up to six levels, beside arrays.
+DEEP = "SELECT p_partkey AS id, '<\"a\":<\"b\":<\"c\":' || CASE WHEN p_size % 3 = 0 THEN '<\"d\":<\"e\":<\"n\":' || CAST(p_size AS VARCHAR(8)) || '>>>' ELSE 'null' END || '>,\"list\":[1,<\"n\":5>]>,\"n\":\"' || CAST(p_size % 7 AS VARCHAR(8)) || '\">' AS json FROM {part}"
+
+
+def _deep(s, d):
+    return _on(DEEP)(s, d).select("id", F.translate("json", "<>", "{}").alias("json"))
+
+
+def _cubes(s, d):
+    """Arrays of maps of arrays."""
+    row = lambda *v: F.array(*[x.cast("double") for x in v])
+    k, size = F.col("p_partkey"), F.col("p_size")
+    held = F.array(F.create_map(F.lit("x"), row(size, k % 3), F.lit("y"), row(k % 2)), F.when(size % 4 != 0, F.create_map(F.lit("z"), F.when(size % 5 != 0, row(F.lit(None), size + 1)))))
+    return base(s, d, "part").select(k.alias("id"), held.alias("cube"))
+
+
 def _page_texts(s, d):
     held = pages.strip_html(base(s, d, "pages"))
     return held.select((F.col("page_id") % 25).cast("int").alias("page"), F.concat_ws(" ", F.col("page_id").cast("string"), F.substring("text", 1, 40)).alias("text")).groupBy("page").agg(F.min("text").alias("text"))
@@ -84,7 +100,15 @@ QUERIES = {
     "smart_lookup": lambda s, d: text.smart_lookup(base(s, d, "part"), ["p_name", "p_type"], "an", "p_partkey"),
     "chunk_lines": lambda s, d: text.chunk_lines(base(s, d, "documents").select("doc_id", "text"), 3),
     "chunk_markdown": lambda s, d: text.chunk_markdown(base(s, d, "documents").select("doc_id", "text"), 400),
-    "json_paths": lambda s, d: text.json_paths(_json(s, d), "json", "id"),
+    "json_paths": lambda s, d: nested.json_paths(_json(s, d), "json", "id"),
+    "json_paths_deep": lambda s, d: nested.json_paths(_deep(s, d), "json", "id"),
+    "json_paths_objects": lambda s, d: nested.json_paths(_deep(s, d), "json", "id", objects_only=True, exclude=["e"]),
+    "json_value_at": lambda s, d: _deep(s, d).select("id", nested.value_at(F.col("json"), "a.b.c.d.e").alias("value"), nested.value_at(F.col("json"), "a.list").alias("list")),
+    "json_depth": lambda s, d: nested.json_depth(_deep(s, d), "json", "id"),
+    "flatten_sum_deep": lambda s, d: nested.flatten_sum(_deep(s, d), "json"),
+    "cardinality_deep": lambda s, d: nested.cardinality(_cubes(s, d), "cube", ["id"]),
+    "nested_extrema": lambda s, d: nested.nested_extrema(_cubes(s, d), ["id"], "cube").withColumn("mean", F.round("mean", 6)),
+    "clean_deep": lambda s, d: nested.clean(_cubes(s, d), "cube", True).select("id", F.to_json("cube").alias("cube")),
     "has_keys": lambda s, d: _json(s, d).select("id", text.has_keys(F.col("json"), ["size", "deep"]).alias("has_all"), text.has_keys(F.col("json"), ["size", "deep"], "any").alias("has_any")),
     "matrix_augment": lambda s, d: matrix.matrix_augment(view(s, d, "coo_matrix"), matrix.matrix_transpose(view(s, d, "coo_matrix")), 20),
     "shortest_costs": lambda s, d: matrix.shortest_costs(view(s, d, "edges"), 0).select("node", "cost"),
@@ -105,10 +129,12 @@ SUM = f"({REL.format('p_name')} + {REL.format('p_type')})"
 ONE = lambda f: f"CASE WHEN {REL.format(f)} > 0 THEN {REL.format(f)} ELSE 1 END"
 REACHED = f"l AS (SELECT DISTINCT * FROM ({LINKS})), w AS (SELECT page AS seed, page, 0 AS depth FROM ({SEEDS}) UNION SELECT w.seed, l.dst, w.depth + 1 FROM w JOIN l ON l.src = w.page WHERE w.depth < 2), reach AS (SELECT seed, page, CAST(min(depth) AS INT) AS depth FROM w GROUP BY seed, page)"
 
+CUBES = "SELECT p_partkey, list_filter([p_size::DOUBLE, (p_partkey % 3)::DOUBLE, (p_partkey % 2)::DOUBLE, CASE WHEN p_size % 4 <> 0 AND p_size % 5 <> 0 THEN (p_size + 1)::DOUBLE END], lambda x: x IS NOT NULL) AS v FROM {part}"
+
 ORACLES = {
     k: oracle(sql)
     for k, sql in {
-        "html_table_cells": f"SELECT page_id, CAST(0 AS INT) AS table, CAST(r AS INT) AS r, c, CASE c WHEN 0 THEN name WHEN 1 THEN a ELSE b END AS text, c = 1 AND linked AS linked FROM ({RANKED}) CROSS JOIN (VALUES (0), (1), (2)) AS t(c) UNION ALL SELECT page_id, 0, t.r, t.c, t.text, FALSE FROM (SELECT DISTINCT c_nationkey AS page_id FROM {{customer}}) CROSS JOIN (VALUES (0, 0, 'Town'), (0, 1, '1890/1'), (0, 2, 'census 1900'), (1, 0, ''), (1, 1, 'x')) AS t(r, c, text)",
+        "html_table_cells": f"SELECT page_id, CAST(0 AS INT) AS table, CAST(r AS INT) AS r, c, CASE c WHEN 0 THEN name WHEN 1 THEN a ELSE b END AS text, c = 1 AND linked AS linked, CASE c WHEN 0 THEN name WHEN 1 THEN CASE WHEN linked THEN '<a href=''/t''>' || a || '</a>' ELSE a END ELSE b END AS html FROM ({RANKED}) CROSS JOIN (VALUES (0), (1), (2)) AS t(c) UNION ALL SELECT page_id, 0, t.r, t.c, trim(t.text), FALSE, t.text FROM (SELECT DISTINCT c_nationkey AS page_id FROM {{customer}}) CROSS JOIN (VALUES (0, 0, 'Town'), (0, 1, '1890/1'), (0, 2, 'census 1900'), (1, 0, ' '), (1, 1, 'x')) AS t(r, c, text)",
         "page_links": "SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]*') || link AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"#]*)', 1)) AS link FROM {pages}) WHERE starts_with(link, '/') AND NOT contains(regexp_extract(url, '^https?://[^/?#]*') || link, 'z')",
         "crawl_reach": "WITH RECURSIVE " + REACHED + " SELECT * FROM reach",
         "parse_census_table": f"WITH c AS ({RANKED}) SELECT page_id, CAST(r AS INT) AS r, name, 1890 AS x, CAST(replace(replace(a, '.', ''), ',', '.') AS DOUBLE) AS y FROM c UNION ALL SELECT page_id, CAST(r AS INT), name, 1900, CAST(b AS DOUBLE) FROM c WHERE b <> 'none'",
@@ -123,6 +149,14 @@ ORACLES = {
         "smart_lookup": "SELECT CAST(CASE WHEN lower(p_name) = 'an' THEN 0 WHEN lower(p_type) = 'an' THEN 1 WHEN contains(lower(p_name), 'an') THEN 2 ELSE 3 END AS INT) AS rank, * FROM {part} WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an') ORDER BY rank, p_partkey LIMIT 1",
         "chunk_lines": "SELECT doc_id, CAST(k AS INT) AS chunk, array_to_string(CASE WHEN k = 0 THEN list_slice(l, 1, 4) ELSE list_slice(l, k * 3 + 2, k * 3 + 4) END, chr(10)) AS body FROM (SELECT doc_id, l, unnest(range(greatest(CAST(floor((len(l) - 2) / 3.0) AS BIGINT), 0) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents} WHERE text IS NOT NULL))",
         "json_paths": "SELECT p_partkey AS id, 'size' AS path, CAST(1 AS INT) AS depth FROM {part} WHERE p_partkey % 9 <> 0 UNION ALL SELECT p_partkey, t.path, t.depth FROM {part} CROSS JOIN (VALUES ('deep', 1), ('deep.a', 2), ('deep.b', 2)) AS t(path, depth) WHERE p_partkey % 9 <> 0 AND p_size % 2 = 0",
+        "json_paths_deep": "SELECT p_partkey AS id, t.path, t.depth FROM {part} CROSS JOIN (VALUES ('a', 1, FALSE), ('n', 1, FALSE), ('a.b', 2, FALSE), ('a.list', 2, FALSE), ('a.b.c', 3, FALSE), ('a.b.c.d', 4, TRUE), ('a.b.c.d.e', 5, TRUE), ('a.b.c.d.e.n', 6, TRUE)) AS t(path, depth, deep) WHERE NOT deep OR p_size % 3 = 0",
+        "json_paths_objects": "SELECT p_partkey AS id, t.path, t.depth FROM {part} CROSS JOIN (VALUES ('a', 1, FALSE), ('a.b', 2, FALSE), ('a.b.c', 3, TRUE), ('a.b.c.d', 4, TRUE)) AS t(path, depth, deep) WHERE NOT deep OR p_size % 3 = 0",
+        "json_value_at": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '{\"n\":' || CAST(p_size AS VARCHAR) || '}' END AS value, '[1,{\"n\":5}]' AS list FROM {part}",
+        "json_depth": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 6 ELSE 3 END AS depth FROM {part}",
+        "flatten_sum_deep": "SELECT 'n' AS leaf, CAST(sum(p_size % 7 + CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END) AS DOUBLE) AS total FROM {part}",
+        "cardinality_deep": "SELECT p_partkey AS id, CAST(3 + CASE WHEN p_size % 4 <> 0 AND p_size % 5 <> 0 THEN 2 ELSE 0 END AS INT) AS n FROM {part}",
+        "nested_extrema": f"SELECT p_partkey AS id, list_min(v) AS low, list_max(v) AS high, list_sum(v) AS total, round(list_avg(v), 6) AS mean FROM ({CUBES})",
+        "clean_deep": "SELECT p_partkey AS id, '[{\"x\":[' || array_to_string(list_filter([CASE WHEN p_size <> 0 THEN CAST(p_size AS VARCHAR) || '.0' END, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 3 AS VARCHAR) || '.0' END], lambda x: x IS NOT NULL), ',') || '],\"y\":[' || CASE WHEN p_partkey % 2 = 1 THEN '1.0' ELSE '' END || ']}' || CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 5 = 0 THEN ',{}' ELSE ',{\"z\":[' || CAST(p_size + 1 AS VARCHAR) || '.0]}' END || ']' AS cube FROM {part}",
         "has_keys": "SELECT p_partkey AS id, p_partkey % 9 <> 0 AND p_size % 2 = 0 AS has_all, p_partkey % 9 <> 0 AS has_any FROM {part}",
         "matrix_augment": "SELECT i, j, v FROM {coo_matrix} UNION ALL SELECT j, i + 20, v FROM {coo_matrix}",
         "shortest_costs": "WITH RECURSIVE " + COSTS + " SELECT node, cost FROM best",
