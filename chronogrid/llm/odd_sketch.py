@@ -95,6 +95,9 @@ def _prints(shingle: int):
 
 
 def _sets(shingle: int):
+    """digest and hashed shingles of each text; named nondeterministic, so that no filter on the digest is moved to before the
+    join that leaves a part of the texts, which would read all of them."""
+
     @F.pandas_udf("struct<high:long,low:long,set:array<long>>")
     def column(texts: pd.Series) -> pd.DataFrame:
         def row(text: str | None) -> tuple:
@@ -104,7 +107,7 @@ def _sets(shingle: int):
 
         return pd.DataFrame([row(t) for t in texts], columns=["high", "low", "set"])
 
-    return column
+    return column.asNondeterministic()
 
 
 def differing(a: str, b: str) -> Column:
