@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogrid.operators import curves, entities, frames, keyframes, layers, masks, pages, raster, scaling, series
+from chronogrid.operators import curves, entities, frames, keyframes, layers, masks, pages, polygons, raster, regions, scaling, series, tables
 from chronogrid.plans import curves as curve_plans
 from chronogrid.plans import grid, web
-from chronogrid.plans.control import WIDTH
+from chronogrid.plans.control import HEIGHT, WIDTH
 from chronogrid.plans.state import ASOF, SIGHTINGS
 from chronogrid.shared import materialise
+from chronogrid.streaming import entity_state
+from chronogrid.sources import readers
 from chronogrid.sources.views import base, derive, oracle, view
 
 
@@ -27,9 +29,26 @@ SAMPLED, MISSING, ZONED_UNTIL = (1995, 1998, 2001), [1996, 1999], 1998
 WORLD = "SELECT yr, sum(target) * 2 AS target FROM {control} GROUP BY yr"
 
 
+def _text_grids(s, d):
+    """(file, value): the sampled years' cells as text grids, a line a row, with -9999 where there is no cell."""
+    held = cells(s, d).filter(F.col("yr").isin(*SAMPLED)).groupBy("yr", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("m"))
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(-9999.0)).cast("string")), " ")
+    lines = held.groupBy("yr").agg(F.map_from_entries(F.collect_list(F.struct("r", row.alias("line")))).alias("m"))
+    none = F.lit(" ".join(["-9999"] * WIDTH))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda r: F.coalesce(F.try_element_at("m", r), none)), "\n")
+    head = f"ncols {WIDTH}\nnrows {HEIGHT}\nxllcorner -180\nyllcorner -90\ncellsize 1\nNODATA_value -9999\n"
+    return lines.select(F.concat(F.lit("popc_"), F.col("yr").cast("string"), F.lit(".asc")).alias("file"), F.concat(F.lit(head), body).alias("value"))
+
+
+#: Years in which nothing but the zones holds anything.
+EXCLUSIVE = (1996, 2023)
+
+
 def pipe_landuse(s, d):
-    """Sampled layers, the missing years between them, zone totals up to a year, world totals in all."""
-    known = cells(s, d).filter(F.col("yr").isin(*SAMPLED)).select("layer", "yr", "idx", "value")
+    """Sampled layers from text grids, the missing years between them, zone totals up to a year, world totals in all."""
+    grids = readers.parse_ascii_grids(_text_grids(s, d))
+    known = layers.ascii_grid_to_cells(grids).select(F.lit("pop").alias("layer"), F.regexp_extract("layer", r"(\d+)$", 1).cast("int").alias("yr"), (F.col("r") * WIDTH + F.col("c")).cast("long").alias("idx"), "value")
+    known = materialise(known)
     full = materialise(known.unionByName(series.interpolate_layers(known, MISSING)))
     early = scaling.scale_to_zones(full.filter(F.col("yr") <= ZONED_UNTIL), zones(s, d), control(s, d)).select(*full.columns)
     return scaling.scale_to_global(early.unionByName(full.filter(F.col("yr") > ZONED_UNTIL)), _on(WORLD)(s, d))
@@ -43,7 +62,9 @@ def pipe_anthropogenic(s, d):
     paired = masks.layer_pair_mean(mean, grids.filter("idx % 5 <> 0"), (1995, 1999), (1997, 2001)).withColumn("layer", F.lit("pop"))
     dealt = materialise(scaling.distribute_total(paired, _on(WORLD)(s, d)))
     zoned = materialise(scaling.scale_to_zones(dealt, zones(s, d), control(s, d)).select("layer", "yr", "idx", "value"))
-    exclusive = materialise(scaling.scale_to_zones_exclusive(zoned, zones(s, d), control(s, d)))
+    within = F.col("yr").between(*EXCLUSIVE)
+    exclusive = scaling.scale_to_zones_exclusive(zoned.filter(within), zones(s, d), control(s, d))
+    exclusive = materialise(exclusive.select(*zoned.columns).unionByName(zoned.filter(~within)))
     ranged = masks.scale_to_zones_domain(exclusive, zones(s, d), control(s, d), dims(s, d))
     return scaling.scale_to_global(materialise(ranged), _on(WORLD)(s, d))
 
@@ -70,21 +91,68 @@ URBAN = "SELECT series_id, x + 1950 AS x, y FROM (" + curve_plans.GT_SERIES + ")
 LATER = "SELECT series_id, x + 1950 AS x, CASE WHEN x > 30 THEN 0.0 ELSE y END AS y, series_id % 4 <> 0 AS linked FROM (" + curve_plans.RR_SERIES + ")"
 
 
+def _year_files(s, d):
+    """The cities' figures as two files of a column a year (ad_1950, ...), blank where there is none."""
+    rows = _on(URBAN)(s, d).withColumn("file", (F.col("x") % 10).cast("int"))
+    years = list(range(1950, 2031, 5))
+    wide = rows.groupBy("file", "series_id").pivot("x", years).agg(F.first("y"))
+    return wide.toDF("file", "series_id", *[f"ad_{y}" for y in years])
+
+
+def _table_pages(s, d):
+    """A page for each city: a table of its years and values, those that are observed as links."""
+    rows = _on(LATER)(s, d)
+    value = F.col("y").cast("string")
+    cell = F.struct("x", F.concat(F.lit("<th>"), F.col("x").cast("string")).alias("head"), F.concat(F.lit("<td>"), F.when(F.col("linked"), F.concat(F.lit("<a href='#'>"), value, F.lit("</a>"))).otherwise(value), F.lit("</td>")).alias("body"))
+    held = rows.groupBy("series_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    joined = lambda n: F.array_join(F.transform("cells", lambda c: c[n]), "")
+    return held.select("series_id", F.concat(F.lit("<html><table id='tbl'><tr>"), joined("head"), F.lit("<tr>"), joined("body"), F.lit("</table>")).alias("html"))
+
+
 def pipe_urban_union(s, d):
-    """Cities' figures of several files pooled by year and cut after 1990; the linked figures of the other cities; both fused."""
-    pooled = series.weighted_geomean(_on(URBAN)(s, d), ["series_id", "x"]).select("series_id", "x", F.floor(F.col("gmean") + 0.5).cast("double").alias("y"))
-    truth = materialise(series.cut_after(pooled, 1990))
-    relative = materialise(pages.linked_population_table(_on(LATER)(s, d)))
+    """Cities' figures: files of year columns, pooled by year, corrected and cut after 1990; tables of pages, of which the
+    linked figures count, of the other cities; both fused."""
+    wide = tables.year_columns(_year_files(s, d), ["file", "series_id"])
+    pooled = series.weighted_geomean(wide, ["series_id", "x"]).select(F.col("series_id").cast("string").alias("name"), "x", F.floor(F.col("gmean") + 0.5).cast("double").alias("y"))
+    truth = pages.correct_records(pooled, _on(PATCHES)(s, d)).select(F.col("name").cast("long").alias("series_id"), "x", "y")
+    truth = materialise(series.cut_after(truth, 1990))
+    found = materialise(pages.html_table_cells(_table_pages(s, d), "series_id"))
+    years = found.filter("r = 0").select("series_id", "c", F.col("text").try_cast("int").alias("x"))
+    later = found.filter("r = 1").join(years, ["series_id", "c"]).select("series_id", "x", F.col("text").try_cast("double").alias("y"), "linked")
+    relative = materialise(pages.linked_population_table(later))
     return curves.fuse_city_series(_on(curve_plans.GT_CITIES)(s, d), truth, _on(curve_plans.RR_CITIES)(s, d), relative)
 
 
+#: Points that are known to be wrong: one goes, one gets another value.
+PATCHES = "SELECT 'delete' AS op, CAST(city_id AS VARCHAR(20)) AS name, CAST(NULL AS VARCHAR(20)) AS to, CAST(1970 AS INT) AS x, CAST(NULL AS DOUBLE) AS y FROM {cities_gt} WHERE city_id % 10 = 3 UNION ALL SELECT 'set', CAST(city_id AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), CAST(1950 AS INT), 77.0 FROM {cities_gt} WHERE city_id % 10 = 4"
+
+
+def _index_pages(s, d):
+    """An index page for each region, with links to its nations' pages of towns, drafts among them."""
+    link = F.when(F.col("n_nationkey") % 5 == 0, "/draft/town/").otherwise("/town/")
+    item = F.concat(F.lit("<li><a href='"), link, F.col("n_nationkey").cast("string"), F.lit("'>x</a>"))
+    held = base(s, d, "nation").groupBy(F.col("n_regionkey").alias("page_id")).agg(F.concat_ws("", F.collect_list(item)).alias("html"))
+    return held.withColumn("url", F.lit("https://towns.example/index"))
+
+
+#: What a country's page says of its names.
+NAMES = "SELECT n_nationkey AS id, 'names' AS name, 'Variants: ' || n_name || '; ' || n_name || ' (old)' AS value FROM {nation}"
+
+
 def pipe_census_text(s, d):
-    """Tables of pages as records of towns, each with its place unless others share it, in units."""
-    records = pages.parse_census_table(web._cells(s, d), ["page_id"])
+    """Links of index pages, less drafts; the tables of the pages that they name; the countries' names from their fields; a
+    town's place unless others share it; all as series of ``town-country`` in units."""
+    links = pages.page_links(_index_pages(s, d), allow=["/town/"], deny=["/draft/"])
+    wanted = links.select(F.regexp_extract("link", r"(\d+)$", 1).cast("int").alias("page_id")).distinct()
+    read = pages.html_table_cells(web._town_pages(s, d).join(wanted, "page_id", "left_semi"))
+    records = materialise(pages.parse_census_table(read, ["page_id"]))
+    names = pages.populstat_fields(_on(NAMES)(s, d))[1].filter("pos = 0").select(F.col("id").alias("page_id"), F.col("other_name").alias("country"))
+    cities = records.join(names, "page_id").groupBy("country", "name").agg(F.map_from_entries(F.collect_list(F.struct("x", "y"))).alias("m"))
+    nested_ = cities.groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("cities"))
+    flat = pages.flatten_country_cities(nested_)
     places = entities.duplicate_coords(_on("SELECT city_id, lat, lng FROM {cities_gt}")(s, d), 0)
-    named = base(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("city_id"))
-    placed = records.join(named, "name").join(places, "city_id", "left")
-    return placed.select(F.concat_ws("-", "name", F.col("page_id").cast("string")).alias("key"), "x", (F.col("y") * 1000).alias("y"), "lat", "lng")
+    named = base(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("city_id")).join(places, "city_id")
+    return flat.withColumn("name", F.regexp_extract("key", "^(.*)-", 1)).join(named, "name", "left").select("key", "x", "y", "lat", "lng")
 
 
 def pipe_gdp_bands(s, d):
@@ -99,9 +167,15 @@ AT_YEAR = 1997
 
 
 def assign_polity_colours(s, d):
-    """Each polity's value: that of the cell at its middle, in the layer nearest to the middle of its years."""
+    """Each polity's value: that of the cell of its largest part that lies farthest from its border, in the layer nearest to the
+    middle of its years."""
     years = sorted(r["yr"] for r in cells(s, d).select("yr").distinct().collect())
-    middle = _on(POLITIES)(s, d).select("feature_id", "from_year", "to_year", F.floor((F.col("from_year") + F.col("to_year")) / 2).cast("int").alias("yr"), (F.floor(F.col("y0") + F.col("h") / 2) * WIDTH + F.floor(F.col("x0") + F.col("w") / 2)).cast("long").alias("idx"))
+    polities = _on(POLITIES)(s, d)
+    corners = F.array(*[F.struct(F.lit(i).alias("seq"), (F.col("x0") + dx * F.col("w")).cast("double").alias("x"), (F.col("y0") + dy * F.col("h")).cast("double").alias("y")) for i, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    covered = polygons.polygon_cells(polities.select("feature_id", F.explode(corners).alias("p")).select("feature_id", "p.*"), WIDTH, HEIGHT)
+    inner = regions.interior_pole(covered.withColumnRenamed("feature_id", "zone"), overlapping=True)
+    inner = inner.select(F.col("zone").alias("feature_id"), (F.col("r") * WIDTH + F.col("c")).cast("long").alias("idx"))
+    middle = polities.select("feature_id", "from_year", "to_year", F.floor((F.col("from_year") + F.col("to_year")) / 2).cast("int").alias("yr")).join(inner, "feature_id")
     there = cells(s, d).select(F.col("yr").alias("layer_year"), "idx", F.col("value").alias("sampled"))
     at = layers.nearest_year_layer(middle, years).join(there, ["layer_year", "idx"], "left")
     return at.select("feature_id", "from_year", "to_year", "layer_year", F.coalesce("sampled", F.lit(0.0)).alias("sampled"))
@@ -114,11 +188,21 @@ def pipe_polities(s, d):
 
 
 def pipe_live_events(s, d):
-    """Sightings to events, first sighting only, of the last ten days, in the order in which they are drawn."""
+    """Sightings to events, first sighting only; their log as lines, read back; every event's state as of a moment, with the
+    edits made by then; those of the ten days before, in the order in which they are drawn."""
     events = keyframes.geometry_events(_on(SIGHTINGS)(s, d))
-    recent = keyframes.recent_events(events, ASOF, 240.0)
     kind = F.when(F.col("lng") % 3 == 0, "polygon").when(F.col("lng") % 3 == 1, "line").otherwise("point")
-    return keyframes.draw_order(recent.withColumn("kind", kind), "kind", "seq").select("event_id", "date", "kind", "rank")
+    data = F.create_map(F.lit("kind"), kind, F.lit("region"), F.col("region"), F.lit("seq"), F.col("seq").cast("string"))
+    lines = events.select(entity_state.log_line(F.col("event_id"), F.lit("event"), F.col("date"), data).alias("value"))
+    read = materialise(entity_state.parse_log_lines(lines))
+    log = read.select("id", "date", F.lit(0).cast("long").alias("seq"), F.explode("data").alias("k", "v"))
+    # an hour after its sighting, events of one region turn out to be points
+    edits = read.filter(F.col("data")["region"] == "r3").select("id", (F.col("date") + F.expr("INTERVAL 1 HOUR")).alias("date"), F.lit(1).cast("long").alias("seq"), F.lit("kind").alias("k"), F.lit("point").alias("v"))
+    state = keyframes.resolve_slots(log.unionByName(edits).withColumn("slot", F.lit(1)), ASOF)
+    wide = state.groupBy("id").pivot("k", ["kind", "seq"]).agg(F.first("v"))
+    recent = keyframes.recent_events(read.select("id", "date").join(wide, "id"), ASOF, 240.0)
+    drawn = keyframes.draw_order(recent.withColumn("seq", F.col("seq").cast("long")), "kind", "seq")
+    return drawn.select(F.col("id").alias("event_id"), "date", "kind", "rank")
 
 
 VESSELS = "SELECT user_id, ts AS date, event_id, CAST(user_id % 360 - 180 AS DOUBLE) AS lng, CASE WHEN event_id % 8 = 0 THEN NULL ELSE CAST(user_id % 180 - 90 AS DOUBLE) END AS lat, 'vessel ' || CAST(user_id AS VARCHAR(12)) AS name, event_type AS flag FROM {events}"
@@ -153,7 +237,7 @@ def zone_step(name: str, prev: str, value: str) -> str:
 
 
 ROUNDED_UP = "COALESCE(CAST(ceil(p.value * scalar) AS DOUBLE), p.value)"
-ONLY_ZONES = "CASE WHEN z.zone IS NULL THEN 0.0 ELSE p.value * COALESCE(scalar, 1.0) END"
+ONLY_ZONES = f"CASE WHEN p.yr NOT BETWEEN {EXCLUSIVE[0]} AND {EXCLUSIVE[1]} THEN p.value WHEN z.zone IS NULL THEN 0.0 ELSE p.value * COALESCE(scalar, 1.0) END"
 
 
 def world_step(name: str, prev: str) -> str:
@@ -180,8 +264,9 @@ OUTLIERS = grid.AROUND.replace("FROM cells a", "FROM {cells} a").replace("JOIN c
 kept AS (SELECT nm.layer, nm.yr, CAST(nm.r * {WIDTH} + nm.c AS BIGINT) AS idx, CASE WHEN bad.r IS NOT NULL THEN COALESCE(f.value, 0.0) ELSE nm.value END AS value FROM nm LEFT JOIN bad USING (layer, yr, r, c) LEFT JOIN {{cells}} f ON f.layer = nm.layer AND f.yr + 1 = nm.yr AND f.r = nm.r AND f.c = nm.c)"""
 GEO = "CASE WHEN count(CASE WHEN y {0} 0 THEN 1 END) = 0 THEN 0 ELSE count(CASE WHEN y {0} 0 THEN 1 END) / count(y)::DOUBLE * exp(avg(CASE WHEN y {0} 0 THEN ln(abs(y)) END)) END"
 LINKED = f"WITH f AS (SELECT series_id, x, y FROM ({LATER}) WHERE linked AND y > 0 OR y = 0), h AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM f WINDOW w AS (PARTITION BY series_id ORDER BY x)), e AS (SELECT series_id, x, y FROM f UNION SELECT series_id, px + 1, 0.0 FROM h WHERE y = 0 AND py <> 0 UNION SELECT series_id, nx - 1, 0.0 FROM h WHERE y = 0 AND ny <> 0) SELECT series_id, x, y FROM e JOIN (SELECT series_id, min(x) AS lo, max(x) AS hi FROM e WHERE y <> 0 GROUP BY series_id) USING (series_id) WHERE x BETWEEN lo AND hi"
-POOLED = f"SELECT series_id, x, CAST(floor({GEO.format('>')} - {GEO.format('<')} + 0.5) AS DOUBLE) AS y FROM ({URBAN}) WHERE x <= 1990 GROUP BY series_id, x"
-COLOURED = f"""WITH p AS ({POLITIES}), q AS (SELECT feature_id, from_year, to_year, CAST(floor((from_year + to_year) / 2.0) AS INT) AS yr, CAST(floor(y0 + h / 2.0) * {WIDTH} + floor(x0 + w / 2.0) AS BIGINT) AS idx FROM p),
+POOLED_RAW = f"SELECT series_id, x, CAST(floor({GEO.format('>')} - {GEO.format('<')} + 0.5) AS DOUBLE) AS y FROM ({URBAN}) WHERE x <= 1990 GROUP BY series_id, x"
+POOLED = f"SELECT series_id, CAST(x AS INT) AS x, y FROM ({POOLED_RAW}) WHERE NOT (series_id % 10 = 3 AND x = 1970) AND NOT (series_id % 10 = 4 AND x = 1950) UNION ALL SELECT city_id AS series_id, CAST(1950 AS INT) AS x, CAST(77 AS DOUBLE) AS y FROM {{cities_gt}} WHERE city_id % 10 = 4"
+COLOURED = f"""WITH p AS ({POLITIES}), q AS (SELECT feature_id, from_year, to_year, CAST(floor((from_year + to_year) / 2.0) AS INT) AS yr, CAST(({HEIGHT} - y0 - h + least(w - 1, h - 1) // 2) * {WIDTH} + x0 + least(w - 1, h - 1) // 2 AS BIGINT) AS idx FROM p),
 n AS (SELECT feature_id, from_year, to_year, idx, CAST(arg_min(ly, abs(ly - yr) * 10000 + ly) AS INT) AS layer_year FROM q CROSS JOIN (SELECT DISTINCT yr AS ly FROM {{cells}}) GROUP BY ALL),
 o AS (SELECT feature_id, from_year, to_year, layer_year, COALESCE(v.value, 0.0) AS sampled FROM n LEFT JOIN {{cells}} v ON v.yr = layer_year AND v.idx = n.idx)"""
 
@@ -194,11 +279,11 @@ ORACLES = {
         + zone_step("zoned", "dealt", ROUNDED_UP) + ", " + zone_step("excl", "zoned", ONLY_ZONES) + ", " + domain_step("ranged", "excl") + ", " + world_step("done", "ranged") + " SELECT * FROM done",
         "pipe_outliers": OUTLIERS + ", " + NORTH + f", ex AS ({UNDER.format('{mask_cells}')} EXCEPT {UNDER.format('{kept_cells}')}), " + domain_step("scaled", "masked", "ex") + ", " + world_step("done", "scaled") + " SELECT * FROM done",
         "pipe_urban_union": curve_plans.fused_sql(POOLED, LINKED),
-        "pipe_census_text": f"WITH c AS ({web.RANKED}), r AS (SELECT page_id, name, 1890 AS x, CAST(replace(replace(a, '.', ''), ',', '.') AS DOUBLE) AS y FROM c UNION ALL SELECT page_id, name, 1900, CAST(b AS DOUBLE) FROM c WHERE b <> 'none'), p AS (SELECT city_id, CASE WHEN n = 1 THEN lat END AS lat, CASE WHEN n = 1 THEN lng END AS lng FROM (SELECT *, count(*) OVER (PARTITION BY round(lat, 0), round(lng, 0)) AS n FROM {{cities_gt}})) SELECT r.name || '-' || CAST(page_id AS VARCHAR) AS key, x, y * 1000 AS y, lat, lng FROM r JOIN {{customer}} ON c_name = r.name LEFT JOIN p ON p.city_id = c_custkey",
+        "pipe_census_text": f"WITH c AS ({web.RANKED}), r AS (SELECT page_id, name, 1890 AS x, CAST(replace(replace(a, '.', ''), ',', '.') AS DOUBLE) AS y FROM c UNION ALL SELECT page_id, name, 1900, CAST(b AS DOUBLE) FROM c WHERE b <> 'none'), p AS (SELECT city_id, CASE WHEN n = 1 THEN lat END AS lat, CASE WHEN n = 1 THEN lng END AS lng FROM (SELECT *, count(*) OVER (PARTITION BY round(lat, 0), round(lng, 0)) AS n FROM {{cities_gt}})) SELECT r.name || '-' || n_name AS key, x, y * 1000 AS y, lat, lng FROM r JOIN {{nation}} ON n_nationkey = page_id AND page_id % 5 <> 0 JOIN {{customer}} ON c_name = r.name LEFT JOIN p ON p.city_id = c_custkey",
         "pipe_gdp_bands": "SELECT yr, sum(value) AS total, count(*) AS n_cells FROM (SELECT idx, yr, CAST(ceil(sum(value) * 0.01::DOUBLE) AS DOUBLE) AS value FROM {cells} WHERE yr IN (1995, 1996, 1998) GROUP BY idx, yr) GROUP BY yr",
         "assign_polity_colours": COLOURED + " SELECT * FROM o",
         "pipe_polities": COLOURED + f" SELECT CAST({AT_YEAR} AS INT) AS yr, feature_id, layer_year, sampled FROM o WHERE {AT_YEAR} BETWEEN from_year AND to_year",
-        "pipe_live_events": f"WITH f AS (SELECT *, source || '_' || region || '_' || lower(printf('%x', abs(h))) AS event_id FROM (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(lng AS VARCHAR) || ',' || CAST(lat AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM ({SIGHTINGS})) QUALIFY row_number() OVER (PARTITION BY source, region, lng, lat ORDER BY date, seq) = 1) SELECT event_id, date, CASE lng % 3 WHEN 0 THEN 'polygon' WHEN 1 THEN 'line' ELSE 'point' END AS kind, CAST(lng % 3 AS INT) AS rank FROM f WHERE date >= TIMESTAMP '{ASOF}' - INTERVAL '240 hours'",
+        "pipe_live_events": f"WITH f AS (SELECT *, source || '_' || region || '_' || lower(printf('%x', abs(h))) AS event_id FROM (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(lng AS VARCHAR) || ',' || CAST(lat AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM ({SIGHTINGS})) QUALIFY row_number() OVER (PARTITION BY source, region, lng, lat ORDER BY date, seq) = 1), g AS (SELECT event_id, make_timestamp(epoch_us(date) // 1000 * 1000) AS date, region, lng FROM f), st AS (SELECT event_id, date, CASE WHEN region = 'r3' AND date + INTERVAL 1 HOUR <= TIMESTAMP '{ASOF}' THEN 2 ELSE lng % 3 END AS rank FROM g WHERE date <= TIMESTAMP '{ASOF}') SELECT event_id, date, CASE rank WHEN 0 THEN 'polygon' WHEN 1 THEN 'line' ELSE 'point' END AS kind, CAST(rank AS INT) AS rank FROM st WHERE date >= TIMESTAMP '{ASOF}' - INTERVAL '240 hours'",
         "pipe_vessels": f"SELECT event_id, lng, lat, name || ' (' || flag || ')' AS label FROM ({VESSELS}) WHERE date >= TIMESTAMP '{ASOF}' - INTERVAL '120 hours' AND lat IS NOT NULL",
     }.items()
 }

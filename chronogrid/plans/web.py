@@ -153,7 +153,7 @@ ORACLES = {
         "json_paths_objects": "SELECT p_partkey AS id, t.path, t.depth FROM {part} CROSS JOIN (VALUES ('a', 1, FALSE), ('a.b', 2, FALSE), ('a.b.c', 3, TRUE), ('a.b.c.d', 4, TRUE)) AS t(path, depth, deep) WHERE NOT deep OR p_size % 3 = 0",
         "json_value_at": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '{\"n\":' || CAST(p_size AS VARCHAR) || '}' END AS value, '[1,{\"n\":5}]' AS list FROM {part}",
         "json_depth": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 6 ELSE 3 END AS depth FROM {part}",
-        "flatten_sum_deep": "SELECT 'n' AS leaf, CAST(sum(p_size % 7 + CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END) AS DOUBLE) AS total FROM {part}",
+        "flatten_sum_deep": "SELECT 'n' AS leaf, CAST(sum(p_size % 7 + CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END) AS DOUBLE) AS total FROM {part} HAVING count(*) > 0",
         "cardinality_deep": "SELECT p_partkey AS id, CAST(3 + CASE WHEN p_size % 4 <> 0 AND p_size % 5 <> 0 THEN 2 ELSE 0 END AS INT) AS n FROM {part}",
         "nested_extrema": f"SELECT p_partkey AS id, list_min(v) AS low, list_max(v) AS high, list_sum(v) AS total, round(list_avg(v), 6) AS mean FROM ({CUBES})",
         "clean_deep": "SELECT p_partkey AS id, '[{\"x\":[' || array_to_string(list_filter([CASE WHEN p_size <> 0 THEN CAST(p_size AS VARCHAR) || '.0' END, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 3 AS VARCHAR) || '.0' END], lambda x: x IS NOT NULL), ',') || '],\"y\":[' || CASE WHEN p_partkey % 2 = 1 THEN '1.0' ELSE '' END || ']}' || CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 5 = 0 THEN ',{}' ELSE ',{\"z\":[' || CAST(p_size + 1 AS VARCHAR) || '.0]}' END || ']' AS cube FROM {part}",

@@ -51,7 +51,12 @@ def read_raster_images(spark: SparkSession, path: str, encoding: str = "uint32")
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """(layer, r, c, v) of text grids; values equal to the header's NODATA value are absent. The layer is the file's name."""
-    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/\\]+)\.[A-Za-z0-9]+$", 1).alias("layer"))
+    return parse_ascii_grids(spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")))
+
+
+def parse_ascii_grids(files: DataFrame) -> DataFrame:
+    """read_ascii_grid of texts (file, value)."""
+    text = files.select("value", F.regexp_extract("file", r"([^/\\]+)\.[A-Za-z0-9]+$", 1).alias("layer"))
     head = r"(?i)^\s*(?:ncols|nrows|xllcorner|yllcorner|xllcenter|yllcenter|cellsize|nodata_value)\s+\S+\s*$"
     nodata = F.coalesce(F.regexp_extract("value", r"(?im)^\s*nodata_value\s+(\S+)", 1).try_cast("double"), F.lit(NODATA))
     body = F.filter(F.split("value", r"\r?\n"), lambda x: ~F.rlike(x, F.lit(head)) & (F.trim(x) != ""))

@@ -18,7 +18,7 @@ KEYED = {"region", "nation", "customer", "supplier", "part", "events", "pages",
 OTHERWISE = {
     ("odd", "cardinality"): "null parts count 0", ("odd", "clean"): "null sizes are dropped", ("odd", "fx_string"): "joined texts are null",
     ("odd", "geometry_events"): "a null source is passed over in the id", ("odd", "html_table_cells"): "a null name makes no row of the page",
-    ("odd", "parse_census_table"): "as html_table_cells", ("odd", "most_populous_match"): "a null query matches nothing",
+    ("odd", "parse_census_table"): "as html_table_cells", ("odd", "pipe_census_text"): "a country without a name has no towns", ("odd", "most_populous_match"): "a null query matches nothing",
     ("odd", "populstat_fields"): "a null value has no names", ("odd", "read_csv_grouped"): "a column of nulls has an empty list",
     ("odd", "read_entity_log"): "a null line is left out", ("odd", "ridge_fit"): "rows with a null label are left out too",
     ("empty", "ridge_fit"): "all 0", ("empty", "condition_number"): "0", ("empty", "drop_high_vif"): "nothing is dropped",
