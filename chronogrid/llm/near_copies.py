@@ -1,9 +1,14 @@
 """Near copies by Jaccard similarity of word shingles, found by wide SimHash fingerprints.
 
-A text has a fingerprint of 128 bits over its distinct shingles. Texts of similarity 0.8 differ in 15 % of the bits on
-average (19.4, deviation 4.1). Candidates meet where they agree on one of ``TABLES`` samples of ``SAMPLED`` bits, and are
-linked if they differ in at most ``MAX_BITS`` bits; unrelated texts differ in 64. In every component of these links the
-shingle sets themselves are compared, and only similarity >= 0.8 links two texts.
+A word is what stands between white space; of scripts written without spaces each character is one. Texts with the same set
+of shingles are one node, by 128 bits of the set. A node has a fingerprint of ``BITS`` bits over its shingles: similarity
+0.8 differs in 15 % of the bits on average (39, deviation 5.7), unrelated texts in half. Candidates meet where they agree on one
+of several samples of the bits, and are linked if they differ in at most ``MAX_BITS``. The samples hold more bits the more
+nodes there are, so that a bucket has four unrelated nodes on average at every size, and there are as many as ``RECALL`` asks
+for; two unrelated nodes differ in so few bits with probability 3e-12, and meet then in fewer than one case of ten: at 10^9
+nodes that is 0.0002 chance links a node. So what hangs together by these links does so by texts that are alike, and only
+there the shingle sets themselves are compared: similarity >= 0.8 links two texts. A bucket of over ``BLOCK`` nodes is dealt
+in blocks, two at a time.
 
 A component with up to ``SLICE`` distinct shingles is compared by one task. A larger one is dealt in slices: its texts are
 compared with ``REFERENCES`` of them and then with as many of its most central texts, which gives each text a table of its
@@ -14,7 +19,9 @@ distance in any coordinate is discarded before that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,19 +30,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import connected_components, free_name
+from chronogrid.llm.decontaminate import UNSPACED
 from chronogrid.shared import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, SAMPLED, TABLES, MAX_BITS = 128, 14, 64, 32
+BITS, MAX_BITS = 256, 72
+#: Share of the bits in which texts of similarity 0.8 agree, and of such pairs that are to meet in some bucket.
+AGREE, RECALL = 0.8485, 0.995
+#: Nodes of a bucket that one task holds of each side.
+BLOCK = 2048
+#: Divided buckets whose list is sent to all tasks; a longer list is joined.
+BROADCAST_ROWS = 1 << 17
 #: Shingles of a component that one task compares; larger components are dealt in slices of about so many.
 SLICE = 1 << 16
 #: Texts of a large component that all its texts are compared with: so many by their hash, so many by their place.
 REFERENCES = 16
 #: Rows of a bucket up to which all its pairs are compared, and given, at once.
 SMALL = 32
-_RNG = np.random.default_rng(20250)
-SAMPLES = np.stack([_RNG.choice(BITS, SAMPLED, replace=False) for _ in range(TABLES)])
+ONE_CHARACTER = re.compile(f"([{UNSPACED}])")
+WORDS = ("a", "b", "c", "d")
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
@@ -46,37 +60,77 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
     return set(map(b" ".join, zip(*[words[i:] for i in range(shingle)])))
 
 
-def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    """Two signed halves: a bit is 1 if set in over half of the distinct shingles' hashes."""
-    parts = shingle_set(text, shingle)
-    if not parts:
-        return 0, 0
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), dtype=np.uint8).reshape(-1, BITS // 8)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.uint16)
-    a, b = np.packbits(2 * ones > len(h)).view("<i8")
-    return int(a), int(b)
+def script_shingles(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
+    """shingle_set() where each character of a script written without spaces is a word."""
+    if text and ONE_CHARACTER.search(text):
+        text = ONE_CHARACTER.sub(r" \1 ", text)
+    return shingle_set(text, shingle)
 
 
-def _fingerprints(text, shingle: int):
-    @F.pandas_udf("struct<a:long,b:long>")
+def wide_fingerprint(parts: set[bytes]) -> np.ndarray:
+    """Words of a fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+    ones, n, held = np.zeros(BITS, dtype=np.int64), len(parts), []
+    digest = xxhash.xxh3_128_digest
+
+    def count() -> None:
+        h = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, BITS // 8)
+        np.add(ones, np.unpackbits(h, axis=1).sum(axis=0, dtype=np.uint16), out=ones)
+        held.clear()
+
+    for s in parts:
+        held += (digest(s, 0), digest(s, 1))
+        if len(held) == 1 << 15:
+            count()
+    if held:
+        count()
+    return np.packbits(2 * ones > n).view("<i8")
+
+
+def _prints(text, shingle: int):
+    """The set's 128 bits (high, low) and its fingerprint (a, b, c, d)."""
+    names = ("high", "low", *WORDS)
+
+    @F.pandas_udf(f"struct<{','.join(f'{n}:long' for n in names)}>")
     def column(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["a", "b"], dtype=np.int64)
+        def row(text: str | None) -> tuple:
+            parts = script_shingles(text, shingle)
+            set_hash = np.frombuffer(xxhash.xxh3_128_digest(_hashes(parts).tobytes()), dtype=">i8")
+            return (*map(int, set_hash), *map(int, wide_fingerprint(parts)))
+
+        return pd.DataFrame([row(t) for t in texts], columns=names, dtype=np.int64)
 
     return column(text)
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each table: bucket holds the table and the sampled bits."""
-    power = 1 << np.arange(SAMPLED, dtype=np.int64)
-    for pdf in batches:
-        for at in range(0, len(pdf), 2048):
-            part = pdf.iloc[at : at + 2048]
-            halves = np.ascontiguousarray(part[["a", "b"]].to_numpy(dtype="<i8"))
-            bits = np.unpackbits(halves.view(np.uint8).reshape(len(part), -1), axis=1)
-            bucket = np.stack([bits[:, s].astype(np.int64) @ power + (t << SAMPLED) for t, s in enumerate(SAMPLES)], axis=1)
-            yield pd.DataFrame({"bucket": bucket.ravel(), **{c: np.repeat(part[c].to_numpy(), TABLES) for c in ("a", "b", "node")}})
+def _hashes(parts: set[bytes]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(x) for x in parts], dtype=np.uint64)).view(np.int64)
+
+
+def samples_for(nodes: int, recall: float = RECALL) -> np.ndarray:
+    """The sampled bits of each table, for so many nodes."""
+    sampled = min(44, max(14, math.ceil(math.log2(max(nodes, 1))) - 2))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**sampled))
+    rng = np.random.default_rng(20250)
+    return np.stack([rng.choice(BITS, sampled, replace=False) for _ in range(tables)])
+
+
+def _buckets(samples: np.ndarray, whole: bool) -> Callable:
+    """A row for each table: bucket holds the table and the sampled bits. Without ``whole`` nothing else is given."""
+    tables, sampled = samples.shape
+    power = 1 << np.arange(sampled, dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at : at + 2048]
+                words = np.ascontiguousarray(part[list(WORDS)].to_numpy(dtype="<i8"))
+                bits = np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1)
+                bucket = np.stack([bits[:, s].astype(np.int64) @ power + (t << sampled) for t, s in enumerate(samples)], axis=1)
+                rest = ("node", *WORDS) if whole else ()
+                yield pd.DataFrame({"bucket": bucket.ravel(), **{c: np.repeat(part[c].to_numpy(), tables) for c in rest}})
+
+    return run
 
 
 def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +156,7 @@ def _forest(bits: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
         root, frontier, open_ = open_[0], [open_[0]], open_[1:]
         while frontier and len(open_):
             f = frontier.pop()
-            near = np.bitwise_count(bits[open_] ^ bits[f]).sum(axis=1) <= MAX_BITS
+            near = np.bitwise_count(bits[open_] ^ bits[f]).sum(axis=1, dtype=np.int64) <= MAX_BITS
             if near.any():
                 new = open_[near]
                 out.append(np.stack([nodes[new], np.full(len(new), nodes[root])], axis=1))
@@ -112,39 +166,40 @@ def _forest(bits: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges within every bucket, one for each node at most, to the least node of its group there; rows come sorted by bucket
-    and node. Groups that meet in many buckets so have the same edges again and again, which are one edge."""
+    """Edges within every deal (bucket and two of its blocks), one for each node at most, to the least node of its group there;
+    rows come sorted by deal and node. Groups that meet in many buckets so have the same edges again and again, which are one."""
+    keys = ["bucket", "i", "j"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, nodes = pdf["bucket"].to_numpy(), pdf["node"].to_numpy()
-        bits = pdf[["a", "b"]].to_numpy(np.int64).view(np.uint64)
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[start, len(v)])
+        key, nodes = pdf[keys].to_numpy(), pdf["node"].to_numpy()
+        bits = pdf[list(WORDS)].to_numpy(np.int64).view(np.uint64)
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
         edges, pairs = [np.zeros((0, 2), np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        left = np.repeat(np.where(size <= SMALL, start + size, 0), size) - np.arange(len(v))
+        left = np.repeat(np.where(size <= SMALL, start + size, 0), size) - np.arange(len(key))
         for step in range(1, SMALL):
             i = np.flatnonzero(left > step)
             if not len(i):
                 break
-            near = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1) <= MAX_BITS]
+            near = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64) <= MAX_BITS]
             pairs.append((near, near + step))
-        x, y = _stars(*(np.concatenate(p) for p in zip(*pairs, strict=True)), len(v))
+        x, y = _stars(*(np.concatenate(p) for p in zip(*pairs, strict=True)), len(key))
         edges.append(np.stack([nodes[x], nodes[y]], axis=1))
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             edges.extend(_forest(bits[s : s + n], nodes[s : s + n]))
         return pd.DataFrame(np.concatenate(edges), columns=["x", "y"])
 
-    rest: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        last = pdf["bucket"] == pdf["bucket"].iloc[-1]
-        rest = pdf[last]
-        yield solve(pdf[~last])
-    if rest is not None:
-        yield solve(rest)
+        last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+        if not last.all() or (held and (held[-1][keys].iloc[-1] != pdf[keys].iloc[-1]).any()):
+            yield solve(pd.concat([*held, pdf[~last]], ignore_index=True))
+            held = []
+        held.append(pdf[last])
+    if held:
+        yield solve(pd.concat(held, ignore_index=True))
 
 
 def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,8 +219,7 @@ def _shingles(text, shingle: int):
 
     @F.pandas_udf("array<long>")
     def column(texts: pd.Series) -> pd.Series:
-        digest = xxhash.xxh3_64_intdigest
-        return pd.Series([np.unique(np.array([digest(x) for x in shingle_set(t, shingle)], dtype=np.uint64).view(np.int64)) for t in texts])
+        return pd.Series([_hashes(script_shingles(t, shingle)) for t in texts])
 
     return column(text)
 
@@ -236,34 +290,53 @@ def _between_groups(similarity: float):
 def keep_one_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for every group of texts linked by Jaccard similarity >= 0.8 of 5-word shingles.
 
-    The row kept is the first by (id, null last; hash of the text; hash of the row), so it is the same in every run, whatever
-    other rows share its id. Texts without words are one text. Equal texts are one by a 64-bit hash.
+    The row kept is the first by (id, null last; hash of the row), so it is the same in every run, whatever other rows share
+    its id. Texts without words, null ones too, are one text; so are texts with the same shingles. Rows and sets are told apart by
+    128 bits.
     """
-    node, row = free_name(docs, "copy_node"), free_name(docs, "copy_row")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = [free_name(docs, n) for n in ("copy_row", "copy_row_too")]
     told = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    keyed = docs.select("*", F.when(F.trim(text) == "", 0).otherwise(F.xxhash64(text)).alias(node), F.xxhash64(*told).alias(row))
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(row).alias("row"))
-    seen = _fingerprints(F.col(text_col), SHINGLE)
-    held = materialise(keyed.select(rank.alias("rank"), seen.alias("seen")).select("rank", "seen.*"))
-    prints = held.select(F.col("rank.node").alias("node"), "rank", "a", "b")
-    best = materialise(prints.groupBy("node").agg(F.min("rank").alias("rank"), F.min("a").alias("a"), F.min("b").alias("b")))
+    keyed = docs.select("*", *[F.xxhash64(F.lit(i), *told).alias(r) for i, r in enumerate(rows)])
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.col(r).alias(f"row{i}") for i, r in enumerate(rows)])
+    held = materialise(keyed.select(rank.alias("rank"), _prints(F.col(text_col), SHINGLE).alias("seen")).select("rank", "seen.*"))
+    sets = held.groupBy("high", "low").agg(F.min("rank").alias("rank"), *[F.min(w).alias(w) for w in WORDS])
+    best = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "rank", *WORDS))
 
     def rows_of(ranks: DataFrame) -> DataFrame:
         """The rows of docs with these ranks, one each."""
-        wanted = ranks.select(F.col("rank.node").alias(node), F.col("rank.row").alias(row))
-        return keyed.join(wanted, [node, row], "left_semi").dropDuplicates([node, row])
+        wanted = ranks.select(*[F.col(f"rank.row{i}").alias(r) for i, r in enumerate(rows)])
+        return keyed.join(wanted, rows, "left_semi").dropDuplicates(rows)
+
+    def texts_of(ranks: DataFrame) -> DataFrame:
+        wanted = ranks.select("node", *[F.col(f"rank.row{i}").alias(r) for i, r in enumerate(rows)])
+        node = free_name(docs, "copy_node")
+        return rows_of(ranks).join(wanted.withColumnRenamed("node", node), rows).select(F.col(node).alias("node"), F.col(text_col).alias("text"))
 
-    groups = materialise(_groups(best, lambda ranks: rows_of(ranks).select(F.col(node).alias("node"), F.col(text_col).alias("text"))))
+    groups = materialise(_groups(best, texts_of))
     first = best.join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("rank").alias("rank"))
     return rows_of(first).select(*docs.columns)
 
 
-def _groups(best: DataFrame, texts_of) -> DataFrame:
-    """(node, group) of the texts that are near copies of one with a smaller node. best: (node, rank, a, b)."""
+def _groups(best: DataFrame, texts_of: Callable, block: int = BLOCK) -> DataFrame:
+    """(node, group) of the texts that are near copies of one with a smaller node. best: (node, rank, a, b, c, d)."""
     n = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = best.select("node", "a", "b").mapInPandas(_buckets, "bucket long, a long, b long, node long")
-    edges = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInPandas(_links, "x long, y long")
+    samples = samples_for(best.count())
+    prints = best.select("node", *WORDS)
+    words = ", ".join(f"{w} long" for w in WORDS)
+    rows = prints.mapInPandas(_buckets(samples, True), f"bucket long, node long, {words}")
+    counts = prints.mapInPandas(_buckets(samples, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    hot = materialise(counts.filter(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).alias("deals")))
+    number = hot.count()
+    zero = F.lit(0).cast("long")
+    if number:
+        rows = rows.join(F.broadcast(hot) if number <= BROADCAST_ROWS else hot, "bucket", "left")
+        rows = rows.withColumn("own", F.when(F.col("deals").isNull(), zero).otherwise(F.pmod(F.xxhash64("node"), F.col("deals"))))
+        rows = rows.withColumn("with", F.explode(F.sequence(zero, F.coalesce(F.col("deals") - 1, zero))))
+        rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", *WORDS)
+    else:
+        rows = rows.select("bucket", zero.alias("i"), zero.alias("j"), "node", *WORDS)
+    keys = ["bucket", "i", "j"]
+    edges = rows.repartition(n, *keys).sortWithinPartitions(*keys, "node").mapInPandas(_links, "x long, y long")
     edges = edges.repartition(n, "x").sortWithinPartitions("x", "y").mapInPandas(_contracted, "x long, y long")
     parts = materialise(connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     texts = texts_of(best.join(parts, "node", "left_semi")).select("node", _shingles(F.col("text"), SHINGLE).alias("set"))

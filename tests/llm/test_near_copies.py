@@ -98,3 +98,37 @@ def test_large_components_are_compared_in_slices_like_all_pairs(spark):
     for slice_ in (100, 700, 10**6):
         got = {r["node"]: r["group"] for r in _exact_groups(held, slice_).collect()}
         assert got == want, slice_
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(13)
+    han = [chr(0x4E00 + k) for k in range(2000)]
+    a = "".join(rng.choice(han) for _ in range(800))
+    b = a[:400] + "\u3042" + a[401:]
+    c = "".join(rng.choice(han) for _ in range(800))
+    assert [i for _, i, _ in kept(spark, [(1, a), (2, b), (3, c), (4, c + "\u3042")])] == [1, 3]
+
+
+def test_texts_without_words_and_equal_sets_are_one(spark):
+    assert kept(spark, [(1, "\n"), (2, "\t"), (3, ""), (4, "A b"), (5, "a  B\n")]) == [(False, 1, "\n"), (False, 4, "A b")]
+
+
+def test_buckets_grow_with_the_nodes():
+    from chronogrid.llm.near_copies import AGREE, samples_for
+
+    for nodes, bits in ((0, 14), (10**5, 15), (10**9, 28)):
+        tables, sampled = samples_for(nodes).shape
+        assert sampled == bits and 1 - (1 - AGREE**sampled) ** tables >= 0.995
+
+
+def test_divided_buckets_give_the_same_groups(spark, monkeypatch):
+    from chronogrid.llm import near_copies
+
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(20_000)}" for _ in range(200)]
+    rows = [(i, " ".join([*base[: 7 * i % 190], f"edit{i}", *base[7 * i % 190 + 1 :]])) for i in range(120)] + [(1000 + i, f"another text number {i} of its own kind") for i in range(50)]
+    want = kept(spark, rows)
+    monkeypatch.setattr(near_copies._groups, "__defaults__", (10,))
+    assert kept(spark, rows) == want and len(want) == 51
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    assert kept(spark, rows) == want
