@@ -1,11 +1,14 @@
-"""Benchmark decontamination: gapped n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Every three words in a row of a test item are a seed. A document's words meet the seeds (a map-side join) where the three
-stand in a row or with one other word between two of them. A passage of similarity 0.6 or more always holds one: without,
-its runs of unchanged words cost as much as they win, which gives 0.5 and 1 / length at most. Up to ``SHORT`` words that is
-not enough, and two words in a row are a seed. Passages around seeds that hold enough of the item's words are aligned
-with it word by word, and what aligns well enough is a leak. Test items are held in blocks of a bounded size; more items
-mean more passes over the documents.
+"""Benchmark decontamination: rare gapped n-gram seeds find passages, Smith-Waterman alignment scores them.
+
+Three words in a row of a test item are an n-gram. A document's words meet the n-grams (a map-side join) where the three
+stand in a row or with one other word between two of them, and Spark counts the documents that hold each. An item's seeds
+are its rarest n-grams: as many of the most frequent ones are left out as a leak can spare. A passage of similarity t or
+more loses at most 2 (1 - t) of the item's length in n-grams, since a word that is changed or missing costs 3 points of
+2 for each word and breaks 3 n-grams, a word at an end 2 points and 1, and two words put in 2 points and 2; so of the m - 2
+n-grams at least (2 t - 1) m - 2 are left, and one fewer may be left out. Items of up to ``SHORT`` words have pairs of words as
+n-grams, and all of them are seeds. Documents that lack the words of an item are passed over; in others the passages
+around seeds that hold enough of its words are aligned with it word by word, and what aligns well enough is a leak. Test
+items are held in blocks of a bounded size; more items mean more passes over the documents.
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronogrid.llm.common import free_name
+from chronogrid.shared import materialise
+
 #: Items of fewer words leak only as a whole: all their words, in a row.
 N = 4
 #: Items up to so many words have pairs of words as seeds, longer ones threes.
@@ -53,8 +59,20 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    #: the numbers of words of the seeds
+    #: the numbers of words of the n-grams
     kinds: tuple[int, ...]
+    #: of each entry, whether it is a seed of its item
+    seed: np.ndarray
+
+    def choose_seeds(self, documents: np.ndarray, threshold: float) -> None:
+        """Leave out each item's n-grams that the most documents hold, as far as a leak can spare them."""
+        seen = np.repeat(documents, np.diff(self.first))
+        order = np.lexsort((self.place, -seen, self.item))
+        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
+        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        spared = np.where(sizes > SHORT, np.ceil(np.round((2 * threshold - 1) * sizes - 2, 9)).astype(np.int64) - 1, 0)
+        self.seed = np.ones(len(self.item), dtype=bool)
+        self.seed[order] = rank >= spared[self.item[order]]
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -110,7 +128,7 @@ def load_items(rows: list[tuple[int, str]]) -> Items:
     h, it, pl = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item, place))
     order = np.lexsort((pl, it, h))
     grams, first = np.unique(h[order], return_index=True)
-    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order], pl[order], tuple(sorted(kinds)))
+    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order].astype(np.int64), pl[order].astype(np.int64), tuple(sorted(kinds)), np.ones(len(h), dtype=bool))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -138,42 +156,64 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int, int]]:
-    """The best leak of each item in a text."""
+def _near(gram: np.ndarray, where: np.ndarray, items: Items, enough: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, sorted places where it would begin) of each item with seeds in a text, of those that enough words are there of. A text
+    and an item share memory for one item at a time, however often a seed stands in both."""
+    order = np.argsort(gram, kind="stable")
+    gram, where = gram[order], where[order]
+    grams, start = np.unique(gram, return_index=True)
+    end = np.r_[start[1:], len(gram)]
+    reps = items.first[grams + 1] - items.first[grams]
+    at = np.repeat(items.first[grams], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    own = np.repeat(np.arange(len(grams)), reps)
+    kept = items.seed[at] & enough[items.item[at]]
+    at, own = at[kept], own[kept]
+    order = np.argsort(items.item[at], kind="stable")
+    at, own = at[order], own[order]
+    item, cut, n = np.unique(items.item[at], return_index=True, return_counts=True)
+    for k, lo, hi in zip(item, cut, cut + n, strict=True):
+        places = [where[start[g] : end[g]] - items.place[e] for e, g in zip(at[lo:hi], own[lo:hi], strict=True)]
+        yield int(k), np.sort(np.concatenate(places))
+
+
+def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD, hits: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, int]]:
+    """The best leak of each item in a text. hits: places << 32 | numbers of its n-grams, if they are known."""
+    if hits is not None and not len(hits):
+        return []
     codes = items.codes(text)
-    where, gram = items.hits(codes)
+    where, gram = items.hits(codes) if hits is None else (hits >> 32, hits & 0xFFFFFFFF)
     if not len(where):
         return []
+    there = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+    there[codes] = True
+    # an item's words that the text has, of those items alone that have a seed in it
     reps = items.first[gram + 1] - items.first[gram]
-    at = np.repeat(items.first[gram], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    item, begin = items.item[at], np.repeat(where, reps) - items.place[at]
-    order = np.lexsort((begin, item))
-    item, begin = item[order], begin[order]
+    grams = np.unique(gram)
+    met = np.unique(np.concatenate([items.item[items.first[g] : items.first[g + 1]] for g in grams])) if reps.sum() else np.zeros(0, np.int64)
+    enough = np.zeros(len(items.ids), dtype=bool)
+    enough[[k for k in met if there[items.words[k]].sum() >= threshold * len(items.words[k])]] = True
     out: dict[int, tuple] = {}
-    i = 0
-    while i < len(item):
-        k, words = item[i], items.words[item[i]]
+    for k, begin in _near(gram, where, items, enough):
+        words = items.words[k]
         if len(words) < N:  # matched whole
-            if 0 <= begin[i] <= len(codes) - len(words) and k not in out and np.array_equal(codes[begin[i] : begin[i] + len(words)], words):
-                out[k] = (int(items.ids[k]), MATCH * len(words), 1.0, int(begin[i]), int(begin[i]) + len(words), len(words))
-            i += 1
+            for at in begin:
+                if 0 <= at <= len(codes) - len(words) and np.array_equal(codes[at : at + len(words)], words):
+                    out[k] = (int(items.ids[k]), MATCH * len(words), 1.0, int(at), int(at) + len(words), len(words))
+                    break
             continue
         # so many words may be skipped in all between two seeds of one passage
         slack = max(4, math.ceil(2 * (1 - threshold) * len(words)))
-        j = i + 1
-        while j < len(item) and item[j] == k and begin[j] - begin[j - 1] <= slack:
-            j += 1
-        lo, hi = max(0, begin[i] - slack), min(len(codes), begin[j - 1] + len(words) + slack)
-        passage = codes[lo:hi]
-        # each word of an item wins MATCH at most, so a leak holds that share of its words
-        if np.isin(words, passage).sum() < threshold * len(words):
-            i = j
-            continue
-        score, a, b = align(words, passage)
-        similarity = score / (MATCH * len(words))
-        if similarity >= threshold and (k not in out or score > out[k][1]):
-            out[k] = (int(items.ids[k]), score, float(similarity), int(lo + a), int(lo + b), int(j - i))
-        i = j
+        cuts = np.r_[0, np.flatnonzero(np.diff(begin) > slack) + 1, len(begin)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = max(0, begin[i] - slack), min(len(codes), begin[j - 1] + len(words) + slack)
+            passage = codes[lo:hi]
+            # each word of an item wins MATCH at most, so a leak holds that share of its words
+            if np.isin(words, passage).sum() < threshold * len(words):
+                continue
+            score, a, b = align(words, passage)
+            similarity = score / (MATCH * len(words))
+            if similarity >= threshold and (k not in out or score > out[k][1]):
+                out[k] = (int(items.ids[k]), score, float(similarity), int(lo + a), int(lo + b), int(j - i))
     return sorted(out.values())
 
 
@@ -187,23 +227,47 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
         yield [(r["id"], r["text"]) for r in part.orderBy("id").collect()]
 
 
+def _hitting(held):
+    """The n-grams of a text that some item holds: places << 32 | numbers."""
+
+    @F.pandas_udf("array<long>")
+    def look(texts: pd.Series) -> pd.Series:
+        def own(text: str | None) -> np.ndarray:
+            where, gram = held.value.hits(held.value.codes(text))
+            return where.astype(np.int64) << 32 | gram
+
+        return pd.Series([own(t) for t in texts], dtype=object)
+
+    return look
+
+
 def _looking_for(held, threshold: float):
     @F.pandas_udf(LEAK)
-    def look(texts: pd.Series) -> pd.Series:
-        return pd.Series([leaks_in(t, held.value, threshold) for t in texts], dtype=object)
+    def look(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([leaks_in(t, held.value, threshold, np.asarray(h, dtype=np.int64)) for t, h in zip(texts, hits, strict=True)], dtype=object)
 
     return look
 
 
-def leak_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> Column:
-    """For each document the array of its leaks; empty for a null text."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with the array of each one's leaks; empty for a null text. The n-grams that a document shares with items are written
+    with it, so that its words are read once more only where it has some."""
+    context = docs.sparkSession.sparkContext
+    blocks = [items for items in map(load_items, item_blocks(benchmark, item_id, item_text, block_words)) if items.ids]
+    names = [free_name(docs, f"leak_hits_{i}") for i in range(len(blocks))]
+    sent = [context.broadcast(items) for items in blocks]
+    held = materialise(docs.select("*", *[_hitting(b)(F.col(text_col)).alias(n) for b, n in zip(sent, names, strict=True)])) if blocks else docs
     found = []
-    for rows in item_blocks(benchmark, item_id, item_text, block_words):
-        items = load_items(rows)
-        if not items.ids:
-            continue
-        found.append(_looking_for(docs.sparkSession.sparkContext.broadcast(items), threshold)(F.col(text_col)))
-    return F.flatten(F.array(*found)) if found else F.array().cast(LEAK)
+    for items, name in zip(blocks, names, strict=True):
+        grams = held.select(F.explode(F.array_distinct(F.transform(name, lambda x: x.bitwiseAND(0xFFFFFFFF)))).alias("gram"))
+        counts = grams.groupBy("gram").agg(F.count("*").alias("n")).toPandas()
+        documents = np.zeros(len(items.grams), dtype=np.int64)
+        documents[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        items.choose_seeds(documents, threshold)
+        chosen = context.broadcast(items)
+        found.append(_looking_for(chosen, threshold)(F.when(F.size(name) > 0, F.col(text_col)), F.col(name)))
+    leaks_of = F.flatten(F.array(*found)) if found else F.array().cast(LEAK)
+    return held.select(*docs.columns, leaks_of.alias(leaks))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -211,10 +275,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     best passage (of equal ones the first). Null texts and items without a word have no leak; items of fewer than N words leak
     only whole. A repeated row gives repeated leaks; long texts are searched whole; an empty table or benchmark gives an empty
     result; an id column that is named like a column of the result is an error."""
-    out = docs.select(id_col, leak_column(docs, benchmark, text_col, **options).alias("_leaks"))
+    out = with_leaks(docs.select(id_col, text_col), benchmark, "_leaks", text_col, **options)
     return out.select(id_col, F.explode("_leaks").alias("_leak")).select(id_col, "_leak.*")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that leak a test item; the rest unchanged."""
-    return docs.filter(F.size(leak_column(docs, benchmark, text_col, **options)) == 0)
+    leaks = free_name(docs, "leaks")
+    return with_leaks(docs, benchmark, leaks, text_col, **options).filter(F.size(leaks) == 0).select(*docs.columns)
