@@ -43,7 +43,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section td".split())
 SKIPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input math menu nav noscript object script search select style svg template textarea title".split()
+    "aside button canvas datalist dialog footer head iframe input math menu nav noscript object script search select style svg template textarea title".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: An opening tag ends an open one of these before it, up to the given holder.
@@ -60,6 +60,14 @@ MARKS = frozenset(
     "reply respond search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar tooltip topbar "
     "tracking widget".split()
 )
+#: Those of them that stand in other names too: in a compound class inside an article they need to be its last word, or the
+#: element to hold no running text.
+COMMON_WORDS = frozenset(
+    "alert banner disclaimer form hidden legal menu modal notice notices overlay promotion recommend recommended related reply respond search share "
+    "sharing skip social toc tracking widget".split()
+)
+#: Running characters from which a form is one around a page.
+FORM_TEXT = 400
 HEAD_MARKS = frozenset(["header", "pageheader", "siteheader"])
 #: Last words of a class that name the article itself, whatever stands before them.
 ARTICLE_HEADS = frozenset("article body content entry main post story text".split())
@@ -82,6 +90,9 @@ class Node:
     block: Node | None = None
     container: Node | None = None
     article: Node | None = None
+    #: the nearest element from here up that counts only if it holds so many characters of running text, and that number
+    doubt: Node | None = None
+    needs: int = 0
 
 
 def shortened(text: str, limit: int) -> str:
@@ -100,6 +111,19 @@ def marked(value: str) -> frozenset[str]:
     return frozenset(found)
 
 
+@lru_cache(1 << 14)
+def doubtful(value: str) -> frozenset[str]:
+    """The words that mark a class, id or role only as part of a compound that ends in another word."""
+    found, sure = set(), set()
+    for token in value.split():
+        words = [w.lower() for w in WORDS.findall(token)]
+        if words and not (len(words) > 1 and words[-1] in ARTICLE_HEADS):
+            common = COMMON_WORDS & set(words[:-1]) if token.lower() not in MARKS else set()
+            found |= common
+            sure |= ({*words, token.lower()} & MARKS) - common
+    return frozenset(found - sure if not sure else ())
+
+
 @dataclass
 class Page(HTMLParser):
     """Blocks of text, each with the container that holds it."""
@@ -121,6 +145,28 @@ class Page(HTMLParser):
         self.feed(self.html)
         self.close()
         self._end_block()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Leave out the blocks of doubtful elements without enough running text."""
+        if not any(n.needs for n in self.nodes):
+            return
+        running: Counter[int] = Counter()
+        for node, text, linked in self.blocks:
+            at = node.doubt
+            while at is not None and len(text) - 2 * linked >= RUNNING:
+                running[at.order] += len(text) - linked
+                at = at.parent.doubt if at.parent else None
+
+        def counts(node: Node) -> bool:
+            at = node.doubt
+            while at is not None:
+                if running[at.order] < at.needs:
+                    return False
+                at = at.parent.doubt if at.parent else None
+            return True
+
+        self.blocks = [b for b in self.blocks if counts(b[0])]
 
     def __hash__(self) -> int:
         return id(self)
@@ -183,14 +229,19 @@ class Page(HTMLParser):
         within = up.within or tag in ("article", "main")
         marks = frozenset().union(*(marked(held[k]) for k in ("class", "id", "role") if k in held))
         skip = up.skipped or tag in SKIPPED or hidden or "display:none" in held.get("style", "").replace(" ", "").lower()
+        needs = FORM_TEXT if tag == "form" else 0
         if tag not in ("body", "article", "main"):
-            skip = skip or bool(marks & MARKS) or not within and (tag == "header" or bool(marks & HEAD_MARKS))
+            named = marks & MARKS
+            if named and within and named <= frozenset().union(*(doubtful(held[k]) for k in ("class", "id", "role") if k in held)):
+                needs, named = max(needs, RUNNING), frozenset()
+            skip = skip or bool(named) or not within and (tag == "header" or bool(marks & HEAD_MARKS))
         classes = sorted({DIGITS.sub("", c) for c in held.get("class", "").lower().split()} - {""})
         label = shortened(".".join([tag, *classes]), LONG_LABEL)
         node = Node(tag, up, label, skip, within, up.link or tag == "a", f"{shortened(up.path, LONG_PATH)}/{label}", order=len(self.nodes))
         node.block = node if tag in BLOCK else up.block
         node.container = node if tag in CONTAINER else up.container
         node.article = node if tag in ("article", "main") else up.article
+        node.needs, node.doubt = needs, node if needs else up.doubt
         self.open[tag] += 1
         self.nodes.append(node)
         self.at = node
@@ -264,6 +315,12 @@ class Page(HTMLParser):
             up = up.parent.container
             if running[up.order] > running[found.order]:
                 found = up
+        # a heading beside it, or a line without links after or before, belongs to it
+        up = found.parent.container if found.parent and found.tag not in ("article", "main", "body") else None
+        if up is not None and up.tag not in ("body", "html") and up.parent:
+            beside = [(at, linked) for at, _, linked in self.blocks if at.container is up]
+            if any(at.tag in ("h1", "h2") for at, _ in beside) and not any(linked for _, linked in beside):
+                found = up
         return found
 
     def texts_at(self, least: float) -> dict[str, list[tuple[int, int]]]:
@@ -342,7 +399,9 @@ def host_paths(parsed: DataFrame, host: str, page: str, elected: float = ELECTED
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages without the html, with text, n_chars and path.
 
-    Each page is parsed once, into a written table of its blocks. Character references are decoded; white space in a block is
+    Each page is parsed once, into a written table of its blocks. A form is left out unless it holds so much running text as a page
+    does; so is what a class's words mark, but inside an article words that have other meanings mark a compound class only as its
+    last word, or where the element has no running text. Character references are decoded; white space in a block is
     one space; blocks are joined in page order by one space. Null or empty html has an empty text and a null path; a null url
     has the empty host and votes with its like; equal votes go by path; repeated rows stay; long pages are read whole; an
     empty table gives an empty result; columns with the names given here are replaced.

@@ -71,3 +71,33 @@ def test_odd_pages_and_clashing_names(spark):
     assert sorted(got.text) == ["", "", "", "a & b c", "a & b c", "a & b c", "plain text"] or sorted(got.text) == ["", "", "<", "a & b c", "a & b c", "a & b c", "plain text"]
     assert (got.n_chars == got.text.map(len)).all() and {"_seen", "extract_host", "extract_seen", "host"} <= set(got.columns)
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_articles_with_ambiguous_names_forms_and_short_lines(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(12):
+        parts = [prose(rng, 60) for _ in range(6)]
+        blocks = "".join(f'<div class="{c}"><p>{t}</p></div>' for c, t in zip(("legal-analysis", "related-work", "form-factor", "share-price"), parts, strict=False))
+        marks = '<div class="share-buttons">Share it</div><div class="related-posts"><a href="/x">More of it</a></div><div class="comments"><p>' + prose(rng, 40) + "</p></div>"
+        rows.append((i, "http://names.example/a", f"<body><article><p>{parts[4]}</p>{blocks}{marks}</article></body>"))
+        want[i] = " ".join([parts[4], *parts[:4]])
+        rows.append((100 + i, "http://form.example/a", f'<body><form action="/"><input name="state"><div class="nav">menu</div><div class="page"><h1>Title {i}</h1><p>{parts[0]}</p><p>{parts[1]}</p></div><form><label>Mail</label><input></form></form></body>'))
+        want[100 + i] = f"Title {i} {parts[0]} {parts[1]}"
+        rows.append((200 + i, "http://post.example/a", f'<body><div class="top"><a href="/">Home</a></div><div class="post"><h1>Head {i}</h1><div class="body"><p>{parts[2]}</p><p>{parts[3]}</p></div><p>The end.</p></div><div class="low">All rights</div></body>'))
+        want[200 + i] = f"Head {i} {parts[2]} {parts[3]} The end."
+        rows.append((300 + i, "http://mail.example/a", f'<body><article><p>{parts[5]}</p><form><p>Write to us and we will send you all that is new on this page, once a week and never more.</p><input></form></article></body>'))
+        want[300 + i] = parts[5]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and set(got) == set(want)
+
+
+def test_a_hot_host_by_the_joined_votes(spark, monkeypatch):
+    from chronogrid.llm import html_extract
+
+    rng = random.Random(22)
+    rows = [(i, "http://hot.example/a" if i % 4 else f"http://h{i % 7}.example/", f'<body><div class="wrap"><div class="story-x"><p>{prose(rng, 60)}</p></div></div><div class="offers"><p>{prose(rng, 20)}</p></div></body>') for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, extract_pages(df).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, extract_pages(df).collect())) == want
