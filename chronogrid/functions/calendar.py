@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: fixed values: leap years before Christ beside the rule (every third year from -45 to -9)
 EARLY_LEAPS = [-45, -42, -39, -36, -33, -30, -27, -24, -21, -18, -15, -12, -9]
+#: The days of the months in years that are no leap years.
 MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 DAY = 24 * 60
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---- fixed values: sRGB to XYZ (D65), the reference white, and the weights of luminance
+# ---- fixed values: sRGB to XYZ (D65), the reference white, and the weights of luminance; below, the standard's curves of
+# brightness and of Lab, and the weights of colour difference
 TO_XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
 WHITE = (0.95047, 1.0, 1.08883)
 LUMINANCE = (0.2126, 0.7152, 0.0722)

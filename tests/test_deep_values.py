@@ -170,3 +170,11 @@ def test_newest_files_first(spark, tmp_path):
     for day, ids in (("2001.01.01", "ab"), ("2001.01.02", "cd")):
         (tmp_path / day).write_text("\n".join(f'{i} {{"type":"t","date":{n},"data":{{}}}}' for n, i in enumerate(ids)) + "\nbroken\n")
     assert [r["id"] for r in entity_state.read_newest_first(spark, str(tmp_path)).collect()] == ["d", "c", "b", "a"]
+
+
+def test_images_by_their_ending(spark):
+    from chronogrid.functions.strings import is_image
+
+    told = {"https://x/a.png": True, "http://x.svg": True, "https://.png": False, "https://x/a.PNG": False, "ftp://x/a.png": False, "x/a.png": False, "https://x/a.png?y": False, "https://x/png": False, "https://": False, "": False}
+    df = spark.createDataFrame([(k,) for k in told], "t string").select("t", is_image(F.col("t")).alias("is"))
+    assert {r["t"]: r["is"] for r in df.collect()} == told
