@@ -6,7 +6,6 @@ bounded by ``max_ranges``.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,8 +164,3 @@ def shard_by_bytes(
         (F.col("slot") - F.get(long_array(starts), F.col("shard"))).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def shard_index(boundaries: list, key) -> int:
-    """Where a key falls among sorted boundaries; the driver's twin of the search in the plan."""
-    return bisect_right(boundaries, key)
