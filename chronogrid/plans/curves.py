@@ -81,6 +81,18 @@ mean AS (SELECT series_id, x, CASE WHEN y > other AND other <> 0 THEN (y + other
 SELECT series_id, x, CAST(floor(y + 0.5) AS DOUBLE) AS y FROM z UNION ALL SELECT series_id, x, CAST(y AS DOUBLE) FROM gts WHERE series_id NOT IN (SELECT series_id FROM own)"""
 
 
+def spline_sql(samples: str, asked: str) -> str:
+    """The oracle of the spline: the tridiagonal system solved down and up by recursion over the samples' numbers."""
+    return f"""WITH RECURSIVE g AS (SELECT series_id, x, CAST(y AS DOUBLE) AS y, ln(CASE WHEN y > 0 THEN y ELSE 1e-6 END) AS l, row_number() OVER (PARTITION BY series_id ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM ({samples})),
+d AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, CAST(lead(x) OVER w - x AS DOUBLE) AS h, (lead(l) OVER w - l) / (lead(x) OVER w - x) AS s FROM g WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+eqs AS (SELECT * FROM (SELECT series_id, i, n, lag(h) OVER w AS h0, h AS h1, 2 * (lag(h) OVER w + h) AS b, 6 * (s - lag(s) OVER w) AS r FROM d WINDOW w AS (PARTITION BY series_id ORDER BY x)) WHERE i BETWEEN 1 AND n - 2),
+down AS (SELECT series_id, i, n, h1, b, r FROM eqs WHERE i = 1 UNION ALL SELECT q.series_id, q.i, q.n, q.h1, q.b - q.h0 / w.b * q.h0, q.r - q.h0 / w.b * w.r FROM down w JOIN eqs q ON q.series_id = w.series_id AND q.i = w.i + 1),
+up AS (SELECT series_id, i, r / b AS m FROM down WHERE i = n - 2 UNION ALL SELECT w.series_id, w.i, (w.r - w.h1 * u.m) / w.b FROM up u JOIN down w ON w.series_id = u.series_id AND w.i = u.i - 1),
+whole AS (SELECT d.*, COALESCE(a.m, 0) AS m0, COALESCE(c.m, 0) AS m1 FROM d LEFT JOIN up a ON a.series_id = d.series_id AND a.i = d.i LEFT JOIN up c ON c.series_id = d.series_id AND c.i = d.i + 1),
+new AS (SELECT q.series_id, q.x, exp(l + (q.x - w.x) * (s - h * (2 * m0 + m1) / 6 + (q.x - w.x) * (m0 / 2 + (q.x - w.x) * (m1 - m0) / (6 * h)))) AS v, w.y, w.y1 FROM (SELECT DISTINCT series_id, x FROM ({asked})) q JOIN whole w ON w.series_id = q.series_id AND q.x > w.x AND q.x < w.x1),
+curve AS (SELECT series_id, CAST(x AS INT) AS x, y FROM g UNION ALL SELECT series_id, CAST(x AS INT) AS x, least(greatest(v, least(y, y1)), greatest(y, y1)) AS y FROM new)"""
+
+
 LAYERS = """WITH k AS (SELECT * FROM {cells} WHERE yr IN (1995, 1998, 2001)), pr AS (SELECT * FROM (VALUES (1996, 1995, 1998), (2002, 1998, 2001)) AS t(t, x0, x1)),
 e AS (SELECT layer, t, x0, x1, idx, COALESCE(max(CASE WHEN yr = x0 THEN value END), 0) AS y0, COALESCE(max(CASE WHEN yr = x1 THEN value END), 0) AS y1 FROM k JOIN pr ON yr IN (x0, x1) GROUP BY layer, t, x0, x1, idx)
 SELECT layer, t AS yr, idx, CAST(greatest(ceil(CASE WHEN y0 > 0 AND y1 > 0 AND t > x1 THEN y1 * exp(ln(y1 / y0) / (x1 - x0) * (t - x1)) ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END), 0) AS DOUBLE) AS value FROM e"""
@@ -88,6 +100,7 @@ SELECT layer, t AS yr, idx, CAST(greatest(ceil(CASE WHEN y0 > 0 AND y1 > 0 AND t
 ORACLES = {
     k: oracle(sql)
     for k, sql in {
+        "spline_interpolate": spline_sql("SELECT * FROM {series_gt}", "SELECT * FROM {series_rr}") + " SELECT series_id, x, round(y, 6) AS y FROM curve",
         "lagrange_interpolate": "WITH t AS (SELECT DISTINCT series_id, x AS t FROM {series_rr}), f AS (SELECT t.series_id, t.t, o.x, any_value(o.y) AS y, COALESCE(product(CASE WHEN q.x <> o.x THEN (t.t - q.x)::DOUBLE / (o.x - q.x) END), 1) AS p FROM t JOIN {series_gt} o ON o.series_id = t.series_id JOIN {series_gt} q ON q.series_id = t.series_id GROUP BY t.series_id, t.t, o.x) SELECT series_id, t AS x, round(sum(y * p), 4) AS y FROM f GROUP BY series_id, t",
         "interpolate_gt": "WITH " + anchored("{series_gt}", "{series_rr}") + " SELECT series_id, x, round(y, 6) AS y FROM z",
         "expand_value": f"WITH f AS ({FLAT}), h AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM f WINDOW w AS (PARTITION BY series_id ORDER BY x)) SELECT series_id, x, y FROM f UNION SELECT series_id, px + 1, 0.0 FROM h WHERE y = 0 AND py <> 0 UNION SELECT series_id, nx - 1, 0.0 FROM h WHERE y = 0 AND ny <> 0",

@@ -270,6 +270,8 @@ COLOURED = f"""WITH p AS ({POLITIES}), q AS (SELECT feature_id, from_year, to_ye
 n AS (SELECT feature_id, from_year, to_year, idx, CAST(arg_min(ly, abs(ly - yr) * 10000 + ly) AS INT) AS layer_year FROM q CROSS JOIN (SELECT DISTINCT yr AS ly FROM {{cells}}) GROUP BY ALL),
 o AS (SELECT feature_id, from_year, to_year, layer_year, COALESCE(v.value, 0.0) AS sampled FROM n LEFT JOIN {{cells}} v ON v.yr = layer_year AND v.idx = n.idx)"""
 
+WORLD_POOLED = f"SELECT 0 AS series_id, x, {GEO.format('>')} - {GEO.format('<')} AS y FROM (SELECT x, y FROM {{series_gt}} UNION ALL SELECT x - 5 AS x, y FROM {{series_rr}}) GROUP BY x"
+
 ORACLES = {
     k: oracle(sql)
     for k, sql in {
@@ -280,6 +282,7 @@ ORACLES = {
         "pipe_outliers": OUTLIERS + ", " + NORTH + f", ex AS ({UNDER.format('{mask_cells}')} EXCEPT {UNDER.format('{kept_cells}')}), " + domain_step("scaled", "masked", "ex") + ", " + world_step("done", "scaled") + " SELECT * FROM done",
         "pipe_urban_union": curve_plans.fused_sql(POOLED, LINKED),
         "pipe_census_text": f"WITH c AS ({web.RANKED}), r AS (SELECT page_id, name, 1890 AS x, CAST(replace(replace(a, '.', ''), ',', '.') AS DOUBLE) AS y FROM c UNION ALL SELECT page_id, name, 1900, CAST(b AS DOUBLE) FROM c WHERE b <> 'none'), p AS (SELECT city_id, CASE WHEN n = 1 THEN lat END AS lat, CASE WHEN n = 1 THEN lng END AS lng FROM (SELECT *, count(*) OVER (PARTITION BY round(lat, 0), round(lng, 0)) AS n FROM {{cities_gt}})) SELECT r.name || '-' || n_name AS key, x, y * 1000 AS y, lat, lng FROM r JOIN {{nation}} ON n_nationkey = page_id AND page_id % 5 <> 0 JOIN {{customer}} ON c_name = r.name LEFT JOIN p ON p.city_id = c_custkey",
+        "pipe_world_totals": curve_plans.spline_sql(WORLD_POOLED, f"SELECT 0 AS series_id, unnest(range(CAST(min(x) AS BIGINT), CAST(max(x) AS BIGINT) + 1)) AS x FROM ({WORLD_POOLED})") + " SELECT x AS yr, floor(y * 1e6 + 0.5) AS total FROM curve",
         "pipe_gdp_bands": "SELECT yr, sum(value) AS total, count(*) AS n_cells FROM (SELECT idx, yr, CAST(ceil(sum(value) * 0.01::DOUBLE) AS DOUBLE) AS value FROM {cells} WHERE yr IN (1995, 1996, 1998) GROUP BY idx, yr) GROUP BY yr",
         "assign_polity_colours": COLOURED + " SELECT * FROM o",
         "pipe_polities": COLOURED + f" SELECT CAST({AT_YEAR} AS INT) AS yr, feature_id, layer_year, sampled FROM o WHERE {AT_YEAR} BETWEEN from_year AND to_year",
