@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chronogrid.operators import raster, scaling
@@ -50,7 +52,17 @@ def _fallback(spark, sf):
     return _cells(spark, sf).withColumn("yr", F.col("yr") + 1)
 
 
+def _field(spark, sf):
+    """A grid that grows with the tables, its zones and the control totals."""
+    return view(spark, sf, "field_values"), view(spark, sf, "field_zones"), _control(spark, sf)
+
+
 QUERIES = {
+    "scale_to_zones_field": lambda s, d: scaling.scale_to_zones(*_field(s, d)),
+    "scale_to_global_field": lambda s, d: scaling.scale_to_global(_field(s, d)[0], _totals(s, d)),
+    "zonal_stats_field": lambda s, d: scaling.zonal_stats(*_field(s, d)[:2]),
+    "neighbour_mean_field": lambda s, d: _rounded(raster.neighbour_mean(_field(s, d)[0]), "neighbour_mean"),
+    "replace_outliers_field": lambda s, d: raster.replace_outliers(_field(s, d)[0], _field(s, d)[0].withColumn("yr", F.col("yr") + 1), k=8.0),
     "scale_to_zones": lambda s, d: scaling.scale_to_zones(*_three(s, d)),
     "scale_to_zones_exclusive": lambda s, d: _rounded(scaling.scale_to_zones_exclusive(*_three(s, d)), "value"),
     "scale_to_global": lambda s, d: scaling.scale_to_global(_cells(s, d), _totals(s, d)),
@@ -69,7 +81,19 @@ QUERIES = {
 }
 
 ALL = ("cells", "zones", "control")
+
+
+def on_field(sql: str) -> str:
+    """A statement over cells and zones, over the grid that grows."""
+    return with_views(re.sub(r"\bzones\b", "field_zones", re.sub(r"\bcells\b", "field_values", sql)), "field_values", "field_zones", "control")
+
+
 ORACLES = {
+    "scale_to_zones_field": on_field(SCALED.format(value="COALESCE(CAST(ceil(value * scalar) AS DOUBLE), value)")),
+    "scale_to_global_field": on_field(TOTALS + "SELECT layer, yr, idx, CASE WHEN target IS NULL THEN value ELSE CAST(ceil(value * CASE WHEN total = 0 THEN 1.0 ELSE target / total END) AS DOUBLE) END AS value FROM cells JOIN ls USING (layer, yr) LEFT JOIN totals USING (yr)"),
+    "zonal_stats_field": on_field("SELECT layer, yr, zone, SUM(value) AS total, COUNT(*) AS n_cells FROM cells JOIN zones USING (idx) GROUP BY layer, yr, zone"),
+    "neighbour_mean_field": on_field(AROUND + " SELECT layer, yr, r, c, value, round(neighbour_mean, 6) AS neighbour_mean FROM nm"),
+    "replace_outliers_field": on_field(AROUND + f", bad AS (SELECT layer, yr, r, c FROM nm WHERE {IS_OUTLIER.replace('2 * neighbour', '8 * neighbour')}) SELECT nm.layer, nm.yr, nm.r, nm.c, CASE WHEN bad.r IS NOT NULL THEN COALESCE(f.value, 0.0) ELSE nm.value END AS value FROM nm LEFT JOIN bad USING (layer, yr, r, c) LEFT JOIN cells f ON f.layer = nm.layer AND f.yr + 1 = nm.yr AND f.r = nm.r AND f.c = nm.c"),
     "scale_to_zones": with_views(SCALED.format(value="COALESCE(CAST(ceil(value * scalar) AS DOUBLE), value)"), *ALL),
     "scale_to_zones_exclusive": with_views(
         "WITH all_cells AS (" + SCALED.format(value="round(CASE WHEN zones.zone IS NULL THEN 0.0 ELSE value * COALESCE(scalar, 1.0) END, 6)") + ") SELECT layer, yr, idx, value FROM all_cells", *ALL

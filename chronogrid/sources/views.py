@@ -31,6 +31,8 @@ VIEWS = {
     # a grid of about as many cells as lineitem has rows, with classes of ragged borders, open cells and gaps
     "field_side": "SELECT CAST(floor(sqrt(COUNT(*))) AS BIGINT) AS side FROM {lineitem}",
     "field_cells": "SELECT r, c, CAST(CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN -1 ELSE floor((r + (c * c) % 7) * 8.0 / side) * 10 + floor((c + (r * r) % 5) * 9.0 / side) END AS INT) AS zone FROM (SELECT DISTINCT CAST(l_orderkey % side AS INT) AS r FROM {lineitem} CROSS JOIN {field_side}) AS a CROSS JOIN (SELECT DISTINCT CAST((l_orderkey + l_linenumber) % side AS INT) AS c FROM {lineitem} CROSS JOIN {field_side}) AS b CROSS JOIN {field_side} WHERE (r * 7 + c * 13) % 37 <> 0",
+    "field_values": "SELECT 'pop' AS layer, yr, r, c, CAST(r AS BIGINT) * 100000 + c AS idx, CAST((r * 31 + c * 17 + yr) % 89 + CASE WHEN (r * 13 + c * 7) % 211 = 0 THEN 4000 ELSE 0 END AS DOUBLE) AS value FROM {field_cells} CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS yr FROM {orders} WHERE year(o_orderdate) IN (1995, 1996)) AS years",
+    "field_zones": "SELECT 'region' AS mask, CAST(r AS BIGINT) * 100000 + c AS idx, CAST(floor((r + (c * c) % 7) * 4.0 / side) AS INT) AS zone FROM {field_cells} CROSS JOIN {field_side} WHERE floor((r + (c * c) % 7) * 4.0 / side) < 3",
     # classes of several parts, and of blocks that touch at corners
     "island_cells": "SELECT r, c, CAST(CASE WHEN zone < 0 THEN zone ELSE zone % 3 END AS INT) AS zone FROM {class_cells}",
     "class_cells": "SELECT DISTINCT r, c, CAST(CASE WHEN idx % 9 = 0 THEN -1 WHEN idx % 31 = 0 THEN -2 ELSE floor(r / 8.0) * 10 + floor(c / 9.0) END AS INT) AS zone FROM {cells}",
