@@ -57,7 +57,7 @@ def pipe_landuse(s, d):
 def pipe_anthropogenic(s, d):
     """The mean of aligned layers, paired with another, dealt the world's totals, then scaled by zone in three ways and at last
     to the world."""
-    grids = cells(s, d)
+    grids = materialise(cells(s, d))
     mean = frames.layer_mean([grids, grids.filter("idx % 2 = 0"), grids.filter("idx % 3 = 0")])
     paired = masks.layer_pair_mean(mean, grids.filter("idx % 5 <> 0"), (1995, 1999), (1997, 2001)).withColumn("layer", F.lit("pop"))
     dealt = materialise(scaling.distribute_total(paired, _on(WORLD)(s, d)))
