@@ -162,19 +162,20 @@ def simhash_components(
 ) -> DataFrame:
     """docs' columns without the text, with fingerprint (16 hex digits) and component_id.
 
-    component_id is the smallest id reachable over links of at most max_bits differing bits. Null and wordless texts
-    have fingerprint zero and link like others; rows with a null id get the component of their fingerprint, null if no
-    row of it has an id; repeated rows stay; an empty table gives an empty result; columns with the names given here are
+    component_id is the smallest id reachable over links of at most max_bits differing bits; ids may be of any type that has
+    an order. Null and wordless texts have fingerprint zero and link like others; rows with a null id get the component of
+    their fingerprint, null if no row reachable has an id; repeated rows stay; an empty table gives an empty result; columns with the names given here are
     replaced.
     """
     made = ("fingerprint", "component_id")
     keep = [c for c in docs.columns if c.lower() not in made and c != text_col]
     bits, node = free_name(docs, "simhash_bits"), free_name(docs, "simhash_node")
     held = materialise(docs.select(*keep, fingerprint_column(F.col(text_col), shingle).alias(bits)))
-    prints = materialise(held.groupBy(F.col(bits).alias("bits")).agg(F.min(F.col(id_col).cast("long")).alias("node")))
-    parts = connected_components(link_fingerprints(prints.filter("node is not null"), max_bits))
-    classes = prints.join(parts, "node", "left").select(
-        F.col("bits").alias(bits), F.coalesce("component", "node").alias(node)
-    )
+    prints = held.groupBy(F.col(bits).alias("bits")).agg(F.min(id_col).alias("id"))
+    prints = materialise(prints.withColumn("node", F.monotonically_increasing_id()))
+    parts = connected_components(link_fingerprints(prints.select("bits", "node"), max_bits))
+    classes = prints.join(parts, "node", "left").select("bits", "id", F.coalesce("component", "node").alias("component"))
+    least = classes.groupBy("component").agg(F.min("id").alias(node))
+    classes = classes.join(least, "component").select(F.col("bits").alias(bits), node)
     out = held.join(classes, bits)
     return out.select(*keep, F.lpad(F.lower(F.hex(F.col(bits))), 16, "0").alias("fingerprint"), F.col(node).alias("component_id"))

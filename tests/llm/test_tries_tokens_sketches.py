@@ -275,3 +275,11 @@ def test_sketches_tell_similarities_apart():
         bits = int(np.bitwise_count((sketch(x) ^ sketch(y)).view(np.uint64)).sum())
         expected = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - (x == y).mean())))
         assert abs(bits - expected) < 45 and (bits <= MAX_BITS) == within
+
+
+def test_fingerprint_components_of_text_ids(spark):
+    from chronogrid.llm.simhash import simhash_components
+
+    rows = [("b", "the same few words here"), ("a", "The same few WORDS here"), ("c", "quite another text about something else"), (None, None), ("z", "")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), (None, "z"), ("z", "z")}
