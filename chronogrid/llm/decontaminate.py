@@ -61,8 +61,9 @@ class Items:
     place: np.ndarray
     #: the numbers of words of the n-grams
     kinds: tuple[int, ...]
-    #: of each entry, whether it is a seed of its item
+    #: of each entry, whether it is a seed of its item; of each n-gram, whether it is one of some item
     seed: np.ndarray
+    live: np.ndarray
 
     def choose_seeds(self, documents: np.ndarray, threshold: float) -> None:
         """Leave out each item's n-grams that the most documents hold, as far as a leak can spare them."""
@@ -73,6 +74,7 @@ class Items:
         spared = np.where(sizes > SHORT, np.ceil(np.round((2 * threshold - 1) * sizes - 2, 9)).astype(np.int64) - 1, 0)
         self.seed = np.ones(len(self.item), dtype=bool)
         self.seed[order] = rank >= spared[self.item[order]]
+        self.live = np.logical_or.reduceat(self.seed, self.first[:-1]) if len(self.grams) else self.live
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -128,7 +130,7 @@ def load_items(rows: list[tuple[int, str]]) -> Items:
     h, it, pl = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, item, place))
     order = np.lexsort((pl, it, h))
     grams, first = np.unique(h[order], return_index=True)
-    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order].astype(np.int64), pl[order].astype(np.int64), tuple(sorted(kinds)), np.ones(len(h), dtype=bool))
+    return Items(ids, words, vocabulary, grams.astype(np.uint64), np.r_[first, len(h)].astype(np.int64), it[order].astype(np.int64), pl[order].astype(np.int64), tuple(sorted(kinds)), np.ones(len(h), dtype=bool), np.ones(len(grams), dtype=bool))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -178,8 +180,10 @@ def _near(gram: np.ndarray, where: np.ndarray, items: Items, enough: np.ndarray)
 
 def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD, hits: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, int]]:
     """The best leak of each item in a text. hits: places << 32 | numbers of its n-grams, if they are known."""
-    if hits is not None and not len(hits):
-        return []
+    if hits is not None:
+        hits = hits[items.live[hits & 0xFFFFFFFF]]
+        if not len(hits):  # the text need not be read
+            return []
     codes = items.codes(text)
     where, gram = items.hits(codes) if hits is None else (hits >> 32, hits & 0xFFFFFFFF)
     if not len(where):
