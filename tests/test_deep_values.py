@@ -158,8 +158,10 @@ def test_states_are_forgotten(spark, tmp_path):
             end = time.time() + 60
             while len(seen) < n and time.time() < end:
                 time.sleep(0.5)
+            # a batch without rows lets the timers run out
+            while k and time.time() < end and (query.lastProgress or {"batchId": 0})["batchId"] < 1:
+                time.sleep(0.5)
             if k:
-                time.sleep(5)
                 add(k)
     finally:
         query.stop()
