@@ -38,23 +38,33 @@ def _columns(keys: list[str]):
     """Rows come sorted by (keys, c, r): of each column the nearest source of every row that asks."""
     by = [*keys, "c"]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        told = pdf["sc"].notna().to_numpy()
-        asked = pdf[~told]
-        if asked.empty or not told.any():
-            return asked.iloc[:0].assign(sr=0, d2=0)
-        rows, sc = pdf["r"].to_numpy()[told], pdf["sc"].to_numpy()[told].astype(np.int64)
-        gaps = (sc - int(pdf["c"].iloc[0])) ** 2
+    def solve(c: int, rows: np.ndarray, sc: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
+        rows, asked = rows[told], rows[~told]
+        sc = sc[told].astype(np.int64)
+        gaps = (sc - c) ** 2
         held, start = _envelope(rows.tolist(), gaps.tolist())
-        best = np.array(held)[np.searchsorted(start, asked["r"].to_numpy(), "right") - 1]
-        return asked.assign(sr=rows[best], sc=sc[best], d2=gaps[best] + (asked["r"].to_numpy() - rows[best]) ** 2)
+        best = np.array(held)[np.searchsorted(start, asked, "right") - 1]
+        return rows[best], sc[best], gaps[best] + (asked - rows[best]) ** 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def given() -> pd.DataFrame:
-            parts = [solve(part) for _, part in pd.concat(held, ignore_index=True).groupby(by, sort=False)]
-            return pd.concat(parts, ignore_index=True)[[*keys, "r", "c", "sr", "sc", "d2"]]
+            pdf = pd.concat(held, ignore_index=True)
+            r, c, sc = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["sc"].to_numpy(dtype=float, na_value=np.nan)
+            told, new = ~np.isnan(sc), np.zeros(len(pdf), dtype=bool)
+            for k in by:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = np.r_[0, np.flatnonzero(new), len(pdf)]
+            out = np.full((len(pdf), 3), -1, dtype=np.int64)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if told[lo:hi].any() and not told[lo:hi].all():
+                    at = lo + np.flatnonzero(~told[lo:hi])
+                    out[at, 0], out[at, 1], out[at, 2] = solve(int(c[lo]), r[lo:hi], sc[lo:hi], told[lo:hi])
+            found = ~told & (out[:, 2] >= 0)
+            made = pdf.loc[found, [*keys, "r", "c"]].assign(sr=out[found, 0], sc=out[found, 1], d2=out[found, 2])
+            return made[[*keys, "r", "c", "sr", "sc", "d2"]]
 
         for pdf in batches:
             if pdf.empty:
