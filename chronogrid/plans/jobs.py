@@ -29,7 +29,7 @@ SAMPLED, MISSING, ZONED_UNTIL = (1995, 1998, 2001), [1996, 1999], 1998
 WORLD = "SELECT yr, sum(target) * 2 AS target FROM {control} GROUP BY yr"
 
 
-def _text_grids(s, d):
+def text_grids(s, d):
     """(file, value): the sampled years' cells as text grids, a line a row, with -9999 where there is no cell."""
     held = cells(s, d).filter(F.col("yr").isin(*SAMPLED)).groupBy("yr", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("m"))
     row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(-9999.0)).cast("string")), " ")
@@ -46,7 +46,7 @@ EXCLUSIVE = (1996, 2023)
 
 def pipe_landuse(s, d):
     """Sampled layers from text grids, the missing years between them, zone totals up to a year, world totals in all."""
-    grids = readers.parse_ascii_grids(_text_grids(s, d))
+    grids = readers.parse_ascii_grids(text_grids(s, d))
     known = layers.ascii_grid_to_cells(grids).select(F.lit("pop").alias("layer"), F.regexp_extract("layer", r"(\d+)$", 1).cast("int").alias("yr"), (F.col("r") * WIDTH + F.col("c")).cast("long").alias("idx"), "value")
     known = materialise(known)
     full = materialise(known.unionByName(series.interpolate_layers(known, MISSING)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogrid.plans import control, curves, frames, grid, history, jobs, records, scalars, state, tables, web
+from chronogrid.plans import control, curves, files, frames, grid, history, jobs, records, scalars, state, tables, web
 
 FLAGSHIP = "scale_to_zones"
-MODULES = (grid, history, records, frames, control, tables, curves, state, web, scalars, jobs)
+MODULES = (grid, history, records, frames, control, tables, curves, state, web, scalars, jobs, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

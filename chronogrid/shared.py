@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared folder; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    store, place = _stored(spark, path)
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 

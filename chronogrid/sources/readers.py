@@ -50,8 +50,10 @@ def read_raster_images(spark: SparkSession, path: str, encoding: str = "uint32")
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(layer, r, c, v) of text grids; values equal to the header's NODATA value are absent. The layer is the file's name."""
-    return parse_ascii_grids(spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")))
+    """(layer, r, c, v) of text grids; values equal to the header's NODATA value are absent. The layer is the file's name, or that
+    of its folder ``layer=name``."""
+    files = spark.read.text(path, wholetext=True)
+    return parse_ascii_grids(files.select("value", F.concat("layer", F.lit(".asc")).alias("file") if "layer" in files.columns else F.input_file_name().alias("file")))
 
 
 def parse_ascii_grids(files: DataFrame) -> DataFrame:
@@ -82,15 +84,22 @@ def read_nested_series_json(spark: SparkSession, path: str, scalar: float = 1.0)
 
 
 GEOMETRY = "struct<type:string,coordinates:string>"
-FEATURE = f"array<struct<properties:map<string,string>,geometry:{GEOMETRY}>>"
-
-
-def read_features_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Features (feature_id, properties, kind) and vertices (feature_id, part, ring, seq, x, y) of a folder of polygon files.
-    feature_id is file name and place, so that it does not depend on how files are read."""
-    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/\\]+)$", 1).alias("file"))
-    parsed = F.from_json("value", f"struct<features:{FEATURE}>")
-    held = text.select("file", F.posexplode(parsed["features"]).alias("n", "f")).select(F.concat_ws("#", "file", "n").alias("feature_id"), "f.properties", "f.geometry")
+FEATURE = f"struct<properties:map<string,string>,geometry:{GEOMETRY}>"
+
+
+def read_features_geojson(spark: SparkSession, path: str, lines: bool = False, id_property: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Features (feature_id, properties, kind) and vertices (feature_id, part, ring, seq, x, y) of a folder of polygon files:
+    collections, or with lines a feature a line, as write_features_geojson leaves them. feature_id is file name and place, so that
+    it does not depend on how files are read; or the named property, which lines need. Lines that are no JSON are left out."""
+    if lines and not id_property:
+        raise ValueError("a file of lines has no fixed places: name the property that holds a feature's id")
+    if lines:
+        found = spark.read.text(path).select(F.from_json("value", FEATURE).alias("f")).filter("f.geometry is not null").withColumn("place", F.lit(None).cast("string"))
+    else:
+        text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/\\]+)$", 1).alias("file"))
+        parsed = F.from_json("value", f"struct<features:array<{FEATURE}>>")
+        found = text.select("file", F.posexplode(parsed["features"]).alias("n", "f")).select("f", F.concat_ws("#", "file", "n").alias("place"))
+    held = found.select((F.col("f.properties")[id_property] if id_property else F.col("place")).alias("feature_id"), "f.properties", "f.geometry")
     points = "array<array<array<array<double>>>>"
     shapes = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json("geometry.coordinates", "array<array<array<double>>>"))).when(F.col("geometry.type") == "MultiPolygon", F.from_json("geometry.coordinates", points))
     parts = held.select("feature_id", F.posexplode(shapes).alias("part", "rings"))

@@ -163,3 +163,14 @@ def test_unknown_names_in_equations_are_errors(spark):
         tables.operate_frames(df, df, {"x": "a$missing + 1"})
     with pytest.raises(ValueError, match="other is not known"):
         curves.series_map(df.withColumnRenamed("a", "y"), "other + 1").collect()
+
+
+def test_lines_of_features_need_an_id(spark, tmp_path):
+    with pytest.raises(ValueError, match="name the property"):
+        readers.read_features_geojson(spark, str(tmp_path), lines=True)
+    ring = [[0, 0], [4, 0], [4, 3], [0, 0]]
+    shape = {"type": "Feature", "properties": {"name": "a", "n": 1}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+    (tmp_path / "f.txt").write_text("\n".join([json.dumps(shape), "no json", json.dumps({**shape, "properties": {}}), ""]))
+    features, vertices = readers.read_features_geojson(spark, str(tmp_path), lines=True, id_property="name")
+    assert sorted(str(r["feature_id"]) for r in features.collect()) == ["None", "a"]
+    assert vertices.filter("feature_id = 'a'").count() == 4
