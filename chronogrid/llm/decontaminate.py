@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from chronogrid.llm.common import free_name
 from chronogrid.shared import materialise
@@ -40,7 +41,7 @@ MATCH, MISS, GAP = 2, -1, -1
 #: fixed values: scripts written without spaces (kana, Han, Thai, Lao, Khmer, Myanmar); each character is a word
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
-LEAK = "array<struct<item_id:long,score:long,similarity:double,start_word:long,end_word:long,seeds:long>>"
+LEAK = "array<struct<item_id:{},score:long,similarity:double,start_word:long,end_word:long,seeds:long>>"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -111,7 +112,7 @@ def gram_hashes(codes: np.ndarray, pattern: tuple[int, ...]) -> tuple[np.ndarray
     return h, where
 
 
-def load_items(rows: list[tuple[int, str]]) -> Items:
+def load_items(rows: list[tuple[int | str, str]]) -> Items:
     vocabulary: dict[str, int] = {}
     ids, words, hashes, item, place = [], [], [], [], []
     kinds: set[int] = set()
@@ -202,7 +203,7 @@ def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD, hits:
         if len(words) < N:  # matched whole
             for at in begin:
                 if 0 <= at <= len(codes) - len(words) and np.array_equal(codes[at : at + len(words)], words):
-                    out[k] = (int(items.ids[k]), MATCH * len(words), 1.0, int(at), int(at) + len(words), len(words))
+                    out[k] = (items.ids[k], MATCH * len(words), 1.0, int(at), int(at) + len(words), len(words))
                     break
             continue
         # so many words may be skipped in all between two seeds of one passage
@@ -217,13 +218,18 @@ def leaks_in(text: str | None, items: Items, threshold: float = THRESHOLD, hits:
             score, a, b = align(words, passage)
             similarity = score / (MATCH * len(words))
             if similarity >= threshold and (k not in out or score > out[k][1]):
-                out[k] = (int(items.ids[k]), score, float(similarity), int(lo + a), int(lo + b), int(j - i))
+                out[k] = (items.ids[k], score, float(similarity), int(lo + a), int(lo + b), int(j - i))
     return sorted(out.values())
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
+def id_type(benchmark: DataFrame, id_col: str) -> str:
+    """Whole-number ids are longs in a leak, others texts."""
+    return "long" if isinstance(benchmark.schema[id_col].dataType, IntegralType) else "string"
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int | str, str]]]:
     """The test items in blocks of a bounded number of words, each read from Spark on its own."""
-    sized = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna()
+    sized = benchmark.select(F.col(id_col).cast(id_type(benchmark, id_col)).alias("id"), F.col(text_col).alias("text")).dropna()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * block_words)))
     for b in range(blocks):
@@ -245,8 +251,8 @@ def _hitting(held):
     return look
 
 
-def _looking_for(held, threshold: float):
-    @F.pandas_udf(LEAK)
+def _looking_for(held, threshold: float, leak: str):
+    @F.pandas_udf(leak)
     def look(texts: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([leaks_in(t, held.value, threshold, np.asarray(h, dtype=np.int64)) for t, h in zip(texts, hits, strict=True)], dtype=object)
 
@@ -256,7 +262,7 @@ def _looking_for(held, threshold: float):
 def with_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the array of each one's leaks; empty for a null text. The n-grams that a document shares with items are written
     with it, so that its words are read once more only where it has some."""
-    context = docs.sparkSession.sparkContext
+    context, leak = docs.sparkSession.sparkContext, LEAK.format(id_type(benchmark, item_id))
     blocks = [items for items in map(load_items, item_blocks(benchmark, item_id, item_text, block_words)) if items.ids]
     names = [free_name(docs, f"leak_hits_{i}") for i in range(len(blocks))]
     sent = [context.broadcast(items) for items in blocks]
@@ -269,8 +275,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str, text_col: str
         documents[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
         items.choose_seeds(documents, threshold)
         chosen = context.broadcast(items)
-        found.append(_looking_for(chosen, threshold)(F.when(F.size(name) > 0, F.col(text_col)), F.col(name)))
-    leaks_of = F.flatten(F.array(*found)) if found else F.array().cast(LEAK)
+        found.append(_looking_for(chosen, threshold, leak)(F.when(F.size(name) > 0, F.col(text_col)), F.col(name)))
+    leaks_of = F.flatten(F.array(*found)) if found else F.array().cast(leak)
     return held.select(*docs.columns, leaks_of.alias(leaks))
 
 
@@ -278,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item_id, score, similarity, start_word, end_word, seeds): a row for each document and item it leaks, with the
     best passage (of equal ones the first). Null texts and items without a word have no leak; items of fewer than N words leak
     only whole. A repeated row gives repeated leaks; long texts are searched whole; an empty table or benchmark gives an empty
-    result; an id column that is named like a column of the result is an error."""
+    result; item ids are whole numbers or else given as texts; an id column that is named like a column of the result is an error."""
     out = with_leaks(docs.select(id_col, text_col), benchmark, "_leaks", text_col, **options)
     return out.select(id_col, F.explode("_leaks").alias("_leak")).select(id_col, "_leak.*")
 

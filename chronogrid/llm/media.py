@@ -319,15 +319,21 @@ def wav_samples(blob: bytes, found: list[tuple[int, int, str]] | None = None) ->
     raise ValueError("no samples")
 
 
+FRAMES = 8
+
+
 def sample_feature(samples: bytes) -> str:
-    """Mean, deviation and crossings of the middle of the samples, and the loudest 1/16 of the range."""
+    """Whole numbers that describe the sound: samples, how many lie in each 1/16 of the range, their sum and sum of squares (level
+    and energy), crossings of the middle, and the envelope: least and greatest sample of each of eight equal frames."""
     x = np.frombuffer(samples, dtype=np.uint8)
-    mean = float(x.mean(dtype=np.float64))
-    var = float(np.square(x, dtype=np.float64).mean()) - mean * mean
+    counts = np.bincount(x >> 4, minlength=16)
+    level = int(x.sum(dtype=np.int64))
+    energy = int(np.square(x, dtype=np.int64).sum())
     high = x >= 128
     crossings = int(np.count_nonzero(high[1:] != high[:-1]))
-    peak = int(np.bincount(x >> 4, minlength=16).argmax())
-    return f"wav8:{len(x)}:{mean:.6f}:{max(var, 0.0) ** 0.5:.6f}:{crossings}:{peak}"
+    frames = x.reshape(FRAMES, -1)  # samples come in units of 64
+    envelope = ",".join(f"{lo}-{hi}" for lo, hi in zip(frames.min(axis=1), frames.max(axis=1), strict=True))
+    return f"wav8:{len(x)}:{','.join(map(str, counts))}:{level}:{energy}:{crossings}:{envelope}"
 
 
 MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, embedded long"

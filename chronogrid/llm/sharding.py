@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from chronogrid.llm.common import free_name, long_array
 from chronogrid.shared import materialise
@@ -114,19 +115,21 @@ def shard_by_bytes(
     s-th part of all bytes, so shards differ by at most one record's size from an equal part. slot counts from 0 in
     each shard. grown_shard belongs to another law and is null.
 
-    Null texts are empty (size 8); null ids sort first; rows that repeat an id and a text are interchangeable; an empty
-    table gives an empty result; columns of docs with the names given here are replaced. At most ``max_ranges`` ranges
-    and 16 sampled keys for each are held by the driver.
+    Null texts are empty (size 8); null ids sort first, and ids that are no whole numbers by a 64-bit hash; rows that repeat an
+    id and a text are interchangeable; an empty table gives an empty result; columns of docs with the names given here are
+    replaced. At most ``max_ranges`` ranges and 16 sampled keys for each are held by the driver.
     """
     h, d, size, rng = (free_name(docs, x) for x in ("key_h", "key_d", "key_size", "key_range"))
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     keep = [c for c in docs.columns if c.lower() not in made]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lowest = F.lit(-(1 << 63))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    own = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     keyed = docs.select(
         *keep,
         F.xxhash64(text).alias(h),
-        F.coalesce(F.col(id_col).cast("long"), lowest).alias(d),
+        F.coalesce(own, lowest).alias(d),
         text_size(F.col(text_col)).alias(size),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
