@@ -149,12 +149,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     A rule fits its host and its subdomains if the path starts with the rule's path; the longest rule (host and path)
     wins, block before allow. Where none fits, rule is null and the verdict is ``default``: the key is in no list. Null
-    urls and urls without ``://`` have an empty host and path and fit no rule. An empty rule table judges all by
-    ``default``; an empty page table gives an empty result; columns with the names given here are replaced.
+    urls and urls without ``://`` have an empty host and path and fit no rule. Rules without a host or with another verdict
+    are left out. An empty rule table judges all by ``default``; an empty page table gives an empty result; columns with the names given here are replaced.
     """
     spark = pages.sparkSession
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.coalesce("path", F.lit(""))).alias("key"), F.char_length(F.coalesce("path", F.lit(""))).alias("n"), "verdict").filter("key is not null")
+    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), F.coalesce("path", F.lit(""))).alias("key"), F.char_length(F.coalesce("path", F.lit(""))).alias("n"), "verdict").filter("key is not null and verdict in ('allow', 'block')")
     lengths = sorted(r["n"] for r in rules.select("n").distinct().limit(4097).collect())
     if len(lengths) > 4096:
         raise ValueError("rule paths of more than 4096 lengths")
