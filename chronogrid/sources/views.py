@@ -5,6 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The rows and the columns that the growing grid's cells are crossed from.
+FIELD_ROWS = "SELECT DISTINCT CAST(l_orderkey % side AS INT) AS r FROM {lineitem} CROSS JOIN {field_side}"
+FIELD_COLUMNS = "SELECT DISTINCT CAST((l_orderkey + l_linenumber) % side AS INT) AS c FROM {lineitem} CROSS JOIN {field_side}"
+#: Parts that the grid's rows are dealt to, for each of the session's shuffle partitions.
+FIELD_PARTS = 4
 
 VIEWS = {
     "cells": "SELECT 'pop' AS layer, CAST(year(l_shipdate) AS INT) AS yr, CAST(l_suppkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, CAST((l_suppkey % 40) * 50 + (l_partkey % 50) AS BIGINT) AS idx, CAST(SUM(l_quantity) AS DOUBLE) AS value FROM {lineitem} GROUP BY year(l_shipdate), l_suppkey % 40, l_partkey % 50",
@@ -30,7 +37,7 @@ VIEWS = {
     "shape_vertices": "SELECT feature_id, part, ring, seq, CAST(ax + dx * wx AS DOUBLE) AS x, CAST(ay + dy * wy AS DOUBLE) AS y FROM (SELECT feature_id, 0 AS part, 0 AS ring, x0 + 0.25 AS ax, y0 + 0.25 AS ay, CAST(w AS DOUBLE) AS wx, CAST(h AS DOUBLE) AS wy FROM {features} UNION ALL SELECT feature_id, 0 AS part, 1 AS ring, x0 + 1.25 AS ax, y0 + 1.25 AS ay, w - 2.0 AS wx, h - 2.0 AS wy FROM {features} WHERE w > 2 AND h > 2 UNION ALL SELECT feature_id, 1 AS part, 0 AS ring, x0 + 7.25 AS ax, y0 + 6.25 AS ay, 2.0 AS wx, 1.0 AS wy FROM {features} WHERE feature_id % 3 = 0 UNION ALL SELECT feature_id, 2 AS part, 0 AS ring, x0 + 3.625 AS ax, y0 - 1.375 AS ay, 0.25 AS wx, 0.125 AS wy FROM {features} WHERE feature_id % 5 = 0) AS boxes CROSS JOIN (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS t(seq, dx, dy)) AS corners",
     # a grid of about as many cells as lineitem has rows, with classes of ragged borders, open cells and gaps
     "field_side": "SELECT CAST(floor(sqrt(COUNT(*))) AS BIGINT) AS side FROM {lineitem}",
-    "field_cells": "SELECT r, c, CAST(CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN -1 ELSE floor((r + (c * c) % 7) * 8.0 / side) * 10 + floor((c + (r * r) % 5) * 9.0 / side) END AS INT) AS zone FROM (SELECT DISTINCT CAST(l_orderkey % side AS INT) AS r FROM {lineitem} CROSS JOIN {field_side}) AS a CROSS JOIN (SELECT DISTINCT CAST((l_orderkey + l_linenumber) % side AS INT) AS c FROM {lineitem} CROSS JOIN {field_side}) AS b CROSS JOIN {field_side} WHERE (r * 7 + c * 13) % 37 <> 0",
+    "field_cells": "SELECT r, c, CAST(CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN -1 ELSE floor((r + (c * c) % 7) * 8.0 / side) * 10 + floor((c + (r * r) % 5) * 9.0 / side) END AS INT) AS zone FROM (" + FIELD_ROWS + ") AS a CROSS JOIN (" + FIELD_COLUMNS + ") AS b CROSS JOIN {field_side} WHERE (r * 7 + c * 13) % 37 <> 0",
     "field_values": "SELECT 'pop' AS layer, yr, r, c, CAST(r AS BIGINT) * 100000 + c AS idx, CAST((r * 31 + c * 17 + yr) % 89 + CASE WHEN (r * 13 + c * 7) % 211 = 0 THEN 4000 ELSE 0 END AS DOUBLE) AS value FROM {field_cells} CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS yr FROM {orders} WHERE year(o_orderdate) IN (1995, 1996)) AS years",
     "field_zones": "SELECT 'region' AS mask, CAST(r AS BIGINT) * 100000 + c AS idx, CAST(floor((r + (c * c) % 7) * 4.0 / side) AS INT) AS zone FROM {field_cells} CROSS JOIN {field_side} WHERE floor((r + (c * c) % 7) * 4.0 / side) < 3",
     # classes of several parts, and of blocks that touch at corners
@@ -53,7 +60,17 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return derive(spark, sf_dir, VIEWS[name])
+    return field_cells(spark, sf_dir) if name == "field_cells" else derive(spark, sf_dir, VIEWS[name])
+
+
+def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of that name, whose rows are dealt before they are crossed: they are so few that they come in one part otherwise,
+    and one task would make the whole grid."""
+    n = FIELD_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = derive(spark, sf_dir, FIELD_ROWS).repartition(n, "r")
+    columns = F.broadcast(derive(spark, sf_dir, FIELD_COLUMNS))
+    crossed = VIEWS["field_cells"].replace(f"({FIELD_ROWS})", "{rows}").replace(f"({FIELD_COLUMNS})", "{columns}")
+    return spark.sql(crossed, rows=rows, columns=columns, field_side=F.broadcast(view(spark, sf_dir, "field_side")))
 
 
 def plain(sql: str) -> str:
