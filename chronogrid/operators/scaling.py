@@ -1,7 +1,7 @@
 """Scaling grid cells to control totals. Cells: layer, yr, idx, value; zones: idx, zone; control: zone, yr, target.
 
-Sums are made per zone and year before anything is joined; the table of scalars has one row per zone and year and joins
-by key, so Spark broadcasts it where its size allows.
+Sums are made per zone and year before anything is joined; the table of scalars has one row per zone and year and is sent to
+all tasks: dealt by so few keys the cells of a whole year would meet in one.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def scale_to_zones(cells: DataFrame, zones: DataFrame, control: DataFrame) -> Da
     scaled = F.ceil(F.col("value") * F.col("scalar")).cast("double")
     return (
         zone_assign(cells, zones)
-        .join(zone_scalars(cells, zones, control), ["layer", "yr", "zone"], "left")
+        .join(F.broadcast(zone_scalars(cells, zones, control)), ["layer", "yr", "zone"], "left")
         .select("layer", "yr", "idx", "zone", F.coalesce(scaled, "value").alias("value"))
     )
 
@@ -49,7 +49,7 @@ def scale_to_zones_exclusive(cells: DataFrame, zones: DataFrame, control: DataFr
     scaled = F.col("value") * F.coalesce("scalar", F.lit(1.0))
     return (
         zone_assign(cells, zones)
-        .join(zone_scalars(cells, zones, control), ["layer", "yr", "zone"], "left")
+        .join(F.broadcast(zone_scalars(cells, zones, control)), ["layer", "yr", "zone"], "left")
         .select("layer", "yr", "idx", F.when(F.col("zone").isNull(), 0.0).otherwise(scaled).alias("value"))
     )
 
@@ -61,7 +61,7 @@ def layer_sum(cells: DataFrame) -> DataFrame:
 def scale_to_global(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """Each year's layer scaled to its one total (yr, target) and rounded up; years without a total stay."""
     scalars = layer_sum(cells).join(totals, "yr").select("layer", "yr", safe_ratio(F.col("target"), F.col("total"), 1.0).alias("scalar"))
-    return cells.join(scalars, ["layer", "yr"], "left").select(
+    return cells.join(F.broadcast(scalars), ["layer", "yr"], "left").select(
         "layer", "yr", "idx", F.coalesce(F.ceil(F.col("value") * F.col("scalar")).cast("double"), "value").alias("value")
     )
 
@@ -69,13 +69,13 @@ def scale_to_global(cells: DataFrame, totals: DataFrame) -> DataFrame:
 def distribute_total(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """Each year's total dealt to the cells by their share of the layer; years without a total are absent."""
     per_unit = layer_sum(cells).join(totals, "yr").select("layer", "yr", safe_ratio(F.col("target"), F.col("total"), 0.0).alias("per_unit"))
-    return cells.join(per_unit, ["layer", "yr"]).select("layer", "yr", "idx", (F.col("value") * F.col("per_unit")).alias("value"))
+    return cells.join(F.broadcast(per_unit), ["layer", "yr"]).select("layer", "yr", "idx", (F.col("value") * F.col("per_unit")).alias("value"))
 
 
 def standardise_max(cells: DataFrame) -> DataFrame:
     """Values as shares of their layer's greatest value; 0 where that is 0."""
     top = cells.groupBy("layer", "yr").agg(F.max("value").alias("top"))
-    return cells.join(top, ["layer", "yr"]).select("layer", "yr", "idx", safe_ratio(F.col("value"), F.col("top"), 0.0).alias("value"))
+    return cells.join(F.broadcast(top), ["layer", "yr"]).select("layer", "yr", "idx", safe_ratio(F.col("value"), F.col("top"), 0.0).alias("value"))
 
 
 def invert_fraction(cells: DataFrame) -> DataFrame:

@@ -39,3 +39,18 @@ def test_outliers_are_told_in_the_pass_that_sums(spark):
     cells = view(spark, SF, "field_values")
     plan = raster.replace_outliers(cells, cells, 10, 10)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1  # the fallback's alone
+
+
+def test_scalars_do_not_deal_cells_by_year(spark):
+    from chronogrid.operators import scaling
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.createDataFrame([("a", 1, 7, 2.0)], "layer string, yr int, idx long, value double")
+        zones, control = spark.createDataFrame([(7, 1)], "idx long, zone int"), spark.createDataFrame([(1, 1, 9.0)], "zone int, yr int, target double")
+        totals = control.select("yr", "target")
+        for df in (scaling.scale_to_global(cells, totals), scaling.scale_to_zones(cells, zones, control), scaling.distribute_total(cells, totals), scaling.standardise_max(cells)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not [line for line in plan.split("\n") if "SortMergeJoin" in line and "[layer#" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
