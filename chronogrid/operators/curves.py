@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -170,17 +172,27 @@ def _carried(gx: np.ndarray, gy: np.ndarray, rx: np.ndarray, ry: np.ndarray) ->
     return x[inside], rv[inside] * _between(at, ratio[held], x[inside])
 
 
-def _fold(key: tuple, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """One city's series, with its neighbours' worked in by their ids' order."""
-    own = own.sort_values("x")
-    x, y = own["x"].to_numpy(np.int64), own["y"].to_numpy(float)
-    for _, other in others.sort_values(["b_id", "x"]).groupby("b_id", sort=True):
-        rx, ry = other["x"].to_numpy(np.int64), other["y"].to_numpy(float)
+def _fold(x: np.ndarray, y: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One city's series, with its neighbours' worked in by their order."""
+    for rx, ry in others:
         there = _on_segment(rx, ry, x) if len(x) else y
         there = np.where(np.isnan(there), 0.0, there)
         x, y = _carried(x, np.where((y > there) & (there != 0), (y + there) / 2, y), rx, ry)
         y = np.floor(y + 0.5)
-    return pd.DataFrame({"series_id": key[0], "x": x.astype(np.int32), "y": y})
+    return x, y
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a city: its points (x, y) and its neighbours' (xs, ys) by their ids' order."""
+
+    def points(x, y) -> tuple[np.ndarray, np.ndarray]:
+        return (np.zeros(0, np.int64), np.zeros(0)) if x is None else (np.asarray(x, np.int64), np.asarray(y, float))
+
+    for pdf in batches:
+        told = [_fold(*points(x, y), list(map(points, xs, ys))) for x, y, xs, ys in zip(pdf["x"], pdf["y"], pdf["xs"], pdf["ys"], strict=True)]
+        sizes = [len(x) for x, _ in told]
+        flat = [np.concatenate([np.zeros(0), *(t[k] for t in told)]) for k in (0, 1)]
+        yield pd.DataFrame({"series_id": pdf["series_id"].repeat(sizes).to_numpy(), "x": flat[0].astype(np.int32), "y": flat[1]})
 
 
 def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame, rr: DataFrame, km: float = 5.0) -> DataFrame:
@@ -188,15 +200,18 @@ def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame,
 
     Cities: (city_id, lat, lng); series by city. A truth value above the relative one (interpolated, not 0) becomes their
     mean; then the truth series is carried by the relative one and rounded half up. Several neighbours are worked in one after
-    another, by id, each into what the one before gave: a fold in one pass, in a group of a city's own points and those of its
-    neighbours within km. Points without a value are left out.
+    another, by id, each into what the one before gave: a fold in one pass over a row for each city, which holds its own points and
+    those of its neighbours within km; repeated pairs count once. Points without a value are left out.
     """
     kind = gt.schema["series_id"].dataType.simpleString()
-    pairs = radius_join(gt_cities, rr_cities, km).select(F.col("a_id").alias("series_id"), "b_id")
+    pairs = radius_join(gt_cities, rr_cities, km).select(F.col("a_id").alias("series_id"), "b_id").distinct()
     points = lambda s: s.select("series_id", F.col("x").cast("int").alias("x"), F.col("y").cast("double").alias("y")).dropna()
-    others = materialise(pairs.join(points(rr).withColumnRenamed("series_id", "b_id"), "b_id").select("series_id", "b_id", "x", "y"))
-    met = others.select("series_id").distinct()
-    own = points(gt)
-    near = own.join(met, "series_id", "left_semi")
-    fused = near.groupBy("series_id").cogroup(others.groupBy("series_id")).applyInPandas(_fold, f"series_id {kind}, x int, y double")
-    return own.join(met, "series_id", "left_anti").unionAll(fused)
+    listed = lambda s: points(s).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    met = pairs.join(listed(rr).withColumnRenamed("series_id", "b_id"), "b_id").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("b_id", "p"))).alias("o"))
+    both = materialise(listed(gt).join(met, "series_id", "full"))
+    alone = both.filter("o is null").select("series_id", F.inline("p"))
+    each = lambda n: F.transform("o", lambda o: o["p"][n]).alias(f"{n}s")
+    near = both.filter("o is not null").select("series_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), each("x"), each("y"))
+    # cities are few bytes and much work: the engine would join them into few parts
+    near = near.repartition(int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
+    return alone.unionAll(near.mapInPandas(_folded, f"series_id {kind}, x int, y double"))

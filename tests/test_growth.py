@@ -54,3 +54,22 @@ def test_scalars_do_not_deal_cells_by_year(spark):
             assert not [line for line in plan.split("\n") if "SortMergeJoin" in line and "[layer#" in line]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cities_are_folded_many_at_a_time(spark, monkeypatch):
+    from chronogrid.operators import curves
+
+    cities = spark.createDataFrame([(i, float(i // 2), 0.0) for i in range(40)], "city_id long, lat double, lng double")
+    gt = spark.createDataFrame([(i, x, 10.0 * x + i) for i in range(0, 40, 3) for x in (0, 10)], "series_id long, x int, y double")
+    rr = spark.createDataFrame([(i, x, 5.0 * x + 1) for i in range(0, 40, 2) for x in (0, 5, 20)], "series_id long, x int, y double")
+    out = curves.fuse_city_series(cities, gt, cities.unionAll(cities), rr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "CoGroup" not in plan
+    # a city without points of its own has its neighbour's, one without neighbours its own; a pair that repeats counts once
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["series_id"], []).append((r["x"], r["y"]))
+    assert sorted(got) == list(range(40)) and sorted(got[1]) == [(0, 1.0), (5, 26.0), (20, 101.0)]
+    assert all(len(v) == len({x for x, _ in v}) for v in got.values())
+    alone = curves.fuse_city_series(cities, gt, cities.limit(0), rr)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, gt.collect()))
