@@ -82,23 +82,26 @@ class MergedState(StatefulProcessor):
                 k, at = row[0], (int(row[1]), int(row[2]))
                 if k not in new or new[k][0] <= at:
                     new[k] = (at, None if pd.isna(row[3]) else row[3])
+        # the store is read once, and only keys that change are written: each call is a way to the store and back
+        held = {k: tuple(old) for (k,), old in self.held.iterator()}
         for k, ((us, seq), v) in new.items():
-            old = self.held.getValue((k,))
+            old = held.get(k)
             if old is None or (old[0], old[1]) <= (us, seq):
-                self.held.updateValue((k,), (us, seq, v))
+                held[k] = (us, seq, v)
+                self.held.updateValue((k,), held[k])
         if self.expire_after_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_after_ms)
-        yield self.told(key)
+        yield self.told(key, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
         yield from ()
 
-    def told(self, key) -> pd.DataFrame:
+    def told(self, key, held: dict[str, tuple]) -> pd.DataFrame:
         now, last = {}, None
-        for (k,), (us, _, v) in self.held.iterator():
+        for k, (us, _, v) in held.items():
             last = us if last is None else max(last, us)
             if v is not None:
                 now[k] = v

@@ -73,3 +73,31 @@ def test_cities_are_folded_many_at_a_time(spark, monkeypatch):
     assert all(len(v) == len({x for x, _ in v}) for v in got.values())
     alone = curves.fuse_city_series(cities, gt, cities.limit(0), rr)
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, gt.collect()))
+
+
+def test_the_state_store_is_read_once_for_an_entity():
+    import pandas as pd
+
+    from chronogrid.streaming.entity_state import MergedState
+
+    class Held(dict):
+        calls = 0
+
+        def iterator(self):
+            self.calls += 1
+            return iter(list(self.items()))
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    state = MergedState(None)
+    state.held = Held({("a",): (5, 1, "old"), ("b",): (9, 1, "kept")})
+    rows = pd.DataFrame({"k": ["a", "b", "c"], "us": [6, 8, 7], "seq": [1, 1, 1], "v": ["new", "late", None]})
+    told = next(iter(state.handleInputRows(("x",), iter([rows]), None)))
+    assert told["state"][0] == '{"a": "new", "b": "kept"}' and told["us"][0] == 9
+    assert state.held.calls == 3 and state.held[("c",)] == (7, 1, None)
