@@ -20,13 +20,17 @@ from chronogrid.operators.series import trim_value
 from chronogrid.shared import materialise
 
 UNSEEN = ("script", "style", "noscript", "template", "head")
+#: Characters of a page that are read before the cells closed by then are given.
+PIECE = 1 << 18
+#: Cells that are held before they are given.
+ROWS = 10_000
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class Reader(HTMLParser):
     """One pass over a page: its text, table cells, links, and the text of chosen elements."""
 
-    def __init__(self, html: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> None:
+    def __init__(self, html: str | None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> None:
         super().__init__(convert_charrefs=True)
         self.include, self.exclude = include, exclude
         self.text: list[str] = []
@@ -38,8 +42,9 @@ class Reader(HTMLParser):
         self.stack: list[tuple[str, bool, bool]] = []  # (tag, starts a block, is left out)
         self.hidden = self.depth = 0
         self.breaks = False
-        self.feed(html)
-        self.close()
+        if html is not None:
+            self.feed(html)
+            self.close()
 
     @staticmethod
     def matches(selector: str, tag: str, attrs: dict[str, str]) -> bool:
@@ -84,6 +89,14 @@ class Reader(HTMLParser):
         """The cells that hold what comes next: one for each table around it, as far as those lie in cells."""
         return [table[3] for table in self.tables if table[3]]
 
+    def closed_cells(self) -> list[list]:
+        """The cells that nothing more can come into; they, and the text and links so far, are forgotten."""
+        held = {id(cell) for cell in self.open_cells()}
+        done = [cell for cell in self.cells if id(cell) not in held]
+        self.cells = [cell for cell in self.cells if id(cell) in held]
+        self.text.clear(), self.links.clear()
+        return done
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "table" and self.tables:
             self.tables.pop()
@@ -149,6 +162,16 @@ def extract_by_selectors(pages: DataFrame, include: list[str], exclude: list[str
     return pages.select(*[c for c in pages.columns if c not in (html, "text")], F.array_join(blocks, "\n\n").alias("text"))
 
 
+def table_cells(html: str, piece: int = PIECE) -> Iterator[list[list]]:
+    """The cells of a page's tables, as they are closed: a page is read piece by piece, however long it is."""
+    reader = Reader(None)
+    for at in range(0, len(html), piece):
+        reader.feed(html[at : at + piece])
+        yield reader.closed_cells()
+    reader.close()
+    yield reader.cells
+
+
 def html_table_cells(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """(id, table, r, c, text, linked, html): every cell of every table; linked tells whether a link stands in it, html is what it holds.
 
@@ -156,10 +179,19 @@ def html_table_cells(pages: DataFrame, id_col: str = "page_id", html: str = "htm
     it; the outer cell's text, links and html hold the inner table's. Rows and cells outside a table are left out.
     """
 
+    names = [id_col, "table", "r", "c", "text", "linked", "html"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for pdf in batches:
-            rows = [(i, t, r, c, lines("".join(x)), link, "".join(held)) for i, h in zip(pdf[id_col], pdf[html], strict=True) if h for t, r, c, x, link, held in Reader(h).cells]
-            yield pd.DataFrame(rows, columns=[id_col, "table", "r", "c", "text", "linked", "html"])
+            for i, h in zip(pdf[id_col], pdf[html], strict=True):
+                for cells in table_cells(h or ""):
+                    rows += [(i, t, r, c, lines("".join(x)), link, "".join(held)) for t, r, c, x, link, held in cells]
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, html).mapInPandas(read, f"{id_col} {kind}, table int, r int, c int, text string, linked boolean, html string")

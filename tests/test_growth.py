@@ -75,6 +75,18 @@ def test_cities_are_folded_many_at_a_time(spark, monkeypatch):
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, gt.collect()))
 
 
+def test_cells_of_a_page_are_given_as_they_are_closed():
+    from chronogrid.operators import pages
+
+    inner = "<table><tr><td>in &amp; <a href='x'>side</a></table>"
+    html = "<p>start<table id='tbl'>" + "".join(f"<tr><td>{i}<td><b>b&eacute;{i}</b><!-- x -->" for i in range(300)) + f"<tr><td>{inner}<td>last</table><table><tr><td>open"
+    want = sorted((t, r, c, "".join(x), link, "".join(h)) for t, r, c, x, link, h in pages.Reader(html).cells)
+    for piece in (7, 64, 1 << 20):
+        given = list(pages.table_cells(html, piece))
+        assert sorted((t, r, c, "".join(x), link, "".join(h)) for g in given for t, r, c, x, link, h in g) == want
+        assert piece > 64 or max(map(len, given)) < 30
+
+
 def test_the_state_store_is_read_once_for_an_entity():
     import pandas as pd
 
