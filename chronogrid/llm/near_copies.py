@@ -10,6 +10,10 @@ nodes that is 0.0002 chance links a node. So what hangs together by these links
 there the shingle sets themselves are compared: similarity >= 0.8 links two texts. A bucket of over ``BLOCK`` nodes is dealt
 in blocks, two at a time.
 
+In every bucket the fingerprints have a table of their Hamming distances to pivots, which are fingerprints of that bucket: fixed
+ones would be 128 bits from everything, and tell nothing apart at this radius. By the triangle inequality a pair whose
+tables differ by more than ``MAX_BITS`` in any coordinate is discarded, and only the rest is compared bit by bit.
+
 A component with up to ``SLICE`` distinct shingles is compared by one task. A larger one is dealt in slices: its texts are
 compared with ``REFERENCES`` of them and then with as many of its most central texts, which gives each text a table of its
 distances to these pivots and links what is near one. Only texts outside the largest group so made are then compared with
@@ -48,6 +52,8 @@ SLICE = 1 << 16
 REFERENCES = 16
 #: Rows of a bucket up to which all its pairs are compared, and given, at once.
 SMALL = 32
+#: A small bucket's nodes for each of its pivots, and the pivots that a larger bucket's table has at once.
+EACH, PIVOTS = 8, 16
 ONE_CHARACTER = re.compile(f"([{UNSPACED}])")
 WORDS = ("a", "b", "c", "d")
 
@@ -149,19 +155,72 @@ def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return at, first[at]
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def _small_pairs(bits: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within MAX_BITS that connect all of every bucket of up to SMALL nodes.
+
+    A bucket's pivots are nodes of its own, the first that no pivot before is near to, one for every EACH nodes. A pair whose
+    distances to a pivot differ by more than MAX_BITS is discarded, and one that a pivot is near to on both sides hangs together by
+    that; only the rest is compared."""
+    home, end = np.repeat(start, size), np.repeat(start + size, size)
+    room = np.repeat(np.where(size <= SMALL, size, 0), size)
+    free, pivot = room > 1, np.zeros(len(bits), dtype=bool)
+    table, pairs = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(SMALL // EACH):
+        at = np.flatnonzero(free & (room > EACH * k))
+        if not len(at):
+            break
+        own = at[np.r_[True, home[at[1:]] != home[at[:-1]]]]
+        of = np.full(len(bits), -1)
+        of[home[own]] = own
+        of = of[home]
+        rows, far = np.flatnonzero(of >= 0), np.full(len(bits), BITS, dtype=np.int16)
+        far[rows] = _apart(bits[rows], bits[of[rows]])
+        near = rows[(far[rows] <= MAX_BITS) & (rows != of[rows])]
+        pairs.append((of[near], near))
+        pivot[own], free[own], free[near] = True, False, False
+        table.append(far)
+    left = np.where((room > 0) & ~pivot, end - np.arange(len(bits)), 0)
+    for step in range(1, SMALL):
+        i = np.flatnonzero(left > step)
+        if not len(i):
+            break
+        i = i[~pivot[i + step]]
+        for far in table:
+            a, b = far[i], far[i + step]
+            i = i[(np.abs(a - b) <= MAX_BITS) & ((a > MAX_BITS) | (b > MAX_BITS))]
+        near = i[_apart(bits[i], bits[i + step]) <= MAX_BITS]
+        pairs.append((near, near + step))
+    return tuple(np.concatenate(p) for p in zip(*pairs, strict=True))
+
+
 def _forest(bits: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
-    """Edges that connect all of a bucket within MAX_BITS, each to the first of its group."""
-    out, open_ = [], np.arange(len(bits))
+    """Edges that connect all of a bucket within MAX_BITS, each to the first of its group.
+
+    The first of every group is a pivot: a table holds the open nodes' distances to the last PIVOTS of them, and what differs by more
+    than MAX_BITS there from a node of the group is not compared with it."""
+    out, open_, table, k = [], np.arange(len(bits)), np.full((len(bits), PIVOTS), BITS, dtype=np.int16), 0
     while len(open_) > 1:
-        root, frontier, open_ = open_[0], [open_[0]], open_[1:]
+        root, open_ = open_[0], open_[1:]
+        table[open_, k % PIVOTS] = far = _apart(bits[open_], bits[root])
+        k += 1
+        new, open_ = open_[far <= MAX_BITS], open_[far > MAX_BITS]
+        group, frontier = [new], list(new)
         while frontier and len(open_):
             f = frontier.pop()
-            near = np.bitwise_count(bits[open_] ^ bits[f]).sum(axis=1, dtype=np.int64) <= MAX_BITS
-            if near.any():
-                new = open_[near]
-                out.append(np.stack([nodes[new], np.full(len(new), nodes[root])], axis=1))
-                frontier.extend(new)
-                open_ = open_[~near]
+            may = np.flatnonzero((np.abs(table[open_] - table[f]) <= MAX_BITS).all(axis=1))
+            at = may[_apart(bits[open_[may]], bits[f]) <= MAX_BITS]
+            if len(at):
+                group.append(open_[at])
+                frontier.extend(open_[at])
+                open_ = np.delete(open_, at)
+        members = np.concatenate(group)
+        if len(members):
+            out.append(np.stack([nodes[members], np.full(len(members), nodes[root])], axis=1))
     return out
 
 
@@ -175,15 +234,8 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = pdf[list(WORDS)].to_numpy(np.int64).view(np.uint64)
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(key)])
-        edges, pairs = [np.zeros((0, 2), np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        left = np.repeat(np.where(size <= SMALL, start + size, 0), size) - np.arange(len(key))
-        for step in range(1, SMALL):
-            i = np.flatnonzero(left > step)
-            if not len(i):
-                break
-            near = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64) <= MAX_BITS]
-            pairs.append((near, near + step))
-        x, y = _stars(*(np.concatenate(p) for p in zip(*pairs, strict=True)), len(key))
+        edges = [np.zeros((0, 2), np.int64)]
+        x, y = _stars(*_small_pairs(bits, start, size), len(key))
         edges.append(np.stack([nodes[x], nodes[y]], axis=1))
         for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
             edges.extend(_forest(bits[s : s + n], nodes[s : s + n]))

@@ -132,3 +132,37 @@ def test_divided_buckets_give_the_same_groups(spark, monkeypatch):
     assert kept(spark, rows) == want and len(want) == 51
     monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
     assert kept(spark, rows) == want
+
+
+def test_pivot_tables_of_buckets_discard_and_lose_no_link(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from chronogrid.llm import near_copies
+
+    rng = np.random.default_rng(15)
+    rows = []
+    for bucket, size in enumerate((1, 2, 3, 5, 9, 17, 32, 33, 150, 400)):
+        heads = rng.integers(0, 2, (1 + size // 6, near_copies.BITS), dtype=np.uint8)
+        for k in range(size):
+            one = heads[rng.integers(len(heads))].copy()
+            one[rng.choice(near_copies.BITS, rng.integers(0, 60 if bucket < 9 else 36), replace=False)] ^= 1  # a group's members are up to 118 bits apart
+            rows.append((bucket, 0, 0, 1000 * bucket + k, *map(int, np.packbits(one).view("<i8"))))
+    rows = pd.DataFrame(rows, columns=["bucket", "i", "j", "node", *near_copies.WORDS])
+    bits = rows[list(near_copies.WORDS)].to_numpy(np.int64).view(np.uint64)
+    bucket, node, want, pairs = rows["bucket"].to_numpy(), rows["node"].to_numpy(), set(), 0
+    for b in range(10):
+        at = np.flatnonzero(bucket == b)
+        near = np.bitwise_count(bits[at][:, None] ^ bits[at][None]).sum(axis=2) <= near_copies.MAX_BITS
+        pairs += len(at) * (len(at) - 1) // 2
+        first = np.arange(len(at))
+        for _ in at:
+            first = np.where(near, first[None], len(at)).min(axis=1)
+        want |= {(int(node[at[k]]), int(node[at[f]])) for k, f in enumerate(first) if k != f}
+    told, compared = near_copies._apart, []
+    monkeypatch.setattr(near_copies, "_apart", lambda x, y: compared.append(len(x)) or told(x, y))
+    for cut in (len(rows), 7):  # batches end anywhere
+        compared.clear()
+        got = pd.concat(near_copies._links(rows.iloc[k : k + cut] for k in range(0, len(rows), cut)))
+        assert set(map(tuple, got.to_numpy().tolist())) == want and len(want) > 300
+        assert sum(compared) < pairs / 2
