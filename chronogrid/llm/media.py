@@ -14,13 +14,15 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronogrid.llm.common import free_name
 
 UNIT, RATE = 64, 8000
+#: Values that a task turns into objects, and whose results it holds, at once.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
 
 # ---- fixed values: magic bytes of public formats
 MAGIC = {
@@ -266,7 +268,18 @@ def sniff(blob: bytes | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def in_pieces(batches: Iterator[pa.Array]) -> Iterator[list]:
+    """The values of batches, a few at a time: at most PIECE_ROWS and about PIECE_BYTES, but one at least. A batch has a fixed number of
+    rows, so what is made of a whole one would grow with their length."""
+    for batch in batches:
+        at, rows = 0, max(1, min(PIECE_ROWS, int(PIECE_BYTES * len(batch) / max(batch.nbytes, 1))))
+        while at < len(batch):
+            yield batch.slice(at, rows).to_pylist()
+            at += rows
+
+
 SNIFFED = "true_type string, media array<struct<at:long,length:long,type:string,sha256:string>>"
+SEEN = pa.struct([("true_type", pa.string()), ("media", pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("sha256", pa.string())])))])
 
 
 def sniff_media(df: DataFrame, content_col: str = "content", declared_col: str | None = None) -> DataFrame:
@@ -277,14 +290,15 @@ def sniff_media(df: DataFrame, content_col: str = "content", declared_col: str |
     are replaced; an empty table gives an empty result.
     """
 
-    @F.pandas_udf("struct<" + SNIFFED.replace(" string", ":string", 1).replace("media array", "media:array") + ">")
-    def look(blobs: pd.Series) -> pd.DataFrame:
-        kinds, found = [], []
-        for blob in blobs:
-            all_ = sniff(blob)
-            kinds.append(all_[0][2] if all_ and all_[0][0] == 0 else None)
-            found.append([(a, n, k, hashlib.sha256(blob[a : a + n]).hexdigest()) for a, n, k in all_ if a])
-        return pd.DataFrame({"true_type": pd.Series(kinds, dtype=object), "media": found})
+    @F.arrow_udf("struct<" + SNIFFED.replace(" string", ":string", 1).replace("media array", "media:array") + ">")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for blobs in in_pieces(batches):
+            rows = []
+            for blob in blobs:
+                all_ = sniff(blob)
+                found = [{"at": a, "length": n, "type": k, "sha256": hashlib.sha256(blob[a : a + n]).hexdigest()} for a, n, k in all_ if a]
+                rows.append({"true_type": all_[0][2] if all_ and all_[0][0] == 0 else None, "media": found})
+            yield pa.array(rows, type=SEEN)
 
     keep = [c for c in df.columns if c.lower() not in ("true_type", "media", "type_corrected")]
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
@@ -351,20 +365,24 @@ def encode_text_media(docs: DataFrame, text_col: str = "text", with_media: bool
     keep = [c for c in docs.columns if c.lower() not in (*made, "media") and c != text_col]
     out = MEDIA + (", media binary" if with_media else "")
 
-    @F.pandas_udf("struct<" + ",".join(":".join(x.split(" ", 1)) for x in out.split(", ")) + ">")
-    def store(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            blob = to_wav(raw + bytes(UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0))
-            found = sniff(blob)
-            samples = wav_samples(blob, found)
-            inner = sum(1 for _ in sniff(samples))
-            rows.append((
-                len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(blob),
-                hashlib.sha256(blob).hexdigest(), sample_feature(samples), found[0][2], inner, *([blob] if with_media else []),
-            ))
-        return pd.DataFrame(rows, columns=[*made, *(["media"] if with_media else [])])
+    fields = [(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in MEDIA.split(", "))]
+    kind = pa.struct([*fields, *([("media", pa.binary())] if with_media else [])])
+
+    @F.arrow_udf("struct<" + ",".join(":".join(x.split(" ", 1)) for x in out.split(", ")) + ">")
+    def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in in_pieces(batches):
+            rows = []
+            for text in texts:
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                blob = to_wav(raw + bytes(UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0))
+                found = sniff(blob)
+                samples = wav_samples(blob, found)
+                inner = sum(1 for _ in sniff(samples))
+                rows.append((
+                    len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(blob),
+                    hashlib.sha256(blob).hexdigest(), sample_feature(samples), found[0][2], inner, *([blob] if with_media else []),
+                ))
+            yield pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind))
 
     stored = free_name(docs, "_m")
     return docs.select(*keep, store(F.col(text_col)).alias(stored)).select(*keep, f"{stored}.*")

@@ -510,3 +510,17 @@ def test_clashing_names_in_every_operator(spark):
     assert [out.count() for out in outs] == [len(ODD)] * len(outs)
     assert mixed_documents(df).columns == df.columns and keep_one_of_copies(df).columns == df.columns
     assert keep_one_of_copies(df.limit(0)).count() == mixed_documents(df.limit(0)).count() == 0
+
+
+def test_media_are_made_a_few_values_at_a_time(spark):
+    import pyarrow as pa
+
+    from chronogrid.llm.media import PIECE_BYTES, PIECE_ROWS, encode_text_media, in_pieces
+
+    for values in ([], [None], ["x" * 9000] * 1000, [None, *["y"] * 1999], [b"z" * (PIECE_BYTES + 1)] * 3):
+        pieces = list(in_pieces([pa.array(values, pa.binary() if b"z" in [(v or b"")[:1] for v in values] else pa.string())] * 2))
+        assert [v for p in pieces for v in p] == values * 2
+        assert all(len(p) <= PIECE_ROWS and (len(p) == 1 or sum(len(v or "") for v in p) <= PIECE_BYTES) for p in pieces)
+    df = spark.range(5000).selectExpr("id", "repeat('ab', int(id % 50)) AS text").coalesce(1)
+    out = encode_text_media(df, with_media=True)
+    assert out.filter("n_bytes <> 2 * (id % 50) or length(media) <> media_bytes or payload_bytes <> 64 * greatest(ceil(n_bytes / 64), 1)").count() == 0 and out.count() == 5000
