@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: The rows and the columns that the growing grid's cells are crossed from.
 FIELD_ROWS = "SELECT DISTINCT CAST(l_orderkey % side AS INT) AS r FROM {lineitem} CROSS JOIN {field_side}"
 FIELD_COLUMNS = "SELECT DISTINCT CAST((l_orderkey + l_linenumber) % side AS INT) AS c FROM {lineitem} CROSS JOIN {field_side}"
-#: Parts that the grid's rows are dealt to, for each of the session's shuffle partitions.
-FIELD_PARTS = 4
+#: Parts that the grid's rows are dealt to, for each core (for eight at least). A part writes a file for every partition that it is dealt
+#: on to, so parts by the session's shuffle partitions would be their square in files.
+FIELD_PARTS = 8
 
 VIEWS = {
     "cells": "SELECT 'pop' AS layer, CAST(year(l_shipdate) AS INT) AS yr, CAST(l_suppkey % 40 AS INT) AS r, CAST(l_partkey % 50 AS INT) AS c, CAST((l_suppkey % 40) * 50 + (l_partkey % 50) AS BIGINT) AS idx, CAST(SUM(l_quantity) AS DOUBLE) AS value FROM {lineitem} GROUP BY year(l_shipdate), l_suppkey % 40, l_partkey % 50",
@@ -66,8 +67,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def field_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of that name, whose rows are dealt before they are crossed: they are so few that they come in one part otherwise,
     and one task would make the whole grid."""
-    n = FIELD_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = derive(spark, sf_dir, FIELD_ROWS).repartition(n, "r")
+    n = FIELD_PARTS * max(8, spark.sparkContext.defaultParallelism)
+    # dealt by r itself, into so many parts as the session has, they would stay as DISTINCT left them: coalesced to one
+    rows = derive(spark, sf_dir, FIELD_ROWS).repartition(n, F.xxhash64("r"))
     columns = F.broadcast(derive(spark, sf_dir, FIELD_COLUMNS))
     crossed = VIEWS["field_cells"].replace(f"({FIELD_ROWS})", "{rows}").replace(f"({FIELD_COLUMNS})", "{columns}")
     return spark.sql(crossed, rows=rows, columns=columns, field_side=F.broadcast(view(spark, sf_dir, "field_side")))

@@ -19,6 +19,17 @@ def test_the_grid_is_made_by_many_tasks(spark):
         assert len(parts) > 4 and max(p["count"] for p in parts) < sum(p["count"] for p in parts) / 3, name
 
 
+def test_the_grid_has_as_many_parts_as_the_session(spark):
+    n = 16 * spark.sparkContext.defaultParallelism
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        parts = view(spark, SF, "field_cells").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert n / 4 < len(parts) <= n and max(p["p"] for p in parts) < n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 @pytest.mark.parametrize("block", [2, 3, 256])
 def test_sums_around_cells_over_the_borders_of_blocks(spark, block):
     rng = random.Random(5)
