@@ -172,27 +172,37 @@ def _carried(gx: np.ndarray, gy: np.ndarray, rx: np.ndarray, ry: np.ndarray) ->
     return x[inside], rv[inside] * _between(at, ratio[held], x[inside])
 
 
+def _same(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    return all(map(np.array_equal, a, b))
+
+
 def _fold(x: np.ndarray, y: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One city's series, with its neighbours' worked in by their order."""
+    """One city's series, with its neighbours' worked in by their order. A series that has changed nothing changes nothing when it
+    comes again."""
+    idle = None
     for rx, ry in others:
+        if idle and _same(idle, (rx, ry)):
+            continue
         there = _on_segment(rx, ry, x) if len(x) else y
         there = np.where(np.isnan(there), 0.0, there)
-        x, y = _carried(x, np.where((y > there) & (there != 0), (y + there) / 2, y), rx, ry)
-        y = np.floor(y + 0.5)
+        nx, ny = _carried(x, np.where((y > there) & (there != 0), (y + there) / 2, y), rx, ry)
+        ny = np.floor(ny + 0.5)
+        idle = (rx, ry) if _same((x, y), (nx, ny)) else None
+        x, y = nx, ny
     return x, y
 
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row a city: its points (x, y) and its neighbours' (xs, ys) by their ids' order."""
+    """A row a class of cities: its points (x, y) and its neighbours' (xs, ys) by their ids' order."""
 
     def points(x, y) -> tuple[np.ndarray, np.ndarray]:
-        return (np.zeros(0, np.int64), np.zeros(0)) if x is None else (np.asarray(x, np.int64), np.asarray(y, float))
+        return np.asarray(x, np.int64), np.asarray(y, float)
 
     for pdf in batches:
         told = [_fold(*points(x, y), list(map(points, xs, ys))) for x, y, xs, ys in zip(pdf["x"], pdf["y"], pdf["xs"], pdf["ys"], strict=True)]
         sizes = [len(x) for x, _ in told]
         flat = [np.concatenate([np.zeros(0), *(t[k] for t in told)]) for k in (0, 1)]
-        yield pd.DataFrame({"series_id": pdf["series_id"].repeat(sizes).to_numpy(), "x": flat[0].astype(np.int32), "y": flat[1]})
+        yield pd.DataFrame({"k": pdf["k"].repeat(sizes).to_numpy(), "x": flat[0].astype(np.int32), "y": flat[1]})
 
 
 def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame, rr: DataFrame, km: float = 5.0) -> DataFrame:
@@ -200,18 +210,29 @@ def fuse_city_series(gt_cities: DataFrame, gt: DataFrame, rr_cities: DataFrame,
 
     Cities: (city_id, lat, lng); series by city. A truth value above the relative one (interpolated, not 0) becomes their
     mean; then the truth series is carried by the relative one and rounded half up. Several neighbours are worked in one after
-    another, by id, each into what the one before gave: a fold in one pass over a row for each city, which holds its own points and
-    those of its neighbours within km; repeated pairs count once. Points without a value are left out.
+    another, by id, each into what the one before gave; repeated pairs count once. Points without a value are left out.
+
+    Cities at the same places have the same neighbours, so these are listed once for the places. Cities of the same points, whose
+    neighbours' points are the same, are one class, which is folded once. A fold is one pass over a row for each class, which holds its
+    points and those of its neighbours within km.
     """
     kind = gt.schema["series_id"].dataType.simpleString()
-    pairs = radius_join(gt_cities, rr_cities, km).select(F.col("a_id").alias("series_id"), "b_id").distinct()
     points = lambda s: s.select("series_id", F.col("x").cast("int").alias("x"), F.col("y").cast("double").alias("y")).dropna()
     listed = lambda s: points(s).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
-    met = pairs.join(listed(rr).withColumnRenamed("series_id", "b_id"), "b_id").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("b_id", "p"))).alias("o"))
-    both = materialise(listed(gt).join(met, "series_id", "full"))
-    alone = both.filter("o is null").select("series_id", F.inline("p"))
-    each = lambda n: F.transform("o", lambda o: o["p"][n]).alias(f"{n}s")
-    near = both.filter("o is not null").select("series_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), each("x"), each("y"))
-    # cities are few bytes and much work: the engine would join them into few parts
-    near = near.repartition(int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
-    return alone.unionAll(near.mapInPandas(_folded, f"series_id {kind}, x int, y double"))
+    stood = gt_cities.groupBy(F.col("city_id").alias("series_id")).agg(F.array_sort(F.collect_set(F.struct("lat", "lng"))).alias("at"))
+    places = stood.groupBy("at").agg(F.min("series_id").alias("place"))
+    pairs = radius_join(places.select(F.col("place").alias("city_id"), F.inline("at")), rr_cities, km).select(F.col("a_id").alias("place"), "b_id").distinct()
+    met = pairs.join(listed(rr).withColumnRenamed("series_id", "b_id"), "b_id").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("b_id", "p"))).alias("o"))
+    met = materialise(met.select("place", F.col("o.p").alias("o")).join(places, "place"))
+    lists = met.groupBy("o").agg(F.min("place").alias("list"))
+    both = materialise(listed(gt).join(stood.join(met.join(lists, "o").select("at", "list"), "at").select("series_id", "list"), "series_id", "full"))
+    alone = both.filter("list is null").select("series_id", F.inline("p"))
+    near = both.filter("list is not null").withColumn("p", F.coalesce("p", F.array().cast(both.schema["p"].dataType)))
+    classes = materialise(near.groupBy("list", "p").agg(F.min("series_id").alias("k")))
+    each = lambda n: F.transform("o", lambda o: o[n]).alias(f"{n}s")
+    rows = classes.join(lists, "list").select("k", F.col("p.x").alias("x"), F.col("p.y").alias("y"), each("x"), each("y"))
+    # classes are few bytes and much work: the engine would join them into few parts
+    rows = rows.repartition(int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    folded = rows.mapInPandas(_folded, f"k {kind}, x int, y double")
+    members = near.join(classes, ["list", "p"]).select("series_id", "k")
+    return alone.unionAll(members.join(folded, "k").select("series_id", "x", "y"))

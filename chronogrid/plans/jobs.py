@@ -116,7 +116,9 @@ def pipe_urban_union(s, d):
     pooled = series.weighted_geomean(wide, ["series_id", "x"]).select(F.col("series_id").cast("string").alias("name"), "x", F.floor(F.col("gmean") + 0.5).cast("double").alias("y"))
     truth = pages.correct_records(pooled, _on(PATCHES)(s, d)).select(F.col("name").cast("long").alias("series_id"), "x", "y")
     truth = materialise(series.cut_after(truth, 1990))
-    found = materialise(pages.html_table_cells(_table_pages(s, d), "series_id"))
+    # pages are few bytes and much work: the engine would join them into few parts
+    held = _table_pages(s, d).repartition(4 * max(4, s.sparkContext.defaultParallelism), F.xxhash64("series_id"))
+    found = materialise(pages.html_table_cells(held, "series_id"))
     years = found.filter("r = 0").select("series_id", "c", F.col("text").try_cast("int").alias("x"))
     later = found.filter("r = 1").join(years, ["series_id", "c"]).select("series_id", "x", F.col("text").try_cast("double").alias("y"), "linked")
     relative = materialise(pages.linked_population_table(later))

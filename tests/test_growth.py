@@ -86,6 +86,55 @@ def test_cities_are_folded_many_at_a_time(spark, monkeypatch):
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, gt.collect()))
 
 
+def test_cities_of_one_place_and_series_are_folded_once(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from chronogrid.operators import curves
+
+    cities = spark.createDataFrame([(i, float(i // 30), 0.0) for i in range(90)] + [(59, 0.0, 0.0)], "city_id long, lat double, lng double")
+    gt = spark.createDataFrame([(i, x, 90.0 + i % 3 * x) for i in range(50) for x in (0, 10)], "series_id long, x int, y double")
+    rr = spark.createDataFrame([(i, x, 5.0 * x + 1 + i % 2) for i in range(90) for x in (0, 5, 20)], "series_id long, x int, y double")
+    got = {}
+    for r in curves.fuse_city_series(cities, gt, cities, rr).collect():
+        got.setdefault(r["series_id"], []).append((r["x"], r["y"]))
+    # each city on its own, over the neighbours in their order
+    series = lambda rows: tuple(np.array(v) for v in zip(*[(x, y) for x, y in sorted(rows)], strict=True)) or (np.zeros(0, int), np.zeros(0))
+    at = lambda i: {i // 30, 0} if i == 59 else {i // 30}
+    for i in range(90):
+        x, y = series([(x, 90.0 + i % 3 * x) for x in (0, 10) if i < 50])
+        for b in range(90):
+            if at(i) & at(b):
+                there = curves._on_segment(*series([(t, 5.0 * t + 1 + b % 2) for t in (0, 5, 20)]), x) if len(x) else y
+                x, y = curves._carried(x, np.where((y > there) & (there != 0), (y + there) / 2, y), *series([(t, 5.0 * t + 1 + b % 2) for t in (0, 5, 20)]))
+                y = np.floor(y + 0.5)
+        assert sorted(got[i]) == list(zip(x.tolist(), y.tolist(), strict=True)), i
+
+    def told(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf["k"], "x": 0, "y": np.random.default_rng().random(len(pdf))})
+
+    monkeypatch.setattr(curves, "_folded", told)
+    rows = curves.fuse_city_series(cities, gt, cities, rr).collect()
+    # three kinds of series at each of two places, none at the second and at the third, whose neighbours are as the second's, and the city
+    # that stands at both
+    assert len(rows) == 90 and len({r["y"] for r in rows}) == 8
+
+
+def test_a_series_that_changes_nothing_is_not_worked_in_again(monkeypatch):
+    import numpy as np
+
+    from chronogrid.operators import curves
+
+    calls, whole = [], curves._carried
+    monkeypatch.setattr(curves, "_carried", lambda *a: calls.append(1) or whole(*a))
+    x, y, others = np.array([0, 10]), np.array([90.0, 40.0]), [(np.array([0, 5, 20]), np.array([1.0, 26.0, 101.0]))] * 500
+    out = curves._fold(x, y, others)
+    assert len(calls) < 40
+    monkeypatch.setattr(curves, "_same", lambda a, b: False)
+    assert all(map(np.array_equal, out, curves._fold(x, y, others)))
+
+
 def test_cells_of_a_page_are_given_as_they_are_closed():
     from chronogrid.operators import pages
 
