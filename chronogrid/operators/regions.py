@@ -34,17 +34,16 @@ def _envelope(rows: list[int], gaps: list[int]) -> tuple[list[int], list[int]]:
     return held, start
 
 
-def _columns(keys: list[str]):
-    """Rows come sorted by (keys, c, r): of each column the nearest source of every row that asks."""
+def _columns(keys: list[str], left: bool):
+    """Rows come sorted by (keys, c, r): of each column the nearest source of every row that asks, with what either carries. ``left``:
+    rows without a source carry their own as the source's."""
     by = [*keys, "c"]
 
-    def solve(c: int, rows: np.ndarray, sc: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
-        rows, asked = rows[told], rows[~told]
-        sc = sc[told].astype(np.int64)
-        gaps = (sc - c) ** 2
-        held, start = _envelope(rows.tolist(), gaps.tolist())
-        best = np.array(held)[np.searchsorted(start, asked, "right") - 1]
-        return rows[best], sc[best], gaps[best] + (asked - rows[best]) ** 2
+    def solve(c: int, rows: np.ndarray, sc: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """The places of the sources in the column."""
+        own = np.flatnonzero(told)
+        held, start = _envelope(rows[own].tolist(), ((sc[own].astype(np.int64) - c) ** 2).tolist())
+        return own[np.array(held)[np.searchsorted(start, rows[~told], "right") - 1]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -57,14 +56,19 @@ def _columns(keys: list[str]):
                 v = pdf[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             cuts = np.r_[0, np.flatnonzero(new), len(pdf)]
-            out = np.full((len(pdf), 3), -1, dtype=np.int64)
+            src = np.full(len(pdf), -1, dtype=np.int64)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if told[lo:hi].any() and not told[lo:hi].all():
-                    at = lo + np.flatnonzero(~told[lo:hi])
-                    out[at, 0], out[at, 1], out[at, 2] = solve(int(c[lo]), r[lo:hi], sc[lo:hi], told[lo:hi])
-            found = ~told & (out[:, 2] >= 0)
-            made = pdf.loc[found, [*keys, "r", "c"]].assign(sr=out[found, 0], sc=out[found, 1], d2=out[found, 2])
-            return made[[*keys, "r", "c", "sr", "sc", "d2"]]
+                    src[lo + np.flatnonzero(~told[lo:hi])] = lo + solve(int(c[lo]), r[lo:hi], sc[lo:hi], told[lo:hi])
+            found = np.flatnonzero(~told & (src >= 0))
+            if left:
+                found = np.flatnonzero(~told)
+                src = np.where(src < 0, np.arange(len(pdf)), src)
+            src, at = src[found], np.where(told, sc, c).astype(np.int64)
+            out = pdf.iloc[found].reset_index(drop=True)
+            out["sr"], out["sc"], out["sv"] = r[src], at[src], pdf["v"].take(src).to_numpy()
+            out["d2"] = (out["r"] - out["sr"]) ** 2 + (out["c"] - out["sc"]) ** 2
+            return out[[*keys, "r", "c", "v", "sr", "sc", "sv", "d2"]]
 
         for pdf in batches:
             if pdf.empty:
@@ -81,6 +85,33 @@ def _columns(keys: list[str]):
     return run
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts for a grid's rows or columns: the session's, or sixteen a core. Cells are so few bytes in a shuffle that the engine would join
+    their parts until a task sorts millions of them."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+
+
+def _nearest(asked: DataFrame, seeds: DataFrame, keys: list[str], left: bool = False) -> DataFrame:
+    """Each row asked (keys, r, c, v) with sr, sc, sv and d2 of nearest_seeds(), sv being that seed's v; ``left``: without one the row's own v."""
+    place = [F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")]
+    rows = asked.select(*keys, *place, "v")
+    bounds = rows.groupBy(*keys).agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    line = Window.partitionBy(*keys, "r").orderBy("sc", "v")
+    n = _parts(asked)
+    # a seed that repeats is nearest to no column, or to those of one side
+    own = seeds.select(*keys, *place, "v").withColumnRenamed("c", "sc").repartition(n, *keys, "r")
+    own = own.select("*", (F.shiftright(F.lag("sc").over(line) + F.col("sc"), 1) + 1).alias("lo"), F.shiftright(F.col("sc") + F.lead("sc").over(line), 1).alias("hi"))
+    own = own.join(bounds, keys) if keys else own.crossJoin(F.broadcast(bounds))  # one row of bounds
+    own = own.withColumn("lo", F.greatest("lo", "c0")).withColumn("hi", F.least("hi", "c1")).filter("lo <= hi")
+    sources = own.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "sc", "v")
+    both = sources.unionByName(rows.withColumn("sc", F.lit(None).cast("long")))
+    kinds = "".join(f"{k} {asked.schema[k].dataType.simpleString()}, " for k in keys)
+    kind = asked.schema["v"].dataType.simpleString()
+    dealt = both.repartition(n, *keys, "c").sortWithinPartitions(*keys, "c", "r")
+    return dealt.mapInPandas(_columns(keys, left), f"{kinds}r long, c long, v {kind}, sr long, sc long, sv {kind}, d2 long")
+
+
 def nearest_seeds(asked: DataFrame, seeds: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """asked (keys, r, c) with sr, sc and d2 of the nearest seed (keys, r, c) by the exact straight distance: the lowest row,
     then column, of equally near ones. Without a seed there is no row.
@@ -91,30 +122,19 @@ def nearest_seeds(asked: DataFrame, seeds: DataFrame, keys: list[str] | None = N
     largest group is one row of seeds, or one column.
     """
     keys = keys or []
-    rows = asked.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
-    bounds = rows.groupBy(*keys).agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    line = Window.partitionBy(*keys, "r").orderBy("sc")
-    own = seeds.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("sc")).distinct()
-    own = own.select("*", (F.shiftright(F.lag("sc").over(line) + F.col("sc"), 1) + 1).alias("lo"), F.shiftright(F.col("sc") + F.lead("sc").over(line), 1).alias("hi"))
-    own = own.join(bounds, keys) if keys else own.crossJoin(bounds)  # one row of bounds
-    own = own.withColumn("lo", F.greatest("lo", "c0")).withColumn("hi", F.least("hi", "c1")).filter("lo <= hi")
-    sources = own.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "sc")
-    both = sources.unionByName(rows.withColumn("sc", F.lit(None).cast("long")))
-    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "".join(f"{k} {asked.schema[k].dataType.simpleString()}, " for k in keys)
-    dealt = both.repartition(n, *keys, "c").sortWithinPartitions(*keys, "c", "r")
-    return dealt.mapInPandas(_columns(keys), f"{kinds}r long, c long, sr long, sc long, d2 long")
+    none = F.lit(0).alias("v")
+    return _nearest(asked.select(*keys, "r", "c").distinct().select("*", none), seeds.select(*keys, "r", "c", none), keys).drop("v", "sv")
 
 
 def nearest_seed_fill(cells: DataFrame, bins: list[int], ignored: list[int]) -> DataFrame:
-    """cells (r, c, zone): cells of the ``bins`` classes take the class of the nearest cell of a class that is neither a bin
-    nor ignored; all others stay. Without such a cell they stay too."""
+    """cells (r, c, zone), a class each: cells of the ``bins`` classes take the class of the nearest cell of a class that is neither a
+    bin nor ignored; all others stay, and are not dealt. Without such a cell they stay too."""
     open_ = F.col("zone").isin(bins)
-    seeds = cells.filter(~open_ & ~F.col("zone").isin(ignored))
-    near = nearest_seeds(cells.filter(open_), seeds)
-    classes = seeds.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("zone").alias("near_zone"))
-    near = near.join(classes, ["sr", "sc"]).select("r", "c", "near_zone")
-    return cells.join(near, ["r", "c"], "left").select("r", "c", F.coalesce("near_zone", "zone").alias("zone"))
+    valued = cells.select("r", "c", F.col("zone").alias("v"), "zone")
+    near = _nearest(valued.filter(open_), valued.filter(~open_ & ~F.col("zone").isin(ignored)), [], left=True)
+    kinds = {n: cells.schema[n].dataType for n in "rc"}
+    filled = near.select(*[F.col(n).cast(kinds[n]).alias(n) for n in "rc"], F.col("sv").alias("zone"))
+    return cells.filter(~F.coalesce(open_, F.lit(False))).select("r", "c", "zone").unionAll(filled)
 
 
 def _sides(cells: DataFrame, overlapping: bool = False) -> DataFrame:
@@ -128,6 +148,20 @@ def _sides(cells: DataFrame, overlapping: bool = False) -> DataFrame:
     return asks.join(there, ["nr", "nc"], "left").filter("other is null or other <> zone").drop("nr", "nc", "other")
 
 
+def _border(cells: DataFrame, overlapping: bool) -> DataFrame:
+    """Cells with a side against another class or nothing: a cell's neighbours are told along its row, then along its column."""
+    keys, n, held = ["zone"] if overlapping else [], _parts(cells), cells.select("r", "c", "zone").withColumn("edge", F.lit(False))
+    for along, over in ("rc", "cr"):
+        line = Window.partitionBy(*keys, along).orderBy(over)
+        edge = F.col("edge")
+        for d in (-1, 1):
+            beside = line.rangeBetween(d, d)
+            low, high = F.min("zone").over(beside), F.max("zone").over(beside)
+            edge = edge | low.isNull() | F.coalesce((low != F.col("zone")) | (high != F.col("zone")), F.lit(False))
+        held = held.repartition(n, *keys, along).withColumn("edge", edge)
+    return held.filter("edge").select("zone", "r", "c")
+
+
 def directed_edges(cells: DataFrame) -> DataFrame:
     """(zone, x1, y1, x2, y2): the unit sides of each class's cells against another class or nothing, with the class on the
     right of the way. Cells meet their four neighbours by one equi join."""
@@ -172,12 +206,9 @@ def interior_pole(cells: DataFrame, largest: bool = True, overlapping: bool = Fa
     another class's border crosses the own border before; so one transform serves all classes. ``overlapping`` classes have
     one each, within the columns of their own cells.
     """
-    border = _sides(cells.select("r", "c", "zone"), overlapping).select("zone", "r", "c").distinct()
-    asked = largest_parts(cells) if largest else cells.select("r", "c", "zone")
-    if overlapping:
-        far = nearest_seeds(asked, border, ["zone"])
-    else:
-        far = nearest_seeds(asked, border).join(asked, ["r", "c"])
+    border = _border(cells, overlapping).withColumn("v", F.col("zone"))
+    asked = (largest_parts(cells) if largest else cells).select("zone", "r", "c", F.col("zone").alias("v"))
+    far = _nearest(asked, border, ["zone"]) if overlapping else _nearest(asked, border, []).withColumnRenamed("v", "zone")
     best = far.groupBy("zone").agg(F.max(F.struct("d2", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("m"))
     kinds = {n: cells.schema[n].dataType for n in "rc"}
     return best.select("zone", *[(-F.col(f"m.{n}")).cast(kinds[n]).alias(n) for n in "rc"], F.col("m.d2").alias("d2"))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronogrid.operators import raster
+from chronogrid.operators import raster, regions
 from chronogrid.sources.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +52,27 @@ def test_outliers_are_told_in_the_pass_that_sums(spark):
     assert plan.count("Join LeftOuter") == 1  # the fallback's alone
 
 
+def test_cells_are_dealt_to_parts_that_the_engine_does_not_join(spark):
+    cells = view(spark, SF, "field_cells")
+    for df in (regions.nearest_seed_fill(cells, [-1], []), regions.interior_pole(cells, largest=False)):
+        plan = df._jdf.queryExecution()
+        joins = [line for line in plan.optimizedPlan().toString().split("\n") if "Join" in line]
+        # those that the view itself makes, and the one row of bounds
+        assert all("Join Cross" in line or "Join Inner" in line and "rightHint" in line for line in joins), joins
+        dealt = [line for line in plan.executedPlan().toString().split("\n") if "Exchange hashpartitioning(r#" in line or "Exchange hashpartitioning(c#" in line]
+        assert len([line for line in dealt if "REPARTITION_BY_NUM" in line]) > 1
+        # what else is dealt are the distinct numbers that the grid is crossed from
+        assert not [line for line in dealt if "ENSURE_REQUIREMENTS" in line and "(r#" in line and ", c#" in line], dealt
+
+
+def test_filled_cells_carry_their_seed_and_repeated_cells_stay(spark):
+    cells = spark.createDataFrame([(0, 0, 5), (0, 4, 7), (0, 4, 7), (0, 2, -1), (0, 3, -1), (0, 3, -1), (9, 9, -2), (3, 3, None)], "r int, c int, zone int")
+    got = sorted((r["r"], r["c"], r["zone"] or 0) for r in regions.nearest_seed_fill(cells, [-1], [-2]).collect())
+    assert got == [(0, 0, 5), (0, 2, 5), (0, 3, 7), (0, 3, 7), (0, 4, 7), (0, 4, 7), (3, 3, 0), (9, 9, -2)]
+    alone = regions.nearest_seed_fill(cells.filter("zone < 0"), [-1], [-2]).collect()
+    assert sorted(map(tuple, alone)) == [(0, 2, -1), (0, 3, -1), (0, 3, -1), (9, 9, -2)]
+
+
 def test_scalars_do_not_deal_cells_by_year(spark):
     from chronogrid.operators import scaling
 
