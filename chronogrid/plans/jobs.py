@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronogrid.operators import curves, entities, frames, keyframes, layers, masks, pages, polygons, raster, regions, scaling, series, tables
@@ -12,7 +13,7 @@ from chronogrid.plans.state import ASOF, SIGHTINGS
 from chronogrid.shared import materialise
 from chronogrid.streaming import entity_state
 from chronogrid.sources import readers
-from chronogrid.sources.views import base, derive, oracle, view
+from chronogrid.sources.views import base, derive, names_in, oracle, view
 
 
 def _v(name):
@@ -87,16 +88,35 @@ def pipe_world_totals(s, d):
     return whole.select(F.col("x").alias("yr"), F.floor(F.col("y") * 1e6 + 0.5).cast("double").alias("total")).orderBy("yr")
 
 
-URBAN = "SELECT series_id, x + 1950 AS x, y FROM (" + curve_plans.GT_SERIES + ") UNION ALL SELECT city_id AS series_id, x + 1955 AS x, y + 3 AS y FROM {cities_gt} JOIN {series_rr} USING (series_id) WHERE x < 25"
+#: The two files' figures of the truth cities; both have some years of a city.
+URBAN_FILES = (
+    "SELECT series_id, x + 1950 AS x, y FROM (" + curve_plans.GT_SERIES + ")",
+    "SELECT city_id AS series_id, x + 1955 AS x, y + 3 AS y FROM {cities_gt} JOIN {series_rr} USING (series_id)",
+)
+URBAN = " UNION ALL ".join(URBAN_FILES)
+#: Years of which the files have a column at least; each other year with a figure has one too.
+FILE_YEARS = range(1950, 2031, 5)
 LATER = "SELECT series_id, x + 1950 AS x, CASE WHEN x > 30 THEN 0.0 ELSE y END AS y, series_id % 4 <> 0 AS linked FROM (" + curve_plans.RR_SERIES + ")"
 
 
+def _file_rows(s, d, sql):
+    """The rows of a file: cities are dealt, and their nations' few figures sent to them. The engine would send the cities to the figures,
+    which are in one part."""
+    held = {n: view(s, d, n) for n in names_in(sql)}
+    return s.sql(sql, **{n: v.repartition("city_id") if n == "cities_gt" else F.broadcast(v) for n, v in held.items()})
+
+
 def _year_files(s, d):
-    """The cities' figures as two files of a column a year (ad_1950, ...), blank where there is none."""
-    rows = _on(URBAN)(s, d).withColumn("file", (F.col("x") % 10).cast("int"))
-    years = list(range(1950, 2031, 5))
-    wide = rows.groupBy("file", "series_id").pivot("x", years).agg(F.first("y"))
-    return wide.toDF("file", "series_id", *[f"ad_{y}" for y in years])
+    """The cities' figures as two files of a column a year (bc_50, ad_1950, ...), blank where there is none. Figures that a file repeats
+    for a city and year stand on lines of their own."""
+    first, second = (_file_rows(s, d, sql).select(F.lit(i).alias("file"), "series_id", "x", "y") for i, sql in enumerate(URBAN_FILES))
+    rows = materialise(first.unionAll(second).filter("x is not null"))
+    years = sorted({*FILE_YEARS, *(r["x"] for r in rows.select("x").distinct().collect())})
+    line = F.row_number().over(Window.partitionBy("file", "series_id", "x").orderBy("y"))
+    # dealt by city once for all that follows here: the engine would join the parts into few that hold much
+    dealt = rows.repartition(8 * max(4, s.sparkContext.defaultParallelism), "series_id")
+    wide = dealt.withColumn("line", line).groupBy("file", "series_id", "line").pivot("x", years).agg(F.first("y"))
+    return wide.toDF("file", "series_id", "line", *[f"bc_{-y}" if y < 0 else f"ad_{y}" for y in years])
 
 
 def _table_pages(s, d):
@@ -112,7 +132,7 @@ def _table_pages(s, d):
 def pipe_urban_union(s, d):
     """Cities' figures: files of year columns, pooled by year, corrected and cut after 1990; tables of pages, of which the
     linked figures count, of the other cities; both fused."""
-    wide = tables.year_columns(_year_files(s, d), ["file", "series_id"])
+    wide = tables.year_columns(_year_files(s, d), ["file", "series_id", "line"])
     pooled = series.weighted_geomean(wide, ["series_id", "x"]).select(F.col("series_id").cast("string").alias("name"), "x", F.floor(F.col("gmean") + 0.5).cast("double").alias("y"))
     truth = pages.correct_records(pooled, _on(PATCHES)(s, d)).select(F.col("name").cast("long").alias("series_id"), "x", "y")
     truth = materialise(series.cut_after(truth, 1990))
